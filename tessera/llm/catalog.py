@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, wavelet
+from . import exact_dedup, minhash, mixing, packing, wavelet
 
 QUERIES = {
+    "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
     "op3_wavelet_shards": wavelet.op3_wavelet_shards,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_pattern_packing": packing.op5_pattern_packing,
+    "op8_mix_sources": mixing.op8_mix_sources,
+}
+ORACLE = {
+    "op4_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op8_mix_sources": mixing.ORACLE_SQL,
 }
-ORACLE = {"op4_exact_dedup": exact_dedup.ORACLE_SQL}
