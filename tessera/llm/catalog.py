@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, minhash, mixing, packing, wavelet
+from . import ann, exact_dedup, lattice, minhash, mixing, packing, wavelet
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
@@ -10,6 +10,8 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_pattern_packing": packing.op5_pattern_packing,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op9_lattice_lm": lattice.op9_lattice_lm,
+    "op10_ivf_pq": ann.op10_ivf_pq,
 }
 ORACLE = {
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,
