@@ -142,8 +142,9 @@ def _pieces(path: str, end_id: int, capacity: int):
         seen = [0] * (capacity + 1)
         for batch in batches:
             doc, piece, start, length, crc, rank = [], [], [], [], [], []
-            for d, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = enc.encode(text.as_py()) + end
+            encoded = enc.encode_all(text.as_py() for text in batch.column(1))
+            for d, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), width)):
                     chunk = ids[at : at + width]
                     n = len(chunk) // 4

@@ -10,17 +10,18 @@ from __future__ import annotations
 
 import functools
 import os
-
-import regex
+from collections.abc import Iterable, Iterator
 
 #: Words that one Python worker keeps; beyond them the cache starts anew.
-MAX_CACHED_WORDS = 600_000
+MAX_CACHED_WORDS = 900_000
 #: Longer words aren't kept.
 MAX_CACHED_BYTES = 64
+#: Bytes of text that are looked up together.
+BATCH_BYTES = 2_000_000
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 
-_ASCII = regex.compile(rb"([a-z]+)([!-&(-/:-@\[-`{-~]*)")
-_LETTERS = regex.compile(r"(\p{L}+)([!-&(-/:-@\[-`{-~]+)")
+_PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII's without the apostrophe
+_PUNCTUATION_BYTES = _PUNCTUATION.encode()
 
 
 def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
@@ -39,57 +40,71 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         self._max = max_words
+        self._ids = [i.to_bytes(4, "little") for i in range(max(self._tokenizer.get_vocab().values()) + 1)]
         self._words: dict[bytes, bytes] = {}
         self._parts: dict[str, bytes] = {}
 
-    @property
-    def vocabulary_size(self) -> int:
-        return self._tokenizer.get_vocab_size(with_added_tokens=True)
-
     def encode(self, text: bytes | None) -> bytes:
         """Ids of a whole text; null counts as empty."""
-        if not text:
-            return b""
-        words = text.lower().split()
-        try:
-            return b"".join(map(self._words.__getitem__, words))
-        except KeyError:
-            pass
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[bytes | None]) -> Iterator[bytes]:
+        """Ids of each of many texts, in order."""
+        held: list[list[bytes]] = []
+        size = 0
+        for text in texts:
+            held.append(text.lower().split() if text else [])
+            size += len(text or b"")
+            if size > BATCH_BYTES:
+                yield from self._look_up(held)
+                held, size = [], 0
+        yield from self._look_up(held)
+
+    def _look_up(self, held: list[list[bytes]]) -> list[bytes]:
         if len(self._words) > self._max:
             self._words.clear()
             self._parts.clear()
-        missing = [w for w in dict.fromkeys(words) if w not in self._words]
-        self._learn(missing)
-        out = b"".join(map(self._words.__getitem__, words))
+        missing = set().union(*held).difference(self._words)
+        if missing:
+            self._learn(missing)
+        get = self._words.__getitem__
+        out = [b"".join(map(get, words)) for words in held]
         for w in missing:
             if len(w) > MAX_CACHED_BYTES:
                 del self._words[w]
         return out
 
-    def _learn(self, words: list[bytes]) -> None:
-        model, known = self._tokenizer.model, self._parts
-        later: list[tuple[bytes, list[str]]] = []
-        ask: dict[str, None] = {}
+    def _learn(self, words: set[bytes]) -> None:
+        tokenize, known, put, ids = self._tokenizer.model.tokenize, self._parts, self._words, self._ids
+        later: list[tuple[bytes, str, str]] = []
+        ask: set[str] = set()
         for w in words:
-            if m := _ASCII.fullmatch(w):
-                head, tail = m[1].decode(), m[2].decode()
-                if head not in known:
-                    ids = [t.id for t in model.tokenize(head)]
-                    known[head] = b"".join(i.to_bytes(4, "little") for i in ids)
-                parts = [head, tail] if tail else [head]
+            if w.isascii():
+                head = w if w.isalpha() else w.rstrip(_PUNCTUATION_BYTES)
+                if head.isalpha():
+                    text = head.decode()
+                    if text not in known:
+                        known[text] = b"".join([ids[t.id] for t in tokenize(text)])
+                    if len(head) == len(w):
+                        put[w] = known[text]
+                        continue
+                    tail = w[len(head) :].decode()
+                else:
+                    text, tail = w.decode(), ""
             else:
-                text = w.decode("utf-8", "replace")
-                m = None if "İ" in text else _LETTERS.fullmatch(text)
-                parts = [m[1], m[2]] if m else [text]
-            for p in parts:
-                if p not in known:
-                    ask[p] = None
-            later.append((w, parts))
+                whole = w.decode("utf-8", "replace")
+                text = whole.rstrip(_PUNCTUATION)
+                if not text.isalpha() or "İ" in text:
+                    text = whole
+                tail = whole[len(text) :]
+            ask.update(p for p in (text, tail) if p and p not in known)
+            later.append((w, text, tail))
         if ask:
-            for p, e in zip(ask, self._tokenizer.encode_batch_fast(list(ask), add_special_tokens=False), strict=True):
-                known[p] = b"".join(i.to_bytes(4, "little") for i in e.ids)
-        for w, parts in later:
-            self._words[w] = b"".join(known[p] for p in parts)
+            asked = list(ask)
+            for p, e in zip(asked, self._tokenizer.encode_batch_fast(asked, add_special_tokens=False), strict=True):
+                known[p] = b"".join([ids[i] for i in e.ids])
+        for w, text, tail in later:
+            put[w] = known[text] + known[tail] if tail else known[text]
         for p in ask:
             if len(p) > MAX_CACHED_BYTES:
                 del known[p]

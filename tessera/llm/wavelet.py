@@ -171,8 +171,9 @@ def _shards(path: str, end_id: int, shard_tokens: int):
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                got = enc.encode(text.as_py()) + end
+            encoded = enc.encode_all(text.as_py() for text in batch.column(1))
+            for doc, got in zip(batch.column(0).to_pylist(), encoded, strict=True):
+                got += end
                 docs.append(doc)
                 counts.append(len(got) // 4)
                 buffers.append(got)
