@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from . import ann, exact_dedup, lattice, minhash, mixing, packing, wavelet
+import corpus_pipeline
+
+from . import ann, exact_dedup, lattice, minhash, mixing, packing, quality, sharding, toxicity, wavelet
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
+    "op2_ordinal_quality": quality.op2_ordinal_quality,
     "op3_wavelet_shards": wavelet.op3_wavelet_shards,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_pattern_packing": packing.op5_pattern_packing,
+    "op6_boosted_toxicity": toxicity.op6_boosted_toxicity,
+    "op7_tiered_shards": sharding.op7_tiered_shards,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_lattice_lm": lattice.op9_lattice_lm,
     "op10_ivf_pq": ann.op10_ivf_pq,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE = {
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,
