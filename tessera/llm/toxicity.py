@@ -1,7 +1,7 @@
 """Operator 6: toxicity by gradient-boosted trees over dense features.
 
-A lexicon is learned from labelled rows: words and word beginnings that toxic
-texts have far more often. Densities of its terms, as written and with
+A short list of insults is extended by what labelled rows teach: words and
+word beginnings that toxic texts have far more often. Densities of its terms, as written and with
 obfuscation undone, their closeness to second-person words, and rates of
 capitals, punctuation and obfuscated words are a text's features. Small trees
 are boosted on them and their sum is calibrated by isotonic regression.
@@ -28,7 +28,7 @@ from . import common
 SAMPLE_ROWS = 15_000
 HELD_OUT_MODULUS = 5
 #: Terms of the learned lexicon, and the toxic texts that a term must be in.
-LEXICON_TERMS, MIN_TEXTS = 300, 6
+LEXICON_TERMS, MIN_TEXTS = 300, 4
 STRONG, MILD = 3.0, 1.2
 NEAR = 4
 TREES, DEPTH, RATE, BINS, MIN_LEAF, L2 = 80, 3, 0.15, 32, 12, 1.0
@@ -39,6 +39,12 @@ SECOND_PERSON = frozenset(
     "you your yours yourself u ur du dich dir dein deine deiner ihr euch euer tu toi te ton ta tes vous votre vos "
     "tú ti tuyo usted ustedes vosotros os vuestro".split()
 )
+#: Insults that are in the lexicon from the start, with this weight.
+SEED_WEIGHT = 3.5
+SEED_TERMS = (
+    "idiot idiots moron morons stupid loser losers pathetic worthless disgusting trash scum clown garbage dumb jerk bastard bitch shit fuck fucking "
+    "asshole crap imbecile dumm dummkopf arschloch scheiße idiota imbécil estúpido mierda imbécile connard merde salaud"
+).split()
 #: Signs that stand for letters.
 _LEET = bytes.maketrans(b"013457@$!|", b"oieastasil")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -248,13 +254,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = common.materialize(rows, "toxic-sample")
     sizes = {(r["toxic"], r["turn"] < 8): r["n"] for r in rows.groupBy("toxic", (F.col("turn") < 8).alias("turn")).agg(F.count("*").alias("n")).withColumn("turn", F.when(F.col("turn"), 0).otherwise(8)).collect()}
     toxic, clean = sizes.get((1, True), 0), sizes.get((0, True), 0)
-    model = Boosted({})
+    model = Boosted(dict.fromkeys(SEED_TERMS, SEED_WEIGHT))
     if toxic and clean:
         found = rows.where("turn < 8").select("text", "toxic").mapInArrow(_terms, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
         odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
         found = found.where(F.col("toxic") >= MIN_TEXTS).withColumn("odds", odds).where(F.col("odds") >= MILD)
         best = found.orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "term").limit(LEXICON_TERMS).collect()
-        model.lexicon = {r["term"]: float(r["odds"]) for r in best}
+        model.lexicon |= {r["term"]: float(r["odds"]) for r in best}
     shared = spark.sparkContext.broadcast(model)
     data = rows.where("turn >= 8").mapInArrow(_dense(shared), "toxic int, turn int, x array<double>").toPandas()
     if not len(data) or data["toxic"].nunique() < 2:
