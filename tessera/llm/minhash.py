@@ -8,12 +8,17 @@ name buckets; documents that share one are candidates, and a link needs the
 exact Jaccard similarity of the full sets.
 
 Large groups never become all pairs. Equal sets are one class from the start.
-In a bucket a few pivots are compared with every member of another component,
-links merge components, and the pivots retire, for everything in the bucket
-has met them. Buckets whose members are all in one component are done; the
-others go on with four times as many pivots. So no pair of different
-components that shares a bucket is left out, and a group of near-copies costs
-about as many comparisons as it has members.
+In a bucket a pivot is compared with every member of another component, links
+merge components, and the pivot retires, for everything in the bucket has met
+it. Buckets whose members are all in one component are done. The members of
+the others are dealt anew, by shingles: two sets can only be linked if they
+share one of their first few in an order that is the same for all, and the
+order puts rare shingles first, so texts that merely share a frequent passage
+part. Where the first shared shingle stands in both bounds what they can share
+at all, and pairs below the needed overlap are left. Among the others the same
+goes on, with eight times as many pivots each round. So no
+pair of different components that could be linked is left out, and a group of
+near-copies costs about as many comparisons as it has members.
 """
 
 from __future__ import annotations
@@ -35,7 +40,9 @@ WIDTH, PERCENT = 5, 80
 #: Words whose hashes one Python worker keeps.
 MAX_CACHED_WORDS = 400_000
 #: Pivots of the first round, and their growth from round to round.
-PIVOTS, PIVOT_GROWTH = 1, 4
+PIVOTS, PIVOT_GROWTH = 1, 8
+#: Counters of shingles, by hash, that tell rare from frequent; their number is fixed.
+SLOTS = 1 << 20
 #: Places of a signature that are shifted together; bounds memory for long texts.
 CHUNK = 2048
 
@@ -155,6 +162,51 @@ def _confirm(width: int, percent: int):
     return run
 
 
+def _slots(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                np.add.at(total, (shingles(text.as_py(), width) % np.uint64(SLOTS)).astype(np.int64), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["slot", "n"])
+
+    return run
+
+
+def _first_shingles(shared, width: int, percent: int):
+    """Of each text the ``n - ceil(percent * n / 100) + 1`` rarest shingles, one of which any linked text shares."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, size, found, place = [], [], [], []
+            for d, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                s = shingles(text.as_py(), width)
+                order = np.lexsort((s, shared.value[(s % np.uint64(SLOTS)).astype(np.int64)]))
+                first = s[order[: len(s) + (-percent * len(s) // 100) + 1]]
+                doc.append(np.full(len(first), d, np.int64))
+                size.append(np.full(len(first), len(s), np.int64))
+                found.append(first.view(np.int64))
+                place.append(np.arange(len(first)))
+            if doc:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found, doc, size, place)], ["bucket", "doc_id", "n", "place"])
+
+    return run
+
+
+def _deal_by_shingles(live: DataFrame, texts: DataFrame, labels: DataFrame, width: int, percent: int) -> DataFrame:
+    """The documents of ``live`` in new buckets, one for each shingle that several of them have among their first."""
+    docs = common.materialize(texts.join(common.maybe_broadcast(live.select("doc_id").distinct()), "doc_id", "left_semi"), "minhash-texts")
+    counts = np.zeros(SLOTS, np.int64)
+    for slot, n in docs.select("text").mapInArrow(_slots(width), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # at most SLOTS rows
+        counts[slot] = n
+    shared = live.sparkSession.sparkContext.broadcast(counts)
+    found = common.materialize(docs.select("doc_id", "text").mapInArrow(_first_shingles(shared, width, percent), "bucket long, doc_id long, n long, place long"), "minhash-first")
+    several = common.materialize(found.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"), "minhash-buckets")
+    found = found.join(several, "bucket").join(labels, "doc_id")
+    return common.materialize(found.select("bucket", "doc_id", "n", "place", "comp"), "minhash-live")
+
+
 def merge(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b) that isn't its component's least.
 
@@ -200,22 +252,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = full.join(classes.withColumnRenamed("class_id", "doc_id"), [*group, "doc_id"], "left_semi")
     slots = heads.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
     shared = common.materialize(slots.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "minhash-buckets")
-    live = common.materialize(slots.join(shared, "bucket").select("bucket", "doc_id", F.col("n_shingles").alias("n"), F.col("doc_id").alias("comp")), "minhash-live")
+    live = common.materialize(slots.join(shared, "bucket").select("bucket", "doc_id", F.col("n_shingles").alias("n"), F.lit(0).cast("long").alias("place"), F.col("doc_id").alias("comp")), "minhash-live")
     labels = common.materialize(live.select("doc_id", "comp").distinct(), "minhash-labels")
     texts = common.materialize(source.join(common.maybe_broadcast(labels.select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "minhash-texts")
-    failed, pivots = None, PIVOTS
+    failed, pivots, turn = None, PIVOTS, 0
     while True:
         open_ = common.materialize(live.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket"), "minhash-open")
         if open_.isEmpty():
             break
         live = common.materialize(live.join(open_, "bucket"), "minhash-live")
+        turn += 1
+        if turn == 2:
+            live, pivots = _deal_by_shingles(live, texts, labels, width, percent), PIVOTS
+            continue
         if pivots == 1:
-            chosen = live.groupBy("bucket").agg(F.min(F.struct("doc_id", "n", "comp")).alias("p")).select("bucket", "p.*")
+            chosen = live.groupBy("bucket").agg(F.min(F.struct("doc_id", "n", "place", "comp")).alias("p")).select("bucket", "p.*")
         else:
             rank = F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id"))
             chosen = live.withColumn("rank", rank).where(F.col("rank") <= pivots).drop("rank")
-        chosen = common.materialize(chosen.select("bucket", F.col("doc_id").alias("p_id"), F.col("n").alias("p_n"), F.col("comp").alias("p_comp")), "minhash-pivots")
+        chosen = common.materialize(chosen.select("bucket", F.col("doc_id").alias("p_id"), F.col("n").alias("p_n"), F.col("place").alias("p_place"), F.col("comp").alias("p_comp")), "minhash-pivots")
         near = (F.col("comp") != F.col("p_comp")) & (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n"))
+        near = near & ((100 + percent) * F.least(F.col("n") - F.col("place"), F.col("p_n") - F.col("p_place")) >= percent * (F.col("n") + F.col("p_n")))
         pairs = live.join(chosen, "bucket").where(near).select(F.least("doc_id", "p_id").alias("a"), F.greatest("doc_id", "p_id").alias("b")).distinct()
         if failed is not None:
             pairs = pairs.join(failed, ["a", "b"], "left_anti")
