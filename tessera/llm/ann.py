@@ -174,7 +174,7 @@ def fit(vectors: DataFrame, sample_rows: int = SAMPLE_ROWS, target_recall: float
     components differ, the sample's most frequent one counts.
     """
     rows = vectors.count()
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toPandas()["vector"]
+    sample = common.hash_sample(vectors, sample_rows, "vec_id").toPandas()["vector"]
     if not len(sample):
         return None, 0
     size = int(sample.map(len).mode().iloc[0])

@@ -40,7 +40,7 @@ SMOOTHING = 0.01
 MAX_CLASSES = 8
 #: Weight of the counts of all classes within each class.
 POOLED = 0.02
-#: The most frequent words, whose counts are broadcast.
+#: The most frequent words, whose counts are broadcast, at most.
 FREQUENT_WORDS = 200_000
 #: Words of a partition that are counted before they are handed on.
 MAX_COUNTED_WORDS = 500_000
@@ -327,10 +327,19 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
         for piece, n in words.select("word").mapInArrow(_expect(shared), "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():  # one row a piece
             uses[piece] += n
         shared.destroy()
-    frequent = words.orderBy(F.desc(add(F.col("c"))), "word").limit(FREQUENT_WORDS).toPandas()
-    h = np.array([word_hash(bytes(w)) for w in frequent["word"]], np.int64)
+    # the most frequent words by a threshold on their count: no task sends more than is kept
+    step = F.floor(F.log2(add(F.col("c")).cast("double")) * 16).cast("long")
+    steps = sorted(((r["s"], r["n"]) for r in words.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect()), reverse=True)  # at most 1024 rows
+    kept, least = 0, 1 << 40
+    for s, n in steps:
+        kept += n
+        if kept > FREQUENT_WORDS:
+            break
+        least = s
+    frequent = words.where(step >= least).mapInArrow(_hash_words, "h long, c array<long>").toArrow()
+    h = frequent.column("h").to_numpy()
     order = np.argsort(h)
-    counts = np.array(frequent["c"].tolist(), np.int64).reshape(-1, k)
+    counts = frequent.column("c").combine_chunks().flatten().to_numpy().reshape(-1, k)
     totals = np.maximum(facts[:, 0] + np.append(ends, ends_all), 1.0)
     discounts = np.array([_discount(a, b) for a, b in facts[:, 2:]])
     reserves = np.where(facts[:, 1] > 0, discounts * facts[:, 1] / totals, 1e-3)

@@ -248,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     spark = docs.sparkSession
     chosen = labels.select(F.col(id_col).alias("_label_id"), F.col(label_col).cast("int").alias("toxic")).where("toxic IN (0, 1) AND _label_id IS NOT NULL")
-    chosen = chosen.where(common.crc_mod("_label_id", HELD_OUT_MODULUS) != 0).orderBy(F.xxhash64("_label_id"), "_label_id", "toxic").limit(sample_rows)
+    chosen = common.hash_sample(chosen.where(common.crc_mod("_label_id", HELD_OUT_MODULUS) != 0), sample_rows, "_label_id", "toxic")
     turn = F.pmod(F.xxhash64(F.lit(3), "_label_id"), F.lit(20)).cast("int").alias("turn")
     rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen["_label_id"]).select(F.col(text_col).cast("binary").alias("text"), "toxic", turn)
     rows = common.materialize(rows, "toxic-sample")
