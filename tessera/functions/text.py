@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words without content in questions and evidence.
 STOPWORDS = (
@@ -22,7 +23,7 @@ _MAY_CHANGE = r"[ ¨ª¯²-µ¸-º¼-¾Ĳ-
 _WORD = r"([A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)*)"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 

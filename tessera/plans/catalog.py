@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from . import evidence, ranking, structure
+
+QUERIES: dict = {**ranking.QUERIES, **structure.QUERIES, **evidence.QUERIES}
+ORACLE: dict[str, str] = {**ranking.ORACLE, **structure.ORACLE, **evidence.ORACLE}
