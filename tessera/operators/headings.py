@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .lines import IN_PAGE, neighbours
+from .lines import in_page, neighbours
 
 MAX_LENGTH = 180
 #: Lines that are never headings.
@@ -90,7 +90,7 @@ def candidates(lines: DataFrame, family: Family, attribute_page: tuple[str, str]
     page = Window.partitionBy("page_id")
     rows = neighbours(lines).withColumn("clean", T.collapse_spaces(F.col("text"))).withColumn("candidate_type", classify(F.col("text"), family))
     rows = rows.withColumn("_contents", F.bool_or(lower.isin("contents", "table of contents")).over(page))
-    annex = F.coalesce(F.bool_or(F.coalesce(F.col("candidate_type") == "annex", F.lit(False))).over(IN_PAGE.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    annex = F.coalesce(F.bool_or(F.coalesce(F.col("candidate_type") == "annex", F.lit(False))).over(in_page().rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
     rows = rows.withColumn("_annex", annex)
     vetoed = F.col("_contents") | is_list_item(F.col("candidate_type"), F.col("clean"), F.col("next_line")) | ((F.col("candidate_type") == "article") & F.col("_annex"))
     if attribute_page:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-IN_DOCUMENT = Window.partitionBy("document_id").orderBy("line_pos")
-IN_PAGE = Window.partitionBy("page_id").orderBy("line_number")
+
+def in_document() -> WindowSpec:
+    return Window.partitionBy("document_id").orderBy("line_pos")
+
+
+def in_page() -> WindowSpec:
+    return Window.partitionBy("page_id").orderBy("line_number")
 
 
 def line_table(pages: DataFrame) -> DataFrame:
@@ -34,8 +39,9 @@ def page_violations(pages: DataFrame) -> DataFrame:
     return found.select("document_id", rule.alias("rule")).where("rule IS NOT NULL").unionByName(ids)
 
 
-def neighbours(lines: DataFrame, scope: Window = IN_PAGE) -> DataFrame:
+def neighbours(lines: DataFrame, scope: WindowSpec | None = None) -> DataFrame:
     """``lines`` with the nearest lines that aren't blank before and after; empty at the ends."""
+    scope = scope or in_page()
     clean = T.collapse_spaces(F.col("text"))
     filled = F.when(clean != "", clean)
     previous = F.last(filled, True).over(scope.rowsBetween(Window.unboundedPreceding, -1))
@@ -46,7 +52,7 @@ def neighbours(lines: DataFrame, scope: Window = IN_PAGE) -> DataFrame:
 def previous_filled(lines: DataFrame) -> DataFrame:
     """``lines`` with position and text of the line before that isn't blank, in the document."""
     filled = F.when(T.strip(F.col("text")) != "", F.struct("page_number", "line_number", "text"))
-    return lines.withColumn("previous_filled", F.last(filled, True).over(IN_DOCUMENT.rowsBetween(Window.unboundedPreceding, -1)))
+    return lines.withColumn("previous_filled", F.last(filled, True).over(in_document().rowsBetween(Window.unboundedPreceding, -1)))
 
 
 def islands(lines: DataFrame, *by: str) -> DataFrame:
@@ -109,7 +115,7 @@ def ledger_violations(rows: DataFrame) -> DataFrame:
 def gap_is_blank(lines: DataFrame) -> DataFrame:
     """Filled lines with ``next_text`` and whether only blank lines, and at least one, lie between."""
     filled = lines.where(T.strip(F.col("text")) != "")
-    return filled.withColumn("next_text", F.lead("text").over(IN_DOCUMENT)).withColumn("blank_gap", F.coalesce(F.lead("line_pos").over(IN_DOCUMENT) - F.col("line_pos") > 1, F.lit(False)))
+    return filled.withColumn("next_text", F.lead("text").over(in_document())).withColumn("blank_gap", F.coalesce(F.lead("line_pos").over(in_document()) - F.col("line_pos") > 1, F.lit(False)))
 
 
 #: How sentences end and what starts an item of a list.
