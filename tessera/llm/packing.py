@@ -66,18 +66,19 @@ def fit_repeats(patterns: list[tuple[int, ...]], histogram: np.ndarray, steps: i
     """Non-negative repeat counts that bring the patterns' lengths near the histogram.
 
     Multiplicative least-squares steps keep every count at or above zero and
-    touch only the few entries that each pattern has.
+    touch only the few entries that each pattern has. A length's square error
+    weighs by the length, for what is long is hard to place afterwards.
     """
     if not patterns:
         return np.zeros(0)
     column = np.repeat(np.arange(len(patterns)), [len(p) for p in patterns])
     row = np.concatenate([np.array(p) for p in patterns])
-    target = histogram.astype(float)
-    gain = np.bincount(column, target[row], len(patterns))
+    target, weight = histogram.astype(float), np.arange(len(histogram), dtype=float)
+    gain = np.bincount(column, (weight * target)[row], len(patterns))
     x = np.full(len(patterns), max(1e-9, target.sum() / max(1, len(row))))
     for _ in range(steps):
         made = np.bincount(row, x[column], len(target))
-        x *= gain / np.maximum(np.bincount(column, made[row], len(patterns)), 1e-12)
+        x *= gain / np.maximum(np.bincount(column, (weight * made)[row], len(patterns)), 1e-12)
     return x
 
 

@@ -165,7 +165,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     chosen = labels.select(F.col(id_col).alias("_label_id"), F.col(grade_col).cast("double").alias("grade")).where("grade IS NOT NULL AND _label_id IS NOT NULL")
     chosen = common.hash_sample(chosen, sample_rows, "_label_id", "grade")
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen["_label_id"]).select("grade", F.col(text_col).cast("binary").alias("text"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("text"))
+    rows = texts.join(F.broadcast(chosen), F.col("_id") == F.col("_label_id")).select("grade", "text")
     found = rows.mapInArrow(_features, "grade double, columns array<int>, values array<double>").toPandas()
     found = found.iloc[np.lexsort((found["columns"].map(len), found["grade"]))] if len(found) else found
     if not len(found):

@@ -250,7 +250,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = labels.select(F.col(id_col).alias("_label_id"), F.col(label_col).cast("int").alias("toxic")).where("toxic IN (0, 1) AND _label_id IS NOT NULL")
     chosen = common.hash_sample(chosen.where(common.crc_mod("_label_id", HELD_OUT_MODULUS) != 0), sample_rows, "_label_id", "toxic")
     turn = F.pmod(F.xxhash64(F.lit(3), "_label_id"), F.lit(20)).cast("int").alias("turn")
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen["_label_id"]).select(F.col(text_col).cast("binary").alias("text"), "toxic", turn)
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("text"))
+    rows = texts.join(F.broadcast(chosen), F.col("_id") == F.col("_label_id")).select("text", "toxic", turn)
     rows = common.materialize(rows, "toxic-sample")
     sizes = {(r["toxic"], r["turn"] < 8): r["n"] for r in rows.groupBy("toxic", (F.col("turn") < 8).alias("turn")).agg(F.count("*").alias("n")).withColumn("turn", F.when(F.col("turn"), 0).otherwise(8)).collect()}
     toxic, clean = sizes.get((1, True), 0), sizes.get((0, True), 0)
