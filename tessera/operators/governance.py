@@ -154,6 +154,41 @@ def adjudication_needed(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("disagrees", differs).withColumn("uncertain", unsure).where("disagrees OR uncertain")
 
 
+def adjudication_violations(records: DataFrame, needed: DataFrame) -> DataFrame:
+    """case_id and rule: records must be exactly the cases that need one, with categories where labels differ.
+
+    ``records`` has case_id, final_status, final_codes, categories,
+    guide_change and guide_summary.
+    """
+    out = records.join(needed.select("case_id"), "case_id", "left_anti").select("case_id", F.lit("not needed").alias("rule"))
+    out = out.union(needed.join(records.select("case_id"), "case_id", "left_anti").select("case_id", F.lit("missing")))
+    out = out.union(records.groupBy("case_id").count().where("count > 1").select("case_id", F.lit("repeated")))
+    rows = records.join(needed.select("case_id", "disagrees"), "case_id")
+    rule = (
+        F.when(F.col("disagrees") & (F.size("categories") == 0), "no category").when(F.col("guide_change") != F.col("guide_summary").isNotNull(), "guide change without summary")
+        .when((F.col("final_status") == "sufficient") & (F.size("final_codes") > 0), "codes of sufficient evidence").when((F.col("final_status") == "insufficient") & (F.size("final_codes") == 0), "no codes")
+    )
+    return out.union(rows.select("case_id", rule.alias("rule")).where("rule IS NOT NULL"))
+
+
+def alignment_violations(left: DataFrame, right: DataFrame, key: str = "case_id", order: str = "position") -> DataFrame:
+    """Keys that are on one side only or at different positions."""
+    a, b = left.select(key, F.col(order).alias("_a")), right.select(key, F.col(order).alias("_b"))
+    rows = a.join(b, key, "full_outer")
+    rule = F.when(F.col("_b").isNull(), "unexpected").when(F.col("_a").isNull(), "missing").when(F.col("_a") != F.col("_b"), "position")
+    return rows.select(key, rule.alias("rule")).where("rule IS NOT NULL")
+
+
+def enumeration_violations(rows: DataFrame, allowed: dict[str, list[str]], key: str = "case_id") -> DataFrame:
+    """Key and column of values outside their column's list; arrays are checked by element."""
+    found = []
+    for name, values in allowed.items():
+        many = rows.schema[name].dataType.typeName() == "array"
+        bad = F.size(F.array_except(name, F.array(*map(F.lit, values)))) > 0 if many else ~F.col(name).isin(*values)
+        found.append(F.when(F.col(name).isNull() | bad, name))
+    return rows.select(key, F.explode(F.array_compact(F.array(*found))).alias("rule"))
+
+
 def disagreement_by_code(pairs: DataFrame, metadata: DataFrame, codes: str) -> DataFrame:
     """Per structure code: cases and disagreements; a case counts once for each of its codes."""
     rows = pairs.join(metadata.select("case_id", F.explode(F.array_distinct(codes)).alias("structure_code")), "case_id")

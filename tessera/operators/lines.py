@@ -119,10 +119,30 @@ def gap_is_blank(lines: DataFrame) -> DataFrame:
 
 
 #: How sentences end and what starts an item of a list.
-STRONG_END = r"[.!?][\"'”’)\]]*\s*$"
-LOWER_START, URL_START = r"^[a-z]", r"^(?:https?://|www\.)"
-ITEM_START = r"^(?:\[\d+\]|\([0-9A-Za-z]{1,6}\)|\d+(?:\.\d+)*[.)]|[•●▪–—*-])\s"
-INITIALS = r"^[A-Z]\.\s+[A-Z]"
+STRONG_END = r"[.!?][”’\"')\]]*$"
+LOWER_START, URL_START = r"^[a-zà-öø-ÿ]", r"(?i)^(?:https?://|www\.)"
+ITEM_START = r"^(?:\[\d+\]\s|(?i:\([a-z0-9]+\)\s)|\d+(?:\.\d+)*[.)]?\s|[-–—•▪◦*]\s)"
+INITIALS = r"^[A-Z]\.\s+\S"
+#: Footnotes, and starts of bibliography entries by author and year or by number.
+FOOTNOTE = r"^(\d{1,2})\s+\S"
+AUTHOR_YEAR = r"^[A-ZÀ-ÖØ-Þ0-9][^\n]{0,240}\((?:19|20)\d{2}[a-z]?\)"
+NUMBERED_ENTRY = r"^\[(\d+)\]\s+"
+
+
+def footnotes(lines: DataFrame) -> DataFrame:
+    """Lines that start like footnotes: number, and whether the filled line before ends with it as a marker."""
+    rows = previous_filled(lines).withColumn("number", F.regexp_extract(T.strip(F.col("text")), FOOTNOTE, 1)).where("number <> ''")
+    before = F.regexp_replace("previous_filled.text", r"[”’\"')\]]*\s*$", "")
+    return rows.select("document_id", "line_pos", F.col("number").cast("int").alias("number"), "text", F.coalesce(F.endswith(before, F.col("number")), F.lit(False)).alias("linked"))
+
+
+def reference_start(text: Column, prefixes: list[str]) -> Column:
+    """Whether a numbered line is a reference, by what follows its number, rather than a recital."""
+    rest = F.lower(F.regexp_extract(T.strip(text), r"^\(\d+\)\s*(.*)$", 1))
+    out = F.lit(False)
+    for p in prefixes:
+        out = out | rest.startswith(p.lower())
+    return (rest != "") & out
 
 
 def boundary_reason(text: Column, next_text: Column, blank_gap: Column) -> Column:

@@ -213,3 +213,48 @@ def boundary_pairs(units: DataFrame) -> DataFrame:
     w = Window.partitionBy("logical_source_key").orderBy("part_number")
     rows = units.withColumn("next_unit_id", F.lead("unit_id").over(w))
     return rows.where("next_unit_id IS NOT NULL").select("logical_source_key", "unit_id", "next_unit_id", "boundary_after")
+
+
+def logical_sources(nodes: DataFrame, content: DataFrame, extra: DataFrame | None = None) -> DataFrame:
+    """document_id, source_key, unit_kind, label, lines of everything that is to be packed.
+
+    A heading with content is a ``heading_body``, a leaf without any a
+    ``heading_only``; containers without content are left out. ``nodes`` has
+    node_id, document_id, ancestor_ids and full_heading, ``content`` node_id
+    and line_pos of lines that no rule excludes. ``extra`` are sources found
+    by other rules, in the same columns.
+    """
+    lines = content.groupBy("node_id").agg(F.count("*").alias("lines"))
+    inner = nodes.select(F.explode("ancestor_ids").alias("node_id")).distinct().withColumn("inner", F.lit(True))
+    rows = nodes.join(lines, "node_id", "left").join(inner, "node_id", "left")
+    kind = F.when(F.col("lines") > 0, "heading_body").when(F.col("inner").isNull(), "heading_only")
+    out = rows.select("document_id", F.col("node_id").alias("source_key"), kind.alias("unit_kind"), label(F.col("full_heading"), F.col("node_id")).alias("label"), F.coalesce("lines", F.lit(0).cast("long")).alias("lines"))
+    out = out.where("unit_kind IS NOT NULL")
+    return out.unionByName(extra) if extra is not None else out
+
+
+def label(*choices: Column) -> Column:
+    """The first choice that isn't blank."""
+    return F.coalesce(*[F.when(T.strip(c) != "", T.collapse_spaces(c)) for c in choices])
+
+
+def materialize_units(pieces: DataFrame, sources: DataFrame) -> DataFrame:
+    """Pieces of a packing as units with ids, part counts and their source's kind and label."""
+    good = pieces.where("failure IS NULL").withColumn("part_count", F.count("*").over(Window.partitionBy("source_id")).cast("int"))
+    known = sources.withColumnRenamed("source_key", "source_id")
+    key = F.concat_ws(":", F.lit("candidate-v2"), F.col("document_id").cast("string"), "source_id")
+    return good.join(known, "source_id").select(
+        F.format_string("%s:part-%03d", key, F.col("part_number")).alias("unit_id"), key.alias("logical_source_key"), "document_id", "source_id", "unit_kind", "label", "part_number", "part_count",
+        "first_order", "last_order", "content_words", "boundary_after",
+    )
+
+
+def coverage_violations(pieces: DataFrame, lines: DataFrame) -> DataFrame:
+    """source_id and rule of sources whose pieces don't hold every line and word exactly once."""
+    want = lines.groupBy(F.col("source_id").cast("string").alias("source_id")).agg(F.count("*").alias("n"), F.sum("words").alias("w"))
+    wide = pieces.where("failure IS NULL").select("source_id", F.explode(F.sequence("first_order", "last_order")).alias("line_order"))
+    held = wide.join(lines.select(F.col("source_id").cast("string").alias("source_id"), "line_order"), ["source_id", "line_order"], "left_semi").groupBy("source_id").agg(F.count("*").alias("held"), F.count_distinct("line_order").alias("d"))
+    words = pieces.where("failure IS NULL").groupBy("source_id").agg(F.sum("content_words").alias("packed"))
+    rows = want.join(held, "source_id", "left").join(words, "source_id", "left")
+    rule = F.when(F.coalesce("held", F.lit(0)) != F.col("n"), "lines").when(F.col("held") != F.col("d"), "line twice").when(F.col("packed") != F.col("w"), "words")
+    return rows.select("source_id", rule.alias("rule")).where("rule IS NOT NULL")

@@ -194,11 +194,12 @@ l AS (SELECT document_id, unnest(a) AS text, generate_subscripts(a, 1) - 1 AS li
 _CLEAN = r"trim(regexp_replace(text, '[\s]+', ' ', 'g'))"
 _LEAD = r"regexp_replace(next_text, '^\s+', '')"
 _TEND = r"regexp_replace(text, '\s+$', '')"
-_UP, _LOW = r"^(?:\[\d+\]|\([0-9A-Za-z]{1,6}\)|\d+(?:\.\d+)*[.)]|[•●▪–—*-])\s", r"^[a-z]"
+_RUNS_ON = r"^[a-zà-öø-ÿ]|^(?i:https?://|www\.)"
+_ITEM = r"^(?:\[\d+\]\s|(?i:\([a-z0-9]+\)\s)|\d+(?:\.\d+)*[.)]?\s|[-–—•▪◦*]\s)"
 _REASON = rf"""CASE WHEN next_text IS NULL THEN 'end_of_source_unit'
-  WHEN regexp_matches({_TEND}, '[.!?]["''”’)\]]*\s*$') AND NOT regexp_matches({_LEAD}, '^[a-z]|^https?://|^www\.') THEN 'after_strong_terminal'
-  WHEN regexp_matches({_LEAD}, '{_UP}') AND NOT regexp_matches({_LEAD}, '^[A-Z]\.\s+[A-Z]') AND NOT {_TEND} LIKE '%:' THEN 'before_structured_start'
-  WHEN gap AND NOT regexp_matches({_LEAD}, '^[a-z]|^https?://|^www\.') AND NOT {_TEND} LIKE '%:' THEN 'at_blank_paragraph_gap' END"""
+  WHEN regexp_matches({_TEND}, '[.!?][”’"'')\]]*$') AND NOT regexp_matches({_LEAD}, '{_RUNS_ON}') THEN 'after_strong_terminal'
+  WHEN regexp_matches({_LEAD}, '{_ITEM}') AND NOT regexp_matches({_LEAD}, '^[A-Z]\.\s+\S') AND NOT {_TEND} LIKE '%:' THEN 'before_structured_start'
+  WHEN gap AND NOT regexp_matches({_LEAD}, '{_RUNS_ON}') AND NOT {_TEND} LIKE '%:' THEN 'at_blank_paragraph_gap' END"""
 _TURNS = "t AS (SELECT conv_id AS d, turn AS p, conv_id || ':' || turn AS heading_id, role, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END AS depth, text FROM conversations)"
 _SUB = "s AS (SELECT a.d, a.p, a.heading_id, a.depth, coalesce((SELECT min(b.p) FROM t b WHERE b.d = a.d AND b.p > a.p AND b.depth <= a.depth), max(a.p) OVER (PARTITION BY a.d) + 1) AS subtree_stop FROM t a)"
 _ACT = "CASE role WHEN 'system' THEN 'chapter' WHEN 'user' THEN 'section' ELSE 'article' END"
