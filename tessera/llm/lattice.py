@@ -40,6 +40,8 @@ SMOOTHING = 0.01
 MAX_CLASSES = 8
 #: Weight of the counts of all classes within each class.
 POOLED = 0.02
+#: Bits of a slot in the tables that find pieces by hash.
+SLOT_BITS = 19
 #: The most frequent words, whose counts are broadcast, at most.
 FREQUENT_WORDS = 200_000
 #: Words of a partition that are counted before they are handed on.
@@ -82,9 +84,16 @@ class Lattice:
         self.starts = np.array([p.startswith(START) for p in pieces])
         self.set(np.exp(logp))
         self.longest = max(map(len, pieces))
-        hashes = np.array([self._hash(p) for p in pieces], np.uint64)
-        self._order = np.argsort(hashes, kind="stable")
-        self._sorted = hashes[self._order]
+        self._hashes = np.array([self._hash(p) for p in pieces], np.uint64)
+        # pieces by slots of their hash; those whose slot is taken go to the next table
+        self._tables: list[tuple[np.uint64, np.ndarray]] = []
+        left = np.arange(len(pieces), dtype=np.int32)
+        while len(left):
+            factor = np.uint64(2 * len(self._tables) + 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+            slot, table = self._slots(self._hashes[left], factor), np.full(1 << SLOT_BITS, -1, np.int32)
+            table[slot] = left
+            left = left[table[slot] != left]
+            self._tables.append((factor, table))
 
     def set(self, uses: np.ndarray) -> None:
         """Probabilities in proportion to uses: of first pieces, of later ones, and of a stop after a piece."""
@@ -100,20 +109,25 @@ class Lattice:
             h = (h * int(_P) + b + 1) & 0xFFFFFFFFFFFFFFFF
         return (h + len(piece) * 0x94D049BB133111EB) & 0xFFFFFFFFFFFFFFFF
 
-    def _arcs(self, words: np.ndarray, length: int) -> np.ndarray:
-        """Piece of each word's substring that has ``length`` bytes, by start; -1 for none."""
-        n = words.shape[1] - length + 1
-        h = np.zeros((len(words), n), np.uint64)
-        for k in range(length):
-            h = h * _P + words[:, k : k + n] + np.uint64(1)
-        h += np.uint64(length * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF)
-        at = np.minimum(np.searchsorted(self._sorted, h), len(self._sorted) - 1)
-        return np.where(self._sorted[at] == h, self._order[at], -1)
+    @staticmethod
+    def _slots(h: np.ndarray, factor: np.uint64) -> np.ndarray:
+        return ((h * factor) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The piece with each hash; -1 for none."""
+        found = np.full(h.shape, -1, np.int32)
+        for factor, table in self._tables:
+            at = table[self._slots(h, factor)]
+            found = np.where((at >= 0) & (self._hashes[at] == h), at, found)
+        return found
 
     def _table(self, words: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        out, wide = [], words.astype(np.uint64)
-        for length in range(1, min(self.longest, words.shape[1]) + 1):
-            arcs = self._arcs(wide, length)
+        """For each length: the pieces of all words' substrings by start, and their log probabilities."""
+        out, wide, n = [], words.astype(np.uint64) + np.uint64(1), words.shape[1]
+        h = np.zeros_like(wide)
+        for length in range(1, min(self.longest, n) + 1):
+            h = h[:, : n - length + 1] * _P + wide[:, length - 1 :]
+            arcs = self._find(h + np.uint64(length * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF))
             if (arcs >= 0).any():
                 out.append((length, arcs, np.where(arcs >= 0, self.logp[arcs], -np.inf)))
         return out
