@@ -38,7 +38,7 @@ from . import common
 BANDS, ROWS = 50, 7
 WIDTH, PERCENT = 5, 80
 #: Words whose hashes one Python worker keeps.
-MAX_CACHED_WORDS = 400_000
+MAX_CACHED_WORDS = 150_000
 #: Pivots of the first round, and their growth from round to round.
 PIVOTS, PIVOT_GROWTH = 1, 8
 #: Counters of shingles, by hash, that tell rare from frequent; their number is fixed.

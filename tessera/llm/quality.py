@@ -34,7 +34,7 @@ WORD_SCALE = 8.0
 STEPS, RATE, PENALTY = 150, 0.15, 1e-5
 #: A row is kept if the probability of a grade above the lowest is at least this.
 KEEP_PROBABILITY = 0.5
-MAX_CACHED_WORDS = 400_000
+MAX_CACHED_WORDS = 150_000
 
 _SHAPES = bytes(b"X"[0] if 65 <= b <= 90 else b"x"[0] if 97 <= b <= 122 or b >= 128 else b"9"[0] if 48 <= b <= 57 else b for b in range(256))
 _RUNS = re.compile(rb"(.)\1+", re.DOTALL)

@@ -12,8 +12,9 @@ import functools
 import os
 from collections.abc import Iterable, Iterator
 
-#: Words that one Python worker keeps; beyond them the cache starts anew.
-MAX_CACHED_WORDS = 900_000
+#: Words that one Python worker keeps from batch to batch; beyond them the cache starts anew.
+#: A worker outlives its stage, so this memory counts in later stages too.
+MAX_CACHED_WORDS = 250_000
 #: Longer words aren't kept.
 MAX_CACHED_BYTES = 64
 #: Bytes of text that are looked up together.

@@ -32,7 +32,7 @@ LEXICON_TERMS, MIN_TEXTS = 300, 4
 STRONG, MILD = 3.0, 1.2
 NEAR = 4
 TREES, DEPTH, RATE, BINS, MIN_LEAF, L2 = 80, 3, 0.15, 32, 12, 1.0
-MAX_CACHED_WORDS = 400_000
+MAX_CACHED_WORDS = 150_000
 
 #: Second-person words of English, German, French and Spanish.
 SECOND_PERSON = frozenset(
