@@ -6,7 +6,9 @@ scores start the piece probabilities and which expected counts over the
 distinct training words re-estimate, and the word as a whole with its
 discounted training count. What discounting takes from counted words is the
 weight of the segmentations into pieces. Pieces never cross words, so each
-distinct word is summed once.
+distinct word is summed once. A part of a word's probability may be too small
+for a float: a word without a count keeps it in log space, and in one with a
+count it is nothing beside the counted part.
 
 Training rows come in classes (their language); a text's probability is
 marginal over the class too, which is not an input of the score.
@@ -250,12 +252,13 @@ class _Scorer:
         self.index.update(zip(fresh, range(len(self.index), len(self.index) + len(fresh)), strict=True))
         h = np.fromiter(map(word_hash, fresh), np.int64, len(fresh))
         base, sums = np.full(len(fresh), np.nan), np.zeros((len(fresh), len(m["total"])))
-        part = np.maximum(self._lattice.scores(fresh) / np.log(10), -300.0)
+        part = self._lattice.scores(fresh) / np.log(10)
         if known:
             at = np.minimum(np.searchsorted(m["hash"], h), known - 1)
             hit = m["hash"][at] == h
             c = m["counts"][at[hit]].astype(float)
             base[hit] = np.log10(c.sum(axis=1) + 1) - m["floor"]
+            # a counted word's own share is above 0, so a part too small for a float adds nothing to it
             own = np.maximum(c - m["discount"], 0) / m["total"] + m["reserve"] * 10 ** part[hit, None]
             pooled = np.maximum(c.sum(axis=1) - m["discount_all"], 0) / m["total_all"] + m["reserve_all"] * 10 ** part[hit]
             sums[hit] = np.log10((1 - POOLED) * own + POOLED * pooled[:, None])
@@ -373,7 +376,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
 
     def class_sum(i: int):
         own = F.greatest(of(i) - F.lit(float(discounts[i])), F.lit(0.0)) / F.lit(float(totals[i])) + F.lit(float(reserves[i])) * F.col("part")
-        return F.sum(F.when(rare, F.col("tf") * F.log10(F.lit(1 - POOLED) * own + F.lit(POOLED) * F.col("pooled"))).otherwise(F.col("sums")[i])).alias(f"s{i}")
+        counted = F.log10(F.lit(1 - POOLED) * own + F.lit(POOLED) * F.col("pooled"))
+        # a word without a count is its pieces alone, however small their part is
+        unseen = F.lit(float(np.log10((1 - POOLED) * reserves[i] + POOLED * reserves[-1]))) + F.col("piece_part")
+        return F.sum(F.when(rare, F.col("tf") * F.when(F.col("all") > 0, counted).otherwise(unseen)).otherwise(F.col("sums")[i])).alias(f"s{i}")
 
     out = joined.withColumn("pooled", pooled).groupBy("uid").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),

@@ -194,6 +194,39 @@ def test_lm_counts_and_beats_nothing_known(rows):
     assert lattice.lm_scores(rows([], "doc_id long, text string")).count() == 0
 
 
+def log10_lattice(word, lattice_):
+    at = dict(zip(lattice_.pieces, lattice_.logp, strict=True))
+    text, longest = lattice.START + word, max(map(len, at))
+    alpha = [0.0] + [-math.inf] * len(text)
+    for j in range(1, len(text) + 1):
+        terms = [alpha[i] + at[text[i:j]] for i in range(max(0, j - longest), j) if text[i:j] in at]
+        top = max(terms)
+        alpha[j] = top + math.log(sum(math.exp(t - top) for t in terms))
+    return (alpha[-1] + lattice_.stop) / math.log(10)
+
+
+@pytest.mark.parametrize("frequent", [lattice.FREQUENT_WORDS, 0])
+def test_long_words_keep_their_whole_score(rows, monkeypatch, frequent):
+    monkeypatch.setattr(lattice, "FREQUENT_WORDS", frequent)
+    rng = random.Random(7)
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2]
+    learnt = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2]
+    known = "".join(rng.choices("0123456789abcdef", k=900))
+    words = ["".join(rng.choices("0123456789abcdef", k=n)) for n in (20, 200, 1000, 5000)] + ["a" * 3000, known]
+    train = [(learnt[0], "x x y"), (learnt[1], f"z {known}")]
+    out = lattice.lm_scores(rows(train + list(zip(held, words, strict=False)), "doc_id long, text string"), rounds=0)
+    got = {r["doc_id"]: r["score"] for r in out.collect()}
+    model = lattice.Lattice(*lattice.read_vocabulary(lattice.tokens.vocabulary_path(lattice.VOCABULARY)))
+    model.pieces = lattice.read_vocabulary(lattice.tokens.vocabulary_path(lattice.VOCABULARY))[0]
+    # two rows, five words, four distinct, three of them once and one twice
+    total, discount = 7.0, 3 / 5
+    for doc, word in zip(held, words, strict=False):
+        part = log10_lattice(word.encode(), model) + math.log10(discount * 4 / total)
+        if word == known:
+            part = math.log10((1 - discount) / total)
+        assert got[doc] == pytest.approx(part + math.log10(2 / total), rel=1e-6)
+
+
 def test_index_search(rows):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(800, 16)).astype(np.float32)
