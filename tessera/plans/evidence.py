@@ -158,7 +158,7 @@ def _manifest(spark, sf):
 
 
 def manifest_urls(spark, sf):
-    return G.manifest_violations(_manifest(spark, sf), HOSTS).where("rule <> 'download_url repeated'")
+    return G.manifest_violations(_manifest(spark, sf), HOSTS)
 
 
 def url_domain_check(spark, sf):

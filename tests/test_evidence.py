@@ -8,6 +8,7 @@ from tessera.operators import artifacts as R
 from tessera.operators import governance as G
 from tessera.operators import service
 from tessera.operators import sufficiency as S
+from tessera.plans import evidence
 
 
 def test_features_by_hand(rows):
@@ -154,3 +155,10 @@ def test_result_record(rows):
     assert r["mean_recall_at_1"] == 1.0 and r["gold_rows"] == 1 and len(r["queries"]) == 1
     assert R.result_violations(ranking).isEmpty()
     assert {x["rule"] for x in R.result_violations(ranking.withColumn("score", F.lit(-1.0) * F.col("rank")), 0.0).collect()} == {"too low"}
+
+
+def test_manifest_query_reports_repeated_urls(spark, rows, tmp_path):
+    pages = [(3, "https://example.com/a", ""), (1, "https://example.com/b", ""), (7, "https://example.com/a", ""), (10, "http://example.com/c", "")]
+    rows(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(map(tuple, evidence.manifest_urls(spark, str(tmp_path)).collect()))
+    assert got == [("10", "filename"), ("10", "not https"), ("3", "download_url repeated")]
