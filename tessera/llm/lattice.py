@@ -6,25 +6,26 @@ scores start the piece probabilities and which expected counts over the
 distinct training words re-estimate, and the word as a whole with its
 discounted training count. What discounting takes from counted words is the
 weight of the segmentations into pieces. Pieces never cross words, so each
-distinct word is summed once. A part of a word's probability may be too small
-for a float: a word without a count keeps it in log space, and in one with a
-count it is nothing beside the counted part.
+distinct word of the table is summed once, whoever uses it.
 
-Training rows come in classes (their language); a text's probability is
-marginal over the class too, which is not an input of the score.
+Training rows come in classes (their language), each with piece probabilities
+and word counts of its own; a text's probability is marginal over the class
+too, which is not an input of the score. Everything stays in log space, so a
+word of any length keeps its own probability.
 
-What is collected is one number a piece and a few a class. Word counts stay
-distributed: the most frequent words travel to every task, up to a fixed
-number, and occurrences of all others meet their counts in a join.
+What is collected is one number a piece and class and a few a class. Word
+counts stay distributed: the most frequent words' scores travel to every task,
+up to a fixed number, and occurrences of all others meet theirs in a join.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -38,21 +39,26 @@ START = b"\xff"
 ROUNDS = 3
 #: Added to each expected piece count.
 SMOOTHING = 0.01
+#: A piece's rate of ending a word before any is counted, and the pieces' worth of the mean rate that each starts from.
+FIRST_STOP, PRIOR_STOPS = 0.3, 2.0
+#: Pieces' worth of all classes' shares that each class starts from.
+PRIOR_PIECES = 300
 #: Classes with rows of their own; all rarer ones are one class more.
 MAX_CLASSES = 8
 #: Weight of the counts of all classes within each class.
-POOLED = 0.02
+POOLED = 0.03
 #: Bits of a slot in the tables that find pieces by hash.
 SLOT_BITS = 19
-#: The most frequent words, whose counts are broadcast, at most.
+#: The most frequent words, whose scores are broadcast, at most.
 FREQUENT_WORDS = 200_000
-#: Words of a partition that are counted before they are handed on.
+#: Different words of a task that are counted together before they are handed on.
 MAX_COUNTED_WORDS = 500_000
-#: Words that one Python worker keeps scores of.
-MAX_CACHED_WORDS = 500_000
+#: Bytes of words that go through the recursion together, and bytes of text that are split together.
+GROUP_BYTES, BATCH_BYTES = 20_000, 6_000_000
 FOLDS, HELD_OUT_FOLD = 7, 2
 
-ROW_SCHEMA = "uid long, kind int, h long, tf long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, piece_part double, sums array<double>"
+WORD_SCHEMA = "h long, known boolean, base double, s array<double>"
+ROW_SCHEMA = "uid long, kind int, h long, tf long, doc_id long, held_out boolean, n_tokens long, n_known long, base_sum double, sums array<double>"
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -80,11 +86,11 @@ def read_vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
 
 
 class Lattice:
-    """Sums over all segmentations of words into pieces."""
+    """Sums over all segmentations of words into pieces, for one or more classes of piece probabilities."""
 
-    def __init__(self, pieces: list[bytes], logp: np.ndarray) -> None:
+    def __init__(self, pieces: list[bytes], uses: np.ndarray, lasts: np.ndarray) -> None:
         self.starts = np.array([p.startswith(START) for p in pieces])
-        self.set(np.exp(logp))
+        self.set(uses, lasts)
         self.longest = max(map(len, pieces))
         self._hashes = np.array([self._hash(p) for p in pieces], np.uint64)
         # pieces by slots of their hash; those whose slot is taken go to the next table
@@ -97,12 +103,14 @@ class Lattice:
             left = left[table[slot] != left]
             self._tables.append((factor, table))
 
-    def set(self, uses: np.ndarray) -> None:
-        """Probabilities in proportion to uses: of first pieces, of later ones, and of a stop after a piece."""
-        first, later = uses[self.starts].sum(), uses[~self.starts].sum()
-        self.stop = float(np.log(first / (first + later)))
-        share = np.where(self.starts, uses / first, uses / later * (later / (first + later)))
-        self.logp = np.log(np.maximum(share, 1e-300))
+    def set(self, uses: np.ndarray, lasts: np.ndarray) -> None:
+        """Probabilities from uses (piece, class), of first pieces and of later ones, and from how many of them ended a word."""
+        share = np.where(self.starts[:, None], uses / uses[self.starts].sum(axis=0), uses / uses[~self.starts].sum(axis=0))
+        mean = lasts.sum(axis=0) / uses.sum(axis=0)
+        stop = np.clip((lasts + PRIOR_STOPS * mean) / (uses + PRIOR_STOPS), 1e-6, 1 - 1e-6)
+        # the last row is that of no piece
+        self.logp = np.concatenate([np.log(np.maximum(share, 1e-300)) + np.log(1 - stop), np.full((1, uses.shape[1]), -np.inf)])
+        self.stop = np.concatenate([np.log(stop / (1 - stop)), np.zeros((1, uses.shape[1]))])
 
     @staticmethod
     def _hash(piece: bytes) -> int:
@@ -123,95 +131,135 @@ class Lattice:
             found = np.where((at >= 0) & (self._hashes[at] == h), at, found)
         return found
 
-    def _table(self, words: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """For each length: the pieces of all words' substrings by start, and their log probabilities."""
-        out, wide, n = [], words.astype(np.uint64) + np.uint64(1), words.shape[1]
+    def _arcs(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths that occur, and for each the pieces of all words' substrings by start; -1 for none."""
+        m, n = words.shape
+        wide = np.ascontiguousarray(words.T).astype(np.uint64) + np.uint64(1)
         h = np.zeros_like(wide)
+        lengths, arcs = [], []
         for length in range(1, min(self.longest, n) + 1):
-            h = h[:, : n - length + 1] * _P + wide[:, length - 1 :]
-            arcs = self._find(h + np.uint64(length * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF))
-            if (arcs >= 0).any():
-                out.append((length, arcs, np.where(arcs >= 0, self.logp[arcs], -np.inf)))
-        return out
+            h = h[: n - length + 1] * _P + wide[length - 1 :]
+            found = self._find(h + np.uint64(length * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF))
+            if (found >= 0).any():
+                lengths.append(length)
+                arcs.append(np.concatenate([found, np.full((length - 1, m), -1, np.int32)]))
+        return np.array(lengths), np.stack(arcs)
+
+    def _weigh(self, lengths: np.ndarray, arcs: np.ndarray) -> np.ndarray:
+        """Log weights of arcs in each class; those up to the end of the word stop there."""
+        scores, n = self.logp[arcs], arcs.shape[1]
+        each = np.arange(len(lengths))
+        scores[each, n - lengths] += self.stop[arcs[each, n - lengths]]
+        return scores
 
     @staticmethod
-    def _sum(terms: list[np.ndarray]) -> np.ndarray:
-        stack = np.stack(terms)
-        top = stack.max(axis=0)
-        return top + np.log(np.exp(stack - top).sum(axis=0))
-
-    def _forward(self, table, words: int, n: int) -> np.ndarray:
-        alpha = np.full((n + 1, words), -np.inf)
-        alpha[0] = 0.0
+    def _sum(terms: np.ndarray) -> np.ndarray:
+        top = terms.max(axis=0)
+        return top + np.log(np.exp(terms - top).sum(axis=0))
+
+    def _forward(self, lengths: np.ndarray, scores: np.ndarray, n: int) -> np.ndarray:
+        """Log sums over all segmentations of each beginning: (n + 1, word, class)."""
+        alpha = np.zeros((n + 1, *scores.shape[2:]))
         for j in range(1, n + 1):
-            alpha[j] = self._sum([alpha[j - length] + score[:, j - length] for length, _, score in table if length <= j])
+            k = int(np.searchsorted(lengths, j, side="right"))
+            at = j - lengths[:k]
+            alpha[j] = self._sum(alpha[at] + scores[np.arange(k), at])
         return alpha
 
     @staticmethod
-    def _groups(words: list[bytes], most: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _groups(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(sizes, kind="stable")
         cuts = np.flatnonzero(np.diff(sizes[order])) + 1
         for same in np.split(order, cuts):
             n = int(sizes[same[0]]) + 1 if len(same) else 0
-            step = max(1, min(most, 200_000 // max(1, n)))
+            step = max(1, GROUP_BYTES // max(1, n))
             for lo in range(0, len(same), step):
                 some = same[lo : lo + step]
                 yield some, np.frombuffer(b"".join(START + words[i] for i in some), np.uint8).reshape(len(some), n)
 
     def scores(self, words: list[bytes]) -> np.ndarray:
-        """Natural log of each word's marginal probability."""
-        out = np.zeros(len(words))
+        """Natural log of each word's marginal probability in each class."""
+        out = np.zeros((len(words), self.logp.shape[1]))
         for some, matrix in self._groups(words):
-            out[some] = self._forward(self._table(matrix), *matrix.shape)[-1] + self.stop
+            lengths, arcs = self._arcs(matrix)
+            out[some] = self._forward(lengths, self._weigh(lengths, arcs), matrix.shape[1])[-1]
         return out
 
-    def expected(self, words: list[bytes]) -> np.ndarray:
-        """Expected uses of each piece, every word counting once."""
-        total = np.zeros(len(self.logp))
+    def expected(self, words: list[bytes], weights: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece, and uses at a word's end, by the first class' probabilities, each word counting with its weights (word, column)."""
+        columns = weights.shape[1]
+        total = np.zeros((len(self.logp) - 1, 2 * columns))
         for some, matrix in self._groups(words):
-            m, n = matrix.shape
-            table = self._table(matrix)
-            alpha = self._forward(table, m, n)
-            beta = np.full((n + 1, m), -np.inf)
-            beta[n] = 0.0
+            n = matrix.shape[1]
+            lengths, arcs = self._arcs(matrix)
+            scores = self._weigh(lengths, arcs)[..., 0]
+            alpha = self._forward(lengths, scores, n)
+            beta = np.zeros_like(alpha)
             for i in range(n - 1, -1, -1):
-                beta[i] = self._sum([beta[i + length] + score[:, i] for length, _, score in table if i + length <= n])
-            for length, arcs, score in table:
-                share = np.exp(alpha[: n - length + 1].T + score + beta[length:].T - alpha[-1][:, None])
-                on = arcs >= 0
-                total += np.bincount(arcs[on], share[on], len(total))
+                k = int(np.searchsorted(lengths, n - i, side="right"))
+                beta[i] = self._sum(beta[i + lengths[:k]] + scores[:k, i])
+            length, start, word = np.nonzero(arcs >= 0)
+            share = np.exp(alpha[start, word] + scores[length, start, word] + beta[start + lengths[length], word] - alpha[-1][word])
+            used = arcs[length, start, word]
+            last = start + lengths[length] == n
+            for c in range(columns):
+                by = share * weights[some[word], c]
+                total[:, c] += np.bincount(used, by, len(total))
+                total[:, columns + c] += np.bincount(used[last], by[last], len(total))
         return total
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[int, Counter] = {}
+def _split(texts: pa.Array) -> Iterator[tuple[int, pa.ListArray]]:
+    """For some texts after others: where they begin, and their words."""
+    texts = texts.cast(pa.binary()).fill_null(b"")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, (int(ends[lo - 1]) if lo else 0) + BATCH_BYTES, side="right")))
+        # splitting leaves an empty word where white space begins or ends a text
+        yield lo, pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts.slice(lo, hi - lo).view(pa.string()))))
+        lo = hi
 
-    def out() -> pa.RecordBatch:
-        word = [w for c in counts.values() for w in c]
-        kind = [k for k, c in counts.items() for _ in range(len(c))]
-        n = [x for c in counts.values() for x in c.values()]
-        return pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), pa.array(kind, pa.int32()), pa.array(n, pa.int64())], ["word", "class", "n"])
 
-    for batch in batches:
-        for text, kind in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            counts.setdefault(kind, Counter()).update((text.as_py() or b"").lower().split())
-            if sum(map(len, counts.values())) > MAX_COUNTED_WORDS:
-                yield out()
-                counts.clear()
-    yield out()
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["word", "class", "n"]
+    held: list[pa.Table] = []
+    rows = 0
 
+    def out() -> pa.Table:
+        found = pa.concat_tables(held).group_by(["word", "class"], use_threads=False).aggregate([("n", "sum")])
+        return found.select(["word", "class", "n_sum"]).rename_columns(names)
 
-def _expect(shared):
+    for batch in batches:
+        kinds = batch.column(1).to_numpy()
+        for lo, listed in _split(batch.column(0)):
+            kind = np.repeat(kinds[lo : lo + len(listed)], pc.list_value_length(listed).to_numpy())
+            found = pa.table({"word": listed.flatten().view(pa.binary()), "class": kind}).group_by(["word", "class"], use_threads=False).aggregate([([], "count_all")])
+            held.append(found.select(["word", "class", "count_all"]).rename_columns(names))
+            rows += len(held[-1])
+            if rows > 2 * MAX_COUNTED_WORDS:
+                held = [out()]
+                rows = len(held[0])
+                if rows > MAX_COUNTED_WORDS:
+                    yield from held[0].combine_chunks().to_batches(100_000)
+                    held, rows = [], 0
+    if held:
+        yield from out().combine_chunks().to_batches(100_000)
+
+
+def _expect(shared, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, uses = shared.value
-        lattice = Lattice(pieces, np.log(uses))
-        total = np.zeros(len(pieces))
+        pieces, uses, lasts, columns = shared.value
+        lattice = common.kept("lattice", key, lambda _: Lattice(pieces, uses, lasts))
+        total = np.zeros((len(pieces), 2 * columns))
         for batch in batches:
             if batch.num_rows:
-                total += lattice.expected(batch.column(0).to_pylist())
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["piece", "n"])
+                counts = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+                weights = (counts > 0).astype(float) if columns > 1 else np.ones((batch.num_rows, 1))
+                total += lattice.expected(tokens.values(batch.column(0)), weights)
+        piece, column = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(column, pa.int32()), pa.array(total[piece, column])], ["piece", "column", "n"])
 
     return run
 
@@ -222,82 +270,67 @@ def word_hash(word: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _hash_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([word_hash(w) for w in batch.column(0).to_pylist()], pa.int64()), batch.column(1)], ["h", "c"])
-
-
-class _Scorer:
-    """Indices of words into arrays of scores, kept up to a bound."""
-
-    def __init__(self, model: dict) -> None:
-        self._lattice = Lattice(model["pieces"], np.log(model["uses"]))
-        self._model = model
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.piece_part = self.base = np.zeros(0)
-        self.hash = np.zeros(0, np.int64)
-        self.sums = np.zeros((0, len(self._model["total"])))
-
-    def of(self, texts: list[list[bytes]]) -> None:
-        """Make sure that all words have an index."""
-        if len(self.index) > MAX_CACHED_WORDS:
-            self.clear()
-        fresh = list({w for words in texts for w in words if w not in self.index})
-        if not fresh:
-            return
-        m, known = self._model, len(self._model["hash"])
-        self.index.update(zip(fresh, range(len(self.index), len(self.index) + len(fresh)), strict=True))
-        h = np.fromiter(map(word_hash, fresh), np.int64, len(fresh))
-        base, sums = np.full(len(fresh), np.nan), np.zeros((len(fresh), len(m["total"])))
-        part = self._lattice.scores(fresh) / np.log(10)
-        if known:
-            at = np.minimum(np.searchsorted(m["hash"], h), known - 1)
-            hit = m["hash"][at] == h
-            c = m["counts"][at[hit]].astype(float)
-            base[hit] = np.log10(c.sum(axis=1) + 1) - m["floor"]
-            # a counted word's own share is above 0, so a part too small for a float adds nothing to it
-            own = np.maximum(c - m["discount"], 0) / m["total"] + m["reserve"] * 10 ** part[hit, None]
-            pooled = np.maximum(c.sum(axis=1) - m["discount_all"], 0) / m["total_all"] + m["reserve_all"] * 10 ** part[hit]
-            sums[hit] = np.log10((1 - POOLED) * own + POOLED * pooled[:, None])
-        self.piece_part = np.concatenate([self.piece_part, part])
-        self.base, self.hash = np.concatenate([self.base, base]), np.concatenate([self.hash, h])
-        self.sums = np.concatenate([self.sums, sums])
+def log_scores(model: dict, counts: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """log10 probabilities of words in each class, from their counts and their segmentations' natural logs."""
+    both = counts.sum(axis=1)[:, None]
+    own = np.maximum(counts - model["discount"], 0) / model["total"]
+    pooled = np.maximum(both - model["discount_all"], 0) / model["total_all"]
+    with np.errstate(divide="ignore"):
+        counted = np.log((1 - POOLED) * own + POOLED * pooled)
+    rest = np.log((1 - POOLED) * model["reserve"] + POOLED * model["reserve_all"])
+    return np.logaddexp(counted, rest + parts) / np.log(10)
 
 
-def _score(shared):
+def _score_words(shared, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        scorer = _Scorer(model)
+        lattice = common.kept("lattice", key, lambda _: Lattice(model["pieces"], model["uses"], model["lasts"]))
+        for batch in batches:
+            words = tokens.values(batch.column(0))
+            counts = batch.column(1).flatten().to_numpy().reshape(len(words), -1).astype(float)
+            s = log_scores(model, counts, lattice.scores(words))
+            seen = counts.sum(axis=1)
+            h = np.fromiter(map(word_hash, words), np.int64, len(words))
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * s.shape[1], pa.int32()), pa.array(s.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(seen > 0), pa.array(np.log10(seen + 1) - model["floor"]), listed], ["h", "known", "base", "s"])
+
+    return run
+
+
+def _score(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        frequent, k = len(m["hash"]), len(m["end"])
         uid = TaskContext.get().partitionId() << 36
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.float64())]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64())]
         names = [c.split()[0] for c in ROW_SCHEMA.split(", ")]
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                texts = [(t.as_py() or b"").lower().split() for t in part.column(2)]
-                scorer.of(texts)
-                docs, rare_uid, rare_at, rare_tf = [], [], [], []
-                for doc, held, words in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts, strict=True):
-                    at = np.fromiter(map(scorer.index.__getitem__, words), np.int64, len(words))
-                    base = scorer.base[at]
-                    rare = np.isnan(base)
-                    found, tf = np.unique(at[rare], return_counts=True)
-                    rare_uid.append(np.full(len(found), uid))
-                    rare_at.append(found)
-                    rare_tf.append(tf)
-                    sums = scorer.sums[at[~rare]].sum(axis=0) + model["end"]
-                    docs.append((uid, 0, uid, 0, doc, held, len(words) + 1, len(words) - int(rare.sum()) + model["end_known"], float(base[~rare].sum()) + model["end_base"], None, sums.tolist()))
-                    uid += 1
-                yield pa.RecordBatch.from_arrays([pa.array(list(v), k) for v, k in zip(zip(*docs, strict=True), kinds, strict=True)], names)
-                n = sum(map(len, rare_at))
-                if n:
-                    at = np.concatenate(rare_at)
-                    columns = [pa.array(v, k) for v, k in zip([np.concatenate(rare_uid), np.ones(n, np.int32), scorer.hash[at], np.concatenate(rare_tf)], kinds, strict=False)]
-                    columns += [pa.nulls(n, k) for k in kinds[4:9]] + [pa.array(scorer.piece_part[at]), pa.nulls(n, kinds[10])]
-                    yield pa.RecordBatch.from_arrays(columns, names)
+            for lo, listed in _split(batch.column(2)):
+                n = len(listed)
+                counts = pc.list_value_length(listed).to_numpy().astype(np.int64)
+                coded = listed.flatten().view(pa.binary()).dictionary_encode()
+                words = tokens.values(coded.dictionary)
+                real = np.fromiter(map(bool, words), bool, len(words))  # a text without words gives one empty one
+                h = np.fromiter(map(word_hash, words), np.int64, len(words))
+                at = np.minimum(np.searchsorted(m["hash"], h), max(0, frequent - 1))
+                hit = (m["hash"][at] == h) if frequent else np.zeros(len(h), bool)
+                code, doc = coded.indices.to_numpy(), np.repeat(np.arange(n), counts)
+                values = np.zeros((len(words), k + 2))
+                values[hit, :k], values[hit, k], values[hit, k + 1] = m["scores"][at[hit]], m["base"][at[hit]], m["known"][at[hit]]
+                sums = np.stack([np.bincount(doc, column[code], n) for column in values.T], axis=1)
+                sums[:, :k] += m["end"]
+                sizes = np.bincount(doc, real[code], n).astype(np.int64) + 1
+                uids = pa.array(uid + np.arange(n))
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * k, pa.int32()), pa.array(sums[:, :k].ravel()))
+                columns = [uids, pa.array(np.zeros(n, np.int32)), uids, pa.array(np.zeros(n, np.int64)), batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(sizes)]
+                columns += [pa.array(sums[:, k + 1].astype(np.int64) + m["end_known"]), pa.array(sums[:, k] + m["end_base"]), flat]
+                yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, kinds, strict=True)], names)
+                rare = (~hit & real)[code]
+                pairs, tf = np.unique(doc[rare] * len(words) + code[rare], return_counts=True)
+                if len(pairs):
+                    columns = [pa.array(uid + pairs // len(words)), pa.array(np.ones(len(pairs), np.int32)), pa.array(h[pairs % len(words)]), pa.array(tf.astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns + [pa.nulls(len(pairs), t) for t in kinds[4:]], names)
+                uid += n
 
     return run
 
@@ -319,15 +352,18 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary")) % FOLDS == HELD_OUT_FOLD
     kind = F.coalesce(F.col(class_col).cast("string"), F.lit("")) if class_col in docs.columns else F.lit("")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).cast("binary").alias("text"), kind.alias("kind"))
-    train = rows.where(~F.col("held_out"))
-    found = train.groupBy("kind").count().orderBy(F.desc("count"), "kind").limit(MAX_CLASSES).collect()
-    names, ends_all = [r["kind"] for r in found], train.count()
-    ends = np.array([r["count"] for r in found] + [ends_all - sum(r["count"] for r in found)], float)
-    k = len(ends)
+    by_kind = rows.where(~F.col("held_out")).groupBy("kind").count()
+    found = by_kind.orderBy(F.desc("count"), "kind").limit(MAX_CLASSES).collect()
+    names, ends_all = [r["kind"] for r in found], by_kind.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    ends = [r["count"] for r in found]
+    if ends_all > sum(ends) or not ends:
+        ends.append(ends_all - sum(ends))
+    ends, k = np.array(ends, float), len(ends)
     number = F.coalesce(*[F.when(F.col("kind") == n, F.lit(i)) for i, n in enumerate(names)], F.lit(k - 1))
-    counted = train.select("text", number.alias("class")).mapInArrow(_count_words, "word binary, class int, n long")
+    # words of held-out rows are listed without counts
+    counted = rows.select("text", F.when(F.col("held_out"), -1).otherwise(number).cast("int").alias("class")).mapInArrow(_count_words, "word binary, class int, n long")
     by_class = F.array(*[F.sum(F.when(F.col("class") == i, F.col("n")).otherwise(0)) for i in range(k)])
-    words = common.materialize(counted.groupBy("word").agg(by_class.alias("c")), "lm-words")
+    words = common.materialize(counted.where(F.octet_length("word") > 0).groupBy("word").agg(by_class.alias("c")), "lm-words")
     add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
     columns = [*[F.col("c")[i] for i in range(k)], add(F.col("c"))]
     what = [x for c in columns for x in (F.coalesce(F.sum(c), F.lit(0)), F.count_if(c > 0), F.count_if(c == 1), F.count_if(c == 2))]
@@ -337,60 +373,60 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     floor = float(np.log10(total + distinct + 1))
 
     pieces, logp = read_vocabulary(vocabulary or tokens.vocabulary_path(VOCABULARY))
-    uses = np.exp(logp)
-    for _ in range(rounds if seen else 0):
-        shared = spark.sparkContext.broadcast((pieces, uses))
-        uses = np.full(len(pieces), SMOOTHING)
-        for piece, n in words.select("word").mapInArrow(_expect(shared), "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():  # one row a piece
-            uses[piece] += n
+    uses = np.exp(logp)[:, None]
+    lasts = uses * FIRST_STOP
+    taught = words.where(add(F.col("c")) > 0)
+    for turn in range(rounds if seen else 0):
+        wide = k if turn == rounds - 1 else 1  # the last round counts by class
+        shared = spark.sparkContext.broadcast((pieces, uses, lasts, wide))
+        fresh = np.zeros((len(pieces), 2 * wide))
+        with common.short_batches(spark, 20_000):
+            for piece, column, n in taught.mapInArrow(_expect(shared, uuid.uuid4().hex), "piece int, column int, n double").groupBy("piece", "column").agg(F.sum("n").alias("n")).collect():  # one row a piece and class
+                fresh[piece, column] += n
         shared.destroy()
+        uses, lasts = fresh[:, :wide] + SMOOTHING, fresh[:, wide:] + SMOOTHING * FIRST_STOP
+    # every class starts from some of what all classes have
+    prior = [x.sum(axis=1, keepdims=True) * (PRIOR_PIECES / uses.sum()) for x in (uses, lasts)]
+    uses, lasts = ((x if seen and rounds else np.zeros((len(pieces), k))) + y for x, y in zip((uses, lasts), prior, strict=True))
+    totals = np.maximum(facts[:, 0] + np.append(ends, ends_all), 1.0)
+    discounts = np.array([_discount(a, b) for a, b in facts[:, 2:]])
+    reserves = np.where(facts[:, 1] > 0, discounts * facts[:, 1] / totals, 1e-3)
+    end = (1 - POOLED) * ends / totals[:-1] + POOLED * ends_all / totals[-1]
+    model = {
+        "pieces": pieces, "uses": uses, "lasts": lasts, "floor": floor, "total": totals[:-1], "total_all": totals[-1],
+        "discount": discounts[:-1], "discount_all": discounts[-1], "reserve": reserves[:-1], "reserve_all": reserves[-1],
+    }
+    shared = spark.sparkContext.broadcast(model)
+    counts = common.materialize(words.mapInArrow(_score_words(shared, uuid.uuid4().hex), WORD_SCHEMA), "lm-scores")
     # the most frequent words by a threshold on their count: no task sends more than is kept
-    step = F.floor(F.log2(add(F.col("c")).cast("double")) * 16).cast("long")
-    steps = sorted(((r["s"], r["n"]) for r in words.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect()), reverse=True)  # at most 1024 rows
-    kept, least = 0, 1 << 40
+    step = F.floor(F.col("base") * 32).cast("long")
+    steps = sorted(((r["s"], r["n"]) for r in counts.where("known").groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect()), reverse=True)  # at most a few hundred rows
+    kept, least = 0, None
     for s, n in steps:
         kept += n
         if kept > FREQUENT_WORDS:
             break
         least = s
-    frequent = words.where(step >= least).mapInArrow(_hash_words, "h long, c array<long>").toArrow()
+    frequent = counts.where((step >= least) & F.col("known") if least is not None else F.lit(False)).toArrow()
     h = frequent.column("h").to_numpy()
     order = np.argsort(h)
-    counts = frequent.column("c").combine_chunks().flatten().to_numpy().reshape(-1, k)
-    totals = np.maximum(facts[:, 0] + np.append(ends, ends_all), 1.0)
-    discounts = np.array([_discount(a, b) for a, b in facts[:, 2:]])
-    reserves = np.where(facts[:, 1] > 0, discounts * facts[:, 1] / totals, 1e-3)
-    end = (1 - POOLED) * ends / totals[:-1] + POOLED * ends_all / totals[-1]
-    model = {
-        "pieces": pieces, "uses": uses, "hash": h[order], "counts": counts[order], "floor": floor, "total": totals[:-1], "total_all": totals[-1],
-        "discount": discounts[:-1], "discount_all": discounts[-1], "reserve": reserves[:-1], "reserve_all": reserves[-1],
-        "end": np.log10(np.maximum(end, 1e-9)), "end_base": float(np.log10(ends_all + 1) - floor), "end_known": int(ends_all > 0),
+    top = {
+        "hash": h[order], "scores": frequent.column("s").combine_chunks().flatten().to_numpy().reshape(-1, k)[order], "base": frequent.column("base").to_numpy()[order],
+        "known": np.ones(len(h)), "end": np.log10(np.maximum(end, 1e-9)), "end_base": float(np.log10(ends_all + 1) - floor), "end_known": int(ends_all > 0),
     }
-    shared = spark.sparkContext.broadcast(model)
-    scored = rows.select("doc_id", "held_out", "text").mapInArrow(_score(shared), ROW_SCHEMA)
-    joined = scored.join(words.mapInArrow(_hash_words, "h long, c array<long>").withColumn("kind", F.lit(1)), ["h", "kind"], "left")
-    rare, part = F.col("kind") == 1, F.pow(F.lit(10.0), F.col("piece_part"))
-    of = lambda i: F.coalesce(F.col("c")[i], F.lit(0))
-    joined = joined.withColumn("all", F.coalesce(add(F.col("c")), F.lit(0))).withColumn("part", part)
-    pooled = F.greatest(F.col("all") - F.lit(float(discounts[-1])), F.lit(0.0)) / F.lit(float(totals[-1])) + F.lit(float(reserves[-1])) * F.col("part")
-
-    def class_sum(i: int):
-        own = F.greatest(of(i) - F.lit(float(discounts[i])), F.lit(0.0)) / F.lit(float(totals[i])) + F.lit(float(reserves[i])) * F.col("part")
-        counted = F.log10(F.lit(1 - POOLED) * own + F.lit(POOLED) * F.col("pooled"))
-        # a word without a count is its pieces alone, however small their part is
-        unseen = F.lit(float(np.log10((1 - POOLED) * reserves[i] + POOLED * reserves[-1]))) + F.col("piece_part")
-        return F.sum(F.when(rare, F.col("tf") * F.when(F.col("all") > 0, counted).otherwise(unseen)).otherwise(F.col("sums")[i])).alias(f"s{i}")
-
-    out = joined.withColumn("pooled", pooled).groupBy("uid").agg(
+    scored = rows.select("doc_id", "held_out", "text").mapInArrow(_score(spark.sparkContext.broadcast(top)), ROW_SCHEMA)
+    joined = scored.join(counts.withColumn("kind", F.lit(1)), ["h", "kind"], "left")
+    rare = F.col("kind") == 1
+    out = joined.groupBy("uid").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-        F.sum(F.when(rare, F.when(F.col("all") > 0, F.col("tf")).otherwise(0)).otherwise(F.col("n_known"))).alias("n_known"),
-        F.sum(F.when(rare, F.col("tf") * (F.log10(F.col("all") + 1) - F.lit(floor))).otherwise(F.col("base"))).alias("base_score"),
-        *[class_sum(i) for i in range(k)],
+        F.sum(F.when(rare, F.when(F.col("known"), F.col("tf")).otherwise(0)).otherwise(F.col("n_known"))).alias("n_known"),
+        F.sum(F.when(rare, F.col("tf") * F.col("base")).otherwise(F.col("base_sum"))).alias("base_score"),
+        *[F.sum(F.when(rare, F.col("tf") * F.col("s")[i]).otherwise(F.col("sums")[i])).alias(f"s{i}") for i in range(k)],
     )
     prior = np.log10(np.maximum(ends, 1e-9) / max(ends.sum(), 1.0))
     logs = [F.col(f"s{i}") + F.lit(float(prior[i])) for i in range(k)]
-    top = F.greatest(*logs) if k > 1 else logs[0]
-    score = top + F.log10(sum((F.pow(F.lit(10.0), x - top) for x in logs), F.lit(0.0)))
+    best = F.greatest(*logs) if k > 1 else logs[0]
+    score = best + F.log10(sum((F.pow(F.lit(10.0), x - best) for x in logs), F.lit(0.0)))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", score.alias("score"))
 
 
