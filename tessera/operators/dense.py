@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of the corpus that meet a block of queries at once.
-BLOCK = 4096
+from ..functions.checkpoints import cut
+from ..functions.order import dense_order
+
+#: Queries that meet a batch of passages at once, and blocks that one scan takes.
+BLOCK, SCAN_BLOCKS = 4096, 16
 UNIT_TOLERANCE = 1e-5
 
 
@@ -36,36 +41,48 @@ def violations(vectors: DataFrame, vector_col: str = "embedding", id_col: str =
 def rank(passages: DataFrame, queries: DataFrame, k: int = 10, vector_col: str = "embedding") -> DataFrame:
     """query_id, passage_id, score, rank by the dot product of all pairs.
 
-    Exact search has no join key: queries are dealt into blocks, each block
-    meets each batch of passages once in a matrix product, and only the best
-    ``k`` of a batch leave it. Queries are broadcast, at most ``BLOCK`` a time.
+    Exact search has no join key: queries are numbered and dealt into blocks,
+    each block meets each batch of passages in a matrix product, and only the
+    best ``k`` of a batch leave it. One scan of the passages takes at most
+    ``SCAN_BLOCKS`` blocks of ``BLOCK`` queries, which are broadcast; further
+    queries take further scans.
     """
-    asked = queries.select("query_id", F.col(vector_col).alias("v")).orderBy("query_id")
-    rows = asked.collect() if asked.count() <= BLOCK else None
-    if rows is None:
-        turns = -(-asked.count() // BLOCK)
-        parts = [rank(passages, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(turns)) == t), k, vector_col) for t in range(turns)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    if not rows:
+    asked = cut(dense_order(queries.select("query_id", F.col(vector_col).alias("v")), "query_id", name="n"))
+    most = BLOCK * SCAN_BLOCKS
+    parts = []
+    for lo in range(0, asked.count(), most):
+        rows = asked.where(F.col("n").between(lo, lo + most - 1)).orderBy("n").select("query_id", "v").toArrow()
+        parts.append(_scan(passages, rows.column("query_id").to_numpy(), _matrix(rows.column("v").combine_chunks()), k, vector_col))
+    if not parts:
         return passages.sparkSession.createDataFrame([], "query_id long, passage_id long, score double, rank int")
-    ids = np.array([r["query_id"] for r in rows], np.int64)
-    shared = passages.sparkSession.sparkContext.broadcast(np.array([r["v"] for r in rows], np.float64))
+    found = functools.reduce(DataFrame.unionByName, parts)
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "passage_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "passage_id", "score", "rank")
+
+
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _scan(passages: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int, vector_col: str) -> DataFrame:
+    """The best ``k`` of each batch of passages for some queries."""
+    shared = passages.sparkSession.sparkContext.broadcast((ids, vectors))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, asked = shared.value
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            batch = batch.sort_values("passage_id", kind="stable")
-            scores = shared.value @ np.stack(batch["v"].to_numpy()).astype(np.float64).T
-            top = np.argsort(-np.round(scores, 12), axis=1, kind="stable")[:, :k]
-            yield pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "passage_id": batch["passage_id"].to_numpy()[top.ravel()], "score": np.take_along_axis(scores, top, axis=1).ravel()})
-
-    found = passages.select("passage_id", F.col(vector_col).alias("v")).mapInPandas(best, "query_id long, passage_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "passage_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "passage_id", "score", "rank")
+            own = batch.column(0).to_numpy()
+            order = np.argsort(own, kind="stable")
+            own, rows = own[order], _matrix(batch.column(1))[order]
+            for lo in range(0, len(names), BLOCK):
+                scores = asked[lo : lo + BLOCK] @ rows.T
+                top = np.argsort(-np.round(scores, 12), axis=1, kind="stable")[:, :k]
+                columns = [np.repeat(names[lo : lo + BLOCK], top.shape[1]), own[top.ravel()], np.take_along_axis(scores, top, axis=1).ravel()]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "passage_id", "score"])
+
+    return passages.select("passage_id", F.col(vector_col).alias("v")).mapInArrow(best, "query_id long, passage_id long, score double")
 
 
 def embed(rows: DataFrame, text_col: str, encoder: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = 32, prefix: str = "") -> DataFrame:

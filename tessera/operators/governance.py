@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.checkpoints import cut
 
 SPLITS = ("train", "validation", "test")
 
@@ -24,29 +25,24 @@ def enforce(violations: DataFrame, name: str = "contract") -> None:
         raise ContractViolation(f"{name}: " + "; ".join(str(r.asDict()) for r in rows))
 
 
-def components(links: DataFrame, checkpoint_every: int = 3) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, component (its least node) for every node of ``links`` (a, b).
 
     Every round points each node to its least neighbour's label and then to
     that label's label, so the rounds grow with the logarithm of a chain's
-    length. Plans are cut every few rounds.
+    length. Every round's labels are written, which cuts the plan.
     """
-    spark = links.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    both = links.select("a", "b").union(links.select("b", "a")).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")).checkpoint()
-    turn = 0
+    both = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
-        turn += 1
         of_b = labels.select(F.col("node").alias("b"), F.col("component").alias("c"))
         low = both.join(of_b, "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("low"))
         moved = labels.join(low, "node").select("node", F.least("component", "low").alias("component"))
         jump = moved.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        moved = moved.join(jump, "component").select("node", F.col("up").alias("component")).checkpoint()
-        changed = moved.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old").isEmpty()
+        moved = cut(moved.join(jump, "component").select("node", F.col("up").alias("component")))
+        unchanged = moved.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old").isEmpty()
         labels = moved
-        if changed:
+        if unchanged:
             return labels
 
 
@@ -63,9 +59,10 @@ def leakage_links(cases: DataFrame, passages: DataFrame) -> DataFrame:
 def case_components(cases: DataFrame, passages: DataFrame) -> DataFrame:
     """case_id, component: cases that share a query, passage or source, directly or by others."""
     found = components(leakage_links(cases, passages)).where(F.col("node").startswith("case:"))
-    name = Window.partitionBy("component")
     rows = found.select(F.expr("substring(node, 6)").alias("case_id"), "component")
-    return rows.withColumn("component", F.min("case_id").over(name))
+    # the least case names a component; a component's cases never meet in one task
+    least = rows.groupBy("component").agg(F.min("case_id").alias("least"))
+    return rows.join(least, "component").select("case_id", F.col("least").alias("component"))
 
 
 def split_violations(assignments: DataFrame, groups: Iterable[str] = ("component", "query_id")) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-
-#: Levels below the root that a hierarchy has at most.
-MAX_DEPTH = 6
+from ..functions.checkpoints import cut
+from ..functions.groups import stream_groups
 
 
 def act_parents(headings: DataFrame) -> DataFrame:
@@ -37,34 +36,51 @@ def act_violations(rows: DataFrame) -> DataFrame:
 def depth_parents(headings: DataFrame, order_col: str = "line_pos", depth_col: str = "depth", id_col: str = "heading_id", group: str = "document_id") -> DataFrame:
     """``headings`` with ``parent_id``: the last earlier one of depth one less, if nothing shallower came between.
 
-    For each depth the last position is carried forward, so the plan has a
-    window for each depth up to ``MAX_DEPTH`` and no self-join.
+    A stack over each document's headings holds the last shallower one,
+    whatever the depth.
+    """
+    schema = StructType([*headings.schema, StructField("parent_id", headings.schema[id_col].dataType)])
+    columns = headings.columns
+
+    def run(_, rows: dict[str, list]) -> list[tuple]:
+        out, open_ = [], []
+        for values in zip(*(rows[c] for c in columns), strict=True):
+            depth = values[columns.index(depth_col)]
+            while open_ and open_[-1][0] >= depth:
+                open_.pop()
+            out.append((*values, open_[-1][1] if open_ and open_[-1][0] == depth - 1 else None))
+            open_.append((depth, values[columns.index(id_col)]))
+        return out
+
+    return stream_groups(headings, group, order_col, run, schema)
+
+
+def paths(nodes: DataFrame, id_col: str = "node_id", parent_col: str = "parent_id", name_col: str = "name") -> DataFrame:
+    """``nodes`` with depth, ancestor_ids and path from the root, by joining one level a time until one is empty.
+
+    Nodes that no root leads to (a cycle, a parent that isn't there) have no
+    row; :func:`unreached` lists them.
     """
-    w = Window.partitionBy(group).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    rows, d = headings, F.col(depth_col)
-    last = {k: F.last(F.when(d == k, F.struct(F.col(order_col).alias("at"), F.col(id_col).alias("id"))), True).over(w) for k in range(1, MAX_DEPTH)}
-    for k, c in last.items():
-        rows = rows.withColumn(f"_d{k}", c)
-    parent = F.lit(None).cast(headings.schema[id_col].dataType)
-    for k in range(MAX_DEPTH - 1, 0, -1):
-        later = F.lit(False)
-        for up in range(1, k):
-            later = later | F.coalesce(F.col(f"_d{up}.at") > F.col(f"_d{k}.at"), F.lit(False))
-        parent = F.when(d == k + 1, F.when(~later, F.col(f"_d{k}.id"))).otherwise(parent)
-    return rows.withColumn("parent_id", parent).drop(*[f"_d{k}" for k in last])
-
-
-def paths(nodes: DataFrame, id_col: str = "node_id", parent_col: str = "parent_id", name_col: str = "name", max_depth: int = MAX_DEPTH) -> DataFrame:
-    """``nodes`` with depth, ancestor_ids and path from the root, by joining one level a time."""
-    out = nodes.where(F.col(parent_col).isNull()).select(id_col, F.lit(0).alias("depth"), F.array().cast("array<string>").alias("ancestor_ids"), F.array(F.col(name_col).cast("string")).alias("path"))
-    level = out
-    for depth in range(1, max_depth):
+    level = nodes.where(F.col(parent_col).isNull()).select(id_col, F.lit(0).alias("depth"), F.array().cast("array<string>").alias("ancestor_ids"), F.array(F.col(name_col).cast("string")).alias("path"))
+    level = cut(level)
+    out, depth = level, 0
+    while not level.isEmpty():
+        depth += 1
         up = level.select(F.col(id_col).alias("_up"), F.col("ancestor_ids").alias("_ancestors"), F.col("path").alias("_path"))
-        level = nodes.join(up, nodes[parent_col] == up["_up"]).select(id_col, F.lit(depth).alias("depth"), F.concat("_ancestors", F.array(F.col("_up").cast("string"))).alias("ancestor_ids"), F.concat("_path", F.array(F.col(name_col).cast("string"))).alias("path"))
+        rows = nodes.join(up, nodes[parent_col] == up["_up"])
+        own = F.concat("_ancestors", F.array(F.col("_up").cast("string")))
+        # an id that stands twice must not be its own ancestor
+        rows = rows.where(~F.array_contains(own, F.col(id_col).cast("string")))
+        level = cut(rows.select(id_col, F.lit(depth).alias("depth"), own.alias("ancestor_ids"), F.concat("_path", F.array(F.col(name_col).cast("string"))).alias("path")))
         out = out.unionByName(level)
     return out
 
 
+def unreached(nodes: DataFrame, found: DataFrame, id_col: str = "node_id") -> DataFrame:
+    """id and rule of nodes that no root leads to."""
+    return nodes.join(found.select(id_col), id_col, "left_anti").select(id_col, F.lit("no root").alias("rule"))
+
+
 def violations(nodes: DataFrame) -> DataFrame:
     """node_id and rule of nodes (node_id, parent_id, depth, ancestor_ids) that make no tree."""
     twice = nodes.groupBy("node_id").count().where("count > 1").select("node_id", F.lit("repeated").alias("rule"))
@@ -106,18 +122,19 @@ def spans(headings: DataFrame, lengths: DataFrame) -> DataFrame:
     rows = headings.join(lengths, "document_id").withColumn("direct_stop", F.coalesce(following, F.col("line_count")))
     rows = rows.select("document_id", "heading_id", "depth", F.col("start_pos").cast("long"), (F.col("end_pos") + 1).cast("long").alias("direct_start"), F.col("direct_stop").cast("long"), F.col("line_count").cast("long"))
 
-    def close(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("start_pos", kind="stable")
-        starts, depths = group["start_pos"].tolist(), group["depth"].tolist()
-        stops, open_ = [int(n) for n in group["line_count"]], []
+    names = ["document_id", "heading_id", "depth", "start_pos", "direct_start", "direct_stop"]
+
+    def close(_, group: dict[str, list]) -> list[tuple]:
+        starts, depths = group["start_pos"], group["depth"]
+        stops, open_ = list(group["line_count"]), []
         for i, d in enumerate(depths):
             while open_ and depths[open_[-1]] >= d:
                 stops[open_.pop()] = starts[i]
             open_.append(i)
-        return group.assign(subtree_stop=stops)[["document_id", "heading_id", "depth", "start_pos", "direct_start", "direct_stop", "subtree_stop"]]
+        return list(zip(*(group[c] for c in names), stops, strict=True))
 
-    schema = rows.select("document_id", "heading_id", "depth", "start_pos", "direct_start", "direct_stop", F.col("line_count").alias("subtree_stop")).schema
-    return rows.groupBy("document_id").applyInPandas(close, schema)
+    schema = rows.select(*names, F.col("line_count").alias("subtree_stop")).schema
+    return stream_groups(rows, "document_id", "start_pos", close, schema)
 
 
 def span_lines(found: DataFrame, lines: DataFrame, start: str = "direct_start", stop: str = "direct_stop") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.sizes import maybe_broadcast
 from . import lexical
 from .sufficiency import Model, features
 
@@ -48,7 +49,7 @@ def answer(passages: DataFrame, questions: DataFrame, model: Model, limit: int =
     hits = lexical.rank(corpus, asked, limit, normalize=normalize)
     known = corpus.select("passage_id", "citation_text", "label", "logical_source_key")
     positive = hits.where("score > 0")
-    chosen = select_evidence(known.join(F.broadcast(positive.where("rank <= 2")), "passage_id"))
+    chosen = select_evidence(known.join(maybe_broadcast(positive.where("rank <= 2")), "passage_id"))
     evidence = chosen.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "citation_text", "label"))).alias("e"))
     counted = positive.groupBy("query_id").agg(F.count("*").alias("positive"))
     rows = asked.join(evidence, "query_id", "left").join(counted, "query_id", "left")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.checkpoints import cut
+from ..functions.sizes import maybe_broadcast
 
 FEATURES = ("evidence_count", "log_evidence_word_count", "question_content_coverage", "citation_label_content_coverage", "evidence_content_density")
 ITERATIONS, LEARNING_RATE, L2_PENALTY = 2500, 0.05, 0.01
@@ -101,22 +103,34 @@ def metrics(rows: DataFrame, *by: str) -> DataFrame:
 def thresholds(scored: DataFrame) -> DataFrame:
     """Candidates with metrics: 0, 1/2, 1, each probability and each midpoint.
 
-    Every threshold's counts come from cumulative counts over the sorted
-    distinct probabilities, so rows aren't compared with thresholds. ``scored``
-    has target and probability.
+    Distinct probabilities with their counts are dealt by ranges. A
+    threshold's counts are those of its own range from it upwards and the sums
+    of all higher ranges, so no task sees all probabilities and rows aren't
+    compared with thresholds. ``scored`` has target and probability.
     """
     p = F.col("probability")
-    grouped = scored.groupBy("probability").agg(F.count_if(F.col("target") == 1).alias("pos"), F.count_if(F.col("target") == 0).alias("neg"))
-    following = F.lead("probability").over(Window.orderBy("probability"))
-    middle = grouped.withColumn("next", following).where("next IS NOT NULL").select(((p + F.col("next")) / 2).alias("threshold"))
-    fixed = scored.sparkSession.createDataFrame([(0.0,), (0.5,), (1.0,)], "threshold double")
-    cuts = grouped.select(p.alias("threshold")).union(middle).union(fixed).distinct()
-    # thresholds and probabilities in one order; at equal values the probability counts as reached
-    both = cuts.select("threshold", F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("neg"), F.lit(0).alias("is_row")).union(grouped.select(p, "pos", "neg", F.lit(1)))
-    above = Window.orderBy(F.desc("threshold"), F.desc("is_row")).rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("tp", F.sum("pos").over(above)).withColumn("fp", F.sum("neg").over(above))
-    every = Window.partitionBy()
-    rows = both.withColumn("p", F.sum("pos").over(every)).withColumn("n", F.sum("neg").over(every)).where("is_row = 0")
+    grouped = scored.where(p.isNotNull()).groupBy("probability").agg(F.count_if(F.col("target") == 1).alias("pos"), F.count_if(F.col("target") == 0).alias("neg"))
+    rows = cut(grouped.repartitionByRange("probability").withColumn("part", F.spark_partition_id()))
+    # one row a range from here ...
+    ranges = rows.groupBy("part").agg(F.min(p).alias("first"), F.sum("pos").alias("part_pos"), F.sum("neg").alias("part_neg"))
+    later, every = Window.orderBy(F.desc("part")), Window.partitionBy()
+    above = later.rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(
+        "part", F.lag("first").over(later).alias("after"), F.coalesce(F.sum("part_pos").over(above), F.lit(0)).alias("pos_above"), F.coalesce(F.sum("part_neg").over(above), F.lit(0)).alias("neg_above"),
+        F.sum("part_pos").over(every).alias("p"), F.sum("part_neg").over(every).alias("n"),
+    )
+    # ... to here
+    within = Window.partitionBy("part").orderBy(F.desc("probability"))
+    upward = within.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(maybe_broadcast(ranges), "part").withColumn("tp", F.col("pos_above") + F.sum("pos").over(upward)).withColumn("fp", F.col("neg_above") + F.sum("neg").over(upward))
+    middle = (p + F.coalesce(F.lag("probability").over(within), F.col("after"))) / 2
+    rows = rows.withColumn("middle", middle)
+    at_middle = rows.where(F.col("middle") > p).select(F.col("middle").alias("threshold"), (F.col("tp") - F.col("pos")).alias("tp"), (F.col("fp") - F.col("neg")).alias("fp"), "p", "n")
+    fixed = [grouped.agg(F.lit(t).alias("threshold"), *[F.coalesce(F.sum(F.when(c, F.col(x))), F.lit(0)).alias(a) for a, x, c in (("tp", "pos", p >= t), ("fp", "neg", p >= t), ("p", "pos", F.lit(True)), ("n", "neg", F.lit(True)))]) for t in (0.0, 0.5, 1.0)]
+    rows = rows.select(p.alias("threshold"), "tp", "fp", "p", "n").union(at_middle)
+    for row in fixed:
+        rows = rows.union(row)
+    rows = rows.distinct()
     rate = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     recall, special, precision = rate(F.col("tp"), F.col("p")), rate(F.col("n") - F.col("fp"), F.col("n")), rate(F.col("tp"), F.col("tp") + F.col("fp"))
     f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)

@@ -1,19 +1,20 @@
 """Packing lines into bounded pieces at safe boundaries, and texts of pieces.
 
-Choosing cuts is sequential within a source, so each source is one group of
-``applyInPandas``; sources are documents' sections, whose size is bounded by
+Choosing cuts is sequential within a source, so each source's lines pass whole
+through one function; sources are documents' sections, whose size is bounded by
 the document, and different sources run apart.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.groups import stream_groups
 
 TARGET_WORDS, HARD_WORDS = 384, 512
 TARGET_TOKENS, HARD_TOKENS = 384, 445
@@ -66,17 +67,13 @@ def greedy_pack(lines: DataFrame, context_words: int = 0, hard_words: int = HARD
     if context_words < 0 or hard_words < 1:
         raise ValueError("context_words must be 0 or more, hard_words positive")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("line_order", kind="stable")
-        order, key = group["line_order"].tolist(), str(group["source_id"].iloc[0])
-        reasons = [r if isinstance(r, str) else None for r in group["reason"]]
-        pieces, failure = greedy_cuts([int(w) for w in group["words"]], reasons, context_words, hard_words, target_words)
+    def run(key: str, group: dict[str, list]) -> list[tuple]:
+        order = group["line_order"]
+        pieces, failure = greedy_cuts(group["words"], group["reason"], context_words, hard_words, target_words)
         rows = [(key, i + 1, order[a], order[b], n, r, None) for i, (a, b, n, r) in enumerate(pieces)]
-        if failure:
-            rows.append((key, 0, None, None, None, None, failure))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in _PIECES.split(", ")]).astype({c: "Int64" for c in ("first_order", "last_order", "content_words")})
+        return [*rows, (key, 0, None, None, None, None, failure)] if failure else rows
 
-    return lines.select(F.col("source_id").cast("string").alias("source_id"), "line_order", "words", "reason").groupBy("source_id").applyInPandas(run, _PIECES)
+    return stream_groups(lines.select(F.col("source_id").cast("string").alias("source_id"), F.col("line_order").cast("long"), F.col("words").cast("long"), "reason"), "source_id", "line_order", run, _PIECES)
 
 
 def reference_entries(lines: DataFrame, start: Column) -> DataFrame:
@@ -111,20 +108,22 @@ def best_partition(ends: list[tuple[int, bool]], tokens: Callable[[int, int], in
 
     ``ends`` are (atom, within a line) in order. The cost of a partition is
     (pieces, cuts within lines, sum of distances to the target); of equal
-    costs the one whose last piece starts earliest counts.
+    costs the one whose last piece starts earliest counts. A piece's count
+    must not fall as it grows to the left: the first that is over ``hard``
+    ends the search.
     """
     best: list[tuple[tuple[int, int, int], int] | None] = []
     for j, (atom, inner) in enumerate(ends):
         found = None
-        for i in range(-1, j):
-            if i >= 0 and best[i] is None:
-                continue
+        for i in range(j - 1, -2, -1):
             n = tokens(0 if i < 0 else ends[i][0] + 1, atom)
             if n > hard:
+                break
+            if i >= 0 and best[i] is None:
                 continue
             a, b, c = (0, 0, 0) if i < 0 else best[i][0]
             cost = (a + 1, b + inner, c + abs(target - n))
-            if found is None or cost < found[0]:
+            if found is None or cost <= found[0]:
                 found = (cost, i)
         best.append(found)
     if not ends or best[-1] is None:
@@ -148,31 +147,26 @@ def partition_passages(lines: DataFrame, counter: Callable[[], Callable[[str], i
     A source that can't be cut gets one row without numbers.
     """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("line_order", kind="stable")
-        count = counter() if counter else lambda t: len(t.split())
-        texts, order, key = group["text"].str.strip().tolist(), group["line_order"].tolist(), str(group["source_id"].iloc[0])
-        reasons = [r if isinstance(r, str) else None for r in group["reason"]]
-        memo: dict[tuple[int, int], int] = {}
-
-        def tokens(a: int, b: int) -> int:
-            if (a, b) not in memo:
-                memo[a, b] = count("\n".join(texts[a : b + 1]))
-            return memo[a, b]
-
+    def run(key: str, group: dict[str, list]) -> list[tuple]:
+        texts, order, reasons = [(t or "").strip() for t in group["text"]], group["line_order"], group["reason"]
+        if counter:
+            count = counter()
+            tokens = lambda a, b: count("\n".join(texts[a : b + 1]))
+        else:
+            upto = [0, *itertools.accumulate(len(t.split()) for t in texts)]
+            tokens = lambda a, b: upto[b + 1] - upto[a]
         ends = [(i, r == "after_sentence_in_line") for i, r in enumerate(reasons) if r is not None]
         path = best_partition(ends, tokens, hard, target) if ends and ends[-1][0] == len(texts) - 1 else None
         if path is None:
-            rows = [(key, None, None, None, None, None, None)]
-        else:
-            rows, at = [], 0
-            for i, p in enumerate(path):
-                end = ends[p][0]
-                rows.append((key, i + 1, len(path), order[at], order[end], tokens(at, end), reasons[end]))
-                at = end + 1
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in _PASSAGES.split(", ")]).astype({c: "Int64" for c in ("passage_number", "passage_count", "first_order", "last_order", "tokens")})
-
-    return lines.select(F.col("source_id").cast("string").alias("source_id"), "line_order", "text", "reason").groupBy("source_id").applyInPandas(run, _PASSAGES)
+            return [(key, None, None, None, None, None, None)]
+        rows, at = [], 0
+        for i, p in enumerate(path):
+            end = ends[p][0]
+            rows.append((key, i + 1, len(path), order[at], order[end], tokens(at, end), reasons[end]))
+            at = end + 1
+        return rows
+
+    return stream_groups(lines.select(F.col("source_id").cast("string").alias("source_id"), F.col("line_order").cast("long"), "text", "reason"), "source_id", "line_order", run, _PASSAGES)
 
 
 def passage_texts(pieces: DataFrame, lines: DataFrame, label: Column | None = None) -> DataFrame:

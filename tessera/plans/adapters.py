@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.sizes import maybe_broadcast
+from ..functions.checkpoints import cut
+from ..functions.order import dense_order
 from ..operators import lines as L
 
+#: Strings that one pass over the texts looks for.
+NEEDLES = 200_000
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -25,10 +33,44 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
 def gold(spark: SparkSession, sf: str) -> DataFrame:
     """Grade 2 where a passage holds the whole item, 1 where it holds its first sentence of over 20 characters."""
     first = F.split_part("q", F.lit("."), F.lit(1))
-    items = questions(spark, sf).select("query_id", F.col("text").alias("q")).withColumn("first", first)
-    whole, part = F.contains("text", "q"), (F.length("first") > 20) & F.contains("text", "first")
-    rows = passages(spark, sf).join(maybe_broadcast(items), whole | part)
-    return rows.select("query_id", "passage_id", F.when(whole, 2).otherwise(1).alias("grade"))
+    items = questions(spark, sf).where("text IS NOT NULL").select("query_id", F.col("text").alias("q")).withColumn("first", first)
+    needles = items.select("query_id", F.col("q").alias("needle"), F.lit(2).alias("grade")).union(items.where(F.length("first") > 20).select("query_id", "first", F.lit(1)))
+    return contained(passages(spark, sf), needles).groupBy("query_id", "passage_id").agg(F.max("grade").alias("grade"))
+
+
+def contained(rows: DataFrame, needles: DataFrame) -> DataFrame:
+    """query_id, passage_id, grade of each needle (query_id, needle, grade) that a passage's text holds.
+
+    Every text is read once, however many needles there are: they go together
+    into one automaton, at most ``NEEDLES`` a pass.
+    """
+    listed = dense_order(needles, "query_id", "needle", "grade", name="n")
+    listed, parts = cut(listed), []
+    for lo in range(0, max(1, listed.count()), NEEDLES):
+        some = [tuple(r) for r in listed.where(F.col("n").between(lo, lo + NEEDLES - 1)).select("needle", "query_id", "grade").collect()]
+        shared = rows.sparkSession.sparkContext.broadcast(some)
+
+        def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            search, always, by_needle = ahocorasick.Automaton(), [], {}
+            for needle, query, grade in shared.value:
+                by_needle.setdefault(needle, []).append((query, grade))
+            always = by_needle.pop("", [])
+            for needle, who in by_needle.items():
+                search.add_word(needle, who)
+            search.make_automaton()
+            for batch in batches:
+                out = []
+                for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if text is not None:
+                        hits = {x for _, who in search.iter(text) for x in who} if by_needle else set()
+                        out += [(q, ident, g) for q, g in hits.union(always)]
+                columns = list(zip(*out, strict=True)) or [()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["query_id", "passage_id", "grade"])
+
+        parts.append(rows.select("passage_id", "text").mapInArrow(find, "query_id long, passage_id long, grade int"))
+    return functools.reduce(DataFrame.union, parts)
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:

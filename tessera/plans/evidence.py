@@ -124,8 +124,15 @@ def _linked(spark, sf):
 
 
 def leakage_components(spark, sf):
-    cases, passages = _linked(spark, sf)
-    return G.case_components(cases, passages)
+    """Customers as cases in chains: two share a query, two others a passage, and ten make a chain.
+
+    Some passages have a source that leads from one chain of a hundred to another.
+    """
+    k = F.col("c_custkey")
+    passage = F.when(k % 10 == 0, F.concat(F.lit("own-"), k)).otherwise(F.concat(F.lit("p-"), F.floor((k + 1) / 2)))
+    rows = A.table(spark, sf, "customer").select(k.alias("case_id"), F.floor(k / 2).alias("query_id"), F.array(passage).alias("evidence_passage_ids"), F.when(k % 50 == 5, F.floor(k / 100)).alias("source"))
+    passages = rows.select(F.col("evidence_passage_ids")[0].alias("passage_id"), "source").groupBy("passage_id").agg(F.max("source").alias("logical_source_key"))
+    return G.case_components(rows.drop("source"), passages)
 
 
 def split_leak_check(spark, sf):
@@ -148,13 +155,14 @@ def benchmark_contract(spark, sf):
 
 
 def inventory_antijoin(spark, sf):
-    docs = A.table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("question"))
-    conv = A.table(spark, sf, "benchmark").select((F.col("item_id") + 100000000).alias("query_id"), F.col("text").alias("question"))
-    return G.inventory_violations(docs, conv)
+    """Every line of every document as a new question, against the benchmark's questions."""
+    lines = A.document_lines(spark, sf).select(F.col("document_id").alias("query_id"), F.col("text").alias("question"))
+    conv = A.table(spark, sf, "benchmark").select((F.col("item_id") + 100000000).alias("query_id"), F.explode(F.split("text", "\n")).alias("question")).where(F.trim("question") != "")
+    return G.inventory_violations(lines, conv)
 
 
 def _manifest(spark, sf):
-    return A.table(spark, sf, "pages").select(F.col("page_id").alias("document_id"), F.col("url").alias("download_url"), F.concat(F.lit("p"), "page_id", F.when(F.col("page_id") % 10 == 0, ".txt").otherwise(".pdf")).alias("filename"), F.lit("2024-05-06").alias("verified_date"))
+    return A.table(spark, sf, "pages").select(F.col("page_id").alias("document_id"), F.when(F.col("page_id") % 50 == 9, "https://example.com/same").otherwise(F.col("url")).alias("download_url"), F.concat(F.lit("p"), "page_id", F.when(F.col("page_id") % 10 == 0, ".txt").otherwise(".pdf")).alias("filename"), F.when(F.col("page_id") % 13 == 0, "2024-02-30").otherwise("2024-05-06").alias("verified_date"))
 
 
 def manifest_urls(spark, sf):
@@ -197,6 +205,7 @@ QUERIES = {
 }
 
 from .ranking import _GOLD, _rank_sql  # noqa: E402
+from .structure import _LINES  # noqa: E402
 
 _WORD = "'[A-Za-z0-9]+(?:[-''][A-Za-z0-9]+)*'"
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
@@ -227,6 +236,8 @@ k AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precisio
 f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM k)"""
 _CASES = """c AS (SELECT doc_id AS case_id, doc_id // 2 AS query_id, CASE WHEN doc_id % 2 = 1 THEN [source] ELSE [source, 'src' || ((doc_id + 1) % 20)] END AS ids, CASE WHEN doc_id % 2 = 1 THEN doc_id - 1 END AS ref FROM documents)"""
 _HOST = r"lower(regexp_extract(url, '^[a-z]+://(?:[^/@]*@)?([^/:?#]+)', 1))"
+_HOSTED = "CASE WHEN page_id % 50 = 9 THEN 'https://example.com/same' ELSE url END"
+_DATED = "CASE WHEN page_id % 13 = 0 THEN '2024-02-30' ELSE '2024-05-06' END"
 _URL = f"CASE WHEN NOT starts_with(url, 'https://') THEN 'not https' WHEN {_HOST} NOT IN ('example.com', 'example.org') THEN 'host' END"
 
 ORACLE = {
@@ -260,16 +271,23 @@ SELECT n AS case_count, round(po, 9) AS agreement, round((po - (pa * pb + (1 - p
     "silver_labels": "SELECT doc_id AS case_id, CASE WHEN doc_id % 2 = 1 THEN 'insufficient' ELSE 'sufficient' END AS evidence_status FROM documents",
     "case_reference_checks": f"""WITH {_CASES}, j AS (SELECT c.case_id, c.query_id, c.ids, o.query_id AS q, o.ids AS whole FROM c LEFT JOIN c o ON o.case_id = c.ref WHERE c.ref IS NOT NULL),
 k AS (SELECT case_id, CASE WHEN whole IS NULL THEN 'no such case' WHEN q <> query_id THEN 'another query' WHEN NOT (list_has_all(whole, ids) AND NOT list_has_all(ids, whole)) THEN 'not a strict subset' END AS rule FROM j) SELECT * FROM k WHERE rule IS NOT NULL""",
-    "leakage_components": "SELECT CAST(c_custkey AS VARCHAR) AS case_id, min(CAST(c_custkey AS VARCHAR)) OVER (PARTITION BY n_regionkey) AS component FROM customer JOIN nation ON n_nationkey = c_nationkey",
+    "leakage_components": """WITH RECURSIVE c AS (SELECT c_custkey AS k, c_custkey // 2 AS q, CASE WHEN c_custkey % 10 = 0 THEN 'own-' || c_custkey ELSE 'p-' || ((c_custkey + 1) // 2) END AS p, CASE WHEN c_custkey % 50 = 5 THEN c_custkey // 100 END AS s FROM customer),
+d AS (SELECT k, q, p, max(s) OVER (PARTITION BY p) AS s FROM c),
+e AS MATERIALIZED (SELECT a.k AS a, b.k AS b FROM d a JOIN d b ON a.q = b.q UNION SELECT a.k, b.k FROM d a JOIN d b ON a.p = b.p UNION SELECT a.k, b.k FROM d a JOIN d b ON a.s = b.s),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT CAST(a AS VARCHAR) AS case_id, min(CAST(b AS VARCHAR)) AS component FROM r GROUP BY a""",
     "split_leak_check": """WITH a AS (SELECT c_custkey % 3 = 0 AS t, n_nationkey, n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey)
 SELECT CAST(n_regionkey AS VARCHAR) AS id, 'component crosses splits' AS rule FROM a GROUP BY n_regionkey HAVING count(DISTINCT t) > 1
 UNION ALL SELECT CAST(n_nationkey AS VARCHAR), 'query_id crosses splits' FROM a GROUP BY n_nationkey HAVING count(DISTINCT t) > 1""",
     "benchmark_contract": f"""WITH {_GOLD}, n AS (SELECT item_id AS query_id, count(g.passage_id) AS n, count(*) FILTER (grade = 2) AS direct FROM benchmark LEFT JOIN g ON g.query_id = item_id GROUP BY item_id)
 SELECT query_id, CASE WHEN query_id % 2 = 0 AND n = 0 THEN 'no judgment' WHEN query_id % 2 = 0 AND direct = 0 THEN 'no direct evidence' ELSE 'abstention with judgments' END AS rule FROM n WHERE (query_id % 2 = 0 AND direct = 0) OR (query_id % 2 = 1 AND n > 0)
 UNION ALL SELECT g.query_id, 'outside the scope' FROM g JOIN documents d ON d.doc_id = g.passage_id WHERE d.source NOT IN ({', '.join(f"'src{i}'" for i in range(15))})""",
-    "inventory_antijoin": r"""WITH d AS (SELECT doc_id AS query_id, trim(regexp_replace(replace(lower(split_part(text, chr(10), 1)), 'ß', 'ss'), '\s+', ' ', 'g')) AS q FROM documents), b AS (SELECT DISTINCT trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g')) AS q FROM benchmark)
+    "inventory_antijoin": rf"""WITH {_LINES}, d AS (SELECT document_id AS query_id, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g')) AS q FROM l),
+b AS (SELECT DISTINCT trim(regexp_replace(replace(lower(x), 'ß', 'ss'), '\s+', ' ', 'g')) AS q FROM (SELECT unnest(string_split(text, chr(10))) AS x FROM benchmark) WHERE trim(x) <> '')
 SELECT query_id, 'question in development' AS rule FROM d SEMI JOIN b USING (q)""",
-    "manifest_urls": f"""SELECT CAST(page_id AS VARCHAR) AS document_id, rule FROM (SELECT page_id, unnest(list_filter([{_URL}, CASE WHEN page_id % 10 = 0 THEN 'filename' END], lambda x: x IS NOT NULL)) AS rule FROM pages)""",
+    "manifest_urls": f"""WITH m AS (SELECT page_id, {_HOSTED} AS url, 'p' || page_id || CASE WHEN page_id % 10 = 0 THEN '.txt' ELSE '.pdf' END AS filename, {_DATED} AS verified_date FROM pages)
+SELECT CAST(page_id AS VARCHAR) AS document_id, rule FROM (SELECT page_id, unnest(list_filter([{_URL}, CASE WHEN page_id % 13 = 0 THEN 'date' END, CASE WHEN page_id % 10 = 0 THEN 'filename' END], lambda x: x IS NOT NULL)) AS rule FROM m)
+UNION ALL SELECT CAST(min(page_id) AS VARCHAR), 'download_url repeated' FROM m GROUP BY url HAVING count(*) > 1""",
     "url_domain_check": f"SELECT host, rule, count(*) AS pages FROM (SELECT {_HOST} AS host, {_URL} AS rule FROM pages) GROUP BY ALL",
     "round_assignment": """SELECT annotator_id, row_number() OVER (PARTITION BY annotator_id ORDER BY sha256('round:' || annotator_id || ':' || doc_id), doc_id) AS position, doc_id AS case_id FROM labels CROSS JOIN (SELECT unnest(['ann-a', 'ann-b']) AS annotator_id)""",
     "label_contract": f"WITH {_RATERS} SELECT case_id, CASE WHEN a THEN 'codes of sufficient evidence' ELSE 'no codes' END AS rule FROM r WHERE (a AND len(x) > 0) OR (NOT a AND len(x) = 0)",

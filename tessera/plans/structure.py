@@ -84,8 +84,24 @@ def hierarchy_paths(spark, sf):
 
 
 def hierarchy_check(spark, sf):
+    """The tree of customers with faults: a wrong depth, a wrong ancestor, a lost parent, a root that is too low, rows twice."""
     nodes = _nodes(spark, sf)
-    return Y.violations(Y.paths(nodes).join(nodes.select("node_id", "parent_id"), "node_id"))
+    rows = Y.paths(nodes).join(nodes.select("node_id", "parent_id"), "node_id").select("node_id", "parent_id", "depth", "ancestor_ids")
+    key = F.when(F.col("node_id").startswith("c"), F.expr("cast(substring(node_id, 2) as long)"))
+    rows = rows.select(
+        "node_id", F.when(key % 13 == 1, "n999").otherwise(F.col("parent_id")).alias("parent_id"), F.when((key % 11 == 1) | (F.col("node_id") == "r2"), F.col("depth") + 1).otherwise(F.col("depth")).alias("depth"),
+        F.when(key % 17 == 1, F.array(F.lit("r9"), F.element_at("ancestor_ids", -1))).otherwise(F.col("ancestor_ids")).alias("ancestor_ids"),
+    )
+    return Y.violations(rows.union(rows.where(key % 19 == 1)))
+
+
+def unreached_nodes(spark, sf):
+    """Customers hang in cycles of two or under a nation that isn't there; the others are reached."""
+    customer = A.table(spark, sf, "customer")
+    key = F.col("c_custkey")
+    up = F.when(key % 10 == 0, F.concat(F.lit("c"), key + 1)).when(key % 10 == 1, F.concat(F.lit("c"), key - 1)).when(key % 10 == 2, "n999").when(key % 10 > 4, F.concat(F.lit("c"), key - 1))
+    nodes = customer.select(F.concat(F.lit("c"), key).alias("node_id"), up.alias("parent_id"), F.col("c_name").alias("name"))
+    return Y.unreached(nodes, Y.paths(nodes))
 
 
 def _spans(spark, sf):
@@ -110,9 +126,10 @@ def span_metrics(spark, sf):
 
 
 def containment_violations(spark, sf):
-    """Spans against the parents that depth gives; whole trees have none."""
-    parents = Y.depth_parents(A.turn_headings(spark, sf)).where("parent_id IS NOT NULL").select("heading_id", F.col("parent_id").alias("ancestor_id"))
-    return Y.containment_violations(_spans(spark, sf), parents)
+    """Spans against the heading two lines before, which holds some of them and not others."""
+    rows = A.turn_headings(spark, sf)
+    pairs = rows.where("line_pos >= 2").select("heading_id", F.format_string("%d:%d", F.col("document_id"), F.col("line_pos") - 2).alias("ancestor_id"))
+    return Y.containment_violations(_spans(spark, sf), pairs)
 
 
 def ancestor_envelopes(spark, sf):
@@ -184,7 +201,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         accepted_order, line_table, page_order_check, neighbor_lines, line_islands, heading_classify, furniture_ledger, safe_boundaries, eu_style_hierarchy,
-        depth_hierarchy, hierarchy_paths, hierarchy_check, heading_spans, span_lines_range_join, span_metrics, containment_violations, ancestor_envelopes,
+        depth_hierarchy, hierarchy_paths, hierarchy_check, unreached_nodes, heading_spans, span_lines_range_join, span_metrics, containment_violations, ancestor_envelopes,
         greedy_pack, min_partition, reference_entries, passage_text, count_maps, totals_rollup, source_order_check, wrapped_lines, page_text, extraction_quality, boundary_pairs,
     )
 }
@@ -244,18 +261,52 @@ SELECT heading_id, {_ACT} AS candidate_type, CASE WHEN role = 'user' THEN ch WHE
     "hierarchy_paths": """SELECT 'r' || r_regionkey AS node_id, 0 AS depth, '' AS ancestors, r_name AS path FROM region
 UNION ALL SELECT 'n' || n_nationkey, 1, 'r' || n_regionkey, r_name || '/' || n_name FROM nation JOIN region ON r_regionkey = n_regionkey
 UNION ALL SELECT 'c' || c_custkey, 2, 'r' || n_regionkey || '/n' || n_nationkey, r_name || '/' || n_name || '/' || c_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON r_regionkey = n_regionkey""",
-    "hierarchy_check": "SELECT '' AS node_id, '' AS rule WHERE false",
+    "hierarchy_check": """WITH n AS (SELECT 'r' || r_regionkey AS id, CAST(NULL AS VARCHAR) AS up, 0 AS depth, CAST([] AS VARCHAR[]) AS anc, CAST(NULL AS BIGINT) AS k FROM region
+UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 1, ['r' || n_regionkey], NULL FROM nation
+UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 2, ['r' || n_regionkey, 'n' || c_nationkey], c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey),
+f AS (SELECT id, CASE WHEN k % 13 = 1 THEN 'n999' ELSE up END AS up, CASE WHEN k % 11 = 1 OR id = 'r2' THEN depth + 1 ELSE depth END AS depth, CASE WHEN k % 17 = 1 THEN ['r9', anc[-1]] ELSE anc END AS anc, k FROM n),
+a AS (SELECT * FROM f UNION ALL SELECT * FROM f WHERE k % 19 = 1),
+j AS (SELECT a.id, CASE WHEN a.up IS NULL AND a.depth <> 0 THEN 'root below depth 0' WHEN a.up IS NOT NULL AND p.id IS NULL THEN 'no such parent' WHEN a.up IS NOT NULL AND a.depth <> p.depth + 1 THEN 'depth'
+  WHEN a.up IS NOT NULL AND a.anc <> list_append(p.anc, p.id) THEN 'ancestors' END AS rule FROM a LEFT JOIN f p ON p.id = a.up)
+SELECT id AS node_id, rule FROM j WHERE rule IS NOT NULL UNION ALL SELECT id, 'repeated' FROM a GROUP BY id HAVING count(*) > 1""",
+    "unreached_nodes": """WITH RECURSIVE n AS (SELECT c_custkey AS k, CASE WHEN k % 10 = 0 THEN k + 1 WHEN k % 10 = 1 THEN k - 1 WHEN k % 10 = 2 THEN -1 WHEN k % 10 > 4 THEN k - 1 END AS up FROM customer),
+r AS (SELECT k FROM n WHERE up IS NULL UNION SELECT n.k FROM n JOIN r ON n.up = r.k) SELECT 'c' || k AS node_id, 'no root' AS rule FROM n WHERE k NOT IN (SELECT k FROM r)""",
     "heading_spans": f"WITH {_TURNS}, {_SUB} SELECT heading_id, p + 1 AS direct_start, coalesce(lead(p) OVER (PARTITION BY d ORDER BY p), p + 1) AS direct_stop, subtree_stop FROM s",
     "span_lines_range_join": f"WITH {_TURNS}, {_SUB} SELECT s.heading_id, count(*) AS lines, CAST(sum(length(t.text)) AS BIGINT) AS characters FROM s JOIN t ON t.d = s.d AND t.p >= s.p AND t.p < s.subtree_stop GROUP BY s.heading_id",
     "span_metrics": f"""WITH {_TURNS}, {_SUB} SELECT s.heading_id, count(*) AS raw_line_count, count(*) FILTER (regexp_replace(t.text, '\\s', '', 'g') <> '') AS nonblank_line_count, false AS is_empty,
   count(*) FILTER (regexp_replace(t.text, '\\s', '', 'g') <> '') = 0 AS is_blank_only, min(t.p) <> max(t.p) AS is_multi_page FROM s JOIN t ON t.d = s.d AND t.p >= s.p AND t.p < s.subtree_stop GROUP BY s.heading_id""",
-    "containment_violations": "SELECT '' AS heading_id, '' AS ancestor_id WHERE false",
+    "containment_violations": f"""WITH {_TURNS}, {_SUB} SELECT a.heading_id, b.heading_id AS ancestor_id FROM s a JOIN s b ON b.d = a.d AND b.p = a.p - 2 WHERE a.p + 1 > b.subtree_stop OR a.subtree_stop > b.subtree_stop""",
+    "greedy_pack": f"""WITH RECURSIVE {_LINES}, f AS (SELECT document_id, line_pos, text, lead(text) OVER w AS next_text, coalesce(lead(line_pos) OVER w - line_pos > 1, false) AS gap FROM l {_FILLED} WINDOW w AS (PARTITION BY document_id ORDER BY line_pos)),
+x AS MATERIALIZED (SELECT document_id AS d, line_pos, {_REASON} AS reason, len(regexp_extract_all(text, '[^\\s]+')) AS w, row_number() OVER (PARTITION BY document_id ORDER BY line_pos) AS i, count(*) OVER (PARTITION BY document_id) AS n,
+  sum(len(regexp_extract_all(text, '[^\\s]+'))) OVER (PARTITION BY document_id ORDER BY line_pos) AS upto, sum(len(regexp_extract_all(text, '[^\\s]+'))) OVER (PARTITION BY document_id) AS total FROM f),
+c AS MATERIALIZED (SELECT a.d, a.i AS lo, a.n, a.upto - a.w AS before, a.total - (a.upto - a.w) AS remaining, a.w > {U.HARD_WORDS} AS alone,
+  max(b.i) FILTER (b.reason IS NOT NULL) AS last_safe, min(b.i) FILTER (b.reason IS NOT NULL AND b.upto - (a.upto - a.w) >= {U.TARGET_WORDS}) AS good, max(b.upto) - (a.upto - a.w) AS filled,
+  max(b.i) FILTER (b.reason IS NOT NULL) = max(b.i) AS end_safe FROM x a LEFT JOIN x b ON b.d = a.d AND b.i >= a.i AND b.upto - (a.upto - a.w) <= {U.HARD_WORDS} GROUP BY a.d, a.i, a.n, a.upto, a.w, a.total),
+p AS MATERIALIZED (SELECT d, lo, n, CASE WHEN remaining <= {U.HARD_WORDS} THEN n WHEN alone THEN NULL WHEN filled < {U.TARGET_WORDS} AND end_safe THEN last_safe ELSE coalesce(good, last_safe) END AS cut, remaining <= {U.HARD_WORDS} AS rest, alone FROM c),
+g AS (SELECT d, 1 AS part, lo, cut, rest, alone, n FROM p WHERE lo = 1 UNION ALL SELECT p.d, g.part + 1, p.lo, p.cut, p.rest, p.alone, p.n FROM g JOIN p ON p.d = g.d AND p.lo = g.cut + 1 WHERE g.cut IS NOT NULL AND NOT g.rest)
+SELECT CAST(g.d AS VARCHAR) AS source_id, CASE WHEN cut IS NULL THEN 0 ELSE part END AS part_number, CASE WHEN cut IS NOT NULL THEN a.line_pos END AS first_order, b.line_pos AS last_order,
+  CASE WHEN cut IS NOT NULL THEN CAST(b.upto - (a.upto - a.w) AS BIGINT) END AS content_words, CASE WHEN rest THEN 'end_of_source_unit' ELSE b.reason END AS boundary_after,
+  CASE WHEN cut IS NULL THEN CASE WHEN alone THEN 'single_line_over_budget' ELSE 'no_corrected_safe_boundary' END END AS failure
+FROM g JOIN x a ON a.d = g.d AND a.i = g.lo LEFT JOIN x b ON b.d = g.d AND b.i = g.cut""",
+    "wrapped_lines": f"""WITH RECURSIVE {_LINES}, c AS MATERIALIZED (SELECT document_id, line_pos, {_CLEAN} AS x, count(*) OVER (PARTITION BY document_id) AS n FROM l),
+j AS (SELECT document_id, 0 AS p, x AS s, n FROM c WHERE line_pos = 0 UNION ALL SELECT c.document_id, p + 1, CASE WHEN s = '' THEN x WHEN s LIKE '%-' AND regexp_matches(x, '^[a-z]') THEN s || x ELSE s || ' ' || x END, c.n
+  FROM j JOIN c ON c.document_id = j.document_id AND c.line_pos = p + 1)
+SELECT document_id, md5(s) AS joined_md5 FROM j WHERE p = n - 1""",
+    "reference_entries": f"""WITH RECURSIVE {_LINES}, f AS (SELECT document_id, line_pos, sum(CASE WHEN regexp_matches(text, '^[A-Z]') THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY line_pos) AS entry, len(regexp_extract_all(text, '[^\\s]+')) AS w FROM l {_FILLED}),
+e AS MATERIALIZED (SELECT document_id AS d, entry, sum(w) AS words, row_number() OVER (PARTITION BY document_id ORDER BY entry) AS i FROM f GROUP BY document_id, entry),
+g AS (SELECT d, i, entry, words, words AS size, 1 AS pack FROM e WHERE i = 1 UNION ALL
+  SELECT e.d, e.i, e.entry, e.words, CASE WHEN g.size > 0 AND (g.size + e.words > {U.HARD_WORDS} OR g.size >= {U.TARGET_WORDS}) THEN e.words ELSE g.size + e.words END,
+  CASE WHEN g.size > 0 AND (g.size + e.words > {U.HARD_WORDS} OR g.size >= {U.TARGET_WORDS}) THEN g.pack + 1 ELSE g.pack END FROM g JOIN e ON e.d = g.d AND e.i = g.i + 1)
+SELECT CAST(d AS VARCHAR) AS source_id, CAST(entry AS BIGINT) AS entry, CAST(words AS BIGINT) AS words, CAST(pack AS BIGINT) AS pack FROM g""",
     "ancestor_envelopes": "SELECT 'r' || n_regionkey AS ancestor_id, count(*) AS descendants, min(n_nationkey) AS start_pos, max(n_nationkey) + 1 AS stop_pos, count(*) = max(n_nationkey) + 1 - min(n_nationkey) AS contiguous FROM nation GROUP BY n_regionkey",
     "count_maps": "SELECT source, lang, count(*) AS passages FROM documents GROUP BY ALL",
     "totals_rollup": "SELECT source AS document_id, count(*) AS page_count, CAST(sum(length(text)) AS BIGINT) AS character_count, count(*) FILTER (text = '') AS empty_page_count FROM documents GROUP BY ROLLUP (source)",
     "source_order_check": "SELECT event_id, user_id FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE b IS NOT NULL AND NOT b < ts",
     "extraction_quality": """SELECT doc_id, length(text) AS character_count, len(w) AS word_count, len(regexp_extract_all(text, '[A-Za-z]{25,}')) AS long_runs,
   round(CASE WHEN len(w) > 0 THEN CAST(list_sum(list_transform(w, lambda x: length(x))) AS DOUBLE) / len(w) ELSE 0 END, 9) AS mean_word_length FROM (SELECT doc_id, text, regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)?') AS w FROM documents)""",
+    "page_text": r"""WITH t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script\b.*?</script|style\b.*?</style)\s*>|<!--.*?-->', ' ', 'g'), '(?i)<(br|/p|/div|/li|/tr|/h[1-6])\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS t FROM pages),
+u AS (SELECT page_id, replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&') AS t FROM t)
+SELECT page_id, length(t) AS characters, len(regexp_extract_all(t, '[^\s]+')) AS words FROM u""",
     "boundary_pairs": "SELECT * FROM (SELECT conv_id AS logical_source_key, conv_id || ':' || turn AS unit_id, lead(conv_id || ':' || turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next_unit_id, role AS boundary_after FROM conversations) WHERE next_unit_id IS NOT NULL",
     "passage_text": rf"""WITH {_LINES}, f AS (SELECT document_id, line_pos, regexp_replace(text, '^\s+|\s+$', '', 'g') AS x, lag(line_pos) OVER (PARTITION BY document_id ORDER BY line_pos) AS b FROM l {_FILLED}),
 t AS (SELECT document_id, string_agg(CASE WHEN b IS NULL THEN '' WHEN line_pos = b + 1 THEN chr(10) ELSE chr(10) || chr(10) END || x, '' ORDER BY line_pos) AS c FROM f GROUP BY document_id)

@@ -15,5 +15,7 @@ def build(app: str = "tessera", master: str | None = None, **conf: str) -> Spark
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # texts may be long: a batch between the JVM and Python holds few rows
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     } | conf
     return builder.config(map=settings).getOrCreate()

@@ -8,7 +8,7 @@ from tessera.operators import artifacts as R
 from tessera.operators import governance as G
 from tessera.operators import service
 from tessera.operators import sufficiency as S
-from tessera.plans import evidence
+from tessera.plans import adapters, evidence
 
 
 def test_features_by_hand(rows):
@@ -162,3 +162,22 @@ def test_manifest_query_reports_repeated_urls(spark, rows, tmp_path):
     rows(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = sorted(map(tuple, evidence.manifest_urls(spark, str(tmp_path)).collect()))
     assert got == [("10", "filename"), ("10", "not https"), ("3", "download_url repeated")]
+
+
+def test_thresholds_over_many_ranges(spark, rows):
+    rng = np.random.default_rng(2)
+    p, t = np.round(rng.random(300), 2), rng.integers(0, 2, 300)
+    out = {r["threshold"]: r["balanced_accuracy"] for r in S.thresholds(rows([(float(a), int(b)) for a, b in zip(p, t, strict=True)], "probability double, target int")).collect()}
+    values = np.unique(p)
+    cuts = sorted({0.0, 0.5, 1.0, *values.tolist(), *((values[:-1] + values[1:]) / 2).tolist()})
+    assert sorted(out) == cuts
+    for c in cuts:
+        hit = p >= c
+        assert out[c] == pytest.approx(((hit & (t == 1)).sum() / (t == 1).sum() + (~hit & (t == 0)).sum() / (t == 0).sum()) / 2)
+
+
+def test_needles_in_texts(rows):
+    texts = rows([(1, "xx abc def"), (2, "abcabc"), (3, None), (4, "")], "passage_id long, text string")
+    needles = rows([(7, "abc", 2), (8, "bc a", 1), (8, "c d", 2), (9, "", 1), (10, "abc", 1)], "query_id long, needle string, grade int")
+    got = sorted(map(tuple, adapters.contained(texts, needles).collect()))
+    assert got == sorted([(7, 1, 2), (8, 1, 2), (7, 2, 2), (10, 1, 1), (10, 2, 1), (9, 1, 1), (9, 2, 1), (9, 4, 1)])

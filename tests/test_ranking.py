@@ -99,3 +99,17 @@ def test_union_coverage_fusion_and_order(rows):
     r = hybrid.rerank(u, F.lit(1.0)).orderBy("reranker_rank").collect()
     assert [x["passage_id"] for x in r] == [10, 11, 12]
     assert hybrid.candidate_violations(u, rows([(10,), (11,)], "passage_id long")).first()["rule"] == "outside the corpus"
+
+
+def test_dense_search_in_several_blocks_and_scans(rows, monkeypatch):
+    monkeypatch.setattr(dense, "BLOCK", 8)
+    monkeypatch.setattr(dense, "SCAN_BLOCKS", 2)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 6))
+    df = rows([(i, v.tolist()) for i, v in enumerate(x)], "passage_id long, embedding array<double>").repartition(4)
+    out = dense.rank(df, df.where("passage_id < 37").withColumnRenamed("passage_id", "query_id"), 5)
+    got = {}
+    for r in out.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["passage_id"])
+    assert got == {q: np.lexsort((np.arange(60), -np.round(x @ x[q], 12)))[:5].tolist() for q in range(37)}
+    assert dense.rank(df, df.limit(0).withColumnRenamed("passage_id", "query_id")).count() == 0

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions.groups import stream_groups
 from tessera.functions import text as T
 from tessera.functions.order import dense_order
 from tessera.operators import headings as H
@@ -192,3 +193,25 @@ def test_entries_and_texts(rows):
     assert got["citation_text"] == "a\n\nb\nc" and got["retrieval_text"] == "L\n\na\n\nb\nc"
     units = rows([("k", 1, "heading_body", "d"), ("k", 3, "heading_body", "d")], "logical_source_key string, part_number int, unit_kind string, document_id string")
     assert U.part_violations(units).first()["rule"] == "parts with a gap"
+
+
+def test_long_chains_keep_every_node(rows):
+    chain = [(f"n{i}", f"n{i - 1}" if i else None, str(i)) for i in range(12)]
+    nodes = rows([*chain, ("a", "b", "x"), ("b", "a", "x"), ("lost", "none", "x"), ("n3", "n7", "again")], "node_id string, parent_id string, name string")
+    out = Y.paths(nodes)
+    got = {r["node_id"]: (r["depth"], r["path"]) for r in out.where("node_id <> 'n3'").collect()}
+    assert got["n11"] == (11, [str(i) for i in range(12)]) and len(got) == 11
+    assert {r["node_id"] for r in Y.unreached(nodes, out).collect()} == {"a", "b", "lost"}
+    deep = rows([("d", i, f"h{i}", i + 1) for i in range(12)] + [("d", 12, "h12", 14), ("d", 13, "h13", 12)], "document_id string, line_pos int, heading_id string, depth int")
+    assert [r["parent_id"] for r in Y.depth_parents(deep).orderBy("line_pos").collect()] == [None, *[f"h{i}" for i in range(11)], None, "h10"]
+
+
+def test_groups_stream_whole_across_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.range(200).selectExpr("CASE WHEN id % 11 = 0 THEN NULL ELSE id % 11 END AS k", "200 - id AS o")
+        out = stream_groups(df, "k", "o", lambda k, c: [(k, len(c["o"]), c["o"] == sorted(c["o"]))], "k long, n int, sorted boolean").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    assert sorted((-1 if r["k"] is None else r["k"], r["n"]) for r in out) == [(-1 if k == 0 else k, len(range(k, 200, 11))) for k in range(11)]
+    assert all(r["sorted"] for r in out)
