@@ -6,7 +6,10 @@ form feed and carriage return; ``bytes.split()`` cuts at exactly these six.
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +20,35 @@ DEFAULT_CHECKPOINT_DIR = "/tmp/checkpoints"
 MAX_BROADCAST_ROWS = 200_000
 
 
+#: Rows of one Arrow batch between the JVM and Python while a table is written: texts may be long.
+BATCH_ROWS = 2_000
+
+_kept: dict[str, tuple[Hashable, Any]] = {}
+
+
+def kept(owner: str, key: Hashable, make: Callable[[Any], Any]) -> Any:
+    """``make(key)``, kept in this Python worker until another owner or key needs the room.
+
+    Workers outlive their stage; so they hold one operator's words at a time.
+    """
+    if owner not in _kept or _kept[owner][0] != key:
+        _kept.clear()
+        _kept[owner] = key, make(key)
+    return _kept[owner][1]
+
+
+@contextlib.contextmanager
+def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for what is run inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``."""
     return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_CHECKPOINT_DIR).rstrip("/")
@@ -35,7 +67,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with short_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

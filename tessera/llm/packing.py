@@ -138,26 +138,29 @@ def plan_runs(plan: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
 
 def _pieces(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end, width = tokens.encoder(path), end_id.to_bytes(4, "little"), 4 * capacity
+        enc = common.kept("tokens", path, tokens.WordEncoder)
         part = TaskContext.get().partitionId()
-        seen = [0] * (capacity + 1)
+        seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            doc, piece, start, length, crc, rank = [], [], [], [], [], []
-            encoded = enc.encode_all(text.as_py() for text in batch.column(1))
-            for d, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), width)):
-                    chunk = ids[at : at + width]
-                    n = len(chunk) // 4
-                    doc.append(d)
-                    piece.append(k)
-                    start.append(at // 4)
-                    length.append(n)
-                    crc.append(zlib.crc32(chunk))
-                    rank.append(seen[n])
-                    seen[n] += 1
-            columns = [([part] * len(doc), pa.int32()), (doc, pa.int64()), (piece, pa.int32()), (start, pa.int64()), (length, pa.int32()), (crc, pa.int64()), (rank, pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in columns], ["part", "doc_id", "piece", "start", "length", "ids_crc32", "part_rank"])
+            done = 0
+            for ids, counts in enc.encode_column(batch.column(1), end_id):
+                each = -(-counts // capacity)  # pieces of each document
+                doc = np.repeat(np.arange(len(counts)), each)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each)
+                start = piece * capacity
+                length = np.minimum(counts[doc] - start, capacity)
+                at = (np.cumsum(counts) - counts)[doc] + start
+                raw = memoryview(np.ascontiguousarray(ids)).cast("B")
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip((4 * at).tolist(), (4 * (at + length)).tolist(), strict=True)]
+                order = np.argsort(length, kind="stable")
+                first = np.searchsorted(length[order], length[order])
+                rank = np.empty(len(doc), np.int64)
+                rank[order] = np.arange(len(doc)) - first
+                rank += seen[length]
+                seen += np.bincount(length, minlength=capacity + 1)
+                columns = [(np.full(len(doc), part), pa.int32()), (batch.column(0).slice(done, len(counts)).take(pa.array(doc)), pa.int64()), (piece, pa.int32()), (start, pa.int64()), (length, pa.int32()), (crc, pa.int64()), (rank, pa.int64())]
+                yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, k) for v, k in columns], ["part", "doc_id", "piece", "start", "length", "ids_crc32", "part_rank"])
+                done += len(counts)
 
     return run
 

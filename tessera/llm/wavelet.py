@@ -53,13 +53,16 @@ def encode_shard(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray,
     pack = zstandard.ZstdCompressor(level=level)
     frames, zeros = [], []
     for b in range(bits - 1, -1, -1):
-        ones = (work >> b & 1).astype(bool)
+        ones = (work & work.dtype.type(1 << b)) != 0
         plane = np.packbits(ones)
         frames += [pack.compress(plane.tobytes()), pack.compress(_popcounts(plane).tobytes())]
-        low = work[~ones]
+        low = np.flatnonzero(~ones)
         zeros.append(len(low))
         if b:
-            work = np.concatenate([low, work[ones]])
+            below = np.empty_like(work)
+            work.take(low, out=below[: len(low)], mode="clip")
+            work.take(np.flatnonzero(ones), out=below[len(low) :], mode="clip")
+            work = below
     known = np.array([d is not None for d in doc_ids], bool)
     directory = [np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.packbits(known).tobytes(), np.asarray(counts, "<i8").tobytes()]
     frames = [pack.compress(x) for x in directory] + frames
@@ -146,42 +149,46 @@ class WaveletShard:
         """All ids in their first order, from the lowest plane upwards."""
         out = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for k in range(self.bits - 1, -1, -1):
-            ones = np.unpackbits(self.planes[k], count=self.n).astype(bool)
+            ones = np.unpackbits(self.planes[k], count=self.n).view(bool)
             above = np.empty_like(out)
-            above[~ones] = out[: self.zeros[k]]
-            above[ones] = out[self.zeros[k] :] | out.dtype.type(1 << (self.bits - 1 - k))
+            above[np.flatnonzero(~ones)] = out[: self.zeros[k]]
+            above[np.flatnonzero(ones)] = out[self.zeros[k] :] | out.dtype.type(1 << (self.bits - 1 - k))
             out = above
         return out
 
 
 def _shards(path: str, end_id: int, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = tokens.encoder(path), end_id.to_bytes(4, "little")
+        enc = common.kept("tokens", path, tokens.WordEncoder)
         part = TaskContext.get().partitionId()
         seq = start = size = 0
         docs: list = []
-        counts: list[int] = []
-        buffers: list[bytes] = []
+        counts: list[np.ndarray] = []
+        ids: list[np.ndarray] = []
 
         def image() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(buffers), "<u4")
-            row = [part], [seq], [start], [size], [len(docs)], [encode_shard(docs, np.array(counts, np.int64), ids)]
+            row = [part], [seq], [start], [size], [len(docs)], [encode_shard(docs, np.concatenate(counts), np.concatenate(ids))]
             kinds = pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()
             names = ["part", "seq", "part_start", "n_tokens", "n_docs", "payload"]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names)
 
         for batch in batches:
-            encoded = enc.encode_all(text.as_py() for text in batch.column(1))
-            for doc, got in zip(batch.column(0).to_pylist(), encoded, strict=True):
-                got += end
-                docs.append(doc)
-                counts.append(len(got) // 4)
-                buffers.append(got)
-                size += counts[-1]
-                if size >= shard_tokens:
-                    yield image()
-                    seq, start, size = seq + 1, start + size, 0
-                    docs, counts, buffers = [], [], []
+            names, done = batch.column(0).to_pylist(), 0
+            for got, each in enc.encode_column(batch.column(1), end_id):
+                ends, lo = np.cumsum(each), 0
+                while lo < len(each):
+                    before = int(ends[lo - 1]) if lo else 0
+                    hi = min(len(each), int(np.searchsorted(ends, before + shard_tokens - size)) + 1)
+                    docs += names[done + lo : done + hi]
+                    counts.append(each[lo:hi])
+                    ids.append(got[before : ends[hi - 1]].astype(np.uint16 if enc.short else np.uint32))
+                    size += len(ids[-1])
+                    lo = hi
+                    if size >= shard_tokens:
+                        yield image()
+                        seq, start, size = seq + 1, start + size, 0
+                        docs, counts, ids = [], [], []
+                done += len(each)
         if docs:
             yield image()
 

@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 from tessera.llm import packing, tokens, wavelet
 
 TEXTS = [
-    None, "", "  ", "don't it's we'll I'M x's.", "naïve café ÉCOLE, Straße! İstanbul. ǅ", "foo<|endoftext|>bar", "a b c\u0085d x\x1cy", "１２３ ½ 99% 3.14", "日本語 テスト。", "ΣΑΣ, ΑΣ.",
+    None, "", "  ", "don't it's we'll I'M x's.", "naïve café ÉCOLE, Straße! İstanbul. ǅ", "foo<|endoftext|>bar", "a <|startoftext|> b", "<|endoftext|><|endoftext|>x<|ENDOFTEXT|>", "Ünï<|endoftext|>, ß", "a b c\u0085d x\x1cy", "１２３ ½ 99% 3.14", "日本語 テスト。", "ΣΑΣ, ΑΣ.",
     "a" * 3000, "..,, !?x...", "\x00 a\x00b", "it''s '''s", "word'. 'word' rock'n'roll", "plain words " * 900, "é. ́x",
 ]
 
@@ -16,7 +16,6 @@ TEXTS = [
 @pytest.fixture(scope="module")
 def reference():
     t = Tokenizer.from_file(tokens.vocabulary_path())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
