@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import ann, exact_dedup, lattice, minhash, mixing, packing, quality, sharding, toxicity, wavelet
 
 QUERIES = {
@@ -17,7 +15,6 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_lattice_lm": lattice.op9_lattice_lm,
     "op10_ivf_pq": ann.op10_ivf_pq,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLE = {
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,

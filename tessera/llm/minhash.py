@@ -41,6 +41,8 @@ WIDTH, PERCENT = 5, 80
 MAX_CACHED_WORDS = 150_000
 #: Pivots of the first round, and their growth from round to round.
 PIVOTS, PIVOT_GROWTH = 1, 8
+#: Parts of a bucket whose pivots are chosen apart first.
+SALTS = 16
 #: Counters of shingles, by hash, that tell rare from frequent; their number is fixed.
 SLOTS = 1 << 20
 #: Places of a signature that are shifted together; bounds memory for long texts.
@@ -54,6 +56,9 @@ KEY_SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, bands array<
 class _WordHashes(dict):
     """64-bit hashes of words, kept up to a bound."""
 
+    def __init__(self, _key: str = "") -> None:
+        pass
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MAX_CACHED_WORDS:
             self.clear()
@@ -61,9 +66,6 @@ class _WordHashes(dict):
         return value
 
 
-_words = _WordHashes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     """A permutation of the 64-bit numbers."""
     x = (x ^ (x >> np.uint64(30))) * _M2
@@ -80,7 +82,7 @@ def shingles(text: bytes | None, width: int) -> np.ndarray:
     words = text.lower().split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(common.kept("minhash", "", _WordHashes).__getitem__, words), np.uint64, len(words))
     k = min(width, len(words))
     total = np.full(len(words) - k + 1, np.uint64(k)) * _M4
     for j in range(k):
@@ -198,8 +200,9 @@ def _deal_by_shingles(live: DataFrame, texts: DataFrame, labels: DataFrame, widt
     """The documents of ``live`` in new buckets, one for each shingle that several of them have among their first."""
     docs = common.materialize(texts.join(common.maybe_broadcast(live.select("doc_id").distinct()), "doc_id", "left_semi"), "minhash-texts")
     counts = np.zeros(SLOTS, np.int64)
-    for slot, n in docs.select("text").mapInArrow(_slots(width), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # at most SLOTS rows
-        counts[slot] = n
+    found = docs.select("text").mapInArrow(_slots(width), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS rows
+    counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    del found
     shared = live.sparkSession.sparkContext.broadcast(counts)
     found = common.materialize(docs.select("doc_id", "text").mapInArrow(_first_shingles(shared, width, percent), "bucket long, doc_id long, n long, place long"), "minhash-first")
     several = common.materialize(found.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"), "minhash-buckets")
@@ -241,11 +244,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents are linked if ``100 * |A n B| >= percent * |A u B|``;
     ``component_id`` is the least id reachable over links. Null, empty and
-    wordless texts have no shingles and link with nothing. Rows that share an
-    id count as one document; a null id is alone. An empty table gives no row.
+    wordless texts have no shingles and link with nothing. Sets count as equal
+    if their sizes and two sums of 64-bit hashes agree. Rows that share an id
+    count as one document with the least of their texts; a null id is alone.
+    An empty table gives no row.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     keys = common.materialize(source.mapInArrow(_keys(width, bands, rows), KEY_SCHEMA), "minhash-keys")
+    if not keys.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        one = common.materialize(source.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("text").alias("text")).union(source.where("doc_id IS NULL")), "minhash-one")
+        found = near_duplicates(one, width=width, percent=percent, bands=bands, rows=rows)
+        again = keys.where("doc_id IS NOT NULL").select("doc_id").join(found.where("doc_id IS NOT NULL"), "doc_id")
+        return again.union(found.where("doc_id IS NULL"))
     full = keys.where("n_shingles > 0 AND doc_id IS NOT NULL")
     group = ["set_a", "set_b", "n_shingles"]
     classes = common.materialize(full.groupBy(*group).agg(F.min("doc_id").alias("class_id")), "minhash-classes")
@@ -254,7 +264,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = common.materialize(slots.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "minhash-buckets")
     live = common.materialize(slots.join(shared, "bucket").select("bucket", "doc_id", F.col("n_shingles").alias("n"), F.lit(0).cast("long").alias("place"), F.col("doc_id").alias("comp")), "minhash-live")
     labels = common.materialize(live.select("doc_id", "comp").distinct(), "minhash-labels")
-    texts = common.materialize(source.join(common.maybe_broadcast(labels.select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "minhash-texts")
+    texts = common.materialize(source.join(common.maybe_broadcast(labels.select("doc_id")), "doc_id", "left_semi"), "minhash-texts")
     failed, pivots, turn = None, PIVOTS, 0
     while True:
         open_ = common.materialize(live.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket"), "minhash-open")
@@ -268,8 +278,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if pivots == 1:
             chosen = live.groupBy("bucket").agg(F.min(F.struct("doc_id", "n", "place", "comp")).alias("p")).select("bucket", "p.*")
         else:
+            # first within parts of a bucket, so no task holds a large one
+            within = F.row_number().over(Window.partitionBy("bucket", "salt").orderBy("doc_id"))
+            chosen = live.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).withColumn("rank", within).where(F.col("rank") <= pivots)
             rank = F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id"))
-            chosen = live.withColumn("rank", rank).where(F.col("rank") <= pivots).drop("rank")
+            chosen = chosen.withColumn("rank", rank).where(F.col("rank") <= pivots).drop("rank", "salt")
         chosen = common.materialize(chosen.select("bucket", F.col("doc_id").alias("p_id"), F.col("n").alias("p_n"), F.col("place").alias("p_place"), F.col("comp").alias("p_comp")), "minhash-pivots")
         near = (F.col("comp") != F.col("p_comp")) & (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n"))
         near = near & ((100 + percent) * F.least(F.col("n") - F.col("place"), F.col("p_n") - F.col("p_place")) >= percent * (F.col("n") + F.col("p_n")))

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import operator
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -67,15 +68,16 @@ class Ordinal:
     grades: np.ndarray
 
     @classmethod
-    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray) -> Ordinal:
-        """Penalised maximum likelihood by Adam over all rows at once."""
+    def fit(cls, sizes: np.ndarray, column: np.ndarray, value: np.ndarray, grades: np.ndarray) -> Ordinal:
+        """Penalised maximum likelihood by Adam over all rows at once.
+
+        Rows follow one another in ``column`` and ``value`` with ``sizes`` entries each.
+        """
         levels, y = np.unique(grades, return_inverse=True)
         k = len(levels)
         if k < 2:
             return cls(np.zeros(BUCKETS), np.zeros(0), levels)
-        column = np.concatenate([r[0] for r in rows])
-        value = np.concatenate([r[1] for r in rows])
-        row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+        row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         share = np.cumsum(np.bincount(y, minlength=k))[:-1] / len(y)
         first = np.log(share / (1 - share))
         # thresholds are the first one and logs of the steps between them
@@ -83,16 +85,16 @@ class Ordinal:
         m, v = np.zeros_like(p), np.zeros_like(p)
         for t in range(1, STEPS + 1):
             theta = np.concatenate([p[BUCKETS : BUCKETS + 1], np.exp(p[BUCKETS + 1 :])]).cumsum()
-            z = np.bincount(row, value * p[column], len(rows))
+            z = np.bincount(row, value * p[column], len(sizes))
             edge = np.concatenate([[-np.inf], theta, [np.inf]])
             with np.errstate(over="ignore"):
                 high, low = 1 / (1 + np.exp(z - edge[y + 1])), 1 / (1 + np.exp(z - edge[y]))
             inside = np.maximum(high - low, 1e-12)
             d_high, d_low = high * (1 - high) / inside, low * (1 - low) / inside
-            by_z = (d_high - d_low) / len(rows)  # of the negative log likelihood
+            by_z = (d_high - d_low) / len(sizes)  # of the negative log likelihood
             grad = np.zeros_like(p)
             grad[:BUCKETS] = np.bincount(column, value * by_z[row], BUCKETS) + PENALTY * p[:BUCKETS]
-            by_theta = (np.bincount(y, d_low, k)[1:] - np.bincount(y, d_high, k)[:-1]) / len(rows)
+            by_theta = (np.bincount(y, d_low, k)[1:] - np.bincount(y, d_high, k)[:-1]) / len(sizes)
             tail = by_theta[::-1].cumsum()[::-1]
             grad[BUCKETS:] = tail * np.concatenate([[1.0], np.exp(p[BUCKETS + 1 :])])
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
@@ -126,7 +128,7 @@ class _Weights(dict):
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         columns, values = [], []
-        for text in batch.column(1):
+        for text in batch.column(2):
             words = (text.as_py() or b"").split()
             total: Counter = Counter()
             for word, n in Counter(words).items():
@@ -136,13 +138,15 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             columns.append(np.fromiter(total.keys(), np.int32, len(total)))
             values.append(np.fromiter(total.values(), np.float64, len(total)))
         kinds = pa.list_(pa.int32()), pa.list_(pa.float64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns, kinds[0]), pa.array(values, kinds[1])], ["grade", "columns", "values"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(columns, kinds[0]), pa.array(values, kinds[1])], ["id", "grade", "columns", "values"])
 
 
 def _grade(shared):
+    key = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        weights = _Weights(model.weights)
+        weights = common.kept("quality", key, lambda _: _Weights(model.weights))
         for batch in batches:
             expected, tail = [], []
             for text in batch.column(1):
@@ -161,17 +165,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A model of labelled rows; ``None`` without any.
 
     Null grades and ids are left out; of a document that is labelled twice
-    each label counts.
+    each label counts. Of rows that repeat an id the one with the least text
+    counts, so no more rows are fitted than labels are chosen.
     """
     chosen = labels.select(F.col(id_col).alias("_label_id"), F.col(grade_col).cast("double").alias("grade")).where("grade IS NOT NULL AND _label_id IS NOT NULL")
     chosen = common.hash_sample(chosen, sample_rows, "_label_id", "grade")
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("text"))
-    rows = texts.join(F.broadcast(chosen), F.col("_id") == F.col("_label_id")).select("grade", "text")
-    found = rows.mapInArrow(_features, "grade double, columns array<int>, values array<double>").toPandas()
-    found = found.iloc[np.lexsort((found["columns"].map(len), found["grade"]))] if len(found) else found
+    # the chosen rows are few, so the sum over repeats is small
+    rows = texts.join(F.broadcast(chosen.distinct()), F.col("_id") == F.col("_label_id")).groupBy("_id", "grade").agg(F.min("text").alias("text")).select(F.col("_id").cast("string").alias("id"), "grade", "text")
+    found = rows.mapInArrow(_features, "id string, grade double, columns array<int>, values array<double>").toArrow().sort_by([("id", "ascending"), ("grade", "ascending")]).combine_chunks()
     if not len(found):
         return None
-    return Ordinal.fit(list(zip(found["columns"], found["values"], strict=True)), found["grade"].to_numpy())
+    columns, values = found.column("columns").combine_chunks(), found.column("values").combine_chunks()
+    sizes, grades = np.diff(columns.offsets.to_numpy()), found.column("grade").to_numpy()
+    return Ordinal.fit(sizes, columns.flatten().to_numpy(), values.flatten().to_numpy(), grades)
 
 
 def grade(docs: DataFrame, model: Ordinal | None, id_col: str = "doc_id", text_col: str = "text", keep_probability: float = KEEP_PROBABILITY) -> DataFrame:
@@ -196,10 +203,12 @@ def keep_good(docs: DataFrame, model: Ordinal | None, text_col: str = "text", ke
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    grade_texts = _grade(shared)
+
     @F.pandas_udf("boolean")
     def good(texts):
         batch = pa.RecordBatch.from_arrays([pa.nulls(len(texts), pa.int64()), pa.array(texts, pa.binary())], ["doc_id", "text"])
-        (out,) = _grade(shared)(iter([batch]))
+        (out,) = grade_texts(iter([batch]))
         return out.column(2).to_pandas() >= keep_probability
 
     return docs.where(good(F.col(text_col).cast("binary")))

@@ -40,7 +40,7 @@ def test_ordinal_gradient():
     rng = np.random.default_rng(0)
     rows_ = [(rng.integers(0, 50, 5).astype(np.int32), rng.random(5)) for _ in range(60)]
     y = np.array([float(r[0][0] > 20) + float(r[0][0] > 35) for r in rows_])
-    m = quality.Ordinal.fit(rows_, y)
+    m = quality.Ordinal.fit(np.full(60, 5), np.concatenate([c for c, _ in rows_]), np.concatenate([v for _, v in rows_]), y)
     value = np.array([(m.weights[c] * v).sum() for c, v in rows_])
     p = np.stack([np.concatenate([[1.0], m.above(v), [0.0]]) for v in value])
     likelihood = np.log((p[:, :-1] - p[:, 1:])[np.arange(60), y.astype(int)]).mean()
@@ -144,29 +144,134 @@ def test_mixing_edges(rows):
     assert mixing.repeat_rows(same).columns == same.columns
 
 
-def brute_lattice(word, pieces, logp, stop):
-    at = {p: q for p, q in zip(pieces, logp, strict=True)}
-    text, alpha = lattice.START + word, [1.0] + [0.0] * (len(word) + 1)
-    for j in range(1, len(text) + 1):
-        for i in range(j):
-            if text[i:j] in at:
-                alpha[j] += alpha[i] * math.exp(at[text[i:j]])
-    return math.log(alpha[-1]) + stop
+def brute_model(pieces, uses, lasts):
+    """Probabilities of pieces and of stopping after each, in plain Python."""
+    first = sum(u for p, u in zip(pieces, uses, strict=True) if p.startswith(lattice.START))
+    later, mean = sum(uses) - first, sum(lasts) / sum(uses)
+    share = {p: u / (first if p.startswith(lattice.START) else later) for p, u in zip(pieces, uses, strict=True)}
+    stop = {p: (z + lattice.PRIOR_STOPS * mean) / (u + lattice.PRIOR_STOPS) for p, u, z in zip(pieces, uses, lasts, strict=True)}
+    return share, stop
+
+
+def log_add(terms):
+    top = max(terms, default=-math.inf)
+    return top if top == -math.inf else top + math.log(sum(math.exp(t - top) for t in terms))
+
+
+def brute_arcs(word, model):
+    share, stop = model
+    text, longest = lattice.START + word, max(map(len, share))
+    for i in range(len(text)):
+        for j in range(i + 1, min(len(text), i + longest) + 1):
+            p = text[i:j]
+            if p in share:
+                yield i, j, p, math.log(share[p]) + math.log(stop[p] if j == len(text) else 1 - stop[p])
+
+
+def brute_lattice(word, model):
+    arcs, ending = list(brute_arcs(word, model)), {}
+    for i, j, _, x in arcs:
+        ending.setdefault(j, []).append((i, x))
+    alpha = [0.0]
+    for j in range(1, len(word) + 2):
+        alpha.append(log_add([alpha[i] + x for i, x in ending.get(j, ())]))
+    return alpha[-1]
+
+
+def brute_uses(word, model):
+    """Expected uses of pieces, and of last pieces, by walking every segmentation."""
+    uses, lasts, total = Counter(), Counter(), brute_lattice(word, model)
+    arcs = {}
+    for i, j, p, x in brute_arcs(word, model):
+        arcs.setdefault(i, []).append((j, p, x))
+
+    def walk(i, path, weight):
+        if i == len(word) + 1:
+            for p in path:
+                uses[p] += math.exp(weight - total)
+            lasts[path[-1]] += math.exp(weight - total)
+        for j, p, x in arcs.get(i, ()):
+            walk(j, [*path, p], weight + x)
+
+    walk(0, [], 0.0)
+    return uses, lasts
 
 
 def test_lattice_sums_all_segmentations():
-    pieces = [bytes([b]) for b in range(256)] + [b"\xffab", b"\xffa", b"bc", b"abc", b"c"[:1] + b"d"]
+    pieces = [bytes([b]) for b in range(256)] + [b"\xffab", b"\xffa", b"bc", b"abc", b"cd"]
     rng = np.random.default_rng(0)
-    m = lattice.Lattice(pieces, np.log(rng.random(len(pieces))))
-    words = [b"abc", b"abcd", b"a", "é".encode(), b"x" * 50, b"bcbcabc"]
-    got = m.scores(words)
-    assert got == pytest.approx([brute_lattice(w, pieces, m.logp, m.stop) for w in words])
-    uses = m.expected(words)
-    assert uses[m.starts].sum() == pytest.approx(len(words))
-    eps, k = 1e-6, pieces.index(b"bc")
-    before = m.logp[k]
-    m.logp[k] = before + eps
-    assert (m.scores(words) - got).sum() / eps == pytest.approx(uses[k], rel=1e-3)
+    uses = rng.random((len(pieces), 2))
+    lasts = uses * rng.random((len(pieces), 2))
+    m = lattice.Lattice(pieces, uses, lasts)
+    words = [b"abc", b"abcd", b"a", "é".encode(), b"bcbcabc", b"abcbc"]
+    models = [brute_model(pieces, uses[:, c], lasts[:, c]) for c in range(2)]
+    got = m.scores([*words, b"x" * 50])
+    assert got[:-1] == pytest.approx(np.array([[brute_lattice(w, x) for x in models] for w in words]))
+    weights = rng.random((len(words), 3))
+    found = m.expected(words, weights)
+    for c in range(3):
+        each = [brute_uses(w, models[0]) for w in words]
+        assert found[:, c] == pytest.approx(np.array([sum(x * u[p] for x, (u, _) in zip(weights[:, c], each, strict=True)) for p in pieces]))
+        assert found[:, 3 + c] == pytest.approx(np.array([sum(x * z[p] for x, (_, z) in zip(weights[:, c], each, strict=True)) for p in pieces]))
+
+
+def brute_scores(docs, rounds):
+    """log10 probabilities by the whole method, in plain Python."""
+    learnt = [(t or "", c) for d, t, c in docs if zlib.crc32(str(d).encode()) % 7 != 2]
+    rows = Counter(c or "" for _, c in learnt)
+    kinds = sorted(rows, key=lambda c: (-rows[c], c))
+    counts = {c: Counter() for c in kinds}
+    for t, c in learnt:
+        counts[c or ""].update(t.encode().lower().split())
+    both = sum(counts.values(), Counter())
+
+    def facts(c, n):
+        once, twice = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        d, total = once / (once + 2 * twice) if once and twice else 0.5, max(1, sum(c.values()) + n)
+        return d, total, d * len(c) / total if c else 1e-3
+
+    pieces, logp = lattice.read_vocabulary(lattice.tokens.vocabulary_path(lattice.VOCABULARY))
+    uses = np.exp(logp)
+    lasts = uses * lattice.FIRST_STOP
+    for turn in range(rounds):
+        groups = [both] if turn < rounds - 1 else [counts[c] for c in kinds]
+        model, fresh = brute_model(pieces, uses.tolist(), lasts.tolist()), []
+        each = {w: brute_uses(w, model) for w in both}
+        for g in groups:
+            u, z = Counter(), Counter()
+            for w in g:
+                u.update(each[w][0])
+                z.update(each[w][1])
+            fresh.append((np.array([u[p] for p in pieces]) + lattice.SMOOTHING, np.array([z[p] for p in pieces]) + lattice.SMOOTHING * lattice.FIRST_STOP))
+        uses, lasts = fresh[0]
+    scale = lattice.PRIOR_PIECES / sum(u.sum() for u, _ in fresh)
+    more = sum(u for u, _ in fresh) * scale, sum(z for _, z in fresh) * scale
+    models = [brute_model(pieces, (u + more[0]).tolist(), (z + more[1]).tolist()) for u, z in fresh]
+    pool, out = facts(both, len(learnt)), []
+    for _, t, _ in docs:
+        terms = []
+        for c, m in zip(kinds, models, strict=True):
+            own = facts(counts[c], rows[c])
+            mixed = lambda a, b: (1 - lattice.POOLED) * a + lattice.POOLED * b
+            x = math.log10(rows[c] / len(learnt)) + math.log10(mixed(rows[c] / own[1], len(learnt) / pool[1]))
+            for w in (t or "").encode().lower().split():
+                counted = mixed(max(counts[c][w] - own[0], 0) / own[1], max(both[w] - pool[0], 0) / pool[1])
+                rest = math.log(mixed(own[2], pool[2])) + brute_lattice(w, m)
+                x += log_add([math.log(counted) if counted else -math.inf, rest]) / math.log(10)
+            terms.append(x * math.log(10))
+        out.append(log_add(terms) / math.log(10))
+    return out
+
+
+@pytest.mark.parametrize("frequent", [lattice.FREQUENT_WORDS, 0])
+def test_score_is_the_whole_method(rows, monkeypatch, frequent):
+    monkeypatch.setattr(lattice, "FREQUENT_WORDS", frequent)
+    rng = random.Random(3)
+    en, fr = ["the", "of,", "ring", "thand."], ["lé", "des", "eaux", "ré."]
+    docs = [(i, " ".join(rng.choices(en if i % 3 else fr, k=6)) + rng.choice(["", " newe", " théa."]), "en" if i % 3 else "fr") for i in range(40)] + [(50, None, None), (51, " ", "en")]
+    out = lattice.lm_scores(rows(docs, "doc_id long, text string, lang string").repartition(3), rounds=2).collect()
+    want = dict(zip([d for d, _, _ in docs], brute_scores(docs, 2), strict=True))
+    assert {r["doc_id"]: r["score"] for r in out} == pytest.approx(want, rel=1e-9)
 
 
 def test_lm_counts_and_beats_nothing_known(rows):
@@ -194,20 +299,7 @@ def test_lm_counts_and_beats_nothing_known(rows):
     assert lattice.lm_scores(rows([], "doc_id long, text string")).count() == 0
 
 
-def log10_lattice(word, lattice_):
-    at = dict(zip(lattice_.pieces, lattice_.logp, strict=True))
-    text, longest = lattice.START + word, max(map(len, at))
-    alpha = [0.0] + [-math.inf] * len(text)
-    for j in range(1, len(text) + 1):
-        terms = [alpha[i] + at[text[i:j]] for i in range(max(0, j - longest), j) if text[i:j] in at]
-        top = max(terms)
-        alpha[j] = top + math.log(sum(math.exp(t - top) for t in terms))
-    return (alpha[-1] + lattice_.stop) / math.log(10)
-
-
-@pytest.mark.parametrize("frequent", [lattice.FREQUENT_WORDS, 0])
-def test_long_words_keep_their_whole_score(rows, monkeypatch, frequent):
-    monkeypatch.setattr(lattice, "FREQUENT_WORDS", frequent)
+def test_long_words_keep_their_whole_score(rows):
     rng = random.Random(7)
     held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2]
     learnt = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2]
@@ -216,12 +308,13 @@ def test_long_words_keep_their_whole_score(rows, monkeypatch, frequent):
     train = [(learnt[0], "x x y"), (learnt[1], f"z {known}")]
     out = lattice.lm_scores(rows(train + list(zip(held, words, strict=False)), "doc_id long, text string"), rounds=0)
     got = {r["doc_id"]: r["score"] for r in out.collect()}
-    model = lattice.Lattice(*lattice.read_vocabulary(lattice.tokens.vocabulary_path(lattice.VOCABULARY)))
-    model.pieces = lattice.read_vocabulary(lattice.tokens.vocabulary_path(lattice.VOCABULARY))[0]
+    pieces, logp = lattice.read_vocabulary(lattice.tokens.vocabulary_path(lattice.VOCABULARY))
+    uses = np.exp(logp) * lattice.PRIOR_PIECES / np.exp(logp).sum()
+    model = brute_model(pieces, uses.tolist(), (uses * lattice.FIRST_STOP).tolist())
     # two rows, five words, four distinct, three of them once and one twice
     total, discount = 7.0, 3 / 5
     for doc, word in zip(held, words, strict=False):
-        part = log10_lattice(word.encode(), model) + math.log10(discount * 4 / total)
+        part = brute_lattice(word.encode(), model) / math.log(10) + math.log10(discount * 4 / total)
         if word == known:
             part = math.log10((1 - discount) / total)
         assert got[doc] == pytest.approx(part + math.log10(2 / total), rel=1e-6)
