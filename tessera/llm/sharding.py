@@ -2,17 +2,23 @@
 
 Each append writes its rows as small shards that never change. A shard's tier
 is how often its size doubles ``FANOUT``-fold from the smallest tier on. When a
-tier has ``FANOUT`` shards or more, runs of its shards, in the order in which
-they arrived, are read together and written again as files of about the target
-size; nothing is shuffled. The manifest lists the live shards of one version.
-A version is committed by renaming a complete file to a name that must not
-exist, so of two writers one fails and starts again, and readers of an older
-version keep their files until :meth:`ShardStore.expire` is called.
+tier has ``FANOUT`` shards or more, each run of its shards, in the order in
+which they arrived, becomes one file of at most about the target size and takes
+its shards' place in that order; nothing is shuffled. The manifest lists the
+live shards of one version. A version is committed by renaming a complete file
+to a name that must not exist, so of two writers one fails and starts again,
+and readers of an older version keep their files until
+:meth:`ShardStore.expire` is called.
+
+Rows are kept as they come: nulls, empty and long texts, repeated rows and any
+columns. No row is lost or changed; the order of rows within a merged file is
+not defined. An empty arrival makes no version.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -24,6 +30,12 @@ from . import common
 TARGET_BYTES = 128 << 20
 SMALLEST_BYTES = 1 << 20
 FANOUT = 4
+#: Runs that one job merges; each is a task.
+JOB_RUNS = 64
+#: Seconds for which files that no version lists are left alone: a writer may be about to commit them.
+GRACE_SECONDS = 86_400
+#: Arrivals that the query deals its table to.
+ARRIVALS = 3
 #: Rows of a shard at its arrival, at most.
 ARRIVAL_ROWS = 20_000
 
@@ -120,6 +132,8 @@ class ShardStore:
             context.rename(draft, final, options)
         except Exception as e:
             self._fs.delete(draft, False)
+            if not self._fs.exists(final):
+                raise
             raise VersionConflict(f"version {version} exists") from e
         return version
 
@@ -151,51 +165,74 @@ class ShardStore:
         if not runs:
             return False
         merged: list[Shard] = []
-        # one job for all runs of about one size, so many target files are written at once
-        sources = [s for run in runs for s in run]
-        folder = f"data/{uuid.uuid4().hex}"
-        rows = self.spark.read.parquet(*[f"{self.root}/{s.path}" for s in sources])
-        files = max(1, -(-sum(s.bytes for s in sources) // self.target))
-        rows.coalesce(files).write.parquet(f"{self.root}/{folder}")
-        first, last = min(s.first for s in sources), max(s.last for s in sources)
-        merged = [Shard(p, size, n, first, last) for p, size, n in self._files(folder)]
-        gone = set(sources)
+        for lo in range(0, len(runs), JOB_RUNS):
+            merged += self._merge(runs[lo : lo + JOB_RUNS])
+        gone = {s for run in runs for s in run}
         try:
             self._commit(version, [s for s in live if s not in gone] + merged)
         except VersionConflict:
-            self._fs.delete(self._path(folder), True)
+            for s in merged:
+                self._fs.delete(self._path(s.path), False)
         return True
 
+    def _merge(self, runs: list[list[Shard]]) -> list[Shard]:
+        """One file for each run, written by one job with a task a run."""
+        folder, rows = f"data/{uuid.uuid4().hex}", None
+        schema = self.spark.read.parquet(f"{self.root}/{runs[0][0].path}").schema
+        for run in runs:
+            part = self.spark.read.schema(schema).parquet(*[f"{self.root}/{s.path}" for s in run]).coalesce(1)
+            rows = part if rows is None else rows.union(part)
+        rows.write.option("maxRecordsPerFile", 0).parquet(f"{self.root}/{folder}")
+        out = []
+        for path, size, n in self._files(folder):
+            run = runs[int(path.rsplit("/", 1)[1].split("-")[1])]  # files bear the number of their task
+            out.append(Shard(path, size, n, run[0].first, run[-1].last))
+        return out
+
     def compact_all(self) -> int:
         """Compact until nothing is due; the last version."""
         while self.compact():
             pass
         return self.manifest()[0]
 
-    def expire(self) -> None:
-        """Delete all versions but the last, and every file that it doesn't list."""
+    def expire(self, grace_seconds: float = GRACE_SECONDS) -> None:
+        """Delete all versions but the last, and the files that only they list.
+
+        Files that no version lists may be those of a writer that hasn't
+        committed yet, so they go only when older than ``grace_seconds``.
+        """
         version, live = self.manifest()
-        keep = {s.path for s in live}
+        keep, listed = {s.path for s in live}, set()
         for v in self.versions():
-            if v != version:
+            if v < version:
+                listed |= {s.path for s in self.manifest(v)[1]}
                 self._fs.delete(self._path(f"manifests/v{v:010d}.json"), False)
+        before = (time.time() - grace_seconds) * 1000
         for folder in self._fs.listStatus(self._path("data")) if self._fs.exists(self._path("data")) else []:
             name = f"data/{folder.getPath().getName()}"
             for f in self._fs.listStatus(folder.getPath()):
-                if f"{name}/{f.getPath().getName()}" not in keep:
+                path = f"{name}/{f.getPath().getName()}"
+                if path not in keep and (path in listed or f.getModificationTime() < before):
                     self._fs.delete(f.getPath(), False)
 
-    def read(self, version: int | None = None) -> DataFrame | None:
-        """The rows of a version with ``shard``, their file's path; ``None`` before the first."""
+    def read(self, version: int | None = None, path_col: str | None = None) -> DataFrame | None:
+        """The rows of a version, and in ``path_col``, if given, their file's path; ``None`` before the first.
+
+        ``path_col`` must not be the name of one of the table's own columns.
+        """
         _, live = self.manifest(version)
         if not live:
             return None
-        path = F.regexp_extract(F.col("_metadata.file_path"), r"(data/[^/]+/[^/]+)$", 1)
-        return self.spark.read.parquet(*[f"{self.root}/{s.path}" for s in live]).withColumn("shard", path)
+        rows = self.spark.read.parquet(*[f"{self.root}/{s.path}" for s in live])
+        if path_col is None:
+            return rows
+        if path_col in rows.columns:
+            raise ValueError(f"the rows have a column {path_col!r} of their own")
+        return rows.withColumn(path_col, F.regexp_extract(F.col("_metadata.file_path"), r"(data/[^/]+/[^/]+)$", 1))
 
 
 def op7_tiered_shards(spark, sf_dir: str) -> DataFrame:
-    """All ``documents`` appended, compacted and read back.
+    """All ``documents`` appended in several arrivals, each compacted, and read back.
 
     Per row: doc_id, its text's crc32 and bytes as the live shard holds them,
     the shard's number in the order of the manifest, its bytes, rows, tier and
@@ -203,14 +240,15 @@ def op7_tiered_shards(spark, sf_dir: str) -> DataFrame:
     """
     store = ShardStore(spark, common.scratch_path(spark, "op7-store"))
     docs = common.table(spark, sf_dir, "documents")
-    store.append(docs)
-    version = store.compact_all()
-    store.expire()
-    rows, (_, live) = store.read(), store.manifest()
+    for k in range(ARRIVALS):
+        store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)) == k))
+        store.compact_all()
+        store.expire()
+    rows, (version, live) = store.read(path_col="_shard_path"), store.manifest()
     if rows is None:
         return spark.createDataFrame([], "doc_id long, text_crc32 long, text_bytes int, shard_no int, shard_bytes long, shard_rows long, tier int, version int")
     listed = [(s.path, i, s.bytes, s.rows, tier(s.bytes)) for i, s in enumerate(sorted(live, key=lambda s: (s.first, s.path)))]
-    shards = spark.createDataFrame(listed, "shard string, shard_no int, shard_bytes long, shard_rows long, tier int")
+    shards = spark.createDataFrame(listed, "_shard_path string, shard_no int, shard_bytes long, shard_rows long, tier int")
     text = F.coalesce("text", F.lit(""))
-    rows = rows.select("doc_id", F.crc32(text.cast("binary")).alias("text_crc32"), F.octet_length(text).alias("text_bytes"), "shard")
-    return rows.join(common.maybe_broadcast(shards), "shard").drop("shard").withColumn("version", F.lit(version))
+    rows = rows.select("doc_id", F.crc32(text.cast("binary")).alias("text_crc32"), F.octet_length(text).alias("text_bytes"), "_shard_path")
+    return rows.join(common.maybe_broadcast(shards), "_shard_path").drop("_shard_path").withColumn("version", F.lit(version))
