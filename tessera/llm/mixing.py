@@ -39,7 +39,8 @@ def water_fill(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epoch
     Sources by code point, null last, get the weights in turn. Sources sorted
     by cap over weight are capped in that order, so the level is the first
     one that leaves its source, and thus all later ones, at or under the cap:
-    what repeated resharing of the excess ends in. Works on one row a source.
+    what repeated resharing of the excess ends in. Works on one row a source
+    in one task: meant for up to some hundred thousand sources.
     """
     by_name, everything = Window.orderBy(F.col("source").asc_nulls_last()), Window.partitionBy()
     turn = (F.row_number().over(by_name) - 1) % len(weights)
@@ -89,7 +90,8 @@ def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     last = units.withColumn("before", before).where(F.col("before") + F.col("n") / 2.0 <= F.col("rest")).groupBy("source").agg(F.max("hash").alias("last"))
     first = sum((F.col(f"digit{k}") * F.lit(1 << (4 * HASH_DIGITS - LEVEL_BITS * (k + 1))) for k in range(LEVELS)), F.lit(0).cast("long"))
     state = _join(state, last, "left")
-    threshold = F.coalesce("last", first - 1, F.lit(-1))
+    # at the cap nothing more is taken, not even a row without words
+    threshold = F.when(F.col("whole") >= MAX_EPOCHS, F.lit(-1)).otherwise(F.coalesce("last", first - 1, F.lit(-1)))
     return state.select("source", "source_size", "target", "whole", threshold.alias("threshold"))
 
 
@@ -122,14 +124,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def repeat_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
-    """``docs`` with every row as often as the mix takes it; columns stay."""
-    columns = docs.columns
+    """``docs`` with every row as often as the mix takes it, at most ``MAX_EPOCHS`` times; columns stay, whatever their names."""
     sizes = common.materialize(sized(docs, id_col, text_col, source_col, seed), "mix-sizes")
-    right = plan(sizes).select(F.col("source").alias("_mix_source"), "whole", "threshold")
-    right = right.select("_mix_source", F.struct("whole", "threshold").alias("_mix_plan"))
-    rows = docs.join(common.maybe_broadcast(right, MAX_BROADCAST_SOURCES), docs[source_col].eqNullSafe(right["_mix_source"]))
-    times = F.col("_mix_plan.whole") + F.when(seeded_hash(id_col, seed) <= F.col("_mix_plan.threshold"), 1).otherwise(0)
-    return rows.withColumn("_mix_times", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = _join(docs.select(whole, F.col(source_col).alias("source"), seeded_hash(id_col, seed).alias("hash")), plan(sizes).select("source", "whole", "threshold"))
+    return rows.select("row", F.explode(F.array_repeat(F.lit(0), repeats().cast("int")))).select("row.*")
 
 
 ORACLE_SQL = f"""
