@@ -14,6 +14,7 @@ the held-out fold. Scores cover every row and its whole text.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -229,9 +230,11 @@ def _dense(shared):
 
 
 def _predict(shared):
+    key = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        codes = _Codes(model.lexicon)
+        codes = common.kept("toxicity", key, lambda _: _Codes(model.lexicon))
         for batch in batches:
             rows = [features(t.as_py() or b"", codes) for t in batch.column(2)]
             score = model.score(np.array(rows).reshape(-1, len(FEATURES)))
@@ -243,7 +246,8 @@ def _predict(shared):
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Boosted:
     """A model of the labelled rows outside the held-out fold.
 
-    Null labels and ids are left out. Without rows of both classes the score
+    Null labels and ids are left out; of rows that repeat an id the one with
+    the least text counts. Without rows of both classes the score
     is one number, the share of toxic rows, or one half without any rows.
     """
     spark = docs.sparkSession
@@ -251,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = common.hash_sample(chosen.where(common.crc_mod("_label_id", HELD_OUT_MODULUS) != 0), sample_rows, "_label_id", "toxic")
     turn = F.pmod(F.xxhash64(F.lit(3), "_label_id"), F.lit(20)).cast("int").alias("turn")
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("text"))
-    rows = texts.join(F.broadcast(chosen), F.col("_id") == F.col("_label_id")).select("text", "toxic", turn)
+    rows = texts.join(F.broadcast(chosen.distinct()), F.col("_id") == F.col("_label_id")).groupBy("_label_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic", turn)
     rows = common.materialize(rows, "toxic-sample")
     sizes = {(r["toxic"], r["turn"] < 8): r["n"] for r in rows.groupBy("toxic", (F.col("turn") < 8).alias("turn")).agg(F.count("*").alias("n")).withColumn("turn", F.when(F.col("turn"), 0).otherwise(8)).collect()}
     toxic, clean = sizes.get((1, True), 0), sizes.get((0, True), 0)
