@@ -21,11 +21,11 @@ import pyarrow.compute as pc
 
 #: Words of each of the two generations that one Python worker keeps from batch to batch.
 #: A worker outlives its stage, so this memory counts in later stages too.
-MAX_CACHED_WORDS = 300_000
+MAX_CACHED_WORDS = 200_000
 #: Longer words aren't kept.
 MAX_CACHED_BYTES = 64
 #: Bytes of text that are looked up together.
-BATCH_BYTES = 6_000_000
+BATCH_BYTES = 4_000_000
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII's without the apostrophe
