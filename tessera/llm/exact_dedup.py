@@ -41,7 +41,8 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pref
     hashed = common.materialize(marked.select("doc_id", F.coalesce("hit", F.lit(False)).alias("hit"), (digest if all_digests else F.when(F.col("hit"), digest)).alias("text_sha256")), "dedup-digests")
     groups = hashed.where("hit").groupBy("text_sha256").agg(F.max("doc_id").alias("keep"), F.count("*").alias("n")).where("n > 1")
     groups = common.materialize(groups, "dedup-groups").withColumn("hit", F.lit(True))
-    out = hashed.join(groups, ["text_sha256", "hit"], "left")
+    # groups of copies are few, so rows of a large one needn't meet in one task
+    out = hashed.join(common.maybe_broadcast(groups), ["text_sha256", "hit"], "left")
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1).cast("long")).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
@@ -64,7 +65,9 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     twice = common.maybe_broadcast(again)
     single = kept.join(twice, kept[id_col].eqNullSafe(twice["_again_id"]), "left_anti")
     several = kept.join(twice, kept[id_col].eqNullSafe(twice["_again_id"]), "left_semi")
-    return single.unionByName(several.withColumn("_text", F.coalesce(F.col(text_col), F.lit(""))).dropDuplicates([id_col, "_text"]).drop("_text"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = several.groupBy(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_same")).agg(F.first(whole).alias("_row"))
+    return single.unionByName(once.select("_row.*"))
 
 
 ORACLE_SQL = """
