@@ -38,15 +38,22 @@ def kept(owner: str, key: Hashable, make: Callable[[Any], Any]) -> Any:
 
 
 @contextlib.contextmanager
-def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
-    """Arrow batches of at most ``rows`` rows for what is run inside."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """The session's setting ``name`` as ``value`` for what is run inside."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> contextlib.AbstractContextManager[None]:
+    """Arrow batches of at most ``rows`` rows for what is run inside."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -182,9 +182,12 @@ class ShardStore:
         for run in runs:
             part = self.spark.read.schema(schema).parquet(*[f"{self.root}/{s.path}" for s in run]).coalesce(1)
             rows = part if rows is None else rows.union(part)
-        rows.write.option("maxRecordsPerFile", 0).parquet(f"{self.root}/{folder}")
-        out = []
-        for path, size, n in self._files(folder):
+        with common.setting(self.spark, "spark.sql.unionOutputPartitioning", "false"):  # else single partitions become one
+            rows.write.option("maxRecordsPerFile", 0).parquet(f"{self.root}/{folder}")
+        out, files = [], self._files(folder)
+        if len(files) != len(runs):
+            raise RuntimeError(f"{len(runs)} runs made {len(files)} files")
+        for path, size, n in files:
             run = runs[int(path.rsplit("/", 1)[1].split("-")[1])]  # files bear the number of their task
             out.append(Shard(path, size, n, run[0].first, run[-1].last))
         return out

@@ -367,3 +367,40 @@ def test_shards_are_compacted_under_a_manifest(spark, rows, tmp_path):
     assert store.append(rows([], SCHEMA)) == last
     empty = sharding.ShardStore(spark, str(tmp_path / "none"))
     assert empty.read() is None and empty.compact_all() == 0
+
+
+def test_store_merges_each_run_apart(spark, rows, tmp_path, monkeypatch):
+    store = sharding.ShardStore(spark, str(tmp_path / "store"), target=1 << 20, smallest=1000, fanout=2)
+    rng = random.Random(1)
+    columns = "doc_id long, text string, shard string"
+    data = [(i, None if i % 9 == 0 else rng.randbytes(n).hex(), "mine") for i, n in enumerate([300] * 4 + [20_000] * 4)] + [(3, "", None), (3, "", None)]
+    for row in data:
+        store.append(rows([row], columns).coalesce(1))
+    _, live = store.manifest()
+    runs = sharding.plan_merges(live, store.target, store.smallest, store.fanout)
+    assert len(runs) >= 2
+    monkeypatch.setattr(sharding, "JOB_RUNS", 2)
+    assert store.compact()
+    _, after = store.manifest()
+    merged = {(s.first, s.last, s.rows) for s in after}
+    assert {(r[0].first, r[-1].last, sum(s.rows for s in r)) for r in runs} <= merged
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(key, store.read().collect())) == sorted(map(key, data))
+    with pytest.raises(ValueError):
+        store.read(path_col="shard")
+    # what another writer has written and not committed stays
+    rows(data[:1], columns).write.parquet(f"{store.root}/data/other")
+    store.expire()
+    assert spark.read.parquet(f"{store.root}/data/other").count() == 1 and store.read().count() == len(data)
+    last, live = store.manifest()
+    with pytest.raises(sharding.VersionConflict):
+        store._commit(last - 1, live)
+
+
+def test_no_row_is_repeated_above_the_cap(rows):
+    docs = [(i, "w " * 50, "a") for i in range(40)] + [(100 + i, "w " * 5, "b") for i in range(5)] + [(200 + i, t, "b") for i, t in enumerate(["", None, " "] * 4)]
+    df = rows([(*d, 7) for d in docs], "doc_id long, text string, source string, _mix_plan int")
+    out = mixing.repeat_rows(df)
+    times = Counter(r["doc_id"] for r in out.collect())
+    assert out.columns == df.columns and max(times.values()) <= mixing.MAX_EPOCHS
+    assert all(times[i] == mixing.MAX_EPOCHS for i in range(100, 105))
