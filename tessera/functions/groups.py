@@ -15,7 +15,7 @@ ROWS = 4096
 Run = Callable[[object, dict[str, list]], list[tuple]]
 
 
-def stream_groups(df: DataFrame, key: str, order: str, run: Run, schema: str | StructType) -> DataFrame:
+def stream_groups(df: DataFrame, key: str, order: str | list[str], run: Run, schema: str | StructType) -> DataFrame:
     """``run(key, columns)`` for each key's rows in ``order``; its tuples are the rows of ``schema``.
 
     Rows are dealt by the key and sorted in their partition once, so a
@@ -53,4 +53,4 @@ def stream_groups(df: DataFrame, key: str, order: str, run: Run, schema: str | S
             rows += run(held[at][0], dict(zip(columns, held, strict=True)))
         yield batch(rows)
 
-    return df.repartition(key).sortWithinPartitions(key, order).mapInArrow(stream, schema)
+    return df.repartition(key).sortWithinPartitions(key, *([order] if isinstance(order, str) else order)).mapInArrow(stream, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import metrics
+from . import governance, metrics
 from .governance import ContractViolation, binding
 
 
@@ -64,3 +64,35 @@ def receipt(records: DataFrame, template: DataFrame) -> DataFrame:
     digest = F.sha2(F.to_json(F.struct(*sorted(records.columns))), 256)
     sums = F.sum(F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(38,0)"))
     return records.groupBy("annotator_id").agg(F.count("*").alias("record_count"), F.count_if(F.col("evidence_status") == "sufficient").alias("sufficient_count"), F.count_if(F.col("uncertainty")).alias("uncertain_count"), F.sha2(sums.cast("string"), 256).alias("records_sha256"))
+
+
+def _listed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """One row with all rows of ``df`` in the order of a code, of which there are few."""
+    rest = [c for c in df.columns if c != key]
+    return df.agg(F.sort_array(F.collect_list(F.struct(key, *rest))).alias(name))
+
+
+def _bound(facts: DataFrame, identity: dict[str, str]) -> DataFrame:
+    return facts.select(*[F.lit(v).alias(k) for k, v in identity.items()], *facts.columns)
+
+
+def agreement_report(pairs: DataFrame, identity: dict[str, str]) -> DataFrame:
+    """One row: ``identity`` (ids, versions and hashes of what was compared) and the agreement of both annotators.
+
+    ``pairs`` are those of ``governance.annotator_pairs`` with evidence_status
+    and reason_codes.
+    """
+    status = governance.kappa(pairs, "first_evidence_status", "second_evidence_status").select("case_count", F.struct(F.col("agreement").alias("raw_agreement"), F.col("kappa").alias("cohen_kappa")).alias("status_agreement"))
+    per_code = governance.code_scores(pairs, "first_reason_codes", "second_reason_codes")
+    sets = governance.code_agreement(pairs, "first_reason_codes", "second_reason_codes").crossJoin(F.broadcast(governance.macro(per_code))).crossJoin(F.broadcast(_listed(per_code, "code", "per_code")))
+    who = pairs.agg(F.sort_array(F.array_distinct(F.flatten(F.array(F.collect_set("first_annotator_id"), F.collect_set("second_annotator_id"))))).alias("annotator_ids"))
+    facts = who.crossJoin(F.broadcast(status)).crossJoin(F.broadcast(sets.select(F.struct("*").alias("reason_code_agreement"))))
+    return _bound(facts, identity)
+
+
+def structure_report(pairs: DataFrame, metadata: DataFrame, identity: dict[str, str], columns: tuple[str, ...] = ("question_structure_codes", "evidence_structure_codes")) -> DataFrame:
+    """One row: ``identity``, the number of cases and each structure's counts in the order of its codes."""
+    facts = pairs.agg(F.count("*").alias("case_count"))
+    for name in columns:
+        facts = facts.crossJoin(F.broadcast(_listed(governance.structure_counts(pairs, metadata, name), "structure_code", name.removesuffix("_codes") + "_counts")))
+    return _bound(facts, identity)

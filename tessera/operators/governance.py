@@ -192,6 +192,44 @@ def disagreement_by_code(pairs: DataFrame, metadata: DataFrame, codes: str) -> D
     return rows.groupBy("structure_code").agg(F.count("*").alias("case_count"), F.count_if(F.col("first_status") != F.col("second_status")).alias("status_disagreements"))
 
 
+def annotator_pairs(records: DataFrame, fields: Iterable[str], key: str = "case_id", annotator: str = "annotator_id") -> DataFrame:
+    """One row per case of exactly two annotators: both ids and each of ``fields`` as first_* and second_*.
+
+    The first is the smaller id. Cases with another number of records are
+    left out; :func:`pair_violations` lists them.
+    """
+    both = F.struct(annotator, *fields)
+    rows = records.groupBy(key).agg(F.count("*").alias("_n"), F.min_by(both, annotator).alias("_a"), F.max_by(both, annotator).alias("_b"))
+    rows = rows.where((F.col("_n") == 2) & (F.col(f"_a.{annotator}") != F.col(f"_b.{annotator}")))
+    return rows.select(key, *[F.col(f"{s}.{c}").alias(f"{n}_{c}") for s, n in (("_a", "first"), ("_b", "second")) for c in (annotator, *fields)])
+
+
+def pair_violations(records: DataFrame, key: str = "case_id", annotator: str = "annotator_id") -> DataFrame:
+    """Key and rule of cases that don't have one record each of two annotators."""
+    rows = records.groupBy(key).agg(F.count("*").alias("n"), F.min(annotator).alias("a"), F.max(annotator).alias("b"))
+    rule = F.when(F.col("n") != 2, "records").when(F.col("a").isNull() | (F.col("a") == F.col("b")), "one annotator")
+    return rows.select(key, rule.alias("rule")).where("rule IS NOT NULL")
+
+
+def structure_counts(pairs: DataFrame, metadata: DataFrame, codes: str) -> DataFrame:
+    """Per code of a structure: its cases and how many differ, are uncertain or need a third opinion.
+
+    ``pairs`` has first_* and second_* of evidence_status, response_action,
+    reason_codes and uncertainty. A case counts once for each of its codes.
+    """
+    differs = lambda c: ~F.col(f"first_{c}").eqNullSafe(F.col(f"second_{c}"))
+    status, action = differs("evidence_status"), differs("response_action")
+    reasons = ~F.sort_array(F.array_distinct("first_reason_codes")).eqNullSafe(F.sort_array(F.array_distinct("second_reason_codes")))
+    unsure = F.coalesce("first_uncertainty", F.lit(False)) | F.coalesce("second_uncertainty", F.lit(False))
+    any_of = status | action | reasons
+    rows = pairs.join(metadata.select("case_id", F.explode(F.array_distinct(codes)).alias("structure_code")), "case_id")
+    counts = {
+        "disagreement_case_count": any_of, "uncertainty_case_count": unsure, "requires_adjudication_count": any_of | unsure, "evidence_status_disagreement_count": status,
+        "response_action_disagreement_count": action, "reason_codes_disagreement_count": reasons,
+    }
+    return rows.groupBy("structure_code").agg(F.count("*").alias("case_count"), *[F.count_if(c).alias(n) for n, c in counts.items()])
+
+
 def url_rule(url: Column, hosts: list[str]) -> Column:
     """Why a URL isn't allowed: not HTTPS, or a host off the list; null if it is."""
     scheme, host = F.try_parse_url(url, F.lit("PROTOCOL")), F.lower(F.try_parse_url(url, F.lit("HOST")))

@@ -171,3 +171,9 @@ def envelopes(leaves: DataFrame, ancestors_col: str = "ancestor_ids", start: str
     rows = leaves.select(F.explode(ancestors_col).alias("ancestor_id"), F.col(start).alias("s"), F.col(stop).alias("e"))
     out = rows.groupBy("ancestor_id").agg(F.count("*").alias("descendants"), F.min("s").alias("start_pos"), F.max("e").alias("stop_pos"), F.sum(F.col("e") - F.col("s")).alias("covered"))
     return out.withColumn("contiguous", F.col("covered") == F.col("stop_pos") - F.col("start_pos")).drop("covered")
+
+
+def source_spans(spans: DataFrame, document_id: object = None) -> DataFrame:
+    """Spans that a heading of the source stands for, of one document or of all."""
+    rows = spans.where(F.col("node_kind") == "source")
+    return rows if document_id is None else rows.where(F.col("document_id") == document_id)

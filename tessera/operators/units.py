@@ -7,17 +7,14 @@ the document, and different sources run apart.
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.groups import stream_groups
+from .atoms import best_partition, partition_passages  # noqa: F401
 
 TARGET_WORDS, HARD_WORDS = 384, 512
-TARGET_TOKENS, HARD_TOKENS = 384, 445
 
 _PIECES = "source_id string, part_number int, first_order long, last_order long, content_words long, boundary_after string, failure string"
 
@@ -103,72 +100,6 @@ def pack_entries(lines: DataFrame, hard_words: int = HARD_WORDS, target_words: i
     return listed.select("source_id", F.explode(F.aggregate("e", start, step)["out"]).alias("r")).select("source_id", "r.*")
 
 
-def best_partition(ends: list[tuple[int, bool]], tokens: Callable[[int, int], int], hard: int = HARD_TOKENS, target: int = TARGET_TOKENS) -> list[int] | None:
-    """Positions in ``ends`` at which pieces end; ``None`` if no partition fits.
-
-    ``ends`` are (atom, within a line) in order. The cost of a partition is
-    (pieces, cuts within lines, sum of distances to the target); of equal
-    costs the one whose last piece starts earliest counts. A piece's count
-    must not fall as it grows to the left: the first that is over ``hard``
-    ends the search.
-    """
-    best: list[tuple[tuple[int, int, int], int] | None] = []
-    for j, (atom, inner) in enumerate(ends):
-        found = None
-        for i in range(j - 1, -2, -1):
-            n = tokens(0 if i < 0 else ends[i][0] + 1, atom)
-            if n > hard:
-                break
-            if i >= 0 and best[i] is None:
-                continue
-            a, b, c = (0, 0, 0) if i < 0 else best[i][0]
-            cost = (a + 1, b + inner, c + abs(target - n))
-            if found is None or cost <= found[0]:
-                found = (cost, i)
-        best.append(found)
-    if not ends or best[-1] is None:
-        return None
-    path, at = [], len(ends) - 1
-    while at >= 0:
-        path.append(at)
-        at = best[at][1]
-    return path[::-1]
-
-
-_PASSAGES = "source_id string, passage_number int, passage_count int, first_order long, last_order long, tokens long, boundary_after string"
-
-
-def partition_passages(lines: DataFrame, counter: Callable[[], Callable[[str], int]] | None = None, hard: int = HARD_TOKENS, target: int = TARGET_TOKENS) -> DataFrame:
-    """Each source's fewest pieces within ``hard`` tokens over safe boundaries.
-
-    ``lines`` has source_id, line_order, text, reason. ``counter`` makes a
-    token counter once per worker; without one, words are counted. A piece
-    over ``hard`` tokens is tried no further to the left, for counts only grow.
-    A source that can't be cut gets one row without numbers.
-    """
-
-    def run(key: str, group: dict[str, list]) -> list[tuple]:
-        texts, order, reasons = [(t or "").strip() for t in group["text"]], group["line_order"], group["reason"]
-        if counter:
-            count = counter()
-            tokens = lambda a, b: count("\n".join(texts[a : b + 1]))
-        else:
-            upto = [0, *itertools.accumulate(len(t.split()) for t in texts)]
-            tokens = lambda a, b: upto[b + 1] - upto[a]
-        ends = [(i, r == "after_sentence_in_line") for i, r in enumerate(reasons) if r is not None]
-        path = best_partition(ends, tokens, hard, target) if ends and ends[-1][0] == len(texts) - 1 else None
-        if path is None:
-            return [(key, None, None, None, None, None, None)]
-        rows, at = [], 0
-        for i, p in enumerate(path):
-            end = ends[p][0]
-            rows.append((key, i + 1, len(path), order[at], order[end], tokens(at, end), reasons[end]))
-            at = end + 1
-        return rows
-
-    return stream_groups(lines.select(F.col("source_id").cast("string").alias("source_id"), F.col("line_order").cast("long"), "text", "reason"), "source_id", "line_order", run, _PASSAGES)
-
-
 def passage_texts(pieces: DataFrame, lines: DataFrame, label: Column | None = None) -> DataFrame:
     """source_id, passage_number, citation_text, retrieval_text.
 
@@ -252,3 +183,18 @@ def coverage_violations(pieces: DataFrame, lines: DataFrame) -> DataFrame:
     rows = want.join(held, "source_id", "left").join(words, "source_id", "left")
     rule = F.when(F.coalesce("held", F.lit(0)) != F.col("n"), "lines").when(F.col("held") != F.col("d"), "line twice").when(F.col("packed") != F.col("w"), "words")
     return rows.select("source_id", rule.alias("rule")).where("rule IS NOT NULL")
+
+
+def structural_context(document_id: Column, line_pos: Column, contexts: dict[str, list[tuple[int, str]]]) -> Column:
+    """Ids of the reviewed part that a source's first line stands in, as an array; empty before the first part.
+
+    ``contexts`` has each document's parts as (first line, id).
+    """
+    none = F.array().cast("array<string>")
+    out = none
+    for document, parts in contexts.items():
+        within = none
+        for start, ident in sorted(parts):
+            within = F.when(line_pos >= start, F.array(F.lit(ident))).otherwise(within)
+        out = F.when(document_id == document, within).otherwise(out)
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evidence, ranking, structure
+from . import contracts, evidence, ranking, structure
 
-QUERIES: dict = {**ranking.QUERIES, **structure.QUERIES, **evidence.QUERIES}
-ORACLE: dict[str, str] = {**ranking.ORACLE, **structure.ORACLE, **evidence.ORACLE}
+QUERIES: dict = {**ranking.QUERIES, **structure.QUERIES, **evidence.QUERIES, **contracts.QUERIES}
+ORACLE: dict[str, str] = {**ranking.ORACLE, **structure.ORACLE, **evidence.ORACLE, **contracts.ORACLE}
