@@ -9,8 +9,10 @@ measured: the fewest that reach ``target_recall`` against brute force within
 the sample, whose neighbours are farther apart than those of the whole table.
 
 A cell is cut into blocks of bounded size, so a cell with a third of all rows
-is many tasks. Within a block rows are in order of their ids and all sorts are
-stable, so ties go to the smaller id, also among any number of equal vectors.
+is many tasks. A block's codes are read once and its queries stream past them;
+vectors travel only to the pairs that are reranked. Rows are in order of their
+ids and all sorts are stable, so ties go to the smaller id, also among any
+number of equal vectors.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
 from . import common
 
@@ -30,14 +32,16 @@ from . import common
 SAMPLE_ROWS = 20_000
 MAX_CELLS = 1024
 SUBSPACES, CODES = 32, 256
-#: Rows of a block, and queries that meet it at a time.
-BLOCK_ROWS, BLOCK_QUERIES = 4096, 8192
-#: Rows that a query reranks exactly in each block.
-SHORTLIST = 48
+#: Rows of a block, queries that one task lets pass it, and rough distances in memory at a time.
+BLOCK_ROWS, BLOCK_QUERIES, DISTANCES = 32_768, 65_536, 1 << 21
+#: Rows that a query takes from each block, and reranks exactly in all.
+SHORTLIST, RERANK = 48, 384
 TARGET_RECALL = 0.975
 STEPS = 8
 
-INDEX_SCHEMA = "cell int, vec_id long, vector array<double>, codes binary"
+INDEX_SCHEMA = "row long, cell int, vec_id long, vector array<double>, codes binary"
+#: A block's rows come first (codes), then its queries (components).
+_MET = "cell int, block int, turn int, asks boolean, id long, vec_id long, data binary"
 
 
 def _nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -122,8 +126,8 @@ def _index(shared):
         model = shared.value
         for batch in batches:
             if batch.num_rows:
-                cell, codes = model.encode(_matrix(batch.column(1)))
-                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], ["cell", "vec_id", "vector", "codes"])
+                cell, codes = model.encode(_matrix(batch.column(2)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell, pa.int32()), batch.column(1), batch.column(2), pa.array([c.tobytes() for c in codes], pa.binary())], ["row", "cell", "vec_id", "vector", "codes"])
 
     return run
 
@@ -133,36 +137,56 @@ def _visits(shared):
         model = shared.value
         for batch in batches:
             if batch.num_rows:
-                cells = pa.array(model.cells(_matrix(batch.column(1))).tolist(), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cells], ["query_id", "query", "cells"])
+                x = _matrix(batch.column(2))
+                cells = pa.array(model.cells(x).tolist(), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([v.tobytes() for v in x], pa.binary()), cells], ["query", "query_id", "vector", "data", "cells"])
 
     return run
 
 
-def _search(shared, k: int, shortlist: int):
-    out = ["query_id", "vec_id", "score"]
-
-    def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(queries):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        rows = rows.sort_values("vec_id", kind="stable")
-        ids, vectors = rows["vec_id"].to_numpy(), np.stack(rows["vector"].to_numpy()).astype(np.float64)
-        codes = np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(rows), -1)
-        cell, parts = int(rows["cell"].iloc[0]), []
-        for lo in range(0, len(queries), 256):
-            some = queries.iloc[lo : lo + 256]
-            q, own = np.stack(some["query"].to_numpy()).astype(np.float64), some["query_id"].to_numpy()
-            rough = shared.value.asymmetric(q, cell, codes)
-            rough[ids[None] == own[:, None]] = np.inf
-            best = np.argsort(rough, axis=1, kind="stable")[:, :shortlist]
-            best.sort(axis=1)  # ids ascend again, for ties of exact distances
-            exact = np.sqrt(((q[:, None] - vectors[best]) ** 2).sum(axis=2))
-            exact[ids[best] == own[:, None]] = np.inf
-            order = np.argsort(exact, axis=1, kind="stable")[:, :k]
-            score, found = np.take_along_axis(exact, order, axis=1), ids[np.take_along_axis(best, order, axis=1)]
-            keep = np.isfinite(score).ravel()
-            parts.append(pd.DataFrame({"query_id": np.repeat(own, score.shape[1])[keep], "vec_id": found.ravel()[keep], "score": score.ravel()[keep]}))
-        return pd.concat(parts)[out]
+def _binary_matrix(column: pa.Array, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def _shortest(rough: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of each query's ``n`` least finite distances; of equal ones the first rows."""
+    n = min(n, rough.shape[1])
+    bound = np.partition(rough, n - 1, axis=1)[:, n - 1]
+    at = []
+    for i, b in enumerate(bound):
+        near = np.flatnonzero((rough[i] <= b) & np.isfinite(rough[i]))
+        at.append(near[np.argsort(rough[i, near], kind="stable")[:n]])
+    return np.repeat(np.arange(len(at)), [len(a) for a in at]), np.concatenate(at)
+
+
+def _shortlists(shared, shortlist: int):
+    """Each block's queries with the rows whose coded vectors are nearest; rows come sorted by block, rows before queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, held, parts, block = shared.value, None, [], None
+        for batch in batches:
+            keys = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:4]], axis=1)
+            starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)] if len(keys) else [0]
+            for a, b in zip(starts, starts[1:], strict=False):
+                if held != (key := tuple(keys[a, :3])):
+                    held, parts, block = key, [], None
+                if not keys[a, 3]:
+                    parts.append(batch.slice(a, b - a))
+                    continue
+                if block is None and parts:
+                    whole = pa.Table.from_batches(parts).combine_chunks()
+                    block = whole["id"].to_numpy(), whole["vec_id"].to_numpy(), _binary_matrix(whole["data"], np.uint8)
+                    parts = []
+                if block is None:
+                    continue
+                rows, ids, codes = block
+                step = max(1, DISTANCES // len(rows))
+                for lo in range(a, b, step):
+                    some = batch.slice(lo, min(step, b - lo))
+                    rough = model.asymmetric(_binary_matrix(some.column(6), np.float64), int(held[0]), codes)
+                    rough[ids[None] == some.column(5).to_numpy()[:, None]] = np.inf
+                    i, j = _shortest(rough, shortlist)
+                    yield pa.RecordBatch.from_arrays([some.column(4).take(pa.array(i)), pa.array(rows[j]), pa.array(ids[j]), pa.array(rough[i, j])], ["query", "row", "vec_id", "rough"])
 
     return run
 
@@ -182,7 +206,7 @@ def fit(vectors: DataFrame, sample_rows: int = SAMPLE_ROWS, target_recall: float
     return IvfPq.fit(x, rows, target_recall), size
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", shortlist: int = SHORTLIST, sample_rows: int = SAMPLE_ROWS, target_recall: float = TARGET_RECALL) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", shortlist: int = SHORTLIST, sample_rows: int = SAMPLE_ROWS, target_recall: float = TARGET_RECALL, rerank: int = RERANK) -> DataFrame:
     """The ``k`` nearest ``rows`` of each of ``queries``: query_id, rank, vec_id, score.
 
     A row is no neighbour of the query with its id. Unusable vectors and those
@@ -197,20 +221,28 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_
     if model is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shared = spark.sparkContext.broadcast(model)
-    index = common.materialize(good.where(F.size("vector") == size).mapInArrow(_index(shared), INDEX_SCHEMA), "ann-index")
-    cells = index.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("blocks"))
-    cells = F.broadcast(common.materialize(cells, "ann-cells"))  # at most MAX_CELLS rows
-    asked = asked.where(F.size("vector") == size).mapInArrow(_visits(shared), "query_id long, query array<double>, cells array<int>")
+    numbered = lambda df, name: df.where(F.size("vector") == size).select(F.monotonically_increasing_id().alias(name), "vec_id", "vector")
+    index = common.materialize(numbered(good, "row").mapInArrow(_index(shared), INDEX_SCHEMA), "ann-index")
+    asked = numbered(asked, "query").mapInArrow(_visits(shared), "query long, query_id long, vector array<double>, data binary, cells array<int>")
     asked = common.materialize(asked, "ann-queries")
-    turns = max(1, -(-asked.count() // BLOCK_QUERIES))
-    placed = index.join(cells, "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
-    placed = placed.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
-    visits = asked.select("query_id", "query", F.explode("cells").alias("cell")).join(cells, "cell")
-    visits = visits.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("query_id"), F.lit(turns)).cast("int").alias("turn"), "query_id", "query")
-    key = ["cell", "block", "turn"]
-    found = placed.groupBy(*key).cogroup(visits.groupBy(*key)).applyInPandas(_search(shared, k, shortlist), "query_id long, vec_id long, score double")
+    visits = asked.select("query", "query_id", "data", F.explode("cells").alias("cell"))
+    parts = index.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("blocks"))
+    turns = visits.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(BLOCK_QUERIES)).cast("int").alias("turns"))
+    cells = F.broadcast(common.materialize(parts.join(turns, "cell"), "ann-cells"))  # at most MAX_CELLS rows
+    spread = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    placed = index.select("row", "cell", "vec_id", "codes").join(cells, "cell")
+    placed = placed.select("cell", spread("row", "blocks").alias("block"), each("turns").alias("turn"), F.lit(False).alias("asks"), F.col("row").alias("id"), "vec_id", F.col("codes").alias("data"))
+    visits = visits.join(cells, "cell").select("cell", each("blocks").alias("block"), spread("query", "turns").alias("turn"), F.lit(True).alias("asks"), F.col("query").alias("id"), F.col("query_id").alias("vec_id"), "data")
+    met = placed.union(visits).to(_parse_datatype_string(_MET)).repartition("cell", "block", "turn").sortWithinPartitions("cell", "block", "turn", "asks", "vec_id", "id")
+    found = met.mapInArrow(_shortlists(shared, max(k, shortlist)), "query long, row long, vec_id long, rough double")
+    nearest = F.row_number().over(Window.partitionBy("query").orderBy("rough", "vec_id", "row"))
+    found = common.materialize(found.withColumn("n", nearest).where(F.col("n") <= max(k, rerank)).select("query", "row"), "ann-shortlists")
+    pairs = found.join(index.select("row", "vec_id", "vector"), "row").join(asked.select("query", "query_id", F.col("vector").alias("asked")), "query")
+    squares = F.zip_with("vector", "asked", lambda a, b: (a - b) * (a - b))
+    scored = pairs.select("query_id", "vec_id", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda a, x: a + x)).alias("score")).where(F.col("score") < float("inf"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op10_ivf_pq(spark, sf_dir: str) -> DataFrame:
