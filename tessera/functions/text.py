@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import pandas as pd
@@ -65,9 +66,25 @@ def collapse_spaces(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
+@functools.cache
+def _folded() -> str:
+    """Characters that case-folding treats otherwise than lower-casing, alone or at a word's end."""
+    return "".join(c for c in map(chr, range(0x110000)) if c.casefold() != c.lower() or c in "Σİ")
+
+
+@F.pandas_udf(StringType())
+def _casefold(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else t.casefold())
+
+
+def casefold(text: Column) -> Column:
+    """Case-folded; only texts in which that isn't lower-casing leave the JVM."""
+    return F.coalesce(_casefold(F.when(text.rlike(f"[{_folded()}]"), text)), F.lower(text))
+
+
 def normalized_question(question: Column) -> Column:
     """Case-folded with white space collapsed."""
-    return collapse_spaces(F.replace(F.lower(question), F.lit("ß"), F.lit("ss")))
+    return collapse_spaces(casefold(question))
 
 
 def count_words(text: Column) -> Column:

@@ -192,6 +192,15 @@ def disagreement_by_code(pairs: DataFrame, metadata: DataFrame, codes: str) -> D
     return rows.groupBy("structure_code").agg(F.count("*").alias("case_count"), F.count_if(F.col("first_status") != F.col("second_status")).alias("status_disagreements"))
 
 
+def group_counts(cases: DataFrame) -> DataFrame:
+    """Per query: its document, its cases and how many of them are insufficient, as ``grouped_splits`` takes them.
+
+    A query whose cases name several documents, or none, has a null document.
+    """
+    one = F.when((F.min("document_id") == F.max("document_id")) & (F.count("document_id") == F.count("*")), F.min("document_id"))
+    return cases.groupBy("query_id").agg(one.alias("document_id"), F.count("*").alias("case_count"), F.count_if(F.col("evidence_status") == "insufficient").alias("insufficient_count"))
+
+
 def annotator_pairs(records: DataFrame, fields: Iterable[str], key: str = "case_id", annotator: str = "annotator_id") -> DataFrame:
     """One row per case of exactly two annotators: both ids and each of ``fields`` as first_* and second_*.
 
@@ -335,3 +344,11 @@ def binding(df: DataFrame, order: list[str]) -> DataFrame:
     words = [F.conv(F.substring(digest, 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)") for i in range(5)]
     out = df.agg(F.count("*").alias("rows"), *[F.coalesce(F.sum(w), F.lit(0).cast("decimal(38,0)")).alias(f"w{i}") for i, w in enumerate(words)])
     return out.select("rows", T.sha256(F.concat_ws(":", "rows", *[F.col(f"w{i}").cast("string") for i in range(5)], F.lit(",".join(order)))).alias("sha256"))
+
+
+def bound(df: DataFrame, order: list[str], sha256: str) -> DataFrame:
+    """``df``, if :func:`binding` gives the pinned hash; else an error."""
+    found = binding(df, order).first()["sha256"]
+    if found != sha256:
+        raise ContractViolation(f"rows have {found}, not {sha256}")
+    return df

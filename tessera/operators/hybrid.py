@@ -17,6 +17,16 @@ def union(bm25: DataFrame, dense: DataFrame, depth: int) -> DataFrame:
     return left.join(right, ["query_id", "passage_id"], "full_outer")
 
 
+def stored(candidates: DataFrame, accepted: DataFrame) -> DataFrame:
+    """``candidates`` with accepted_order and, per query, position: the order of storage, which says nothing of relevance.
+
+    ``accepted`` has passage_id and accepted_order. Candidates that aren't accepted come last.
+    """
+    rows = candidates.join(accepted.select("passage_id", "accepted_order"), "passage_id", "left")
+    order = Window.partitionBy("query_id").orderBy(F.col("accepted_order").asc_nulls_last(), "passage_id")
+    return rows.withColumn("position", F.row_number().over(order))
+
+
 def coverage(candidates: DataFrame, gold: DataFrame) -> DataFrame:
     """Per query with gold: candidates, recall, direct hit, and gold that only one list found."""
     size = candidates.groupBy("query_id").agg(F.count("*").alias("candidate_count"))

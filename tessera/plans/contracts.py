@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import atoms as K
 from ..operators import contracts as C
 from ..operators import governance as G
+from ..operators import hybrid
 from ..operators import hierarchy as Y
 from ..operators import units as U
 from . import adapters as A
@@ -116,9 +117,23 @@ def structural_context(spark, sf):
     return A.table(spark, sf, "nation").select("n_nationkey", F.array_join(context, ",").alias("context"))
 
 
+def group_counts(spark, sf):
+    """Documents as cases of their language; some have no source."""
+    rows = A.table(spark, sf, "documents")
+    k = F.col("doc_id")
+    source = F.when(k % 97 != 1, F.col("source"))
+    return G.group_counts(rows.select(F.concat_ws(":", "lang", "source", (k % 50).cast("string")).alias("query_id"), source.alias("document_id"), F.when(k % 3 == 0, "insufficient").otherwise("sufficient").alias("evidence_status")))
+
+
+def storage_order(spark, sf):
+    """Customers as candidates of their nation, stored by their names from the end."""
+    rows = A.table(spark, sf, "customer").select(F.col("c_nationkey").alias("query_id"), F.col("c_custkey").alias("passage_id"))
+    return hybrid.stored(rows, rows.where("passage_id % 7 <> 1").select("passage_id", F.pmod(-F.col("passage_id"), F.lit(100)).alias("accepted_order")))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (line_atoms, atom_partition, anchor_violations, evidence_fields, heading_nodes, annotator_pairs, pair_violations, structure_counts, analysis_metadata, source_spans, structural_context)
+    for f in (group_counts, storage_order, line_atoms, atom_partition, anchor_violations, evidence_fields, heading_nodes, annotator_pairs, pair_violations, structure_counts, analysis_metadata, source_spans, structural_context)
 }
 
 _PACKABLE = f"""{_LINES}, f AS (SELECT document_id, line_pos, text, lead(text) OVER w AS next_text, coalesce(lead(line_pos) OVER w - line_pos > 1, false) AS gap FROM l {_FILLED} WINDOW w AS (PARTITION BY document_id ORDER BY line_pos)),
@@ -134,6 +149,8 @@ _DIFFER = {c: f"first_{c} <> second_{c}" for c in FIELDS[:3]}
 _ANY, _UNSURE = "(" + " OR ".join(_DIFFER.values()) + ")", "(first_uncertainty OR second_uncertainty)"
 
 ORACLE = {
+    "group_counts": """SELECT lang || ':' || source || ':' || (doc_id % 50) AS query_id, CASE WHEN count(*) FILTER (doc_id % 97 <> 1) = count(*) THEN min(source) END AS document_id, count(*) AS case_count, count(*) FILTER (doc_id % 3 = 0) AS insufficient_count FROM documents GROUP BY 1""",
+    "storage_order": """SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY accepted_order NULLS LAST, passage_id) AS position FROM (SELECT c_nationkey AS query_id, c_custkey AS passage_id, CASE WHEN c_custkey % 7 <> 1 THEN (100 - c_custkey % 100) % 100 END AS accepted_order FROM customer)""",
     "line_atoms": f"""WITH {_PACKABLE} SELECT source_id, line_order, 0 AS start_char, CASE WHEN cut THEN place ELSE n END AS end_char, md5(CASE WHEN cut THEN text[1:place] ELSE text END) AS text_md5, CASE WHEN cut THEN 'after_sentence_in_line' ELSE reason END AS reason FROM r
 UNION ALL SELECT source_id, line_order, place, n, md5(text[place + 1:]), reason FROM r WHERE cut""",
     "anchor_violations": f"""WITH {_PACKABLE}, c AS (SELECT source_id, CASE WHEN line_order % 11 = 1 THEN line_order + 1000000 ELSE line_order END AS line_order, CASE WHEN line_order % 7 = 1 THEN 0 ELSE place END AS split_offset, line_order AS o FROM r WHERE cut)

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+import tempfile
+import urllib.parse
+import urllib.request
 from collections.abc import Callable, Iterator
+from pathlib import Path
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.sizes import maybe_broadcast
 from ..operators.governance import url_rule
 
 MAX_FILE_BYTES = 25 * 1024 * 1024
@@ -39,6 +47,68 @@ def fetch_violations(receipts: DataFrame, hosts: list[str]) -> DataFrame:
     return receipts.select("document_id", F.explode(F.array_compact(F.array(*rules))).alias("rule"))
 
 
+def _allowed(url: str, hosts: list[str]) -> str:
+    parts = urllib.parse.urlsplit(url)
+    if parts.scheme != "https" or (parts.hostname or "").lower() not in hosts:
+        raise ValueError(f"not an allowed address: {url}")
+    return url
+
+
+class _Redirects(urllib.request.HTTPRedirectHandler):
+    """Follows redirects to allowed addresses only."""
+
+    def __init__(self, hosts: list[str]) -> None:
+        self.hosts = hosts
+
+    def redirect_request(self, req: Any, fp: Any, code: int, msg: str, headers: Any, newurl: str) -> Any:
+        return super().redirect_request(req, fp, code, msg, headers, _allowed(newurl, self.hosts))
+
+
+def download(url: str, target: str, hosts: list[str], opener: Any = None, timeout: float = 60, limit: int = MAX_FILE_BYTES) -> dict[str, Any]:
+    """Fetch one PDF to ``target``, hashing it as it comes, and give its receipt.
+
+    Every address on the way must be HTTPS on one of ``hosts``; the media
+    type, the first bytes and the size, as declared and as received, are
+    checked. ``target`` appears only once the whole file is there.
+    """
+    opener = opener or urllib.request.build_opener(_Redirects(hosts))
+    with opener.open(_allowed(url, hosts), timeout=timeout) as response, tempfile.NamedTemporaryFile(dir=Path(target).parent, delete=False) as part:
+        try:
+            resolved, kind = _allowed(response.geturl(), hosts), response.headers.get("Content-Type", "")
+            if kind.partition(";")[0].strip().lower() != "application/pdf":
+                raise ValueError(f"media type {kind!r}")
+            if int(response.headers.get("Content-Length") or 0) > limit:
+                raise ValueError("too large")
+            digest, size = hashlib.sha256(), 0
+            while block := response.read(1 << 16):
+                if not size and not block.startswith(b"%PDF-"):
+                    raise ValueError("not a PDF")
+                size += len(block)
+                if size > limit:
+                    raise ValueError("too large")
+                digest.update(block)
+                part.write(block)
+            if not size:
+                raise ValueError("no content")
+            part.flush()
+            os.replace(part.name, target)
+        finally:
+            Path(part.name).unlink(missing_ok=True)
+    return {"filename": Path(target).name, "download_url": url, "resolved_url": resolved, "content_type": kind, "size_bytes": size, "sha256": digest.hexdigest()}
+
+
+def guarded(reader: Callable[[bytes], Any]) -> Callable[[], Callable[[bytes], list[str | None]]]:
+    """What :func:`extract_pages` takes, from a PDF library's reader: encrypted files are tried with no password."""
+
+    def extract(content: bytes) -> list[str | None]:
+        document = reader(content)
+        if getattr(document, "is_encrypted", False) and not document.decrypt(""):
+            raise ValueError("encrypted")
+        return [page.extract_text() for page in document.pages]
+
+    return lambda: extract
+
+
 def extract_pages(files: DataFrame, extractor: Callable[[], Callable[[bytes], list[str | None]]], name: str = "plain", version: str = "1") -> DataFrame:
     """document_id, page_id, page_number, page_count, character_count, is_empty, text of each file's pages.
 
@@ -66,6 +136,26 @@ def extract_pages(files: DataFrame, extractor: Callable[[], Callable[[bytes], li
     )
 
 
+#: What a page says of its document, and of the file that was fetched for it.
+DOCUMENT_FIELDS = ("title", "organization", "source_url", "download_url", "publication_date", "adoption_date", "version", "jurisdiction", "document_category", "legal_status", "language")
+
+
+def page_records(pages: DataFrame, documents: DataFrame, receipts: DataFrame, corpus_id: str, corpus_version: str, method: str = "text") -> DataFrame:
+    """Each page with all that a citation needs: its corpus, document, file and extraction.
+
+    ``pages`` are those of :func:`extract_pages`; ``documents`` has
+    document_id and ``DOCUMENT_FIELDS``, ``receipts`` document_id, filename,
+    sha256 and retrieved_date. A page without either is left out.
+    """
+    about = documents.select(F.col("document_id").cast("string").alias("document_id"), *DOCUMENT_FIELDS)
+    file = receipts.select(F.col("document_id").cast("string").alias("document_id"), F.col("filename").alias("source_filename"), F.col("sha256").alias("document_sha256"), "retrieved_date")
+    rows = pages.join(maybe_broadcast(about), "document_id").join(maybe_broadcast(file), "document_id")
+    return rows.select(
+        F.lit("1.0").alias("schema_version"), F.lit(corpus_id).alias("corpus_id"), F.lit(corpus_version).alias("corpus_version"), "page_id", "document_id", *DOCUMENT_FIELDS, "source_filename", "document_sha256", "retrieved_date",
+        "page_number", "page_count", F.lit(method).alias("extraction_method"), "extractor", "extractor_version", "character_count", "is_empty", "text",
+    )
+
+
 def page_totals(pages: DataFrame) -> DataFrame:
     """Pages, characters and empty pages per document and, with a null document, of all."""
     return pages.rollup("document_id").agg(F.count("*").alias("page_count"), F.sum("character_count").alias("character_count"), F.count_if(F.col("is_empty")).alias("empty_page_count"))

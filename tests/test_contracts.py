@@ -1,4 +1,5 @@
 import hashlib
+import io
 import itertools
 import json
 import threading
@@ -11,12 +12,15 @@ from pyspark.sql import functions as F
 
 from tessera import __main__ as cli
 from tessera import server
+from tessera.functions import text as T
 from tessera.functions import wordpiece
 from tessera.operators import artifacts as R
 from tessera.operators import atoms as K
 from tessera.operators import contracts as C
 from tessera.operators import governance as G
+from tessera.operators import hybrid
 from tessera.operators import units as U
+from tessera.sources import files
 
 LINES = "source_id string, line_order long, text string, reason string"
 BASELINE = {
@@ -211,3 +215,59 @@ def test_service_answers_one_question(rows):
     passages = rows([(1, "Risk controls must apply to systems.", "Risk controls must apply to systems.", "A", "leaf", "k")], "passage_id long, text string, citation_text string, label string, unit_kind string, logical_source_key string")
     got = server.asker(passages, C.model_of(BASELINE))("Which risk controls apply?", 5)
     assert got["question"] == "Which risk controls apply?" and got["action"] in ("answer", "abstain") and got["selected_passage_count"] == 1
+
+
+def test_casefold_is_pythons(rows):
+    texts = ["Straße  ΣΑΣ ", "İstanbul", "ŉ ǰ ﬁ Ꭰ", "Plain TEXT", "", None, "ẞ\tÀ"]
+    got = [r[0] for r in rows([(t,) for t in texts], "t string").select(T.normalized_question(F.col("t"))).collect()]
+    assert got == [None if t is None else " ".join(t.casefold().split()) for t in texts]
+
+
+def test_counts_order_and_bound_rows(rows):
+    cases = rows([("q", "d", "insufficient"), ("q", "d", "sufficient"), ("r", "d", None), ("r", "e", "sufficient"), ("s", None, "insufficient")], "query_id string, document_id string, evidence_status string")
+    assert {tuple(r) for r in G.group_counts(cases).collect()} == {("q", "d", 2, 1), ("r", None, 2, 0), ("s", None, 1, 1)}
+    stored = hybrid.stored(rows([("q", 1), ("q", 2), ("q", 3)], "query_id string, passage_id int"), rows([(1, 9), (3, 4)], "passage_id int, accepted_order int"))
+    assert [r["passage_id"] for r in stored.orderBy("position").collect()] == [3, 1, 2]
+    pin = G.binding(cases, ["query_id"]).first()["sha256"]
+    assert G.bound(cases, ["query_id"], pin).count() == 5
+    with pytest.raises(G.ContractViolation):
+        G.bound(cases.limit(4), ["query_id"], pin)
+
+
+def test_download_is_guarded(tmp_path):
+    class Response(io.BytesIO):
+        def __init__(self, body, url="https://a.org/x.pdf", **headers):
+            super().__init__(body)
+            self.url, self.headers = url, {"Content-Type": "application/pdf; charset=x", **headers}
+
+        def geturl(self):
+            return self.url
+
+    def get(response, url="https://a.org/x", **how):
+        return files.download(url, str(tmp_path / "x.pdf"), ["a.org"], SimpleNamespace(open=lambda u, timeout: response), **how)
+
+    body = b"%PDF-1.7 " + b"x" * 100_000
+    for bad in (Response(b"<html>"), Response(b""), Response(body, "https://b.org/x"), Response(body, "http://a.org/x"), Response(body, **{"Content-Length": "99999999"}), Response(body, **{"Content-Type": "text/html"})):
+        with pytest.raises(ValueError):
+            get(bad)
+    with pytest.raises(ValueError):
+        get(Response(body), limit=70_000)
+    with pytest.raises(ValueError):
+        get(Response(body), "https://b.org/x")
+    with pytest.raises(ValueError):
+        files._Redirects(["a.org"]).redirect_request(urllib.request.Request("https://a.org/x"), None, 302, "", {}, "https://b.org/x")
+    assert list(tmp_path.iterdir()) == []
+    assert get(Response(body))["sha256"] == hashlib.sha256(body).hexdigest() and (tmp_path / "x.pdf").read_bytes() == body
+
+
+def test_page_records_from_a_guarded_reader(rows):
+    page = lambda t: SimpleNamespace(extract_text=lambda: t)
+    reader = lambda content: SimpleNamespace(is_encrypted=content == b"locked", decrypt=lambda password: 0, pages=[page("A\r\nb"), page(None)])
+    found = [("d", bytearray(b"open"))]
+    pages = files.extract_pages(rows(found, "document_id string, content binary"), files.guarded(reader), "lib", "2")
+    documents = rows([("d", *["x"] * len(files.DOCUMENT_FIELDS))], "document_id string, " + ", ".join(f"{c} string" for c in files.DOCUMENT_FIELDS))
+    receipts = rows([("d", "d.pdf", "h", "2024-01-01")], "document_id string, filename string, sha256 string, retrieved_date string")
+    got = files.page_records(pages, documents, receipts, "c", "1").orderBy("page_number").collect()
+    assert len(got[0]) == 27 and [(r["text"], r["is_empty"], r["character_count"], r["source_filename"], r["extractor"]) for r in got] == [("A\nb", False, 3, "d.pdf", "lib"), ("", True, 0, "d.pdf", "lib")]
+    with pytest.raises(ValueError, match="encrypted"):
+        files.guarded(reader)()(b"locked")
