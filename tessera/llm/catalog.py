@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, exact_dedup, lattice, minhash, mixing, packing, quality, sharding, toxicity, wavelet
+from . import ann, annulus, exact_dedup, lattice, minhash, mixing, packing, quality, rules, sharding, toxicity, wavelet, whitening
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
@@ -15,8 +15,13 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_lattice_lm": lattice.op9_lattice_lm,
     "op10_ivf_pq": ann.op10_ivf_pq,
+    "op11_annular_codes": annulus.op11_annular_codes,
+    "op12_voting_rules": rules.op12_voting_rules,
+    "op13_tiled_whitening": whitening.op13_tiled_whitening,
 }
 ORACLE = {
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,
     "op8_mix_sources": mixing.ORACLE_SQL,
+    "op11_annular_codes": annulus.ORACLE_SQL,
+    "op12_voting_rules": rules.ORACLE_SQL,
 }

@@ -96,6 +96,39 @@ def maybe_broadcast(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame
     return F.broadcast(df) if small(df, limit) else df
 
 
+#: Groups with more than one of so many parts of all rows are fewer than these.
+HOT_GROUPS = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size_col: str) -> DataFrame:
+    """``rows`` with the columns of their group; ``groups`` has one row for each ``key``, null among them.
+
+    ``size_col`` is the number of a group's rows. Groups with more than a
+    thousandth of all rows are fewer than a thousand, so they are broadcast
+    and their rows stay where they are. The others meet in a shuffle in which
+    no key has more than that share. Rows without a group are left out.
+    """
+    total = groups.agg(F.sum(size_col)).first()[0] or 0
+    groups = groups.withColumnRenamed(key, "_group")
+    hot, same = F.col(size_col) * HOT_GROUPS > F.lit(total), F.col(key).eqNullSafe(F.col("_group"))
+    large = F.broadcast(groups.where(hot))
+    stay = rows.join(large, same)
+    meet = rows.join(large.select("_group"), same, "left_anti").join(groups.where(~hot), same)
+    return stay.union(meet).drop("_group")
+
+
+def finite(vector) -> Any:
+    """Whether a vector is not null and holds neither nulls nor components that aren't finite."""
+    good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return vector.isNotNull() & F.coalesce(good, F.lit(False))
+
+
+def usual_size(rows: DataFrame, vector_col: str) -> int:
+    """The most frequent number of components (of two, the smaller); 0 without rows."""
+    first = rows.groupBy(F.size(vector_col).alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").first()
+    return first["size"] if first else 0
+
+
 def hash_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     """At most ``rows`` rows of ``df``: those with the least hash of ``keys``.
 
