@@ -13,6 +13,12 @@ and readers of an older version keep their files until
 Rows are kept as they come: nulls, empty and long texts, repeated rows and any
 columns. No row is lost or changed; the order of rows within a merged file is
 not defined. An empty arrival makes no version.
+
+Arrivals may differ in their columns. A version's schema has every column that
+any arrival had; where an arrival had none it is null. A column that comes in
+several types has the widest, if that holds all values; an arrival whose type
+cannot be reconciled, or whose name differs in case only, is refused before it
+writes anything.
 """
 
 from __future__ import annotations
@@ -24,6 +30,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as t
 
 from . import common
 
@@ -57,10 +64,33 @@ class Shard:
 
 def tier(size: int, smallest: int = SMALLEST_BYTES, fanout: int = FANOUT) -> int:
     """0 below ``smallest`` times ``fanout``, then one more for each further factor."""
-    t, edge = 0, smallest * fanout
+    n, edge = 0, smallest * fanout
     while size >= edge:
-        t, edge = t + 1, edge * fanout
-    return t
+        n, edge = n + 1, edge * fanout
+    return n
+
+
+#: A type holds all values of those before it.
+_WIDENING = (
+    (t.ByteType(), t.ShortType(), t.IntegerType(), t.LongType()),
+    (t.ByteType(), t.ShortType(), t.IntegerType(), t.DoubleType()),
+    (t.FloatType(), t.DoubleType()),
+)
+
+
+def union_schema(known: t.StructType | None, new: t.StructType) -> t.StructType:
+    """All columns of both, all nullable, in order of arrival; ``ValueError`` if types or names can't be reconciled."""
+    fields = {f.name: f.dataType for f in known or []}
+    for f in new:
+        same = next((n for n in fields if n.lower() == f.name.lower()), f.name)
+        if same != f.name:
+            raise ValueError(f"columns {same!r} and {f.name!r} differ in case only")
+        pair = fields.get(f.name, f.dataType), f.dataType
+        wide = next((w for w in _WIDENING if pair[0] in w and pair[1] in w), None)
+        if pair[0] != pair[1] and wide is None:
+            raise ValueError(f"column {f.name!r} is {pair[0].simpleString()} in the store and {pair[1].simpleString()} in the arrival")
+        fields[f.name] = pair[0] if pair[0] == pair[1] else wide[max(wide.index(p) for p in pair)]
+    return t.StructType([t.StructField(n, k, True) for n, k in fields.items()])
 
 
 def plan_merges(shards: list[Shard], target: int = TARGET_BYTES, smallest: int = SMALLEST_BYTES, fanout: int = FANOUT) -> list[list[Shard]]:
@@ -106,20 +136,30 @@ class ShardStore:
 
     def manifest(self, version: int | None = None) -> tuple[int, list[Shard]]:
         """A version and its live shards; 0 and none before the first."""
+        version, live, _ = self._state(version)
+        return version, live
+
+    def schema(self, version: int | None = None) -> t.StructType | None:
+        """The columns of a version; ``None`` before the first."""
+        return self._state(version)[2]
+
+    def _state(self, version: int | None = None) -> tuple[int, list[Shard], t.StructType | None]:
         version = max(self.versions(), default=0) if version is None else version
         if not version:
-            return 0, []
+            return 0, [], None
         stream = self._fs.open(self._path(f"manifests/v{version:010d}.json"))
         try:
             text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        return version, [Shard(**s) for s in json.loads(text)["shards"]]
+        found = json.loads(text)
+        return version, [Shard(**s) for s in found["shards"]], t.StructType.fromJson(found["schema"])
 
-    def _commit(self, base: int, shards: list[Shard]) -> int:
-        """Make ``shards`` the version after ``base``, or raise :class:`VersionConflict`."""
+    def _commit(self, base: int, shards: list[Shard], schema: t.StructType | None = None) -> int:
+        """Make ``shards`` the version after ``base``, or raise :class:`VersionConflict`; without ``schema``, the last one stays."""
+        schema = schema or self.schema() or t.StructType()
         version = base + 1
-        text = json.dumps({"version": version, "shards": [asdict(s) for s in shards]})
+        text = json.dumps({"version": version, "schema": schema.jsonValue(), "shards": [asdict(s) for s in shards]})
         draft, final = self._path(f"manifests/.{uuid.uuid4().hex}.tmp"), self._path(f"manifests/v{version:010d}.json")
         out = self._fs.create(draft, False)
         try:
@@ -145,40 +185,40 @@ class ShardStore:
 
     def append(self, rows: DataFrame, arrival_rows: int = ARRIVAL_ROWS) -> int:
         """Add ``rows`` as new shards; no rows make no version."""
+        union_schema(self.schema(), rows.schema)
         folder = f"data/{uuid.uuid4().hex}"
         rows.write.option("maxRecordsPerFile", arrival_rows).parquet(f"{self.root}/{folder}")
         files = self._files(folder)
         while files:
-            version, live = self.manifest()
+            version, live, known = self._state()
             at = max((s.last for s in live), default=-1) + 1
             fresh = [Shard(p, size, n, at + i, at + i) for i, (p, size, n) in enumerate(files)]
             try:
-                return self._commit(version, live + fresh)
+                return self._commit(version, live + fresh, union_schema(known, rows.schema))
             except VersionConflict:
                 continue
         return self.manifest()[0]
 
     def compact(self) -> bool:
         """Merge what is due once; whether anything was. A lost race leaves files that no version lists."""
-        version, live = self.manifest()
+        version, live, schema = self._state()
         runs = plan_merges(live, self.target, self.smallest, self.fanout)
         if not runs:
             return False
         merged: list[Shard] = []
         for lo in range(0, len(runs), JOB_RUNS):
-            merged += self._merge(runs[lo : lo + JOB_RUNS])
+            merged += self._merge(runs[lo : lo + JOB_RUNS], schema)
         gone = {s for run in runs for s in run}
         try:
-            self._commit(version, [s for s in live if s not in gone] + merged)
+            self._commit(version, [s for s in live if s not in gone] + merged, schema)
         except VersionConflict:
             for s in merged:
                 self._fs.delete(self._path(s.path), False)
         return True
 
-    def _merge(self, runs: list[list[Shard]]) -> list[Shard]:
+    def _merge(self, runs: list[list[Shard]], schema: t.StructType) -> list[Shard]:
         """One file for each run, written by one job with a task a run."""
         folder, rows = f"data/{uuid.uuid4().hex}", None
-        schema = self.spark.read.parquet(f"{self.root}/{runs[0][0].path}").schema
         for run in runs:
             part = self.spark.read.schema(schema).parquet(*[f"{self.root}/{s.path}" for s in run]).coalesce(1)
             rows = part if rows is None else rows.union(part)
@@ -223,10 +263,10 @@ class ShardStore:
 
         ``path_col`` must not be the name of one of the table's own columns.
         """
-        _, live = self.manifest(version)
+        _, live, schema = self._state(version)
         if not live:
             return None
-        rows = self.spark.read.parquet(*[f"{self.root}/{s.path}" for s in live])
+        rows = self.spark.read.schema(schema).parquet(*[f"{self.root}/{s.path}" for s in live])
         if path_col is None:
             return rows
         if path_col in rows.columns:

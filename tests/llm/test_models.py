@@ -404,3 +404,40 @@ def test_no_row_is_repeated_above_the_cap(rows):
     times = Counter(r["doc_id"] for r in out.collect())
     assert out.columns == df.columns and max(times.values()) <= mixing.MAX_EPOCHS
     assert all(times[i] == mixing.MAX_EPOCHS for i in range(100, 105))
+
+
+def test_arrivals_with_other_columns_lose_nothing(spark, rows, tmp_path):
+    store = sharding.ShardStore(spark, str(tmp_path / "store"), target=1 << 20, smallest=1000, fanout=2)
+    store.append(rows([(1, "a"), (2, None)], "doc_id int, text string").coalesce(1))
+    store.append(rows([(3, "b", "de")], "doc_id int, text string, lang string").coalesce(1))
+    store.append(rows([(4_000_000_000, "fr", 2)], "doc_id long, lang string, stars tinyint").coalesce(1))  # retyped, a dropped column, a new one
+    store.append(rows([(5, "c", 0.5)], "doc_id long, text string, stars double").coalesce(1))
+    want = [(1, "a", None, None), (2, None, None, None), (3, "b", "de", None), (5, "c", None, 0.5), (4_000_000_000, None, "fr", 2.0)]
+    read = lambda: sorted(tuple(r) for r in store.read().select("doc_id", "text", "lang", "stars").collect())
+    assert read() == want and store.read().columns == ["doc_id", "text", "lang", "stars"]
+    version = store.compact_all()
+    store.expire(0)
+    assert store.versions() == [version] and len(store.manifest()[1]) == 1 and read() == want
+    for bad, why in (("doc_id string", "doc_id"), ("DOC_ID long", "case"), ("doc_id long, text array<string>", "text")):
+        with pytest.raises(ValueError, match=why):
+            store.append(spark.createDataFrame([], bad))
+    assert store.manifest()[0] == version
+
+
+def test_very_long_texts_in_shards(spark, rows, tmp_path):
+    store = sharding.ShardStore(spark, str(tmp_path / "store"), target=1 << 20, smallest=1000, fanout=2)
+    long = ["x" * 3_000_000, " ".join(map(str, range(300_000)))]
+    for i, text in enumerate(long):
+        store.append(rows([(i, text)], "doc_id int, text string").coalesce(1))
+    store.compact_all()
+    assert [r["text"] for r in store.read().orderBy("doc_id").collect()] == long
+
+
+def test_the_shards_query_gives_every_row(spark, rows, tmp_path):
+    data = [(i, None if i % 7 == 0 else f"text {i} é" * (i % 5)) for i in range(60)] + [(3, "again")]
+    rows(data, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = sharding.op7_tiered_shards(spark, str(tmp_path)).collect()
+    crc = lambda t: zlib.crc32((t or "").encode())
+    assert sorted((r["doc_id"], r["text_crc32"], r["text_bytes"]) for r in out) == sorted((i, crc(t), len((t or "").encode())) for i, t in data)
+    held = Counter(r["shard_no"] for r in out)
+    assert all(r["shard_rows"] == held[r["shard_no"]] for r in out) and len({r["version"] for r in out}) == 1
