@@ -117,6 +117,24 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size_col: str) ->
     return stay.union(meet).drop("_group")
 
 
+def mark_groups(rows: DataFrame, groups: DataFrame, key: str, size_col: str) -> DataFrame:
+    """``rows`` with ``hit``: whether ``groups``, which has every key of more than one row and their number, has theirs.
+
+    Beyond what can be broadcast, rows of hot groups stay where they are, as
+    in :func:`join_groups`, and no key that is shuffled has many rows.
+    """
+    yes, same = F.lit(True).alias("hit"), F.col(key) == F.col("_group")
+    groups = groups.withColumnRenamed(key, "_group")
+    mark = lambda left, right: left.join(right.select("_group", yes), same, "left").drop("_group").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    if small(groups):
+        return mark(rows, F.broadcast(groups))
+    total = groups.agg(F.sum(size_col)).first()[0]
+    hot = F.col(size_col) * HOT_GROUPS > F.lit(total)
+    large = F.broadcast(groups.where(hot).select("_group"))
+    stay = rows.join(large, same, "left_semi").withColumn("hit", F.lit(True))
+    return stay.unionByName(mark(rows.join(large, same, "left_anti"), groups.where(~hot)))
+
+
 def finite(vector) -> Any:
     """Whether a vector is not null and holds neither nulls nor components that aren't finite."""
     good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))

@@ -31,20 +31,22 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pref
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     size, prefix = _levels(text, prefix_chars)
-    keys = common.materialize(docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), prefix.alias("prefix")), "dedup-keys")
-    by_size = keys.groupBy("size").agg(F.count("*").alias("n")).where("n > 1").select("size")
-    by_prefix = keys.join(common.maybe_broadcast(by_size), "size", "left_semi").groupBy("size", "prefix").agg(F.count("*").alias("n")).where("n > 1").select("size", "prefix")
-    survivors = common.materialize(by_prefix, "dedup-survivors")
-    rows = docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), prefix.alias("prefix"), text.alias("text"))
-    marked = rows.join(common.maybe_broadcast(survivors.withColumn("hit", F.lit(True))), ["size", "prefix"], "left")
+    # one number for both levels; if two groups shared it, their digests would part them
+    rows = docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), F.xxhash64(size, prefix).alias("level"), text.alias("text"))
+    keys = common.materialize(rows.select("size", "level"), "dedup-keys")
+    by_size = common.materialize(keys.groupBy("size").agg(F.count("*").alias("n")).where("n > 1"), "dedup-sizes")
+    by_level = common.join_groups(keys, by_size, "size", "n").groupBy("level").agg(F.count("*").alias("n")).where("n > 1")
+    survivors = common.materialize(by_level, "dedup-survivors")
     digest = F.sha2(F.col("text"), 256)
-    hashed = common.materialize(marked.select("doc_id", F.coalesce("hit", F.lit(False)).alias("hit"), (digest if all_digests else F.when(F.col("hit"), digest)).alias("text_sha256")), "dedup-digests")
-    groups = hashed.where("hit").groupBy("text_sha256").agg(F.max("doc_id").alias("keep"), F.count("*").alias("n")).where("n > 1")
-    groups = common.materialize(groups, "dedup-groups").withColumn("hit", F.lit(True))
-    # groups of copies are few, so rows of a large one needn't meet in one task
-    out = hashed.join(common.maybe_broadcast(groups), ["text_sha256", "hit"], "left")
-    keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep"))
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1).cast("long")).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
+    marked = common.mark_groups(rows, survivors, "level", "n")
+    hashed = common.materialize(marked.select("doc_id", "hit", (digest if all_digests else F.when(F.col("hit"), digest)).alias("text_sha256")), "dedup-digests")
+    groups = hashed.where("hit").groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = common.materialize(groups, "dedup-groups")
+    # only rows that may have copies look for them
+    found = common.join_groups(hashed.where("hit").select("doc_id", "text_sha256"), groups, "text_sha256", "group_size")
+    alone = hashed.where("NOT hit").select("doc_id", "text_sha256", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    out = found.unionByName(alone)
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

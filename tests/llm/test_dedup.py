@@ -106,6 +106,20 @@ def test_exact_dedup_edges(rows):
     assert len(got) == 3 and got[-2:] == [4, 7] and got[0] in (2, 3)
 
 
+def test_no_task_holds_most_rows_without_broadcasts(spark, rows, monkeypatch):
+    """Neither rows without copies nor those of one large group meet in a task, whatever is too large to broadcast."""
+    monkeypatch.setattr(common, "small", lambda *_: False)
+    docs = [(i, f"text {i} " + "x" * (i % 50)) for i in range(6000)] + [(10_000 + i, "one text") for i in range(3000)] + [(20_000 + i, f"pair {i // 2}") for i in range(1000)]
+    a_file_a_task = common.setting(spark, "spark.sql.files.openCostInBytes", "128m")
+    with a_file_a_task, common.setting(spark, "spark.sql.adaptive.enabled", "false"), common.setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        out = common.materialize(exact_dedup.refine(rows(docs, SCHEMA).repartition(8)).withColumn("part", F.spark_partition_id()), "dedup-parts")
+        sizes = [r["count"] for r in out.groupBy("part").count().collect()]
+    assert max(sizes) < 0.2 * len(docs)
+    groups = {r["keep_id"]: r["group_size"] for r in out.where("kept").collect()}
+    assert groups[12_999] == 3000 and groups[20_999] == 2 and groups[5] == 1 and len(groups) == 6501
+    assert out.where("kept").count() == 6501 and out.count() == len(docs)
+
+
 def test_digests_of_unique_rows_are_not_made(rows):
     out = exact_dedup.refine(rows([(1, "a"), (2, "bb"), (3, "bb")], SCHEMA))
     assert out.where("text_sha256 IS NULL").select("doc_id").collect() == [(1,)]
