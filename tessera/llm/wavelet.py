@@ -28,15 +28,19 @@ from pyspark.sql import functions as F
 
 from . import common, tokens
 
-MAGIC = b"TWM1"
+MAGIC = b"TWM2"
 END_ID = 2
 #: A shard is closed by the document that brings it to this many ids.
 SHARD_TOKENS = 8_000_000
 #: Bits that one entry of a plane's rank directory covers.
 BLOCK_BITS = 4096
+#: Bytes of a plane's piece, a multiple of a block's, and pieces that a reader keeps unpacked.
+PIECE_BYTES, KEPT_PIECES = 1 << 16, 64
+#: From so many occurrences on, a plane is searched as a whole.
+MANY = 2000
 
 SHARD_SCHEMA = "part int, seq int, part_start long, n_tokens long, n_docs long, payload binary"
-DOC_SCHEMA = "part int, doc_id long, part_start long, n_tokens long, ids_crc32 long"
+DOC_SCHEMA = "part int, doc_id long, part_start long, n_tokens long, ids_crc32 long, first_id long, first_id_count long"
 
 
 def _popcounts(plane: np.ndarray) -> np.ndarray:
@@ -55,7 +59,8 @@ def encode_shard(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray,
     for b in range(bits - 1, -1, -1):
         ones = (work & work.dtype.type(1 << b)) != 0
         plane = np.packbits(ones)
-        frames += [pack.compress(plane.tobytes()), pack.compress(_popcounts(plane).tobytes())]
+        frames.append(pack.compress(_popcounts(plane).tobytes()))
+        frames += [pack.compress(plane[a : a + PIECE_BYTES].tobytes()) for a in range(0, len(plane), PIECE_BYTES)]
         low = np.flatnonzero(~ones)
         zeros.append(len(low))
         if b:
@@ -66,7 +71,7 @@ def encode_shard(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray,
     known = np.array([d is not None for d in doc_ids], bool)
     directory = [np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.packbits(known).tobytes(), np.asarray(counts, "<i8").tobytes()]
     frames = [pack.compress(x) for x in directory] + frames
-    header = json.dumps({"n": len(ids), "docs": len(doc_ids), "bits": bits, "zeros": zeros, "frames": [len(f) for f in frames]}).encode()
+    header = json.dumps({"n": len(ids), "docs": len(doc_ids), "bits": bits, "zeros": zeros, "piece": PIECE_BYTES, "frames": [len(f) for f in frames]}).encode()
     return MAGIC + struct.pack("<I", len(header)) + header + b"".join(frames)
 
 
@@ -78,23 +83,59 @@ class WaveletShard:
             raise ValueError("not a wavelet-matrix shard")
         (size,) = struct.unpack_from("<I", image, 4)
         head = json.loads(image[8 : 8 + size])
-        self.n, self.bits, self.zeros = head["n"], head["bits"], head["zeros"]
-        at, parts, unpack = 8 + size, [], zstandard.ZstdDecompressor()
-        for n in head["frames"]:
-            parts.append(unpack.decompress(image[at : at + n]))
-            at += n
-        known = np.unpackbits(np.frombuffer(parts[1], np.uint8), count=head["docs"])
-        self.doc_ids = [int(d) if k else None for d, k in zip(np.frombuffer(parts[0], "<i8"), known, strict=True)]
-        self.counts = np.frombuffer(parts[2], "<i8")
-        self.planes = [np.frombuffer(p, np.uint8) for p in parts[3::2]]
-        self.ranks = [np.frombuffer(p, np.uint64) for p in parts[4::2]]
+        self.n, self.bits, self.zeros, self.piece = head["n"], head["bits"], head["zeros"], head["piece"]
+        self._image, self._sizes = memoryview(image), head["frames"]
+        self._at = np.cumsum([8 + size, *self._sizes])
+        self._pieces = -(-((self.n + 7) // 8) // self.piece)
+        self._held: dict[int, np.ndarray] = {}
+        self._ranks: dict[int, np.ndarray] = {}
+        self._unpack = zstandard.ZstdDecompressor()
+        known = np.unpackbits(np.frombuffer(self._frame(1), np.uint8), count=head["docs"])
+        self.doc_ids = [int(d) if k else None for d, k in zip(np.frombuffer(self._frame(0), "<i8"), known, strict=True)]
+        self.counts = np.frombuffer(self._frame(2), "<i8")
+
+    def _frame(self, f: int) -> bytes:
+        return self._unpack.decompress(self._image[self._at[f] : self._at[f] + self._sizes[f]])
+
+    def _first_frame(self, k: int) -> int:
+        return 3 + k * (1 + self._pieces)
+
+    def rank(self, k: int) -> np.ndarray:
+        """Ones before each block of plane ``k``."""
+        if k not in self._ranks:
+            self._ranks[k] = np.frombuffer(self._frame(self._first_frame(k)), np.uint64)
+        return self._ranks[k]
+
+    def _piece(self, k: int, at: int) -> tuple[np.ndarray, int]:
+        """The piece of plane ``k`` that holds byte ``at``, and its first byte."""
+        f = self._first_frame(k) + 1 + at // self.piece
+        if f not in self._held:
+            if len(self._held) >= KEPT_PIECES:
+                self._held.pop(next(iter(self._held)))
+            self._held[f] = np.frombuffer(self._frame(f), np.uint8)
+        return self._held[f], at // self.piece * self.piece
+
+    @property
+    def unpacked(self) -> int:
+        """Pieces of planes that are held unpacked."""
+        return len(self._held)
+
+    def plane(self, k: int) -> np.ndarray:
+        """Plane ``k`` as a whole."""
+        first = self._first_frame(k) + 1
+        return np.frombuffer(b"".join(self._frame(f) for f in range(first, first + self._pieces)), np.uint8)
 
     def _ones(self, k: int, i: int) -> int:
         """Ones before position ``i`` of plane ``k``."""
         block = i // BLOCK_BITS
-        at = block * (BLOCK_BITS // 8)
-        total = int(self.ranks[k][block]) + int(np.bitwise_count(self.planes[k][at : i // 8]).sum())
-        return total + (int(self.planes[k][i // 8]) >> (8 - i % 8)).bit_count() if i % 8 else total
+        total = int(self.rank(k)[block])
+        if i % BLOCK_BITS:
+            piece, first = self._piece(k, i // 8)
+            at = block * (BLOCK_BITS // 8) - first
+            total += int(np.bitwise_count(piece[at : i // 8 - first]).sum())
+            if i % 8:
+                total += (int(piece[i // 8 - first]) >> (8 - i % 8)).bit_count()
+        return total
 
     def access(self, i: int) -> int:
         """The id at position ``i``."""
@@ -102,7 +143,8 @@ class WaveletShard:
             raise IndexError(i)
         value = 0
         for k in range(self.bits):
-            bit = self.planes[k][i // 8] >> (7 - i % 8) & 1
+            piece, first = self._piece(k, i // 8)
+            bit = piece[i // 8 - first] >> (7 - i % 8) & 1
             ones = self._ones(k, i)
             value, i = value << 1 | int(bit), self.zeros[k] + ones if bit else i - ones
         return value
@@ -122,12 +164,13 @@ class WaveletShard:
 
     def _select(self, k: int, bit: int, j: int) -> int:
         """Position of the ``j``-th (from 0) ``bit`` in plane ``k``."""
-        before = self.ranks[k].astype(np.int64)
+        before = self.rank(k).astype(np.int64)
         if not bit:
             before = np.arange(len(before), dtype=np.int64) * BLOCK_BITS - before
         block = int(np.searchsorted(before, j, side="right")) - 1
-        at = block * (BLOCK_BITS // 8)
-        found = np.flatnonzero(np.unpackbits(self.planes[k][at : at + BLOCK_BITS // 8]) == bit)
+        piece, first = self._piece(k, block * (BLOCK_BITS // 8))
+        at = block * (BLOCK_BITS // 8) - first
+        found = np.flatnonzero(np.unpackbits(piece[at : at + BLOCK_BITS // 8]) == bit)
         return block * BLOCK_BITS + int(found[j - before[block]])
 
     def select(self, value: int, j: int) -> int:
@@ -143,13 +186,34 @@ class WaveletShard:
 
     def occurrences(self, value: int) -> list[int]:
         """All positions of an id, ascending."""
-        return [self.select(value, j) for j in range(self.count(value))]
+        a, b = self._range(value, 0, self.n)
+        if b - a < MANY:
+            return [self.select(value, j) for j in range(b - a)]
+        at = np.arange(a, b)
+        for k in range(self.bits - 1, -1, -1):
+            bit = value >> (self.bits - 1 - k) & 1
+            places = np.flatnonzero(np.unpackbits(self.plane(k), count=self.n) == bit)
+            at = places[at - self.zeros[k] if bit else at]
+        return at.tolist()
+
+    def count_first(self, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The id at each of ``starts``, and how often it occurs before the ``stops``: access and count for many ranges at once."""
+        value, low, high = np.zeros(len(starts), np.int64), starts.astype(np.int64), stops.astype(np.int64)
+        for k in range(self.bits):
+            plane = np.append(self.plane(k), np.uint8(0))
+            upto = np.concatenate([[0], np.cumsum(np.bitwise_count(plane), dtype=np.int64)])
+            ones = lambda i: upto[i // 8] + np.bitwise_count(plane[i // 8] >> (8 - i % 8).astype(np.uint8) & np.where(i % 8, 255, 0).astype(np.uint8))  # noqa: E731, B023
+            bit = plane[low // 8] >> (7 - low % 8).astype(np.uint8) & 1
+            a, b = ones(low), ones(high)
+            value = value << 1 | bit
+            low, high = np.where(bit, self.zeros[k] + a, low - a), np.where(bit, self.zeros[k] + b, high - b)
+        return value, high - low
 
     def decode(self) -> np.ndarray:
         """All ids in their first order, from the lowest plane upwards."""
         out = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for k in range(self.bits - 1, -1, -1):
-            ones = np.unpackbits(self.planes[k], count=self.n).view(bool)
+            ones = np.unpackbits(self.plane(k), count=self.n).view(bool)
             above = np.empty_like(out)
             above[np.flatnonzero(~ones)] = out[: self.zeros[k]]
             above[np.flatnonzero(ones)] = out[self.zeros[k] :] | out.dtype.type(1 << (self.bits - 1 - k))
@@ -221,27 +285,49 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts = ends - shard.counts
             crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts, ends, strict=True)]
             n = len(crc)
+            del ids
+            first, times = shard.count_first(starts, ends)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part.as_py()] * n, pa.int32()), pa.array(shard.doc_ids, pa.int64()), pa.array(starts + start.as_py(), pa.int64()), pa.array(shard.counts, pa.int64()), pa.array(crc, pa.int64())],
-                ["part", "doc_id", "part_start", "n_tokens", "ids_crc32"],
+                [pa.array([part.as_py()] * n, pa.int32()), *(pa.array(c, pa.int64()) for c in (shard.doc_ids, starts + start.as_py(), shard.counts, crc, first, times))],
+                ["part", "doc_id", "part_start", "n_tokens", "ids_crc32", "first_id", "first_id_count"],
             )
 
 
-def document_digests(shards: DataFrame) -> DataFrame:
-    """Per document, from the shards alone: doc_id, start, n_tokens, ids_crc32.
+def _lookup(wanted: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload in batch.column(0):
+                shard = WaveletShard(payload.as_py())
+                ends = np.cumsum(shard.counts)
+                for value in wanted:
+                    at = np.array(shard.occurrences(value), np.int64)
+                    doc = np.searchsorted(ends, at, side="right")
+                    yield pa.RecordBatch.from_arrays([pa.array([value] * len(at), pa.int64()), pa.array([shard.doc_ids[d] for d in doc], pa.int64()), pa.array(at - (ends - shard.counts)[doc], pa.int64())], ["token_id", "doc_id", "place"])
+
+    return run
+
+
+def find_tokens(shards: DataFrame, wanted: list[int]) -> DataFrame:
+    """token_id, doc_id, place of each occurrence of the ids in ``wanted``; only the planes' pieces on their way are unpacked."""
+    return shards.select("payload").mapInArrow(_lookup(sorted(set(wanted))), "token_id long, doc_id long, place long")
+
+
+def document_digests(shards: DataFrame, ranks: bool = False) -> DataFrame:
+    """Per document, from the shards alone: doc_id, start, n_tokens, ids_crc32 and with ``ranks`` first_id, first_id_count.
 
-    A document's start adds what all earlier parts hold to its start in its
+    The last two, a document's first id and how often it holds that, come from
+    ranks in the planes and not from the decoded ids. A document's start adds what all earlier parts hold to its start in its
     own part. That sum runs over one row a part, never over documents.
     """
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     docs = shards.select("part", "part_start", "payload").mapInArrow(_documents, DOC_SCHEMA)
-    return docs.join(common.maybe_broadcast(base), "part").select("doc_id", (F.col("base") + F.col("part_start")).alias("start"), "n_tokens", "ids_crc32")
+    return docs.join(common.maybe_broadcast(base), "part").select("doc_id", (F.col("base") + F.col("part_start")).alias("start"), "n_tokens", "ids_crc32", *(["first_id", "first_id_count"] if ranks else []))
 
 
 def op3_wavelet_shards(spark, sf_dir: str) -> DataFrame:
-    """All ``documents`` through shards in the shared folder and back."""
+    """All ``documents`` through shards in the shared folder and back, decoded and asked for ranks."""
     path = common.scratch_path(spark, "op3-shards")
     write_shards(common.table(spark, sf_dir, "documents"), path)
-    return document_digests(read_shards(spark, path))
+    return document_digests(read_shards(spark, path), ranks=True)

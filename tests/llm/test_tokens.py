@@ -25,6 +25,40 @@ def test_words_in_a_row_are_the_text(reference):
         assert np.frombuffer(got, "<u4").tolist() == reference(text), text
 
 
+def test_a_walk_unpacks_the_pieces_that_it_comes_by(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(wavelet, "PIECE_BYTES", 1024)
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 300, 100_001).astype(np.uint32)
+    ids[::3] = 7  # many: planes are searched as a whole
+    cut = np.array([100, 0, 40_000, 59_901])
+    image = wavelet.encode_shard([1, 2, 3, 4], cut, ids)
+    shard = wavelet.WaveletShard(image)
+    assert [shard.access(i) for i in (0, 8191, 8192, 77_777, 100_000)] == ids[[0, 8191, 8192, 77_777, 100_000]].tolist()
+    assert 0 < shard.unpacked <= 5 * shard.bits < 9 * 13
+    fresh = wavelet.WaveletShard(image)
+    assert fresh.count(7, 1000, 1010) == (ids[1000:1010] == 7).sum() and fresh.unpacked <= 2 * fresh.bits
+    for value in (7, 9, 299, 511, 4000):
+        assert shard.occurrences(value) == np.flatnonzero(ids == value).tolist()
+    starts = np.array([0, 5, 8192, 100_000, 63_999])
+    stops = np.array([100_001, 6, 16_384, 100_001, 64_010])
+    value, times = shard.count_first(starts, stops)
+    assert value.tolist() == ids[starts].tolist() and times.tolist() == [(ids[a:b] == ids[a]).sum() for a, b in zip(starts, stops, strict=True)]
+    assert (shard.decode() == ids).all()
+
+
+def test_tokens_are_found_in_shards(spark, rows, tmp_path, reference):
+    docs = [(i, "alpha beta alpha" if i % 3 else "beta") for i in range(30)] + [(None, "alpha"), (99, None)]
+    path = str(tmp_path / "shards")
+    wavelet.write_shards(rows(docs, "doc_id long, text string").repartition(3), path, shard_tokens=40)
+    shards = wavelet.read_shards(spark, path)
+    coded = {i: [*reference(t), wavelet.END_ID] for i, t in docs}
+    wanted = [coded[1][0], wavelet.END_ID, 40_000]
+    got = sorted((r["token_id"], str(r["doc_id"]), r["place"]) for r in wavelet.find_tokens(shards, wanted).collect())
+    assert got == sorted((v, str(i), p) for i, ids in coded.items() for p, v in enumerate(ids) if v in wanted)
+    digests = {r["doc_id"]: (r["first_id"], r["first_id_count"]) for r in wavelet.document_digests(shards, ranks=True).collect()}
+    assert digests == {i: (ids[0], ids.count(ids[0])) for i, ids in coded.items()}
+
+
 def test_wavelet_shard_answers_like_a_list():
     rng = random.Random(0)
     for n, high in ((0, 5), (1, 5), (9000, 7), (5000, 49_000), (300, 200_000)):
