@@ -117,6 +117,22 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size_col: str) ->
     return stay.union(meet).drop("_group")
 
 
+def join_hot(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``table``, which has few rows a key, whatever share of the rows a key has.
+
+    A small table is broadcast. Beyond that the rows of hot keys, of which
+    there are fewer than a thousand, meet theirs by a broadcast, if those too
+    are counted and few, and only the others are shuffled.
+    """
+    if small(table):
+        return rows.join(F.broadcast(table), key)
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    most = rows.count() / HOT_GROUPS
+    hot = F.broadcast(counts.where(F.col("_n") > most).select(key))
+    theirs = maybe_broadcast(table.join(hot, key, "left_semi"))
+    return rows.join(hot, key, "left_semi").join(theirs, key).unionByName(rows.join(hot, key, "left_anti").join(table, key))
+
+
 def mark_groups(rows: DataFrame, groups: DataFrame, key: str, size_col: str) -> DataFrame:
     """``rows`` with ``hit``: whether ``groups``, which has every key of more than one row and their number, has theirs.
 

@@ -270,7 +270,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         open_ = common.materialize(live.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket"), "minhash-open")
         if open_.isEmpty():
             break
-        live = common.materialize(live.join(open_, "bucket"), "minhash-live")
+        live = common.materialize(common.join_hot(live, open_, "bucket"), "minhash-live")
         turn += 1
         if turn == 2:
             live, pivots = _deal_by_shingles(live, texts, labels, width, percent), PIVOTS
@@ -286,7 +286,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         chosen = common.materialize(chosen.select("bucket", F.col("doc_id").alias("p_id"), F.col("n").alias("p_n"), F.col("place").alias("p_place"), F.col("comp").alias("p_comp")), "minhash-pivots")
         near = (F.col("comp") != F.col("p_comp")) & (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n"))
         near = near & ((100 + percent) * F.least(F.col("n") - F.col("place"), F.col("p_n") - F.col("p_place")) >= percent * (F.col("n") + F.col("p_n")))
-        pairs = live.join(chosen, "bucket").where(near).select(F.least("doc_id", "p_id").alias("a"), F.greatest("doc_id", "p_id").alias("b")).distinct()
+        pairs = common.join_hot(live, chosen, "bucket").where(near).select(F.least("doc_id", "p_id").alias("a"), F.greatest("doc_id", "p_id").alias("b")).distinct()
         if failed is not None:
             pairs = pairs.join(failed, ["a", "b"], "left_anti")
         pairs = common.materialize(pairs, "minhash-pairs")
@@ -298,7 +298,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = judged.where("linked").join(comp("a"), "a").join(comp("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
         roots = merge(links)
         labels = common.materialize(_relabel(labels, roots), "minhash-labels")
-        left = live.join(chosen.select("bucket", F.col("p_id").alias("doc_id")), ["bucket", "doc_id"], "left_anti")
+        left = live.join(common.maybe_broadcast(chosen.select("bucket", F.col("p_id").alias("doc_id"))), ["bucket", "doc_id"], "left_anti")
         live = common.materialize(_relabel(left, roots), "minhash-live")
         pivots *= PIVOT_GROWTH
     out = keys.select("doc_id", *group).join(classes, group, "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))

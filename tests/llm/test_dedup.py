@@ -59,6 +59,15 @@ def test_components_equal_brute_force(rows, width):
     assert all(r["kept"] == (r["component_id"] == r["doc_id"]) for r in out)
 
 
+def test_components_where_nothing_is_small(rows, monkeypatch):
+    """Hot buckets apart from the others, as with tables too large to broadcast."""
+    docs = corpus(3, 15)
+    monkeypatch.setattr(common, "small", lambda *_: False)
+    monkeypatch.setattr(common, "HOT_GROUPS", 20)
+    out = minhash.near_duplicates(rows(docs, SCHEMA).repartition(4), width=2).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute_components(docs, 2)
+
+
 def test_near_dedup_edges(rows):
     assert minhash.near_duplicates(rows([], SCHEMA)).count() == 0
     long = " ".join(f"x{i}" for i in range(30_000))
