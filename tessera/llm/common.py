@@ -7,10 +7,12 @@ form feed and carriage return; ``bytes.split()`` cuts at exactly these six.
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Hashable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ MAX_BROADCAST_ROWS = 200_000
 
 
 #: Rows of one Arrow batch between the JVM and Python while a table is written: texts may be long.
-BATCH_ROWS = 2_000
+BATCH_ROWS = 1_000
 
 _kept: dict[str, tuple[Hashable, Any]] = {}
 
@@ -37,6 +39,32 @@ def kept(owner: str, key: Hashable, make: Callable[[Any], Any]) -> Any:
     return _kept[owner][1]
 
 
+def give_back() -> None:
+    """Return memory that this Python worker has freed to the system; allocators would keep it, and workers outlive their stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+#: Batches after which a worker gives back what it has freed.
+TURN = 8
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, giving memory back after every ``TURN`` batches that it hands on and at its end."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for n, batch in enumerate(run(batches), 1):
+            yield batch
+            del batch
+            if n % TURN == 0:
+                give_back()
+        give_back()
+
+    return wrapped
+
+
 @contextlib.contextmanager
 def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     """The session's setting ``name`` as ``value`` for what is run inside."""

@@ -200,11 +200,11 @@ def _deal_by_shingles(live: DataFrame, texts: DataFrame, labels: DataFrame, widt
     """The documents of ``live`` in new buckets, one for each shingle that several of them have among their first."""
     docs = common.materialize(texts.join(common.maybe_broadcast(live.select("doc_id").distinct()), "doc_id", "left_semi"), "minhash-texts")
     counts = np.zeros(SLOTS, np.int64)
-    found = docs.select("text").mapInArrow(_slots(width), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS rows
+    found = docs.select("text").mapInArrow(common.frugal(_slots(width)), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS rows
     counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
     del found
     shared = live.sparkSession.sparkContext.broadcast(counts)
-    found = common.materialize(docs.select("doc_id", "text").mapInArrow(_first_shingles(shared, width, percent), "bucket long, doc_id long, n long, place long"), "minhash-first")
+    found = common.materialize(docs.select("doc_id", "text").mapInArrow(common.frugal(_first_shingles(shared, width, percent)), "bucket long, doc_id long, n long, place long"), "minhash-first")
     several = common.materialize(found.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"), "minhash-buckets")
     found = found.join(several, "bucket").join(labels, "doc_id")
     return common.materialize(found.select("bucket", "doc_id", "n", "place", "comp"), "minhash-live")
@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     An empty table gives no row.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    keys = common.materialize(source.mapInArrow(_keys(width, bands, rows), KEY_SCHEMA), "minhash-keys")
+    keys = common.materialize(source.mapInArrow(common.frugal(_keys(width, bands, rows)), KEY_SCHEMA), "minhash-keys")
     if not keys.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         one = common.materialize(source.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("text").alias("text")).union(source.where("doc_id IS NULL")), "minhash-one")
         found = near_duplicates(one, width=width, percent=percent, bands=bands, rows=rows)
@@ -291,7 +291,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = pairs.join(failed, ["a", "b"], "left_anti")
         pairs = common.materialize(pairs, "minhash-pairs")
         both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        judged = common.materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, percent), "a long, b long, linked boolean"), "minhash-judged")
+        judged = common.materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(common.frugal(_confirm(width, percent)), "a long, b long, linked boolean"), "minhash-judged")
         missed = judged.where(~F.col("linked")).select("a", "b")
         failed = missed if failed is None else failed.union(missed)
         comp = lambda c: labels.select(F.col("doc_id").alias(c), F.col("comp").alias(f"{c}_comp"))

@@ -175,7 +175,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, c
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    pieces = common.materialize(rows.mapInArrow(_pieces(vocabulary or tokens.vocabulary_path(), end_id, capacity), PIECE_SCHEMA), "pieces")
+    pieces = common.materialize(rows.mapInArrow(common.frugal(_pieces(vocabulary or tokens.vocabulary_path(), end_id, capacity)), PIECE_SCHEMA), "pieces")
     counts = common.materialize(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts")
     histogram = np.zeros(capacity + 1, np.int64)
     for length, n in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most ``capacity`` rows

@@ -193,7 +193,7 @@ def grade(docs: DataFrame, model: Ordinal | None, id_col: str = "doc_id", text_c
         return docs.select(F.col(id_col).alias("doc_id"), F.lit(None).cast("double").alias("expected_grade"), F.lit(None).cast("double").alias("tail_probability"), F.lit(True).alias("kept"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    graded = rows.mapInArrow(_grade(shared), "doc_id long, expected_grade double, tail_probability double")
+    graded = rows.mapInArrow(common.frugal(_grade(shared)), "doc_id long, expected_grade double, tail_probability double")
     return graded.withColumn("kept", F.col("tail_probability") >= keep_probability)
 
 
@@ -209,6 +209,7 @@ def keep_good(docs: DataFrame, model: Ordinal | None, text_col: str = "text", ke
     def good(texts):
         batch = pa.RecordBatch.from_arrays([pa.nulls(len(texts), pa.int64()), pa.array(texts, pa.binary())], ["doc_id", "text"])
         (out,) = grade_texts(iter([batch]))
+        common.give_back()
         return out.column(2).to_pandas() >= keep_probability
 
     return docs.where(good(F.col(text_col).cast("binary")))

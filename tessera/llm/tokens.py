@@ -25,7 +25,7 @@ MAX_CACHED_WORDS = 200_000
 #: Longer words aren't kept.
 MAX_CACHED_BYTES = 64
 #: Bytes of text that are looked up together.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_500_000
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII's without the apostrophe
