@@ -45,8 +45,11 @@ def rank(passages: DataFrame, queries: DataFrame, k: int = 10, vector_col: str =
     each block meets each batch of passages in a matrix product, and only the
     best ``k`` of a batch leave it. One scan of the passages takes at most
     ``SCAN_BLOCKS`` blocks of ``BLOCK`` queries, which are broadcast; further
-    queries take further scans.
+    queries take further scans. Rows whose vector is null or holds a null take
+    no part on either side; :func:`violations` lists them.
     """
+    whole = F.col(vector_col).isNotNull() & ~F.exists(vector_col, lambda x: x.isNull())
+    passages, queries = passages.where(whole), queries.where(whole)
     asked = cut(dense_order(queries.select("query_id", F.col(vector_col).alias("v")), "query_id", name="n"))
     most = BLOCK * SCAN_BLOCKS
     parts = []

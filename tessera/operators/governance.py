@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.checkpoints import cut
+from ..functions.order import dense_order
+from ..functions.sizes import look_up
 
 SPLITS = ("train", "validation", "test")
 
@@ -28,22 +30,26 @@ def enforce(violations: DataFrame, name: str = "contract") -> None:
 def components(links: DataFrame) -> DataFrame:
     """node, component (its least node) for every node of ``links`` (a, b).
 
-    Every round points each node to its least neighbour's label and then to
-    that label's label, so the rounds grow with the logarithm of a chain's
-    length. Every round's labels are written, which cuts the plan.
+    Every node points to its least neighbour and pointers are contracted: what
+    remains of the links goes on between the nodes that were pointed to. Those
+    at least halve, so a round is smaller than the one before, and a chain of
+    n nodes takes a logarithm of rounds. A hub, or the root of a component
+    with most nodes, has no task of its own: see :func:`sizes.look_up`.
     """
-    both = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
-    while True:
-        of_b = labels.select(F.col("node").alias("b"), F.col("component").alias("c"))
-        low = both.join(of_b, "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("low"))
-        moved = labels.join(low, "node").select("node", F.least("component", "low").alias("component"))
-        jump = moved.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        moved = cut(moved.join(jump, "component").select("node", F.col("up").alias("component")))
-        unchanged = moved.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old").isEmpty()
-        labels = moved
-        if unchanged:
-            return labels
+    alone = links.where("a = b").select(F.col("a").alias("node"))
+    edges = cut(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    nodes = cut(alone.union(edges.select("a")).union(edges.select("b")).distinct().where("node IS NOT NULL"))
+    labels = nodes.select("node", F.col("node").alias("component"))
+    while not edges.isEmpty():
+        both = edges.union(edges.select("b", "a"))
+        point = cut(both.groupBy("a").agg(F.min("b").alias("low")).where("low < a"))
+        moved = look_up(labels, point.withColumnRenamed("a", "component"), "component")
+        labels = cut(moved.select("node", F.coalesce("low", "component").alias("component")))
+        for end in ("a", "b"):
+            met = look_up(edges, point.withColumnRenamed("a", end), end)
+            edges = met.withColumn(end, F.coalesce("low", end)).select("a", "b")
+        edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return labels
 
 
 def leakage_links(cases: DataFrame, passages: DataFrame) -> DataFrame:
@@ -60,9 +66,9 @@ def case_components(cases: DataFrame, passages: DataFrame) -> DataFrame:
     """case_id, component: cases that share a query, passage or source, directly or by others."""
     found = components(leakage_links(cases, passages)).where(F.col("node").startswith("case:"))
     rows = found.select(F.expr("substring(node, 6)").alias("case_id"), "component")
-    # the least case names a component; a component's cases never meet in one task
+    # the least case names a component
     least = rows.groupBy("component").agg(F.min("case_id").alias("least"))
-    return rows.join(least, "component").select("case_id", F.col("least").alias("component"))
+    return look_up(rows, least, "component").select("case_id", F.col("least").alias("component"))
 
 
 def split_violations(assignments: DataFrame, groups: Iterable[str] = ("component", "query_id")) -> DataFrame:
@@ -323,7 +329,10 @@ def round_assignments(cases: DataFrame, annotators: list[str], adjudicator: str,
     who = F.explode(F.array(*map(F.lit, annotators))).alias("annotator_id")
     rows = cases.select("case_id", who)
     order = T.sha256(F.concat_ws(":", F.lit(seed), "annotator_id", F.col("case_id").cast("string")))
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy("annotator_id").orderBy(order, "case_id"))).select("annotator_id", "position", "case_id")
+    # annotators have as many cases each, so places in one order of all give places in their own
+    n = cases.count()
+    placed = dense_order(rows.withColumn("_order", order), "annotator_id", "_order", "case_id", name="_place")
+    return placed.select("annotator_id", (F.pmod("_place", F.lit(max(1, n))) + 1).cast("int").alias("position"), "case_id")
 
 
 def assignment_violations(assignments: DataFrame, cases: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.types import StructField, StructType
 
 from ..functions.checkpoints import cut
 from ..functions.groups import stream_groups
+from .intervals import span_sums
 
 
 def act_parents(headings: DataFrame) -> DataFrame:
@@ -149,13 +150,15 @@ def span_lines(found: DataFrame, lines: DataFrame, start: str = "direct_start",
 
 
 def span_metrics(found: DataFrame, lines: DataFrame, start: str = "direct_start", stop: str = "direct_stop") -> DataFrame:
-    """Per heading: raw and filled lines, and whether the span is empty, blank or on several pages."""
-    rows = span_lines(found, lines, start, stop)
-    filled = F.regexp_replace("text", r"\s", "") != ""
-    counted = rows.groupBy("document_id", "heading_id").agg(F.count("*").alias("n"), F.count_if(filled).alias("f"), F.min("page_number").alias("lo"), F.max("page_number").alias("hi"))
-    out = found.select("document_id", "heading_id").join(counted, ["document_id", "heading_id"], "left")
-    raw, f = F.coalesce("n", F.lit(0)), F.coalesce("f", F.lit(0))
-    return out.select("document_id", "heading_id", raw.alias("raw_line_count"), f.alias("nonblank_line_count"), (raw == 0).alias("is_empty"), ((raw > 0) & (f == 0)).alias("is_blank_only"), F.coalesce(F.col("lo") != F.col("hi"), F.lit(False)).alias("is_multi_page"))
+    """Per heading: raw and filled lines, and whether the span is empty, blank or on several pages.
+
+    Counts are differences of running sums; pages never fall along a
+    document's lines, so the first and the last line's tell of all.
+    """
+    filled = (F.regexp_replace("text", r"\s", "") != "").cast("long")
+    rows = span_sums(found.select("document_id", "heading_id", start, stop), lines, {"_raw": F.lit(1), "_filled": filled}, start, stop, edges=("page_number",))
+    raw, f = F.col("_raw"), F.col("_filled")
+    return rows.select("document_id", "heading_id", raw.alias("raw_line_count"), f.alias("nonblank_line_count"), (raw == 0).alias("is_empty"), ((raw > 0) & (f == 0)).alias("is_blank_only"), F.coalesce(F.col("first_page_number") != F.col("last_page_number"), F.lit(False)).alias("is_multi_page"))
 
 
 def containment_violations(found: DataFrame, ancestors: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .intervals import place, segments
 
 
 def in_document() -> WindowSpec:
@@ -89,21 +90,37 @@ def furniture_reason(text: Column, line_number: Column, page_line_count: Column,
     return out
 
 
-def ledger(lines: DataFrame, owned: DataFrame, reasons: DataFrame) -> DataFrame:
+#: What owns a line, the first before the others; an exclusion stands between heading and front matter.
+KINDS = {"content": 1, "heading": 2, "frontmatter": 4}
+
+
+def ledger(lines: DataFrame, owned: DataFrame, reasons: DataFrame, regions: DataFrame | None = None) -> DataFrame:
     """One class and owner for every line: content, then heading, then exclusion, then front matter, then blank.
 
-    ``owned`` has document_id, line_pos, owner_id and kind (content, heading
-    or frontmatter), ``reasons`` document_id, line_pos, priority and reason;
-    of several reasons the one with the least priority counts.
+    ``owned`` are spans: document_id, start_pos, stop_pos (exclusive), or
+    line_pos for a single line, owner_id and kind (content, heading or
+    frontmatter). ``reasons`` has
+    document_id, line_pos, priority and reason, ``regions`` spans with priority
+    and reason; of several reasons the one with the least priority counts.
+    Spans meet lines by a sweep over their ends, not by unrolling them.
     """
-    first = reasons.groupBy("document_id", "line_pos").agg(F.min_by("reason", "priority").alias("reason"))
-    rank = F.element_at(F.create_map(*[F.lit(x) for p in (("content", 1), ("heading", 2), ("frontmatter", 4)) for x in p]), F.col("kind"))
-    owner = owned.groupBy("document_id", "line_pos").agg(F.min(F.struct(rank.alias("r"), "kind", "owner_id")).alias("o"), F.count_if(F.col("kind") == "content").alias("contents"))
-    rows = lines.join(owner, ["document_id", "line_pos"], "left").join(first, ["document_id", "line_pos"], "left")
+    if "line_pos" in owned.columns:
+        owned = owned.withColumns({"start_pos": F.col("line_pos"), "stop_pos": F.col("line_pos") + 1})
+    rank = F.element_at(F.create_map(*[F.lit(x) for p in KINDS.items() for x in p]), F.col("kind"))
+    held = segments(owned.select("document_id", "start_pos", "stop_pos", F.col("owner_id").alias("owner"), rank.alias("rank")))
+    first = reasons.groupBy("document_id", "line_pos").agg(F.min(F.struct(F.col("priority").cast("int").alias("priority"), "reason")).alias("_line"))
+    rows = place(lines.select("document_id", "line_pos", "text"), held).withColumnsRenamed({"owner": "_owner", "rank": "_rank", "claims": "_claims"})
+    if regions is not None:
+        rows = place(rows, segments(regions.select("document_id", "start_pos", "stop_pos", F.col("reason").alias("owner"), F.col("priority").alias("rank"))))
+        rows = rows.withColumn("_region", F.when(F.col("owner").isNotNull(), F.struct(F.col("rank").alias("priority"), F.col("owner").alias("reason")))).drop("owner", "rank", "claims")
+    rows = rows.join(first, ["document_id", "line_pos"], "left")
+    reason = F.least("_line", "_region")["reason"] if regions is not None else F.col("_line.reason")
+    kind_of = F.element_at(F.create_map(*[F.lit(x) for k, v in KINDS.items() for x in (v, k)]), F.col("_rank"))
     blank = T.strip(F.col("text")) == ""
-    kind = F.when(F.col("o.r") <= 2, F.col("o.kind")).when(F.col("reason").isNotNull(), "excluded").when(F.col("o.r") == 4, "frontmatter").when(blank, "blank").otherwise("unassigned")
-    owned_kind = kind.isin("content", "heading", "frontmatter")
-    return rows.select("document_id", "line_pos", "text", kind.alias("classification"), F.when(kind == "excluded", F.col("reason")).alias("reason"), F.when(owned_kind, F.col("o.owner_id")).alias("owner_id"), F.coalesce("contents", F.lit(0)).alias("contents"))
+    kind = F.when(F.col("_rank") <= 2, kind_of).when(reason.isNotNull(), "excluded").when(F.col("_rank") == 4, "frontmatter").when(blank, "blank").otherwise("unassigned")
+    owned_kind = kind.isin(*KINDS)
+    contents = F.when(F.col("_rank") == 1, F.col("_claims")).otherwise(0).cast("long")
+    return rows.select("document_id", "line_pos", "text", kind.alias("classification"), F.when(kind == "excluded", reason).alias("reason"), F.when(owned_kind, F.col("_owner")).alias("owner_id"), contents.alias("contents"))
 
 
 def ledger_violations(rows: DataFrame) -> DataFrame:

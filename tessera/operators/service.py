@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.sizes import maybe_broadcast
 from . import lexical
+from .lexical_index import Index
 from .sufficiency import Model, features
 
 MAX_QUESTION, MAX_LIMIT, SHORT_BODY = 2000, 10, 120
-MISSING = "Additional directly responsive evidence is required before the system can answer."
+#: What an abstention says is missing.
+MISSING = "No passage that was found answers this question; more evidence on it is needed."
+#: Reasons, as users of answers compare them.
+NO_MATCH, ENOUGH, NOT_ENOUGH = "no_positive_lexical_match", "evidence_passed_silver_sufficiency_threshold", "evidence_below_silver_sufficiency_threshold"
 
 
 def eligible(passages: DataFrame) -> DataFrame:
@@ -36,17 +40,18 @@ def select_evidence(hits: DataFrame) -> DataFrame:
     return rows.where((F.col("rank") == 1) | same).drop("_first")
 
 
-def answer(passages: DataFrame, questions: DataFrame, model: Model, limit: int = 5, normalize: bool = True) -> DataFrame:
+def answer(passages: DataFrame, questions: DataFrame, model: Model, limit: int = 5, normalize: bool = True, index: Index | None = None) -> DataFrame:
     """Per question: action, reason, probability_sufficient, answer, counts and feature values.
 
     ``passages`` has passage_id, text, citation_text, label, unit_kind and
-    logical_source_key; ``questions`` query_id and text.
+    logical_source_key; ``questions`` query_id and text. A stored ``index`` of
+    the eligible passages is probed instead of reading all texts.
     """
     if isinstance(limit, bool) or not isinstance(limit, int) or not 1 <= limit <= MAX_LIMIT:
         raise ValueError("limit must be an integer in 1..10")
     asked = questions.select("query_id", T.strip(F.col("text")).alias("text"))
     corpus = eligible(passages)
-    hits = lexical.rank(corpus, asked, limit, normalize=normalize)
+    hits = index.search(asked, limit) if index else lexical.rank(corpus, asked, limit, normalize=normalize)
     known = corpus.select("passage_id", "citation_text", "label", "logical_source_key")
     positive = hits.where("score > 0")
     chosen = select_evidence(known.join(maybe_broadcast(positive.where("rank <= 2")), "passage_id"))
@@ -58,7 +63,7 @@ def answer(passages: DataFrame, questions: DataFrame, model: Model, limit: int =
     rows = rows.withColumn("p", F.when(F.col("e").isNull(), 0.0).otherwise(model.probability({n: F.col(n) for n in named})))
     enough = F.col("e").isNotNull() & (F.col("p") >= model.threshold)
     numbered = F.array_join(F.transform("e", lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x["citation_text"])), "\n\n")
-    reason = F.when(F.col("e").isNull(), "no_positive_lexical_match").when(enough, "evidence_passed_silver_sufficiency_threshold").otherwise("evidence_below_silver_sufficiency_threshold")
+    reason = F.when(F.col("e").isNull(), NO_MATCH).when(enough, ENOUGH).otherwise(NOT_ENOUGH)
     return rows.select(
         "query_id", F.when(enough, "answer").otherwise("abstain").alias("action"), reason.alias("reason"), T.round12(F.col("p")).alias("probability_sufficient"),
         F.coalesce("positive", F.lit(0)).alias("positive_candidate_count"), F.coalesce(F.size("e"), F.lit(0)).alias("selected_passage_count"), F.when(enough, numbered).alias("answer"),

@@ -17,6 +17,8 @@ from .atoms import best_partition, partition_passages  # noqa: F401
 TARGET_WORDS, HARD_WORDS = 384, 512
 
 _PIECES = "source_id string, part_number int, first_order long, last_order long, content_words long, boundary_after string, failure string"
+#: Fixed value: what ids of units start with.
+UNIT_PREFIX = "candidate-v2"
 
 
 def greedy_cuts(words: list[int], reasons: list[str | None], context: int = 0, hard: int = HARD_WORDS, target: int = TARGET_WORDS) -> tuple[list[tuple[int, int, int, str]], str | None]:
@@ -86,18 +88,18 @@ def pack_entries(lines: DataFrame, hard_words: int = HARD_WORDS, target_words: i
     ``target_words``. An entry above the bound is a pack of its own.
     """
     entries = lines.groupBy("source_id", "entry").agg(F.sum("words").alias("words"))
-    listed = entries.groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("entry", "words"))).alias("e"))
-    empty = F.array().cast("array<struct<entry:bigint,words:bigint,pack:int>>")
-    start = F.struct(empty.alias("out"), F.lit(0).cast("long").alias("size"), F.lit(1).alias("pack"))
+    entries = entries.select("source_id", F.col("entry").cast("long").alias("entry"), F.col("words").cast("long").alias("words"))
 
-    def step(s: Column, x: Column) -> Column:
-        new = (s["size"] > 0) & ((s["size"] + x["words"] > hard_words) | (s["size"] >= target_words))
-        pack = F.when(new, s["pack"] + 1).otherwise(s["pack"])
-        size = F.when(new, x["words"]).otherwise(s["size"] + x["words"])
-        row = F.struct(x["entry"].cast("long").alias("entry"), x["words"].cast("long").alias("words"), pack.alias("pack"))
-        return F.struct(F.concat(s["out"], F.array(row)).alias("out"), size.cast("long").alias("size"), pack.alias("pack"))
+    def run(source: object, group: dict[str, list]) -> list[tuple]:
+        out, size, pack = [], 0, 1
+        for entry, words in zip(group["entry"], group["words"], strict=True):
+            if size > 0 and (size + words > hard_words or size >= target_words):
+                size, pack = 0, pack + 1
+            size += words
+            out.append((source, entry, words, pack))
+        return out
 
-    return listed.select("source_id", F.explode(F.aggregate("e", start, step)["out"]).alias("r")).select("source_id", "r.*")
+    return stream_groups(entries, "source_id", "entry", run, f"source_id {dict(entries.dtypes)['source_id']}, entry long, words long, pack int")
 
 
 def passage_texts(pieces: DataFrame, lines: DataFrame, label: Column | None = None) -> DataFrame:
@@ -112,13 +114,13 @@ def passage_texts(pieces: DataFrame, lines: DataFrame, label: Column | None = No
     rows = wide.join(lines, ["source_id", "line_order"])
     part = F.struct("line_order", "page_number", "line_pos", T.strip(F.col("text")).alias("text"))
     listed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(part)).alias("l"))
-    start = F.struct(F.lit("").alias("t"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("long").alias("pos"))
+    before = F.concat(F.array(F.lit(None).cast(listed.schema["l"].dataType.elementType)), "l")
 
-    def step(s: Column, x: Column) -> Column:
-        gap = F.when(s["pos"].isNull(), "").when((x["line_pos"] != s["pos"] + 1) & (x["page_number"] == s["page"]), "\n\n").otherwise("\n")
-        return F.struct(F.concat(s["t"], gap, x["text"]).alias("t"), x["page_number"].cast("int").alias("page"), x["line_pos"].cast("long").alias("pos"))
+    def piece(x: Column, last: Column) -> Column:
+        gap = F.when(last.isNull(), "").when((x["line_pos"] != last["line_pos"] + 1) & (x["page_number"] == last["page_number"]), "\n\n").otherwise("\n")
+        return F.when(x.isNull(), "").otherwise(F.concat(gap, x["text"]))
 
-    out = listed.select(*keys, F.aggregate("l", start, step)["t"].alias("citation_text"))
+    out = listed.select(*keys, F.array_join(F.zip_with("l", before, piece), "").alias("citation_text"))
     lead = F.concat(label, F.lit("\n\n")) if label is not None else F.lit("")
     return out.withColumn("retrieval_text", F.concat(lead, F.col("citation_text")))
 
@@ -167,7 +169,7 @@ def materialize_units(pieces: DataFrame, sources: DataFrame) -> DataFrame:
     """Pieces of a packing as units with ids, part counts and their source's kind and label."""
     good = pieces.where("failure IS NULL").withColumn("part_count", F.count("*").over(Window.partitionBy("source_id")).cast("int"))
     known = sources.withColumnRenamed("source_key", "source_id")
-    key = F.concat_ws(":", F.lit("candidate-v2"), F.col("document_id").cast("string"), "source_id")
+    key = F.concat_ws(":", F.lit(UNIT_PREFIX), F.col("document_id").cast("string"), "source_id")
     return good.join(known, "source_id").select(
         F.format_string("%s:part-%03d", key, F.col("part_number")).alias("unit_id"), key.alias("logical_source_key"), "document_id", "source_id", "unit_kind", "label", "part_number", "part_count",
         "first_order", "last_order", "content_words", "boundary_after",

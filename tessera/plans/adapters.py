@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.checkpoints import cut
 from ..functions.order import dense_order
+from ..operators import lexical_index
 from ..operators import lines as L
 
 #: Strings that one pass over the texts looks for.
@@ -30,6 +31,24 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def index_in_segments(spark: SparkSession, sf: str) -> tuple[lexical_index.Index, lexical_index.State]:
+    """A stored index of all passages: one in three comes later, as an increment."""
+    rows = passages(spark, sf).where("text IS NOT NULL")
+    index = lexical_index.build(rows.where("passage_id % 3 <> 1"))
+    return index, index.add(rows.where("passage_id % 3 = 1"))
+
+
+_indexes: dict[tuple[str, str], lexical_index.Index] = {}
+
+
+def corpus_index(spark: SparkSession, sf: str) -> lexical_index.Index:
+    """The stored index of all passages, built once in an application and probed by every query after."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _indexes or not _indexes[key].exists():
+        _indexes[key] = lexical_index.build(passages(spark, sf).where("text IS NOT NULL"))
+    return _indexes[key]
+
+
 def gold(spark: SparkSession, sf: str) -> DataFrame:
     """Grade 2 where a passage holds the whole item, 1 where it holds its first sentence of over 20 characters."""
     first = F.split_part("q", F.lit("."), F.lit(1))

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import atoms as K
+from ..operators import blinding as B
+from ..operators import chains as H
 from ..operators import contracts as C
 from ..operators import governance as G
 from ..operators import hybrid
@@ -77,6 +80,60 @@ def _records(spark, sf):
     )
 
 
+def _log(spark, sf):
+    """Events as a chain for each user, with a record lost, changed, slipped in beside another, or twice."""
+    e = F.col("event_id")
+    rows = A.table(spark, sf, "events").select("user_id", "event_id", F.format_string("%d|%s", e, F.col("event_type")).alias("content"))
+    log = H.seal(rows, "user_id", ["event_id"], "content")
+    n = F.split_part("content", F.lit("|"), F.lit(1)).cast("long")
+    changed = log.where(n % 101 != 7).withColumn("content", F.when(n % 103 == 11, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    beside = log.where(n % 107 == 13).withColumn("content", F.concat("content", F.lit("?")))
+    beside = beside.withColumn("hash", H.record_hash(F.col("user_id"), F.col("place"), F.col("previous_hash"), F.col("content")))
+    return changed.union(beside).union(log.where((n % 109 == 17) & (n % 101 != 7) & (n % 103 != 11)))
+
+
+def log_violations(spark, sf):
+    return H.chain_violations(_log(spark, sf), "user_id").withColumnRenamed("chain", "user_id")
+
+
+def _round(spark, sf):
+    """Customers as annotators of a round for each nation, orders of their steps, with faults."""
+    k, s = F.col("c_custkey"), F.col("step")
+    who = A.table(spark, sf, "customer").select(F.col("c_nationkey").alias("round_id"), F.col("c_custkey").alias("annotator_id"), T.sha256(F.concat(F.lit("batch"), F.col("c_nationkey").cast("string"))).alias("batch_sha256"), "c_custkey")
+    rows = who.select("round_id", "annotator_id", "batch_sha256", "c_custkey", F.posexplode(F.array(*map(F.lit, H.STEPS))).alias("i", "step"))
+    own = lambda i: T.sha256(F.concat_ws(":", k, i))
+    rows = rows.where(~((k % 11 == 1) & (s == "receipt")))
+    events = rows.select(
+        "round_id", (k + F.when((k % 23 == 1) & (s == "assignment"), 10_000_000).otherwise(0)).alias("annotator_id"), "step", (F.col("i") * 10 - F.when((k % 13 == 1) & (s == "submission"), 15).otherwise(0)).alias("at"),
+        F.when((k % 17 == 1) & (s == "attestation"), "x").otherwise(F.col("batch_sha256")).alias("batch_sha256"), own(F.col("i") - F.when((k % 19 == 1) & (s == "submission"), 2).otherwise(1)).alias("subject_sha256"),
+        own(F.col("i")).alias("own_sha256"), ((s == "attestation") & (k % 7 != 1)).alias("independent"), "c_custkey",
+    )
+    events = events.union(events.where((k % 29 == 1) & (s == "submission")))
+    return events.drop("c_custkey"), who.select("round_id", "annotator_id", "batch_sha256")
+
+
+def round_completion(spark, sf):
+    return H.completion_violations(*_round(spark, sf))
+
+
+def _batches(spark, sf):
+    """Conversations as records with their turns nested in them; some turns carry what annotators must not see."""
+    c, t = F.col("conv_id"), F.col("turn")
+    reviewer = F.when((c + t) % 9 == 1, F.concat(F.lit(',"reviewer_id":'), t.cast("string"))).otherwise("")
+    note = F.when((c + t) % 14 == 2, ',"notes":[{"Silver_Label":"x"},{"n":1}]').otherwise("")
+    one = F.concat(F.lit('{"turn":'), t.cast("string"), F.lit(',"role":"'), F.col("role"), F.lit('"'), reviewer, note, F.lit("}"))
+    rows = A.table(spark, sf, "conversations").groupBy(c.alias("case_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", one.alias("j")))), lambda x: x["j"]), ",").alias("turns"))
+    split = F.when(F.col("case_id") % 12 == 3, '"split_name":"test",').otherwise("")
+    return rows.select("case_id", F.when(F.col("case_id") % 40 == 7, "{broken").otherwise(F.concat(F.lit("{"), split, F.lit('"case":{"evidence":['), "turns", F.lit("]}}"))).alias("record"))
+
+
+FORBIDDEN = ("reviewer_id", "silver_label", "split_name")
+
+
+def blinding_leaks(spark, sf):
+    return B.leaks(_batches(spark, sf), "record", FORBIDDEN)
+
+
 FIELDS = ("evidence_status", "response_action", "reason_codes", "uncertainty")
 
 
@@ -133,8 +190,9 @@ def storage_order(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (group_counts, storage_order, line_atoms, atom_partition, anchor_violations, evidence_fields, heading_nodes, annotator_pairs, pair_violations, structure_counts, analysis_metadata, source_spans, structural_context)
-}
+    for f in (group_counts, storage_order, line_atoms, atom_partition, anchor_violations, evidence_fields, heading_nodes, annotator_pairs, pair_violations, structure_counts, analysis_metadata, source_spans, structural_context,
+              log_violations, round_completion, blinding_leaks)
+}
 
 _PACKABLE = f"""{_LINES}, f AS (SELECT document_id, line_pos, text, lead(text) OVER w AS next_text, coalesce(lead(line_pos) OVER w - line_pos > 1, false) AS gap FROM l {_FILLED} WINDOW w AS (PARTITION BY document_id ORDER BY line_pos)),
 r AS (SELECT CAST(document_id AS VARCHAR) AS source_id, line_pos AS line_order, text, length(text) AS n, strpos(text, '. ') + 1 AS place, strpos(text, '. ') > 0 AND strpos(text, '. ') + 1 < length(text) AS cut, {_REASON} AS reason FROM f)"""
@@ -184,4 +242,21 @@ UNION ALL SELECT case_id, 'question_structure_codes repeated' FROM a WHERE len(l
 UNION ALL SELECT case_id, 'missing' FROM m WHERE case_id NOT IN (SELECT case_id FROM a) UNION ALL SELECT case_id, 'repeated' FROM a GROUP BY case_id HAVING count(*) > 1""",
     "source_spans": "SELECT n_nationkey AS node_id, n_regionkey AS document_id, 'source' AS node_kind FROM nation WHERE n_regionkey = 1 AND n_nationkey % 3 <> 0",
     "structural_context": "SELECT n_nationkey, CASE WHEN n_regionkey = 1 AND n_nationkey >= 17 THEN 'part-2' WHEN n_regionkey = 1 AND n_nationkey >= 2 OR n_regionkey = 3 AND n_nationkey >= 7 THEN 'part-1' ELSE '' END AS context FROM nation",
+    "log_violations": """WITH RECURSIVE e AS (SELECT user_id AS u, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS p, event_id AS n, event_id || '|' || event_type AS c FROM events),
+h AS (SELECT u, p, n, c, repeat('0', 64) AS prev, sha256(u || chr(31) || p || chr(31) || repeat('0', 64) || chr(31) || c) AS hash FROM e WHERE p = 0
+  UNION ALL SELECT e.u, e.p, e.n, e.c, h.hash, sha256(e.u || chr(31) || e.p || chr(31) || h.hash || chr(31) || e.c) FROM h JOIN e ON e.u = h.u AND e.p = h.p + 1),
+g AS (SELECT u, p, prev, hash FROM h WHERE n % 101 <> 7 UNION ALL SELECT u, p, prev, sha256(u || chr(31) || p || chr(31) || prev || chr(31) || c || '?') FROM h WHERE n % 107 = 13
+  UNION ALL SELECT u, p, prev, hash FROM h WHERE n % 109 = 17 AND n % 101 <> 7 AND n % 103 <> 11),
+o AS MATERIALIZED (SELECT *, count(*) AS k FROM g GROUP BY ALL)
+SELECT u AS user_id, p AS place, 'content' AS rule FROM h WHERE n % 101 <> 7 AND n % 103 = 11 UNION ALL SELECT u, p, 'repeated' FROM o WHERE k > 1
+UNION ALL SELECT u, p, 'gap' FROM o WHERE prev <> repeat('0', 64) AND NOT EXISTS (SELECT 1 FROM o x WHERE x.u = o.u AND x.hash = o.prev)
+UNION ALL SELECT u, p, 'fork' FROM (SELECT *, count(*) OVER (PARTITION BY u, prev) AS heirs FROM o) WHERE heirs > 1""",
+    "round_completion": """WITH k AS (SELECT c_nationkey AS round_id, c_custkey AS annotator_id, c_custkey AS k FROM customer), v AS (SELECT round_id, annotator_id + CASE r WHEN 'unexpected' THEN 10000000 ELSE 0 END AS annotator_id, r AS rule FROM (
+  SELECT *, unnest(['missing', 'unexpected', 'repeated', 'order', 'batch', 'binding', 'attestation']) AS r FROM k)
+  WHERE CASE r WHEN 'missing' THEN k % 11 = 1 OR k % 23 = 1 WHEN 'unexpected' THEN k % 23 = 1 WHEN 'repeated' THEN k % 29 = 1 WHEN 'order' THEN k % 13 = 1 AND k % 23 <> 1 WHEN 'batch' THEN k % 17 = 1
+    WHEN 'binding' THEN k % 19 = 1 AND k % 23 <> 1 ELSE k % 7 = 1 END) SELECT * FROM v""",
+    "blinding_leaks": """WITH t AS (SELECT conv_id AS c, turn, '{"turn":' || turn || ',"role":"' || role || '"' || CASE WHEN (conv_id + turn) % 9 = 1 THEN ',"reviewer_id":' || turn ELSE '' END
+  || CASE WHEN (conv_id + turn) % 14 = 2 THEN ',"notes":[{"Silver_Label":"x"},{"n":1}]' ELSE '' END || '}' AS j FROM conversations),
+r AS (SELECT c, c % 40 = 7 AS broken, '{' || CASE WHEN c % 12 = 3 THEN '"split_name":"test",' ELSE '' END || '"case":{"evidence":[' || string_agg(j, ',' ORDER BY turn) || ']}}' AS record FROM t GROUP BY c)
+SELECT c AS case_id, fullkey AS path FROM r, json_tree(r.record) AS x WHERE NOT broken AND lower(x.key) IN ('reviewer_id', 'silver_label', 'split_name') UNION ALL SELECT c, '$' FROM r WHERE broken""",
 }

@@ -34,9 +34,9 @@ def standardize(spark, sf):
 
 
 def logistic_fit(spark, sf):
-    """The model that labelled documents' length and words give, as one row."""
+    """The model that labelled documents' length and words give, as one row: the optimum, by Newton's steps."""
     rows = _numbers(spark, sf).join(A.table(spark, sf, "labels"), "doc_id").withColumn("target", F.col("quality"))
-    m = S.fit(rows, ("a", "b"))
+    m = S.fit_newton(rows, ("a", "b"))
     return spark.createDataFrame([(*m.coefficients, m.intercept)], "a double, b double, intercept double").select(*[F.round(c, 9).alias(c) for c in ("a", "b", "intercept")])
 
 
@@ -97,11 +97,14 @@ def disagreement_counts(spark, sf):
 
 
 def _cases(spark, sf):
-    """Documents as cases: even ones are complete, odd ones name the case before as their complete one."""
-    docs, odd = A.table(spark, sf, "documents"), F.col("doc_id") % 2 == 1
-    codes = F.when(odd, F.array(F.lit("incomplete_evidence_set"), F.lit("strict_subset_of_complete_evidence"))).otherwise(F.array(F.lit("one_complete_passage")))
-    ids = F.when(odd, F.array(F.col("source"))).otherwise(F.array(F.col("source"), F.concat(F.lit("src"), (F.col("doc_id") + 1) % 20)))
-    return docs.select(F.col("doc_id").alias("case_id"), F.floor(F.col("doc_id") / 2).alias("query_id"), ids.alias("evidence_passage_ids"), codes.alias("evidence_structure_codes"), F.when(odd, F.col("doc_id") - 1).alias("complete_reference_case_id"))
+    """Documents as cases: even ones are complete, odd ones name the case before; some name none, another query's, or have no strict subset of it."""
+    docs, d = A.table(spark, sf, "documents"), F.col("doc_id")
+    odd, name = d % 2 == 1, lambda n: F.concat(F.lit("src"), (n % 20).cast("string"))
+    codes = F.when(odd, F.array(F.lit("incomplete_evidence_set"), F.lit("strict_subset_of_complete_evidence"))).when(d % 10 == 4, F.array(F.lit("conflicting_passages"))).when(d % 6 == 0, F.array(F.lit("multiple_complementary_passages"))).otherwise(F.array(F.lit("one_complete_passage")))
+    whole = F.when(d % 27 == 7, F.array(name(d - 1), name(d))).when(d % 33 == 9, F.array(F.lit("elsewhere"))).otherwise(F.array(name(d)))
+    ids = F.when(odd, whole).otherwise(F.array(name(d), name(d + 1)))
+    query, reference = F.floor(d / 2) + F.when(odd & (d % 21 == 5), 1_000_000).otherwise(0), F.when(odd, F.when(d % 15 == 1, d + 1_000_000_000).otherwise(d - 1))
+    return docs.select(d.alias("case_id"), query.alias("query_id"), ids.alias("evidence_passage_ids"), codes.alias("evidence_structure_codes"), reference.alias("complete_reference_case_id"))
 
 
 def silver_labels(spark, sf):
@@ -234,7 +237,10 @@ _PRF = """c AS (SELECT code, CAST(count(*) FILTER (u AND w) AS DOUBLE) AS tp, CA
   SELECT code, list_contains(x, code) AS u, list_contains(y, code) AS w FROM r CROSS JOIN (SELECT unnest(['noise', 'harm']) AS code)) WHERE u OR w GROUP BY code),
 k AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall FROM c),
 f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM k)"""
-_CASES = """c AS (SELECT doc_id AS case_id, doc_id // 2 AS query_id, CASE WHEN doc_id % 2 = 1 THEN [source] ELSE [source, 'src' || ((doc_id + 1) % 20)] END AS ids, CASE WHEN doc_id % 2 = 1 THEN doc_id - 1 END AS ref FROM documents)"""
+_CASES = """c AS (SELECT doc_id AS case_id, doc_id // 2 + CASE WHEN doc_id % 2 = 1 AND doc_id % 21 = 5 THEN 1000000 ELSE 0 END AS query_id,
+  CASE WHEN doc_id % 2 = 0 THEN ['src' || doc_id % 20, 'src' || (doc_id + 1) % 20] WHEN doc_id % 27 = 7 THEN ['src' || (doc_id - 1) % 20, 'src' || doc_id % 20] WHEN doc_id % 33 = 9 THEN ['elsewhere'] ELSE ['src' || doc_id % 20] END AS ids,
+  CASE WHEN doc_id % 2 = 1 THEN ['incomplete_evidence_set', 'strict_subset_of_complete_evidence'] WHEN doc_id % 10 = 4 THEN ['conflicting_passages'] WHEN doc_id % 6 = 0 THEN ['multiple_complementary_passages'] ELSE ['one_complete_passage'] END AS codes,
+  CASE WHEN doc_id % 2 = 1 THEN CASE WHEN doc_id % 15 = 1 THEN doc_id + 1000000000 ELSE doc_id - 1 END END AS ref FROM documents)"""
 _HOST = r"lower(regexp_extract(url, '^[a-z]+://(?:[^/@]*@)?([^/:?#]+)', 1))"
 _HOSTED = "CASE WHEN page_id % 50 = 9 THEN 'https://example.com/same' ELSE url END"
 _DATED = "CASE WHEN page_id % 13 = 0 THEN '2024-02-30' ELSE '2024-05-06' END"
@@ -268,7 +274,7 @@ SELECT n AS case_count, round(po, 9) AS agreement, round((po - (pa * pb + (1 - p
     "macro_prf": f"WITH {_RATERS}, {_PRF} SELECT round(avg(precision), 9) AS macro_precision, round(avg(recall), 9) AS macro_recall, round(avg(f1), 9) AS macro_f1 FROM f",
     "adjudication": f"WITH {_RATERS} SELECT case_id, a <> b OR list_sort(x) <> list_sort(y) AS disagrees, case_id % 7 = 0 AS uncertain FROM r WHERE a <> b OR list_sort(x) <> list_sort(y) OR case_id % 7 = 0",
     "disagreement_counts": f"WITH {_RATERS} SELECT structure_code, count(*) AS case_count, count(*) FILTER (a <> b) AS status_disagreements FROM (SELECT unnest(list_distinct([lang, source])) AS structure_code, a, b FROM r) GROUP BY structure_code",
-    "silver_labels": "SELECT doc_id AS case_id, CASE WHEN doc_id % 2 = 1 THEN 'insufficient' ELSE 'sufficient' END AS evidence_status FROM documents",
+    "silver_labels": f"""WITH {_CASES} SELECT case_id, CASE WHEN list_contains(codes, 'incomplete_evidence_set') THEN 'insufficient' WHEN list_has_any(codes, ['one_complete_passage', 'multiple_complementary_passages']) THEN 'sufficient' END AS evidence_status FROM c""",
     "case_reference_checks": f"""WITH {_CASES}, j AS (SELECT c.case_id, c.query_id, c.ids, o.query_id AS q, o.ids AS whole FROM c LEFT JOIN c o ON o.case_id = c.ref WHERE c.ref IS NOT NULL),
 k AS (SELECT case_id, CASE WHEN whole IS NULL THEN 'no such case' WHEN q <> query_id THEN 'another query' WHEN NOT (list_has_all(whole, ids) AND NOT list_has_all(ids, whole)) THEN 'not a strict subset' END AS rule FROM j) SELECT * FROM k WHERE rule IS NOT NULL""",
     "leakage_components": """WITH RECURSIVE c AS (SELECT c_custkey AS k, c_custkey // 2 AS q, CASE WHEN c_custkey % 10 = 0 THEN 'own-' || c_custkey ELSE 'p-' || ((c_custkey + 1) // 2) END AS p, CASE WHEN c_custkey % 50 = 5 THEN c_custkey // 100 END AS s FROM customer),

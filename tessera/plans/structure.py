@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.order import dense_order
+from ..operators import fingerprints as P
 from ..operators import headings as H
 from ..operators import hierarchy as Y
+from ..operators import intervals as I
 from ..operators import lines as L
+from ..operators import regions as R
 from ..operators import units as U
 from ..sources import files as S
 from . import adapters as A
@@ -31,8 +34,12 @@ def line_table(spark, sf):
 
 
 def page_order_check(spark, sf):
-    rows = A.table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("document_id"), (F.col("turn") + 1).cast("int").alias("page_number"))
-    return L.page_violations(rows.withColumn("page_id", T.page_id(F.col("document_id"), F.col("page_number"))))
+    """Turns as pages, with faults: a page lost, one twice, one with another's id."""
+    c, n = F.col("conv_id"), F.col("turn") + 1
+    rows = A.table(spark, sf, "conversations").where(~((c % 5 == 1) & (n == 2))).select(c, c.cast("string").alias("document_id"), n.cast("int").alias("page_number"))
+    rows = rows.union(rows.where((c % 7 == 1) & (F.col("page_number") == 1)))
+    named = F.col("page_number") + F.when((c % 11 == 3) & (F.col("page_number") == 1), 1).otherwise(0)
+    return L.page_violations(rows.select("document_id", "page_number", T.page_id(F.col("document_id"), named.cast("int")).alias("page_id")))
 
 
 def neighbor_lines(spark, sf):
@@ -54,11 +61,69 @@ def furniture_ledger(spark, sf):
     rows = A.document_lines(spark, sf)
     reason = L.furniture_reason(F.col("text"), F.col("line_number"), F.col("page_line_count"), RULES)
     reasons = rows.select("document_id", "line_pos", F.lit(1).alias("priority"), reason.alias("reason")).where("reason IS NOT NULL")
-    owned = rows.where((F.length("text") > 20) & reason.isNull()).select("document_id", "line_pos", F.lit("content").alias("kind"), F.concat(F.lit("doc:"), "document_id").alias("owner_id"))
+    content = L.islands(rows.where((F.length("text") > 20) & reason.isNull()), "document_id")
+    owned = content.select("document_id", "start_pos", (F.col("end_pos") + 1).alias("stop_pos"), F.lit("content").alias("kind"), F.concat(F.lit("doc:"), "document_id").alias("owner_id"))
     out = L.ledger(rows, owned, reasons)
     return out.groupBy("document_id", "classification", "reason").agg(F.count("*").alias("lines"), F.count("owner_id").alias("owned"))
 
 
+#: Regions that the driver's documents have: tables, and what follows a license or a colon.
+REGIONS = [R.Run("table", 2, r"\|", 1), R.From("license", 1, r"(?i)^licensed under"), R.From("list", 3, r":\s*$", r"\.\s*$"), R.Run("short_lines", 4, r"^.{1,40}$", 2)]
+
+
+def region_ledger(spark, sf):
+    """Regions that the lines give away; where they overlap the first reason wins."""
+    rows = A.document_lines(spark, sf)
+    return R.exclusions(rows, R.find(rows, REGIONS))
+
+
+def _numbered(spark, sf):
+    """Document lines, every second one numbered in order, with repeats, a gap now and then and references between."""
+    rows = A.document_lines(spark, sf).select("document_id", "page_number", "line_pos", F.col("text").alias("t"))
+    n = F.col("line_pos")
+    number = F.when(n % 2 == 0, n / 2 + F.when((F.col("document_id") % 7 == 0) & (n > 8), 2).otherwise(1)).when(n % 5 == 3, 2).when(n % 11 == 7, n)
+    text = F.when(number.isNotNull(), F.concat(F.lit("("), number.cast("long").cast("string"), F.lit(") "), F.when(n % 11 == 7, "OJ L ").otherwise(""), "t")).otherwise(F.col("t"))
+    return rows.withColumn("text", text).drop("t")
+
+
+def _numbered_sources(spark, sf):
+    rows = _numbered(spark, sf)
+    bounds = rows.groupBy("document_id").agg((F.min("line_pos") + F.col("document_id") % 2).alias("start_pos"), (F.max("line_pos") + 1 - F.col("document_id") % 3).alias("stop_pos"))
+    return rows, R.numbered_sources(rows, bounds, reference=F.col("text").rlike(r"^\(\d+\) OJ "))
+
+
+def numbered_sources(spark, sf):
+    """Recitals and front matter as sources: the longest chain of numbers in each document's region."""
+    return _numbered_sources(spark, sf)[1]
+
+
+def numbered_source_lines(spark, sf):
+    """Each source's kept lines: every line of a region stands in one source, but for those that a rule excludes."""
+    rows, sources = _numbered_sources(spark, sf)
+    excluded = rows.where(F.col("text").contains("|")).select("document_id", "line_pos")
+    return R.extra_sources(sources, R.source_lines(rows, sources, excluded), "Recital")
+
+
+def owner_sweep(spark, sf):
+    """Who owns each turn of a conversation where spans of headings overlap: the deepest, then the first by name."""
+    found = _spans(spark, sf).select("document_id", F.col("start_pos"), F.col("subtree_stop").alias("stop_pos"), F.col("heading_id").alias("owner"), (-F.col("depth")).alias("rank"))
+    return I.place(A.turn_headings(spark, sf).select("document_id", "line_pos"), I.segments(found))
+
+
+def assembly_audit(spark, sf):
+    """Sources in parts of up to four lines, with lines lost, doubled, swapped and changed; each fault is told."""
+    rows = A.document_lines(spark, sf).select(F.col("document_id").alias("source_id"), F.col("line_pos").alias("line_order"), "text")
+    part, place, d = (F.floor(F.col("line_order") / 4) + 1).cast("int"), (F.col("line_order") % 4).cast("long"), F.col("source_id")
+    held = rows.select("source_id", part.alias("part_number"), place.alias("place"), "text", "line_order")
+    held = held.where(~((d % 11 == 1) & (F.col("line_order") == 2)))  # a lost line ...
+    held = held.withColumn("place", F.when((d % 11 == 1) & (F.col("part_number") == 1) & (F.col("place") == 3), 2).when((d % 11 == 2) & (F.col("part_number") == 1) & (F.col("place") < 2), 1 - F.col("place")).otherwise(F.col("place")))  # ... and two that changed places
+    held = held.withColumn("text", F.when((d % 11 == 3) & (F.col("line_order") == 0), F.concat("text", F.lit("x"))).otherwise(F.col("text")))
+    parts = held.select("source_id", "part_number").distinct()
+    parts = parts.union(parts.where((d % 11 == 4) & (F.col("part_number") == 1)))
+    parts = parts.where(d % 11 != 5)
+    return P.assembly_violations(rows, parts, held.where(~((d % 11 == 6) & (F.col("part_number") == 1))))
+
+
 def safe_boundaries(spark, sf):
     rows = L.gap_is_blank(A.document_lines(spark, sf))
     return rows.select("document_id", "line_pos", L.boundary_reason(F.col("text"), F.col("next_text"), F.col("blank_gap")).alias("reason"))
@@ -173,7 +238,9 @@ def totals_rollup(spark, sf):
 
 
 def source_order_check(spark, sf):
-    rows = A.table(spark, sf, "events").select("event_id", "user_id", "ts")
+    """Events in their order of arrival; some have a time of days before."""
+    at = F.when(F.col("event_id") % 97 == 5, F.col("ts") - F.expr("INTERVAL 3 DAYS")).otherwise(F.col("ts"))
+    rows = A.table(spark, sf, "events").select("event_id", "user_id", at.alias("ts"))
     return L.order_violations(rows, "user_id", "ts", given="event_id").select("event_id", "user_id")
 
 
@@ -203,6 +270,7 @@ QUERIES = {
         accepted_order, line_table, page_order_check, neighbor_lines, line_islands, heading_classify, furniture_ledger, safe_boundaries, eu_style_hierarchy,
         depth_hierarchy, hierarchy_paths, hierarchy_check, unreached_nodes, heading_spans, span_lines_range_join, span_metrics, containment_violations, ancestor_envelopes,
         greedy_pack, min_partition, reference_entries, passage_text, count_maps, totals_rollup, source_order_check, wrapped_lines, page_text, extraction_quality, boundary_pairs,
+        region_ledger, numbered_sources, numbered_source_lines, owner_sweep, assembly_audit,
     )
 }
 
@@ -232,6 +300,16 @@ def _kind(kind: str, line: str) -> str:
     return f"CASE {' '.join(parts)} END"
 
 
+_SOURCES = rf"""WITH RECURSIVE {_LINES}, x AS MATERIALIZED (SELECT document_id AS d, line_pos AS p, CASE WHEN k IS NULL THEN t ELSE '(' || k || ') ' || CASE WHEN line_pos % 11 = 7 THEN 'OJ L ' ELSE '' END || t END AS text FROM (
+  SELECT document_id, line_pos, text AS t, CASE WHEN line_pos % 2 = 0 THEN line_pos // 2 + CASE WHEN document_id % 7 = 0 AND line_pos > 8 THEN 2 ELSE 1 END WHEN line_pos % 5 = 3 THEN 2 WHEN line_pos % 11 = 7 THEN line_pos END AS k FROM l)),
+e AS (SELECT d, min(p) + d % 2 AS a, max(p) + 1 - d % 3 AS b FROM x GROUP BY d),
+c AS MATERIALIZED (SELECT d, p, CAST(nullif(regexp_extract(text, '^\s*\((\d{{1,6}})\)\s', 1), '') AS BIGINT) AS k FROM x JOIN e USING (d) WHERE p >= a AND p < b AND NOT regexp_matches(text, '^\(\d+\) OJ ')),
+y AS MATERIALIZED (SELECT c.d, c.p, c.k, min(z.p) AS q FROM c LEFT JOIN c z ON z.d = c.d AND z.k = c.k + 1 AND z.p > c.p WHERE c.k IS NOT NULL GROUP BY ALL),
+r AS (SELECT d, p AS start, p, k, q, 1 AS len FROM y UNION ALL SELECT r.d, r.start, y.p, y.k, y.q, len + 1 FROM r JOIN y ON y.d = r.d AND y.p = r.q),
+f AS (SELECT d, start, max(len) AS len FROM r GROUP BY d, start QUALIFY row_number() OVER (PARTITION BY d ORDER BY max(len) DESC, start) = 1),
+g AS (SELECT r.d, r.p, r.k FROM r JOIN f USING (d, start)),
+s AS (SELECT g.d AS document_id, printf('recital-%03d', k) AS source_key, 'recital' AS unit_kind, k AS number, p AS start_pos, coalesce(lead(p) OVER (PARTITION BY g.d ORDER BY p), b) AS stop_pos FROM g JOIN e USING (d)
+  UNION ALL SELECT * FROM (SELECT d, 'frontmatter', 'frontmatter', NULL, a, coalesce((SELECT min(p) FROM g WHERE g.d = e.d), b) AS z FROM e) WHERE a < z)"""
 _NOISE = H.NOISE.replace("'", "''")
 ORACLE = {
     "accepted_order": "SELECT c_custkey, row_number() OVER (ORDER BY c_name, c_custkey) - 1 AS accepted_order FROM customer",
@@ -239,8 +317,9 @@ ORACLE = {
 b AS (SELECT *, coalesce(sum(len(a)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM c),
 u AS (SELECT conv_id, turn, base, len(a) AS n, unnest(a) AS text, generate_subscripts(a, 1) AS k FROM b)
 SELECT conv_id || ':page-' || lpad(CAST(turn + 1 AS VARCHAR), 4, '0') AS page_id, k AS line_number, CAST(base + k - 1 AS BIGINT) AS line_pos, md5(text) AS text_md5, n AS page_line_count FROM u""",
-    "page_order_check": """SELECT CAST(conv_id AS VARCHAR) AS document_id, CASE WHEN count(*) <> count(DISTINCT turn) THEN 'page repeated' ELSE 'pages with a gap' END AS rule FROM conversations GROUP BY conv_id
-HAVING count(*) <> count(DISTINCT turn) OR min(turn) <> 0 OR max(turn) + 1 <> count(*)""",
+    "page_order_check": """WITH c AS (SELECT conv_id, turn FROM conversations WHERE NOT (conv_id % 5 = 1 AND turn = 1)), p AS (SELECT * FROM c UNION ALL SELECT * FROM c WHERE conv_id % 7 = 1 AND turn = 0)
+SELECT CAST(conv_id AS VARCHAR) AS document_id, CASE WHEN count(*) <> count(DISTINCT turn) THEN 'page repeated' ELSE 'pages with a gap' END AS rule FROM p GROUP BY conv_id
+HAVING count(*) <> count(DISTINCT turn) OR min(turn) <> 0 OR max(turn) + 1 <> count(*) UNION ALL SELECT DISTINCT CAST(conv_id AS VARCHAR), 'page id' FROM p WHERE conv_id % 11 = 3 AND turn = 0""",
     "neighbor_lines": rf"""WITH {_LINES}, n AS (SELECT *, nullif({_CLEAN}, '') AS f FROM l)
 SELECT document_id, line_pos, md5(coalesce(last_value(f IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY line_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '')) AS previous_md5,
   md5(coalesce(first_value(f IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY line_pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '')) AS next_md5 FROM n""",
@@ -301,7 +380,7 @@ SELECT CAST(d AS VARCHAR) AS source_id, CAST(entry AS BIGINT) AS entry, CAST(wor
     "ancestor_envelopes": "SELECT 'r' || n_regionkey AS ancestor_id, count(*) AS descendants, min(n_nationkey) AS start_pos, max(n_nationkey) + 1 AS stop_pos, count(*) = max(n_nationkey) + 1 - min(n_nationkey) AS contiguous FROM nation GROUP BY n_regionkey",
     "count_maps": "SELECT source, lang, count(*) AS passages FROM documents GROUP BY ALL",
     "totals_rollup": "SELECT source AS document_id, count(*) AS page_count, CAST(sum(length(text)) AS BIGINT) AS character_count, count(*) FILTER (text = '') AS empty_page_count FROM documents GROUP BY ROLLUP (source)",
-    "source_order_check": "SELECT event_id, user_id FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE b IS NOT NULL AND NOT b < ts",
+    "source_order_check": "SELECT event_id, user_id FROM (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM (SELECT *, CASE WHEN event_id % 97 = 5 THEN ts - INTERVAL 3 DAY ELSE ts END AS t FROM events)) WHERE b IS NOT NULL AND NOT b < t",
     "extraction_quality": """SELECT doc_id, length(text) AS character_count, len(w) AS word_count, len(regexp_extract_all(text, '[A-Za-z]{25,}')) AS long_runs,
   round(CASE WHEN len(w) > 0 THEN CAST(list_sum(list_transform(w, lambda x: length(x))) AS DOUBLE) / len(w) ELSE 0 END, 9) AS mean_word_length FROM (SELECT doc_id, text, regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)?') AS w FROM documents)""",
     "page_text": r"""WITH t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script\b.*?</script|style\b.*?</style)\s*>|<!--.*?-->', ' ', 'g'), '(?i)<(br|/p|/div|/li|/tr|/h[1-6])\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS t FROM pages),
@@ -311,4 +390,18 @@ SELECT page_id, length(t) AS characters, len(regexp_extract_all(t, '[^\s]+')) AS
     "passage_text": rf"""WITH {_LINES}, f AS (SELECT document_id, line_pos, regexp_replace(text, '^\s+|\s+$', '', 'g') AS x, lag(line_pos) OVER (PARTITION BY document_id ORDER BY line_pos) AS b FROM l {_FILLED}),
 t AS (SELECT document_id, string_agg(CASE WHEN b IS NULL THEN '' WHEN line_pos = b + 1 THEN chr(10) ELSE chr(10) || chr(10) END || x, '' ORDER BY line_pos) AS c FROM f GROUP BY document_id)
 SELECT CAST(document_id AS VARCHAR) AS source_id, md5(c) AS citation_md5, md5(document_id || chr(10) || chr(10) || c) AS retrieval_md5 FROM t""",
+    "region_ledger": rf"""WITH {_LINES}, m AS MATERIALIZED (SELECT document_id AS d, line_pos AS p, text, count(*) OVER (PARTITION BY document_id) AS n FROM l),
+i AS (SELECT d, p, p - row_number() OVER (PARTITION BY d ORDER BY p) AS run FROM m WHERE regexp_matches(text, '^.{{1,40}}$')),
+r AS (SELECT d, p AS a, n AS b, 1 AS k, 'license' AS reason FROM m WHERE regexp_matches(text, '(?i)^licensed under') UNION ALL SELECT d, p, p + 1, 2, 'table' FROM m WHERE text LIKE '%|%'
+  UNION ALL SELECT d, p, coalesce((SELECT min(x.p) FROM m x WHERE x.d = m.d AND x.p > m.p AND regexp_matches(x.text, '\.\s*$')), n), 3, 'list' FROM m WHERE regexp_matches(text, ':\s*$')
+  UNION ALL SELECT d, min(p), max(p) + 1, 4, 'short_lines' FROM i GROUP BY d, run HAVING count(*) > 1)
+SELECT m.d AS document_id, m.p AS line_pos, min_by(reason, k) AS reason FROM m JOIN r ON r.d = m.d AND m.p >= a AND m.p < b GROUP BY ALL""",
+    "numbered_sources": f"{_SOURCES} SELECT * FROM s",
+    "numbered_source_lines": f"""{_SOURCES} SELECT s.document_id, s.source_key, s.unit_kind, CASE WHEN number IS NULL THEN s.source_key ELSE 'Recital ' || number END AS label, count(*) AS lines
+FROM s JOIN x ON x.d = s.document_id AND x.p >= start_pos AND x.p < stop_pos WHERE NOT x.text LIKE '%|%' GROUP BY ALL""",
+    "owner_sweep": f"""WITH {_TURNS}, {_SUB}, o AS (SELECT t.d, t.p, min({{'r': -s.depth, 'o': s.heading_id}}) AS m, list(-s.depth) AS ranks FROM t JOIN s ON s.d = t.d AND t.p >= s.p AND t.p < s.subtree_stop GROUP BY t.d, t.p)
+SELECT d AS document_id, p AS line_pos, m.o AS owner, m.r AS rank, len(list_filter(ranks, lambda x: x = m.r)) AS claims FROM o""",
+    "assembly_audit": f"""WITH {_LINES}, c AS (SELECT document_id AS d, count(*) AS n, max(text) FILTER (line_pos = 0) AS a, max(text) FILTER (line_pos = 1) AS b FROM l GROUP BY document_id),
+v AS (SELECT d, unnest(CASE d % 11 WHEN 1 THEN CASE WHEN n > 2 THEN ['lines'] END WHEN 2 THEN CASE WHEN n = 1 OR a <> b THEN ['order or text'] END WHEN 3 THEN ['order or text'] WHEN 4 THEN ['part repeated'] WHEN 5 THEN ['no parts']
+  WHEN 6 THEN ['part without lines', CASE WHEN n > 4 THEN 'lines' ELSE 'no parts' END] END) AS rule FROM c) SELECT d AS source_id, rule FROM v""",
 }

@@ -1,4 +1,4 @@
-"""A small HTTP service that answers one question a request.
+"""A small HTTP service over a stored index: one question a request.
 
 python -m tessera serve PASSAGES BASELINE.json [PORT]
 """
@@ -7,12 +7,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from http import HTTPStatus
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from typing import Any
 
 from pyspark.sql import DataFrame
 
-from .operators import service
+from .functions import checkpoints
+from .operators import lexical_index, service
 from .operators.sufficiency import Model
 
 MAX_BODY, DEFAULT_LIMIT = 16 * 1024, 5
@@ -25,6 +27,14 @@ const r = await fetch('/api/query', {method: 'POST', body: JSON.stringify({quest
 Ask = Callable[[str, int], dict[str, Any]]
 
 
+class Refused(Exception):
+    """A request that gets no answer, with the status to say so."""
+
+    def __init__(self, status: HTTPStatus, why: str) -> None:
+        super().__init__(why)
+        self.status = status
+
+
 def checked(request: Any) -> tuple[str, int]:
     """The question, stripped, and the limit of a request's JSON; ``ValueError`` if either is out of bounds."""
     if not isinstance(request, dict):
@@ -40,49 +50,64 @@ def checked(request: Any) -> tuple[str, int]:
 
 
 def asker(passages: DataFrame, model: Model) -> Ask:
-    """Answers by one Spark plan a question over ``passages``."""
+    """Answers over an index of ``passages`` that is built once; a request leaves no table behind."""
+    spark = passages.sparkSession
+    index = lexical_index.build(service.eligible(passages).select("passage_id", "text"))
 
     def ask(question: str, limit: int) -> dict[str, Any]:
-        one = passages.sparkSession.createDataFrame([(0, question)], "query_id long, text string")
-        row = service.answer(passages, one, model, limit).drop("query_id").first()
+        with checkpoints.scope(spark):
+            one = spark.createDataFrame([(0, question)], "query_id long, text string")
+            row = service.answer(passages, one, model, limit, index=index).drop("query_id").first()
         return {"question": question, **row.asDict(recursive=True)}
 
     return ask
 
 
 def handler(ask: Ask) -> type[BaseHTTPRequestHandler]:
+    """Requests by a table of routes: each gives a body and its type, or raises."""
+    as_json, as_html = "application/json", "text/html"
+
+    def body_of(request: BaseHTTPRequestHandler) -> bytes:
+        told = request.headers.get("Content-Length") or "0"
+        if not told.isascii() or not told.isdecimal():
+            raise Refused(HTTPStatus.BAD_REQUEST, "the length of the body is not a number")
+        if not 1 <= int(told) <= MAX_BODY:
+            request.close_connection = True
+            raise Refused(HTTPStatus.REQUEST_ENTITY_TOO_LARGE, f"a body has 1 to {MAX_BODY} bytes")
+        return request.rfile.read(int(told))
+
+    def query(request: BaseHTTPRequestHandler) -> tuple[Any, str]:
+        whole = body_of(request)
+        try:
+            asked = checked(json.loads(whole.decode()))
+        except ValueError as e:  # bad UTF-8 and bad JSON are ValueErrors too
+            raise Refused(HTTPStatus.BAD_REQUEST, str(e)) from e
+        return ask(*asked), as_json
+
+    routes: dict[tuple[str, str], Callable[[BaseHTTPRequestHandler], tuple[Any, str]]] = {
+        ("GET", "/"): lambda _: (PAGE, as_html),
+        ("GET", "/api/health"): lambda _: ({"status": "ok", "service": "tessera"}, as_json),
+        ("POST", "/api/query"): query,
+    }
+
     class Handler(BaseHTTPRequestHandler):
-        def reply(self, body: Any, status: int = 200, kind: str = "application/json") -> None:
-            data = (body if isinstance(body, str) else json.dumps(body, ensure_ascii=False)).encode()
+        def respond(self) -> None:
+            status, kind = HTTPStatus.OK, as_json
+            try:
+                route = routes.get((self.command, self.path))
+                if route is None:
+                    raise Refused(HTTPStatus.NOT_FOUND, f"nothing is at {self.command} {self.path}")
+                body, kind = route(self)
+            except Refused as e:
+                status, body = e.status, {"error": str(e)}
+            data = (body if kind == as_html else json.dumps(body, ensure_ascii=False)).encode()
             self.send_response(status)
             for k, v in (("Content-Type", f"{kind}; charset=utf-8"), ("Content-Length", str(len(data))), ("Cache-Control", "no-store")):
                 self.send_header(k, v)
             self.end_headers()
             self.wfile.write(data)
 
-        def do_GET(self) -> None:
-            if self.path == "/":
-                self.reply(PAGE, kind="text/html")
-            elif self.path == "/api/health":
-                self.reply({"status": "ok", "service": "tessera"})
-            else:
-                self.reply({"error": "Not found."}, 404)
-
-        def do_POST(self) -> None:
-            if self.path != "/api/query":
-                return self.reply({"error": "Not found."}, 404)
-            try:
-                size = int(self.headers.get("Content-Length", "0"))
-            except ValueError:
-                return self.reply({"error": "Invalid Content-Length."}, 400)
-            if not 0 < size <= MAX_BODY:
-                self.close_connection = True
-                return self.reply({"error": "Request body size is invalid."}, 413)
-            try:
-                question, limit = checked(json.loads(self.rfile.read(size).decode()))
-            except ValueError as e:  # bad UTF-8 and bad JSON are ValueErrors too
-                return self.reply({"error": str(e)}, 400)
-            self.reply(ask(question, limit))
+        do_GET = do_POST = respond
 
         def log_message(self, *args: Any) -> None:
             pass

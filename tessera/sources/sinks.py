@@ -41,6 +41,11 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def new_name() -> str:
+    """A name that no other output has."""
+    return uuid.uuid4().hex
+
+
 def publish(df: DataFrame, path: str, fmt: str = "json") -> None:
     """Write rows below a temporary name beside ``path`` and move them there."""
     publish_all(df.sparkSession, {path: (df, fmt)})

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
 from tessera.operators import artifacts as R
 from tessera.operators import governance as G
 from tessera.operators import service
@@ -33,6 +34,42 @@ def test_fit_follows_the_written_descent(rows):
         S.fit(rows([(1.0, 1)], "a double, target int"), ("a",))
 
 
+def test_rounding_to_twelve_digits_is_that_of_the_binary_value(rows):
+    rng = np.random.default_rng(9)
+    values = [*rng.normal(size=2000), *(rng.random(500) * 9000), *[(int(k) + 0.5) / 1e12 for k in rng.integers(0, 10**12, 3000)], 0.0, -0.5e-12, 1.5e-12, 2.5e-12, 0.1234567890125, 0.1234567890135, 8191.5, 1e300, -9007.5, 4096.123456789012]
+    got = rows([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double").select("v", T.round12(F.col("v")).alias("r")).collect()
+    assert got[-2]["r"] is None and math.isnan(got[-1]["r"])
+    assert [(r["v"], r["r"]) for r in got[:-2] if r["r"] != round(r["v"], 12)] == []
+
+
+def test_newton_reaches_the_optimum_of_the_written_descent(rows, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(80, 2)) * [3.0, 0.01] + [100.0, 5.0]
+    y = (x[:, 0] - 100 + 2 * rng.normal(size=80) > 0).astype(int)
+    df = rows([(*map(float, r), 1.0, int(t)) for r, t in zip(x, y, strict=True)], "a double, b double, c double, target int")  # c is constant
+    names = ("a", "b", "c")
+    m, far = S.fit_newton(df.repartition(4), names), S.fit(df, names, iterations=40_000)
+    assert m.coefficients == pytest.approx(far.coefficients, abs=1e-6) and m.intercept == pytest.approx(far.intercept, abs=1e-6)
+    assert m.means == pytest.approx(far.means) and m.scales == pytest.approx(far.scales)
+    with pytest.raises(ValueError):
+        S.fit_newton(df.where("target = 1"), names)
+    near = S.fit(df, names, iterations=4)
+    monkeypatch.setattr(S, "MAX_LOCAL_ROWS", 10)  # each step a pass over all rows
+    again = S.fit(df, names, iterations=4)
+    assert again.coefficients == pytest.approx(near.coefficients) and again.intercept == pytest.approx(near.intercept)
+
+
+def test_components_of_chains_hubs_and_loops(rows, monkeypatch):
+    from tessera.functions import sizes
+
+    edges = [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(70)] + [("hub", f"x{i}") for i in range(300)] + [("alone", "alone"), ("p", "q"), ("q", "p")]
+    want = {f"c{i:03d}": "c000" for i in range(71)} | {f"x{i}": "hub" for i in range(300)} | {"hub": "hub", "alone": "alone", "p": "p", "q": "p"}
+    df = rows(edges, "a string, b string")
+    assert {r["node"]: r["component"] for r in G.components(df).collect()} == want
+    monkeypatch.setattr(sizes, "small", lambda *_: False)  # hubs apart from the rest
+    assert {r["node"]: r["component"] for r in G.components(df).collect()} == want
+
+
 def test_threshold_against_brute_force(rows):
     rng = np.random.default_rng(2)
     p, t = np.round(rng.random(40), 2), rng.integers(0, 2, 40)
