@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import dense, hybrid, lexical, metrics
+from ..operators import dense, dense_index, hybrid, lexical, metrics
 from . import adapters as A
 
 K, DEPTH = 10, 20
@@ -56,6 +56,20 @@ def dense_topk(spark, sf):
     return dense.rank(rows, rows.where("passage_id % 50 = 0").withColumnRenamed("passage_id", "query_id"), K).withColumn("score", F.round("score", 6))
 
 
+def _unit_vectors(spark, sf):
+    unit = dense.normalize(F.col("embedding"))
+    return A.vectors(spark, sf).select("passage_id", unit.alias("embedding")).where("embedding IS NOT NULL")
+
+
+def dense_indexed_topk(spark, sf):
+    """Exact search over a stored index of two segments of unit vectors; blocks that bounds rule out aren't read."""
+    rows = _unit_vectors(spark, sf)
+    index = dense_index.build(rows.where("passage_id % 4 > 0"), 64)
+    index.add(rows.where("passage_id % 4 = 0"))
+    found, _ = index.search(rows.where("passage_id % 50 = 0").withColumnRenamed("passage_id", "query_id"), K)
+    return found.withColumn("score", F.round("score", 6))
+
+
 def dense_normalize(spark, sf):
     unit = dense.normalize(F.col("embedding"))
     rows = A.vectors(spark, sf).select("passage_id", "embedding", unit.alias("u"))
@@ -117,7 +131,7 @@ def ranking_means(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        lexical_terms, bm25_index_stats, bm25_topk, bm25_index_build, bm25_indexed_topk, bm25_zero_score_order, dense_topk, dense_normalize, hybrid_union, hybrid_coverage,
+        lexical_terms, bm25_index_stats, bm25_topk, bm25_index_build, bm25_indexed_topk, bm25_zero_score_order, dense_topk, dense_indexed_topk, dense_normalize, hybrid_union, hybrid_coverage,
         rrf_fusion, rerank_candidates, recall_at_k, mrr_at_10, direct_hit, ndcg_at_10, ranking_means,
     )
 }
@@ -167,6 +181,9 @@ ORACLE = {
     "dense_topk": f"""SELECT q.vec_id AS query_id, e.vec_id AS passage_id, round({_DOT.format('q.embedding', 'e.embedding')}, 6) AS score,
   row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_DOT.format('q.embedding', 'e.embedding')}, 12) DESC, e.vec_id) AS rank
   FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id % 50 = 0 QUALIFY rank <= {K}""",
+    "dense_indexed_topk": f"""WITH u AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt({_DOT.format('embedding', 'embedding')})) AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, u.vec_id AS passage_id, list_inner_product(q.e, u.e) AS score FROM u q CROSS JOIN u WHERE q.vec_id % 50 = 0)
+SELECT query_id, passage_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, passage_id) AS rank FROM s QUALIFY rank <= {K}""",
     "dense_normalize": f"SELECT vec_id AS passage_id, round(sqrt({_DOT.format('embedding', 'embedding')}), 6) AS norm, round(list_sum(CAST(embedding AS DOUBLE[])) / sqrt({_DOT.format('embedding', 'embedding')}), 6) AS unit_sum, len(embedding) AS dimension FROM embeddings",
     "hybrid_union": f"WITH {_HYBRID} SELECT * FROM u",
     "hybrid_coverage": f"""WITH {_HYBRID}, {_GOLD}, n AS (SELECT query_id, count(*) AS candidate_count FROM u GROUP BY query_id)

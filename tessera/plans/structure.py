@@ -110,6 +110,48 @@ def owner_sweep(spark, sf):
     return I.place(A.turn_headings(spark, sf).select("document_id", "line_pos"), I.segments(found))
 
 
+def _whole() -> object:
+    return lambda content: [content.decode()]
+
+
+def _by_lines() -> object:
+    """Pages of four lines each; a text that starts with a tag-like sign is refused."""
+
+    def pages(content: bytes) -> list[str]:
+        lines = content.decode().split("\n")
+        if lines[0].startswith("|"):
+            raise ValueError("starts with a table")
+        return ["\n".join(lines[i : i + 4]) for i in range(0, len(lines), 4)]
+
+    return pages
+
+
+EXTRACTORS = {"en": _by_lines, "de": _whole, "fr": lambda: lambda content: []}
+
+
+def _source_files(spark, sf):
+    return A.table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.col("lang").alias("kind"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+
+
+def extracted_pages(spark, sf):
+    """Documents as files whose language says how they come apart."""
+    files = _source_files(spark, sf).where("kind IN ('en', 'de') AND NOT (kind = 'en' AND startswith(string(content), '|'))")
+    return S.extract_pages(files, EXTRACTORS).select("page_id", "page_count", "character_count", "extractor", F.md5("text").alias("text_md5"))
+
+
+def extraction_failures(spark, sf):
+    return S.extraction_violations(_source_files(spark, sf), EXTRACTORS)
+
+
+def page_record_faults(spark, sf):
+    """Pages of conversations whose documents or receipts are lost, or there twice."""
+    c = F.col("conv_id")
+    rows = A.table(spark, sf, "conversations").select("conv_id").distinct()
+    pages, once = rows.where(c % 7 != 1).select(c.alias("document_id")), rows.where(c % 5 != 1).select(c.alias("document_id"))
+    receipts = rows.where(c % 3 != 1).select(c.alias("document_id"))
+    return S.record_violations(pages.union(pages), once.union(once.where("document_id % 11 = 2")), receipts.union(receipts.where("document_id % 13 = 2")))
+
+
 def assembly_audit(spark, sf):
     """Sources in parts of up to four lines, with lines lost, doubled, swapped and changed; each fault is told."""
     rows = A.document_lines(spark, sf).select(F.col("document_id").alias("source_id"), F.col("line_pos").alias("line_order"), "text")
@@ -270,7 +312,7 @@ QUERIES = {
         accepted_order, line_table, page_order_check, neighbor_lines, line_islands, heading_classify, furniture_ledger, safe_boundaries, eu_style_hierarchy,
         depth_hierarchy, hierarchy_paths, hierarchy_check, unreached_nodes, heading_spans, span_lines_range_join, span_metrics, containment_violations, ancestor_envelopes,
         greedy_pack, min_partition, reference_entries, passage_text, count_maps, totals_rollup, source_order_check, wrapped_lines, page_text, extraction_quality, boundary_pairs,
-        region_ledger, numbered_sources, numbered_source_lines, owner_sweep, assembly_audit,
+        region_ledger, numbered_sources, numbered_source_lines, owner_sweep, assembly_audit, extracted_pages, extraction_failures, page_record_faults,
     )
 }
 
@@ -404,4 +446,13 @@ SELECT d AS document_id, p AS line_pos, m.o AS owner, m.r AS rank, len(list_filt
     "assembly_audit": f"""WITH {_LINES}, c AS (SELECT document_id AS d, count(*) AS n, max(text) FILTER (line_pos = 0) AS a, max(text) FILTER (line_pos = 1) AS b FROM l GROUP BY document_id),
 v AS (SELECT d, unnest(CASE d % 11 WHEN 1 THEN CASE WHEN n > 2 THEN ['lines'] END WHEN 2 THEN CASE WHEN n = 1 OR a <> b THEN ['order or text'] END WHEN 3 THEN ['order or text'] WHEN 4 THEN ['part repeated'] WHEN 5 THEN ['no parts']
   WHEN 6 THEN ['part without lines', CASE WHEN n > 4 THEN 'lines' ELSE 'no parts' END] END) AS rule FROM c) SELECT d AS source_id, rule FROM v""",
+    "extracted_pages": """WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents WHERE lang IN ('en', 'de') AND NOT (lang = 'en' AND starts_with(coalesce(text, ''), '|'))),
+p AS (SELECT doc_id, lang, text AS t, 1 AS k, 1 AS n FROM d WHERE lang = 'de' UNION ALL
+  SELECT doc_id, lang, array_to_string(a[4 * i + 1 : 4 * i + 4], chr(10)), i + 1, (len(a) + 3) // 4 FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS a FROM d WHERE lang = 'en'), range((len(a) + 3) // 4) AS r(i))
+SELECT doc_id || ':page-' || lpad(CAST(k AS VARCHAR), 4, '0') AS page_id, n AS page_count, length(t) AS character_count, lang AS extractor, md5(t) AS text_md5 FROM p""",
+    "extraction_failures": """SELECT CAST(doc_id AS VARCHAR) AS document_id, CASE WHEN lang = 'fr' THEN 'no pages' WHEN lang = 'en' THEN 'starts with a table' ELSE 'kind' END AS rule FROM documents
+WHERE lang = 'fr' OR (lang = 'en' AND starts_with(coalesce(text, ''), '|')) OR lang IS NULL OR lang NOT IN ('en', 'de', 'fr')""",
+    "page_record_faults": """WITH c AS (SELECT DISTINCT conv_id AS c FROM conversations), v AS (SELECT c, unnest(['no pages', 'no document', 'no receipt', 'document repeated', 'receipt repeated']) AS rule FROM c)
+SELECT CAST(c AS VARCHAR) AS document_id, rule FROM v WHERE (c % 7 <> 1 OR c % 5 <> 1 OR c % 3 <> 1) AND CASE rule WHEN 'no pages' THEN c % 7 = 1 WHEN 'no document' THEN c % 5 = 1 WHEN 'no receipt' THEN c % 3 = 1
+  WHEN 'document repeated' THEN c % 5 <> 1 AND c % 11 = 2 ELSE c % 3 <> 1 AND c % 13 = 2 END""",
 }

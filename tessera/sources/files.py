@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.sizes import maybe_broadcast
-from ..operators.governance import url_rule
+from ..operators.governance import enforce, url_rule
 
 MAX_FILE_BYTES = 25 * 1024 * 1024
 
@@ -109,30 +109,62 @@ def guarded(reader: Callable[[bytes], Any]) -> Callable[[], Callable[[bytes], li
     return lambda: extract
 
 
-def extract_pages(files: DataFrame, extractor: Callable[[], Callable[[bytes], list[str | None]]], name: str = "plain", version: str = "1") -> DataFrame:
+Extractor = Callable[[], Callable[[bytes], list[str | None]]]
+
+
+def extract_pages(files: DataFrame, extractor: Extractor | dict[str, Extractor], name: str = "plain", version: str = "1", kind_col: str = "kind") -> DataFrame:
     """document_id, page_id, page_number, page_count, character_count, is_empty, text of each file's pages.
 
     ``extractor`` makes, once per worker, what turns a file's bytes into its
-    pages' texts: a PDF library, where one is installed. A file without pages
-    is an error.
+    pages' texts: a PDF library, where one is installed. Several are chosen
+    from by a file's ``kind_col``, and a page names the one it came from. A
+    file without pages, or of a kind that none takes, is an error;
+    :func:`extraction_violations` lists them all instead.
     """
+    return _pages(files, extractor, name, version, kind_col, strict=True).drop("failure")
+
+
+def extraction_violations(files: DataFrame, extractor: Extractor | dict[str, Extractor], kind_col: str = "kind") -> DataFrame:
+    """document_id and rule of files that give no pages: "kind", "no pages", or what their extractor said."""
+    rows = _pages(files, extractor, "", "", kind_col, strict=False)
+    return rows.where("failure IS NOT NULL").select("document_id", F.col("failure").alias("rule"))
+
+
+def _pages(files: DataFrame, extractor: Extractor | dict[str, Extractor], name: str, version: str, kind_col: str, strict: bool) -> DataFrame:
+    several = isinstance(extractor, dict)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        extract = extractor()
+        made: dict[str, Callable[[bytes], list[str | None]]] = {}
+
+        def pages_of(kind: str, content: bytes) -> list[str | None]:
+            if several and kind not in extractor:
+                raise ValueError("kind")
+            if kind not in made:
+                made[kind] = (extractor[kind] if several else extractor)()
+            found = made[kind](content)
+            if not found:
+                raise ValueError("no pages")
+            return found
+
         for part in parts:
-            rows = []
-            for document, content in zip(part["document_id"], part["content"], strict=True):
-                pages = extract(bytes(content))
-                if not pages:
-                    raise ValueError(f"{document}: no pages")
-                rows += [(document, i + 1, len(pages), t) for i, t in enumerate(pages)]
-            yield pd.DataFrame(rows, columns=["document_id", "page_number", "page_count", "text"])
-
-    rows = files.select(F.col("document_id").cast("string").alias("document_id"), "content").mapInPandas(run, "document_id string, page_number int, page_count int, text string")
+            rows: list[tuple] = []
+            for document, kind, content in zip(part["document_id"], part["kind"], part["content"], strict=True):
+                try:
+                    pages = pages_of(kind, bytes(content))
+                except ValueError as e:
+                    if strict:
+                        raise ValueError(f"{document}: {e}") from e
+                    rows.append((document, kind, None, None, None, str(e)))
+                    continue
+                rows += [(document, kind, i + 1, len(pages), t, None) for i, t in enumerate(pages)]
+            yield pd.DataFrame(rows, columns=["document_id", "kind", "page_number", "page_count", "text", "failure"]).astype({"page_number": "Int32", "page_count": "Int32"})
+
+    kind = F.coalesce(F.col(kind_col).cast("string"), F.lit("")) if several else F.lit(name)
+    rows = files.select(F.col("document_id").cast("string").alias("document_id"), kind.alias("kind"), "content").mapInPandas(run, "document_id string, kind string, page_number int, page_count int, text string, failure string")
     text = T.normalize_newlines(F.col("text"))
     return rows.select(
         "document_id", T.page_id(F.col("document_id"), F.col("page_number")).alias("page_id"), "page_number", "page_count", F.length(text).alias("character_count"),
-        (T.strip(text) == "").alias("is_empty"), text.alias("text"), F.lit(name).alias("extractor"), F.lit(version).alias("extractor_version"),
+        (T.strip(text) == "").alias("is_empty"), text.alias("text"), F.col("kind").alias("extractor"), F.lit(version).alias("extractor_version"), "failure",
     )
 
 
@@ -145,8 +177,10 @@ def page_records(pages: DataFrame, documents: DataFrame, receipts: DataFrame, co
 
     ``pages`` are those of :func:`extract_pages`; ``documents`` has
     document_id and ``DOCUMENT_FIELDS``, ``receipts`` document_id, filename,
-    sha256 and retrieved_date. A page without either is left out.
+    sha256 and retrieved_date. A page without either, or with several, is an
+    error: see :func:`record_violations`.
     """
+    enforce(record_violations(pages, documents, receipts), "page records")
     about = documents.select(F.col("document_id").cast("string").alias("document_id"), *DOCUMENT_FIELDS)
     file = receipts.select(F.col("document_id").cast("string").alias("document_id"), F.col("filename").alias("source_filename"), F.col("sha256").alias("document_sha256"), "retrieved_date")
     rows = pages.join(maybe_broadcast(about), "document_id").join(maybe_broadcast(file), "document_id")
@@ -156,6 +190,18 @@ def page_records(pages: DataFrame, documents: DataFrame, receipts: DataFrame, co
     )
 
 
+def record_violations(pages: DataFrame, documents: DataFrame, receipts: DataFrame) -> DataFrame:
+    """document_id and rule of documents whose pages cannot be cited: "no document", "no receipt", "document repeated", "receipt repeated", "no pages"."""
+    found = pages.select(F.col("document_id").cast("string").alias("document_id")).distinct().withColumn("_pages", F.lit(1))
+    count = lambda df, n: df.groupBy(F.col("document_id").cast("string").alias("document_id")).agg(F.count("*").alias(n))
+    rows = found.join(count(documents, "_documents"), "document_id", "full_outer").join(count(receipts, "_receipts"), "document_id", "full_outer")
+    faults = F.array_compact(F.array(
+        F.when(F.col("_pages").isNull(), "no pages"), F.when(F.col("_documents").isNull(), "no document"), F.when(F.col("_receipts").isNull(), "no receipt"),
+        F.when(F.col("_documents") > 1, "document repeated"), F.when(F.col("_receipts") > 1, "receipt repeated"),
+    ))
+    return rows.select("document_id", F.explode(faults).alias("rule"))
+
+
 def page_totals(pages: DataFrame) -> DataFrame:
     """Pages, characters and empty pages per document and, with a null document, of all."""
     return pages.rollup("document_id").agg(F.count("*").alias("page_count"), F.sum("character_count").alias("character_count"), F.count_if(F.col("is_empty")).alias("empty_page_count"))

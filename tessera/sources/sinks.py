@@ -84,6 +84,18 @@ def publish_object(spark: SparkSession, value: dict, path: str, sort_keys: bool
         raise
 
 
+def read_version(spark: SparkSession, folder: str, version: int | None = None) -> dict:
+    """The object published as ``v<number>.json`` below ``folder``, by default the one with the largest number."""
+    p, fs = _fs(spark, folder)
+    if version is None:
+        version = max(int(s.getPath().getName()[1:-5]) for s in fs.listStatus(p) if s.getPath().getName().endswith(".json"))
+    stream = fs.open(_fs(spark, f"{folder}/v{version:010d}.json")[0])
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
 def publish_report(df: DataFrame, path: str, title: str, by: str) -> None:
     """Counts of a column as text, most frequent first."""
     rows = df.groupBy(by).count().orderBy("count", by, ascending=[False, True])

@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import checkpoints
-from tessera.operators import lexical, lexical_index
+from tessera.operators import dense, dense_index, lexical, lexical_index
 from tessera.operators.governance import ContractViolation
 from tessera.sources.sinks import OutputExists
 
@@ -91,3 +92,45 @@ def test_a_scope_leaves_no_table(spark, rows, tmp_path):
         assert index.search(asked, 4).count() == 4
         assert set(os.listdir(folder)) - before
     assert set(os.listdir(folder)) == before
+
+
+VECTORS = "passage_id long, embedding array<double>"
+
+
+def clustered(n=900, size=8, seed=1):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(12, size))
+    x = centres[rng.integers(0, 12, n)] + 0.05 * rng.normal(size=(n, size))
+    x[n // 2 : n // 2 + n // 3] = x[0]  # a third are one vector
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_vector_search_is_exact_and_skips_blocks(rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(dense_index, "BLOCK_ROWS", 32)
+    x = clustered()
+    df = rows([(i, v.tolist()) for i, v in enumerate(x)], VECTORS).repartition(4)
+    index = dense_index.build(df.where("passage_id % 3 > 0"), 8, str(tmp_path / "index"))
+    index.add(df.where("passage_id % 3 = 0"))
+    asked = rows([(i, (2 * x[i]).tolist()) for i in range(0, 900, 45)] + [(5000, None)], "query_id long, embedding array<double>")
+    for k in (1, 10):
+        found, read = index.search(asked, k)
+        assert rounded(found) == rounded(dense.rank(df, asked, k))
+    blocks = index.blocks()
+    assert blocks.agg(F.sum("n")).first()[0] == 900 and blocks.agg(F.max("n")).first()[0] < 100
+    per_query = [r["blocks_read"] for r in read.collect()]
+    assert len(per_query) == 20 and sum(per_query) < 0.7 * 20 * blocks.count()
+
+
+def test_indexed_vectors_are_checked(rows, tmp_path):
+    index = dense_index.build(rows([(1, [1.0, 0.0]), (2, [0.0, 1.0])], VECTORS), 2, str(tmp_path / "index"))
+    for bad in ([(3, [2.0, 0.0])], [(3, None)], [(3, [1.0])], [(3, [1.0, 0.0]), (3, [0.0, 1.0])], [(1, [1.0, 0.0])], [(3, [float("nan"), 0.0])]):
+        with pytest.raises(ContractViolation):
+            index.add(rows(bad, VECTORS))
+    assert index.state().version == 1 and index.add(rows([], VECTORS)).version == 1
+    found, _ = index.search(rows([], "query_id long, embedding array<double>"), 3)
+    assert found.count() == 0
+    found, _ = index.search(rows([(9, [0.6, 0.8])], "query_id long, embedding array<double>"), 5)
+    assert [(r["passage_id"], round(r["score"], 9)) for r in found.orderBy("rank").collect()] == [(2, 0.8), (1, 0.6)]
+    for size in (0, True, 1.5):
+        with pytest.raises(ValueError):
+            dense_index.Index.create(index.spark, str(tmp_path / "no"), size)
