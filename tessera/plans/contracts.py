@@ -12,6 +12,7 @@ from ..operators import contracts as C
 from ..operators import governance as G
 from ..operators import hybrid
 from ..operators import hierarchy as Y
+from ..operators import splits as X
 from ..operators import units as U
 from . import adapters as A
 from .structure import _FILLED, _LINES, _REASON, _packable
@@ -127,6 +128,25 @@ def _batches(spark, sf):
     return rows.select("case_id", F.when(F.col("case_id") % 40 == 7, "{broken").otherwise(F.concat(F.lit("{"), split, F.lit('"case":{"evidence":['), "turns", F.lit("]}}"))).alias("record"))
 
 
+def split_manifests(spark, sf):
+    """Nations as datasets whose customers are split by segment; manifests and assignments with faults."""
+    n, k = F.col("dataset_id"), F.col("case_id")
+    part = F.element_at(F.create_map(*[F.lit(x) for i, v in enumerate(("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")) for x in (v, i)]), F.col("component"))
+    rows = A.table(spark, sf, "customer").select(F.col("c_nationkey").alias("dataset_id"), F.col("c_custkey").alias("case_id"), F.col("c_mktsegment").alias("component"))
+    rows = rows.withColumn("split_name", F.when(part % 3 == 0, "development").when(part % 3 == 1, "validation").otherwise("test"))
+    datasets = rows.select("dataset_id").distinct().withColumn("dataset_sha256", T.sha256(n.cast("string")))
+    found = X.manifests(rows, datasets).where(n % 13 != 4)
+    found = found.select(
+        n, F.when(n % 11 == 1, "x").otherwise(F.col("dataset_sha256")).alias("dataset_sha256"), F.when(n % 8 == 5, "0.9").otherwise(F.col("algorithm_version")).alias("algorithm_version"), (F.col("component_count") + F.when(n % 7 == 1, 1).otherwise(0)).alias("component_count"),
+        F.when(n % 6 == 2, F.map_filter("split_case_counts", lambda s, _: s != "test")).when(n % 5 == 1, F.transform_values("split_case_counts", lambda s, c: c + F.when(s == "test", 1).otherwise(0))).otherwise(F.col("split_case_counts")).alias("split_case_counts"), "assignments_sha256",
+    )
+    found = found.union(found.where(n % 10 == 8)).union(found.where(n == 0).withColumn("dataset_id", F.lit(-1).cast(dict(found.dtypes)["dataset_id"])))
+    first = rows.groupBy("dataset_id").agg(F.min("case_id").alias("first"))
+    moved = rows.join(first, "dataset_id").withColumn("split_name", F.when((n % 9 == 3) & (k == F.col("first")), F.lit(None)).otherwise(F.col("split_name"))).drop("first")
+    again = rows.join(first, "dataset_id").where((n % 12 == 7) & (k == F.col("first"))).withColumn("split_name", F.when(F.col("split_name") == "test", "development").otherwise("test")).drop("first")
+    return X.violations(found, moved.unionByName(again), datasets)
+
+
 FORBIDDEN = ("reviewer_id", "silver_label", "split_name")
 
 
@@ -191,7 +211,7 @@ def storage_order(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (group_counts, storage_order, line_atoms, atom_partition, anchor_violations, evidence_fields, heading_nodes, annotator_pairs, pair_violations, structure_counts, analysis_metadata, source_spans, structural_context,
-              log_violations, round_completion, blinding_leaks)
+              log_violations, round_completion, blinding_leaks, split_manifests)
 }
 
 _PACKABLE = f"""{_LINES}, f AS (SELECT document_id, line_pos, text, lead(text) OVER w AS next_text, coalesce(lead(line_pos) OVER w - line_pos > 1, false) AS gap FROM l {_FILLED} WINDOW w AS (PARTITION BY document_id ORDER BY line_pos)),
@@ -259,4 +279,12 @@ UNION ALL SELECT u, p, 'fork' FROM (SELECT *, count(*) OVER (PARTITION BY u, pre
   || CASE WHEN (conv_id + turn) % 14 = 2 THEN ',"notes":[{"Silver_Label":"x"},{"n":1}]' ELSE '' END || '}' AS j FROM conversations),
 r AS (SELECT c, c % 40 = 7 AS broken, '{' || CASE WHEN c % 12 = 3 THEN '"split_name":"test",' ELSE '' END || '"case":{"evidence":[' || string_agg(j, ',' ORDER BY turn) || ']}}' AS record FROM t GROUP BY c)
 SELECT c AS case_id, fullkey AS path FROM r, json_tree(r.record) AS x WHERE NOT broken AND lower(x.key) IN ('reviewer_id', 'silver_label', 'split_name') UNION ALL SELECT c, '$' FROM r WHERE broken""",
+    "split_manifests": """WITH c AS (SELECT c_nationkey AS n, c_custkey AS k, c_mktsegment AS s, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i FROM customer),
+d AS (SELECT n, count(DISTINCT s) AS parts, count(*) FILTER (s IN ('AUTOMOBILE', 'HOUSEHOLD')) AS dev, count(*) FILTER (s IN ('BUILDING', 'MACHINERY')) AS val, count(*) FILTER (s = 'FURNITURE') AS test FROM c GROUP BY n),
+v AS (SELECT n, unnest(['no manifest', 'repeated', 'dataset_sha256', 'algorithm_version', 'component_count', 'split names', 'split counts', 'assignments', 'case in several splits', 'case without split', 'component crosses splits']) AS rule,
+  dev > 0 AND val > 0 AND test > 0 AS whole FROM d)
+SELECT n AS dataset_id, rule FROM v WHERE CASE rule WHEN 'no manifest' THEN n % 13 = 4 WHEN 'repeated' THEN n % 10 = 8 AND n % 13 <> 4 WHEN 'dataset_sha256' THEN n % 11 = 1 AND n % 13 <> 4 WHEN 'algorithm_version' THEN n % 8 = 5 AND n % 13 <> 4
+  WHEN 'component_count' THEN n % 7 = 1 AND n % 13 <> 4 WHEN 'split names' THEN (n % 6 = 2 OR NOT whole) AND n % 13 <> 4 WHEN 'split counts' THEN whole AND n % 6 <> 2 AND (n % 5 = 1 OR n % 9 = 3 OR n % 12 = 7) AND n % 13 <> 4
+  WHEN 'assignments' THEN (n % 9 = 3 OR n % 12 = 7) AND n % 13 <> 4 WHEN 'case in several splits' THEN n % 12 = 7 AND n % 9 <> 3 WHEN 'case without split' THEN n % 9 = 3 AND n % 12 <> 7 ELSE n % 12 = 7 END
+UNION ALL SELECT -1, 'no dataset'""",
 }

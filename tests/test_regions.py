@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import blinding, chains, fingerprints, intervals, regions
+from tessera.operators import blinding, chains, fingerprints, intervals, regions, splits
 from tessera.operators import lines as L
 from tessera.operators import units as U
 
@@ -183,3 +183,21 @@ def test_forbidden_names_at_any_depth(rows):
     data = [(1, '{"a": {"b": [{"Secret": 1}, [{"x": {"secret": null}}]]}, "secret": {"secret": 2}}'), (2, '{"secrets": ["secret"]}'), (3, "{oops"), (4, None), (5, "[]"), (6, '"secret"')]
     got = sorted(map(tuple, blinding.leaks(rows(data, "case_id int, record string"), "record", {"SECRET"}).collect()))
     assert got == [(1, "$.a.b[0].Secret"), (1, "$.a.b[1][0].x.secret"), (1, "$.secret"), (1, "$.secret.secret"), (3, "$")]
+
+
+def test_split_manifests(rows):
+    data = [("d", i, f"c{i % 5}", ("development", "validation", "test")[i % 5 % 3]) for i in range(30)]
+    schema = "dataset_id string, case_id int, component string, split_name string"
+    sets = rows([("d", "h")], "dataset_id string, dataset_sha256 string")
+    made = splits.manifests(rows(data, schema), sets)
+    record = made.first()
+    assert (record["component_count"], record["split_case_counts"]) == (5, {"development": 12, "validation": 12, "test": 6})
+    assert splits.violations(made, rows(data[::-1], schema).repartition(3), sets).isEmpty()
+    rules = lambda found, a, d=sets: sorted(r["rule"] for r in splits.violations(found, rows(a, schema), d).collect())
+    swapped = [("d", 1, "c1", "test"), ("d", 2, "c2", "validation"), *(r for r in data if r[1] not in (1, 2))]  # counts stay
+    assert rules(made, swapped) == ["assignments", "component crosses splits"]
+    assert rules(made, [*data[1:], ("d", 0, "c0", None)]) == ["assignments", "case without split", "split counts"]
+    assert rules(made, [*data, ("d", 0, "c0", "test")]) == ["assignments", "case in several splits", "component crosses splits", "split counts"]
+    assert rules(made.union(made), data) == ["repeated"] and rules(made.limit(0), data) == ["no manifest"]
+    assert rules(made, data, rows([("d", "other")], "dataset_id string, dataset_sha256 string")) == ["dataset_sha256"]
+    assert rules(made, data, rows([("e", "h")], "dataset_id string, dataset_sha256 string")) == ["no dataset", "no manifest"]
