@@ -345,7 +345,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     Scores are log10 probabilities. Null and empty texts are one end token.
     Rows that repeat an id are scored each; a null id counts by the text
     ``null``. Null is a class of its own; without the class column, or with
-    ``None``, all rows are one class. Without training rows the starting
+    ``None``, all rows are one class. The ``MAX_CLASSES`` classes with most
+    rows have pieces' rates of their own; all rarer ones are one class more,
+    so a text of a rare class is scored by what its like have in common. The
+    class is no input of a score. Without training rows the starting
     probabilities score. An empty table gives no row.
     """
     spark = docs.sparkSession

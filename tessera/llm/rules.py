@@ -111,12 +111,13 @@ class Trust:
     good: float
     right: tuple[tuple[float, float], ...]
 
-    def posterior(self, cast: list[Column]) -> Column:
-        """The probability of being good, given the rules' votes, which are independent given what is true."""
-        odds = F.lit(math.log(self.good / (1 - self.good)))
+    def posterior(self, cast: list[str]) -> str:
+        """SQL for the probability of being good, given the rules' votes, which are independent given what is true."""
+        number = lambda x: f"{x!r}D"
+        odds = [number(math.log(self.good / (1 - self.good)))]
         for vote, (on_good, on_poor) in zip(cast, self.right, strict=True):
-            odds = odds + F.when(vote == 1, math.log(on_good / (1 - on_poor))).when(vote == -1, math.log((1 - on_good) / on_poor)).otherwise(0.0)
-        return 1 / (1 + F.exp(-odds))
+            odds.append(f"CASE {vote} WHEN 1 THEN {number(math.log(on_good / (1 - on_poor)))} WHEN -1 THEN {number(math.log((1 - on_good) / on_poor))} ELSE 0D END")
+        return f"1 / (1 + exp(-({' + '.join(odds)})))"
 
 
 def start(rules: int) -> Trust:
@@ -125,13 +126,13 @@ def start(rules: int) -> Trust:
 
 def step(patterns: DataFrame, trust: Trust) -> Trust:
     """One round over ``patterns`` (v0, v1, ... and their number of rows n)."""
-    cast = [F.col(f"v{k}") for k in range(len(trust.right))]
-    rows = patterns.withColumn("p", trust.posterior(cast)).withColumn("good", F.col("n") * F.col("p")).withColumn("poor", F.col("n") * (1 - F.col("p")))
-    sums = [F.sum("n"), F.sum("good")]
+    cast = [f"v{k}" for k in range(len(trust.right))]
+    sums = ["sum(n)", "sum(n * p)"]
     for vote in cast:
-        for who, right in (("good", 1), ("poor", -1)):
-            sums += [F.sum(F.when(vote == right, F.col(who)).otherwise(0.0)), F.sum(F.when(vote != 0, F.col(who)).otherwise(0.0))]
-    n, good, *each = rows.agg(*[s.alias(f"s{k}") for k, s in enumerate(sums)]).first()  # one row
+        for share, right in (("p", 1), ("(1 - p)", -1)):
+            sums += [f"sum(CASE WHEN {vote} = {right} THEN n * {share} ELSE 0D END)", f"sum(CASE WHEN {vote} <> 0 THEN n * {share} ELSE 0D END)"]
+    rows = patterns.sparkSession.sql(f"SELECT {', '.join(sums)} FROM (SELECT *, {trust.posterior(cast)} AS p FROM {{patterns}})", patterns=patterns)
+    n, good, *each = rows.first()  # one row
     share = lambda hits, of, first: (hits + PRIOR_VOTES * first) / (of + PRIOR_VOTES)
     right = [tuple(share(each[4 * k + 2 * c], each[4 * k + 2 * c + 1], START_RIGHT[c]) for c in range(2)) for k in range(len(cast))]
     right = [(g, max(b, 1 - g)) for g, b in right]  # a poor vote never speaks for a row
@@ -143,8 +144,10 @@ def estimate(patterns: DataFrame, rules: int, rounds: int = ROUNDS) -> Trust:
     trust = start(rules)
     if patterns.isEmpty():
         return trust
-    for _ in range(rounds):
-        trust = step(patterns, trust)
+    # the patterns are few, and each round's numbers would be compiled anew
+    with common.setting(patterns.sparkSession, "spark.sql.codegen.wholeStage", "false"):
+        for _ in range(rounds):
+            trust = step(patterns, trust)
     return trust
 
 
@@ -162,8 +165,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
     patterns = common.materialize(patterns.coalesce(1).sortWithinPartitions(*[f"v{k}" for k in range(len(cast))]), "rules-patterns")
     trust = estimate(patterns, len(rules), rounds)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    rows = counted.withColumn("base_failed", failed).withColumn("posterior", trust.posterior(cast))
-    named = [v.alias(f"vote_{r.name}") for r, v in zip(rules, cast, strict=True)]
+    rows = counted.withColumn("base_failed", failed).withColumns({f"vote_{r.name}": v for r, v in zip(rules, cast, strict=True)})
+    named = [f"vote_{r.name}" for r in rules]
+    rows = rows.withColumn("posterior", F.expr(trust.posterior(named)))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("posterior") >= keep_probability)).alias("kept"), "posterior", *named), trust
 
 
