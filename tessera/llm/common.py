@@ -126,6 +126,8 @@ def maybe_broadcast(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame
 
 #: Groups with more than one of so many parts of all rows are fewer than these.
 HOT_GROUPS = 1000
+#: Rows up to which a table that is joined again and again is broadcast: the driver holds each for a while.
+FEW_ROWS = 20_000
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size_col: str) -> DataFrame:
@@ -152,12 +154,12 @@ def join_hot(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     there are fewer than a thousand, meet theirs by a broadcast, if those too
     are counted and few, and only the others are shuffled.
     """
-    if small(table):
+    if small(table, FEW_ROWS):
         return rows.join(F.broadcast(table), key)
     counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
     most = rows.count() / HOT_GROUPS
     hot = F.broadcast(counts.where(F.col("_n") > most).select(key))
-    theirs = maybe_broadcast(table.join(hot, key, "left_semi"))
+    theirs = maybe_broadcast(table.join(hot, key, "left_semi"), FEW_ROWS)
     return rows.join(hot, key, "left_semi").join(theirs, key).unionByName(rows.join(hot, key, "left_anti").join(table, key))
 
 

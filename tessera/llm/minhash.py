@@ -298,7 +298,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = judged.where("linked").join(comp("a"), "a").join(comp("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
         roots = merge(links)
         labels = common.materialize(_relabel(labels, roots), "minhash-labels")
-        left = live.join(common.maybe_broadcast(chosen.select("bucket", F.col("p_id").alias("doc_id"))), ["bucket", "doc_id"], "left_anti")
+        left = live.join(common.maybe_broadcast(chosen.select("bucket", F.col("p_id").alias("doc_id")), common.FEW_ROWS), ["bucket", "doc_id"], "left_anti")
         live = common.materialize(_relabel(left, roots), "minhash-live")
         pivots *= PIVOT_GROWTH
     out = keys.select("doc_id", *group).join(classes, group, "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))
