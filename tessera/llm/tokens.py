@@ -61,14 +61,14 @@ def values(binary: pa.Array) -> list[bytes]:
 class WordEncoder:
     """Encodes bytes of UTF-8 to little-endian unsigned 32-bit ids, as bytes."""
 
-    def __init__(self, path: str, max_words: int = MAX_CACHED_WORDS) -> None:
+    def __init__(self, path: str, max_words: int = MAX_CACHED_WORDS, batch_bytes: int | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their strings are cut out before, case and all
         self._tokenizer.model._resize_cache(0)  # words are kept here
-        self._max = max_words
+        self._max, self._bytes = max_words, batch_bytes
         self._ids = [i.to_bytes(4, "little") for i in range(max(self._tokenizer.get_vocab().values()) + 1)]
         #: Whether every id fits 16 bits.
         self.short = len(self._ids) <= 1 << 16
@@ -101,7 +101,7 @@ class WordEncoder:
         lo = 0
         while lo < len(texts):
             before = int(ends[lo - 1]) if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(ends, before + BATCH_BYTES, side="right")))
+            hi = max(lo + 1, int(np.searchsorted(ends, before + (self._bytes or BATCH_BYTES), side="right")))
             yield self._encode(texts.slice(lo, hi - lo), end_id)
             lo = hi
 

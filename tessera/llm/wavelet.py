@@ -32,6 +32,8 @@ MAGIC = b"TWM2"
 END_ID = 2
 #: A shard is closed by the document that brings it to this many ids.
 SHARD_TOKENS = 8_000_000
+#: Words that the encoder keeps in each of its two generations, and bytes of text that it looks up together.
+CACHED_WORDS, BATCH_BYTES = 400_000, 4_000_000
 #: Bits that one entry of a plane's rank directory covers.
 BLOCK_BITS = 4096
 #: Bytes of a plane's piece, a multiple of a block's, and pieces that a reader keeps unpacked.
@@ -223,7 +225,7 @@ class WaveletShard:
 
 def _shards(path: str, end_id: int, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = common.kept("tokens", path, tokens.WordEncoder)
+        enc = common.kept("wavelet", path, lambda p: tokens.WordEncoder(p, CACHED_WORDS, BATCH_BYTES))
         part = TaskContext.get().partitionId()
         seq = start = size = 0
         docs: list = []
