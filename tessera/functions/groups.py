@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -21,6 +22,10 @@ def stream_groups(df: DataFrame, key: str, order: str | list[str], run: Run, sch
     Rows are dealt by the key and sorted in their partition once, so a
     partition's groups pass through one Python function, each whole and one
     at a time. A null key is a group too.
+
+    They are dealt by a hash of the key: a shuffle by the key itself is left
+    out above a union of tables that are dealt so already, and adaptive
+    execution then coalesces each of those on its own, which parts groups.
     """
     columns = df.columns
     at = columns.index(key)
@@ -53,4 +58,4 @@ def stream_groups(df: DataFrame, key: str, order: str | list[str], run: Run, sch
             rows += run(held[at][0], dict(zip(columns, held, strict=True)))
         yield batch(rows)
 
-    return df.repartition(key).sortWithinPartitions(key, *([order] if isinstance(order, str) else order)).mapInArrow(stream, schema)
+    return df.repartition(F.xxhash64(key)).sortWithinPartitions(key, *([order] if isinstance(order, str) else order)).mapInArrow(stream, schema)

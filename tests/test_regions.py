@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import groups
 from tessera.operators import blinding, chains, fingerprints, intervals, regions, splits
 from tessera.operators import lines as L
 from tessera.operators import units as U
@@ -201,3 +202,19 @@ def test_split_manifests(rows):
     assert rules(made.union(made), data) == ["repeated"] and rules(made.limit(0), data) == ["no manifest"]
     assert rules(made, data, rows([("d", "other")], "dataset_id string, dataset_sha256 string")) == ["dataset_sha256"]
     assert rules(made, data, rows([("e", "h")], "dataset_id string, dataset_sha256 string")) == ["no dataset", "no manifest"]
+
+
+def test_groups_stay_whole_above_a_union_of_tables_that_are_coalesced_apart(spark):
+    rows = spark.range(40_000).select((F.col("id") % 400).alias("document_id"), F.md5(F.col("id").cast("string")).alias("t"))
+    large = rows.repartition("document_id").groupBy("document_id").agg(F.array_join(F.collect_list("t"), "").alias("t"))
+    small = rows.where("t < '1'").groupBy("document_id").agg(F.min("t").alias("t"))
+    settings = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        found = groups.stream_groups(large.union(small), "document_id", "t", lambda key, group: [(key, len(group["t"]))], "document_id long, n int").collect()
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    both = {r["document_id"] for r in small.select("document_id").collect()}
+    assert sorted(map(tuple, found)) == [(d, 1 + (d in both)) for d in range(400)]
