@@ -11,12 +11,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.best import CELLS, Best
 from ..functions.checkpoints import cut
 from ..functions.order import dense_order
 
 #: Queries that meet a batch of passages at once, and blocks that one scan takes.
 BLOCK, SCAN_BLOCKS = 4096, 16
 UNIT_TOLERANCE = 1e-5
+#: Scores are compared to so many digits.
+DIGITS = 12
 
 
 def norm(v: Column) -> Column:
@@ -42,8 +45,8 @@ def rank(passages: DataFrame, queries: DataFrame, k: int = 10, vector_col: str =
     """query_id, passage_id, score, rank by the dot product of all pairs.
 
     Exact search has no join key: queries are numbered and dealt into blocks,
-    each block meets each batch of passages in a matrix product, and only the
-    best ``k`` of a batch leave it. One scan of the passages takes at most
+    each block meets some passages at a time in a matrix product, of at most
+    ``CELLS`` cells, and only the best ``k`` of a task leave it. One scan of the passages takes at most
     ``SCAN_BLOCKS`` blocks of ``BLOCK`` queries, which are broadcast; further
     queries take further scans. Rows whose vector is null or holds a null take
     no part on either side; :func:`violations` lists them.
@@ -59,7 +62,7 @@ def rank(passages: DataFrame, queries: DataFrame, k: int = 10, vector_col: str =
     if not parts:
         return passages.sparkSession.createDataFrame([], "query_id long, passage_id long, score double, rank int")
     found = functools.reduce(DataFrame.unionByName, parts)
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "passage_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", DIGITS)), "passage_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "passage_id", "score", "rank")
 
 
@@ -68,21 +71,22 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
 
 
 def _scan(passages: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int, vector_col: str) -> DataFrame:
-    """The best ``k`` of each batch of passages for some queries."""
+    """The best ``k`` of each task's passages for some queries."""
     shared = passages.sparkSession.sparkContext.broadcast((ids, vectors))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, asked = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = batch.column(0).to_numpy()
-            order = np.argsort(own, kind="stable")
-            own, rows = own[order], _matrix(batch.column(1))[order]
-            for lo in range(0, len(names), BLOCK):
-                scores = asked[lo : lo + BLOCK] @ rows.T
-                top = np.argsort(-np.round(scores, 12), axis=1, kind="stable")[:, :k]
-                columns = [np.repeat(names[lo : lo + BLOCK], top.shape[1]), own[top.ravel()], np.take_along_axis(scores, top, axis=1).ravel()]
+        found = [Best(len(names[lo : lo + BLOCK]), k, DIGITS) for lo in range(0, len(names), BLOCK)]
+        step = max(1, CELLS // min(BLOCK, len(names)))
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                own, rows = batch.column(0).to_numpy(), _matrix(batch.column(1))
+                for some, lo in zip(found, range(0, len(names), BLOCK), strict=True):
+                    some.add(asked[lo : lo + BLOCK] @ rows.T, own)
+        for some, lo in zip(found, range(0, len(names), BLOCK), strict=True):
+            if (rows := some.rows()) is not None:
+                columns = [names[lo : lo + BLOCK][rows[0]], rows[1], rows[2]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "passage_id", "score"])
 
     return passages.select("passage_id", F.col(vector_col).alias("v")).mapInArrow(best, "query_id long, passage_id long, score double")

@@ -142,3 +142,14 @@ def test_bm25_in_several_scans_of_questions(rows, monkeypatch):
         want = sorted(data, key=lambda x: (-round(score(x[1]), 10), x[0]))[:4]
         assert [r["passage_id"] for r in got.where(F.col("query_id") == q).orderBy("rank").collect()] == [x[0] for x in want]
     assert got.count() == 24
+
+
+def test_vectors_leave_a_task_once(rows, spark):
+    data = rows([(i, [float(i % 7), float(i % 11)]) for i in range(60)] + [(60, [float("nan"), 0.0])], "passage_id long, embedding array<double>").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        left = dense._scan(data, np.array([1, 2]), np.array([[1.0, 0.0], [0.0, 1.0]]), 3, "embedding").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(r["passage_id"] for r in left if r["query_id"] == 1) == [6, 13, 60] and len(left) == 6
