@@ -147,20 +147,24 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size_col: str) ->
     return stay.union(meet).drop("_group")
 
 
-def join_hot(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+#: Rows of a group that meet its rows of another table in one part.
+PART_ROWS = 1000
+
+
+def join_parts(rows: DataFrame, table: DataFrame, key: str, size_col: str) -> DataFrame:
     """``rows`` joined with ``table``, which has few rows a key, whatever share of the rows a key has.
 
-    A small table is broadcast. Beyond that the rows of hot keys, of which
-    there are fewer than a thousand, meet theirs by a broadcast, if those too
-    are counted and few, and only the others are shuffled.
+    Both have ``size_col``, the same for all rows of a key: as many rows as
+    ``rows`` has of it, or more. A small table is broadcast. Beyond that a
+    key's rows are dealt over parts of about ``PART_ROWS``, each of which gets
+    its own copy of what the table has; every row is read once.
     """
     if small(table, FEW_ROWS):
-        return rows.join(F.broadcast(table), key)
-    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
-    most = rows.count() / HOT_GROUPS
-    hot = F.broadcast(counts.where(F.col("_n") > most).select(key))
-    theirs = maybe_broadcast(table.join(hot, key, "left_semi"), FEW_ROWS)
-    return rows.join(hot, key, "left_semi").join(theirs, key).unionByName(rows.join(hot, key, "left_anti").join(table, key))
+        return rows.join(F.broadcast(table.drop(size_col)), key)
+    parts = F.floor(F.col(size_col) / PART_ROWS) + 1
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), parts))
+    copies = table.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop(size_col)
+    return dealt.join(copies, [key, "_part"]).drop("_part")
 
 
 def mark_groups(rows: DataFrame, groups: DataFrame, key: str, size_col: str) -> DataFrame:

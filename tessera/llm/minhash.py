@@ -205,9 +205,9 @@ def _deal_by_shingles(live: DataFrame, texts: DataFrame, labels: DataFrame, widt
     del found
     shared = live.sparkSession.sparkContext.broadcast(counts)
     found = common.materialize(docs.select("doc_id", "text").mapInArrow(common.frugal(_first_shingles(shared, width, percent)), "bucket long, doc_id long, n long, place long"), "minhash-first")
-    several = common.materialize(found.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"), "minhash-buckets")
+    several = common.materialize(found.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "minhash-buckets")
     found = found.join(several, "bucket").join(labels, "doc_id")
-    return common.materialize(found.select("bucket", "doc_id", "n", "place", "comp"), "minhash-live")
+    return common.materialize(found.select("bucket", "doc_id", "n", "place", "comp", "size"), "minhash-live")
 
 
 def merge(edges: DataFrame) -> DataFrame:
@@ -261,32 +261,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = common.materialize(full.groupBy(*group).agg(F.min("doc_id").alias("class_id")), "minhash-classes")
     heads = full.join(classes.withColumnRenamed("class_id", "doc_id"), [*group, "doc_id"], "left_semi")
     slots = heads.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
-    shared = common.materialize(slots.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "minhash-buckets")
-    live = common.materialize(slots.join(shared, "bucket").select("bucket", "doc_id", F.col("n_shingles").alias("n"), F.lit(0).cast("long").alias("place"), F.col("doc_id").alias("comp")), "minhash-live")
+    shared = common.materialize(slots.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "minhash-buckets")
+    live = common.materialize(slots.join(shared, "bucket").select("bucket", "doc_id", F.col("n_shingles").alias("n"), F.lit(0).cast("long").alias("place"), F.col("doc_id").alias("comp"), "size"), "minhash-live")
     labels = common.materialize(live.select("doc_id", "comp").distinct(), "minhash-labels")
     texts = common.materialize(source.join(common.maybe_broadcast(labels.select("doc_id")), "doc_id", "left_semi"), "minhash-texts")
     failed, pivots, turn = None, PIVOTS, 0
     while True:
-        open_ = common.materialize(live.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket"), "minhash-open")
+        # the pivot of a round with one comes with the bucket it is open in, so rows meet both at once
+        one = pivots == 1
+        first = [F.min(F.struct(F.col("doc_id").alias("id"), "n", "place", "comp")).alias("p")] if one else []
+        open_ = live.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("size").alias("size"), F.count("*").alias("now"), *first).where("lo < hi")
+        open_ = common.materialize(open_.select("bucket", "size", "now", *([F.col(f"p.{c}").alias(f"p_{c}") for c in ("id", "n", "place", "comp")] if one else [])), "minhash-open")
         if open_.isEmpty():
             break
-        live = common.materialize(common.join_hot(live, open_, "bucket"), "minhash-live")
+        live = common.join_parts(live, open_, "bucket", "size").withColumn("size", F.col("now")).drop("now")
+        live = common.materialize(live, "minhash-live")
         turn += 1
         if turn == 2:
             live, pivots = _deal_by_shingles(live, texts, labels, width, percent), PIVOTS
             continue
-        if pivots == 1:
-            chosen = live.groupBy("bucket").agg(F.min(F.struct("doc_id", "n", "place", "comp")).alias("p")).select("bucket", "p.*")
-        else:
+        met = live
+        if not one:
             # first within parts of a bucket, so no task holds a large one
             within = F.row_number().over(Window.partitionBy("bucket", "salt").orderBy("doc_id"))
             chosen = live.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).withColumn("rank", within).where(F.col("rank") <= pivots)
             rank = F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id"))
-            chosen = chosen.withColumn("rank", rank).where(F.col("rank") <= pivots).drop("rank", "salt")
-        chosen = common.materialize(chosen.select("bucket", F.col("doc_id").alias("p_id"), F.col("n").alias("p_n"), F.col("place").alias("p_place"), F.col("comp").alias("p_comp")), "minhash-pivots")
+            chosen = chosen.withColumn("rank", rank).where(F.col("rank") <= pivots)
+            chosen = common.materialize(chosen.select("bucket", "size", F.col("doc_id").alias("p_id"), F.col("n").alias("p_n"), F.col("place").alias("p_place"), F.col("comp").alias("p_comp")), "minhash-pivots")
+            met = common.join_parts(live, chosen, "bucket", "size")
         near = (F.col("comp") != F.col("p_comp")) & (100 * F.least("n", "p_n") >= percent * F.greatest("n", "p_n"))
         near = near & ((100 + percent) * F.least(F.col("n") - F.col("place"), F.col("p_n") - F.col("p_place")) >= percent * (F.col("n") + F.col("p_n")))
-        pairs = common.join_hot(live, chosen, "bucket").where(near).select(F.least("doc_id", "p_id").alias("a"), F.greatest("doc_id", "p_id").alias("b")).distinct()
+        pairs = met.where(near).select(F.least("doc_id", "p_id").alias("a"), F.greatest("doc_id", "p_id").alias("b")).distinct()
         if failed is not None:
             pairs = pairs.join(failed, ["a", "b"], "left_anti")
         pairs = common.materialize(pairs, "minhash-pairs")
@@ -298,7 +303,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = judged.where("linked").join(comp("a"), "a").join(comp("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
         roots = merge(links)
         labels = common.materialize(_relabel(labels, roots), "minhash-labels")
-        left = live.join(common.maybe_broadcast(chosen.select("bucket", F.col("p_id").alias("doc_id")), common.FEW_ROWS), ["bucket", "doc_id"], "left_anti")
+        if one:
+            left = live.where("doc_id <> p_id").drop("p_id", "p_n", "p_place", "p_comp")
+        else:
+            left = live.join(common.maybe_broadcast(chosen.select("bucket", F.col("p_id").alias("doc_id")), common.FEW_ROWS), ["bucket", "doc_id"], "left_anti")
         live = common.materialize(_relabel(left, roots), "minhash-live")
         pivots *= PIVOT_GROWTH
     out = keys.select("doc_id", *group).join(classes, group, "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))

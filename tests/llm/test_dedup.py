@@ -68,6 +68,30 @@ def test_components_where_nothing_is_small(rows, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute_components(docs, 2)
 
 
+def test_components_where_buckets_are_parted(rows, monkeypatch):
+    docs = corpus(3, 15)
+    monkeypatch.setattr(common, "small", lambda *_: False)
+    monkeypatch.setattr(common, "PART_ROWS", 3)
+    out = minhash.near_duplicates(rows(docs, SCHEMA).repartition(4), width=2).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute_components(docs, 2)
+
+
+def test_hot_key_is_dealt_over_parts_and_read_once(spark, monkeypatch):
+    """Rows of hot and other keys used to be told apart by a semi and an anti join over all rows."""
+    monkeypatch.setattr(common, "small", lambda *_: False)
+    monkeypatch.setattr(common, "PART_ROWS", 50)
+    left = spark.range(2000).select(F.when(F.col("id") < 1500, 0).otherwise(F.col("id") % 7).alias("k"), "id")
+    left = left.join(left.groupBy("k").agg(F.count("*").alias("size")), "k")
+    right = left.select("k", "size").distinct().withColumn("p", F.explode(F.array(F.lit(1), F.lit(2))))
+    out = common.join_parts(left, right, "k", "size")
+    want = sorted((r["k"], r["id"], p) for r in left.collect() for p in (1, 2))
+    assert sorted((r["k"], r["id"], r["p"]) for r in out.collect()) == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and "LeftSemi" not in plan
+    parts = left.withColumn("part", F.pmod(F.xxhash64("id", "size"), F.floor(F.col("size") / 50) + 1)).groupBy("k", "part").count()
+    assert parts.agg(F.max("count")).first()[0] < 150
+
+
 def test_near_dedup_edges(rows):
     assert minhash.near_duplicates(rows([], SCHEMA)).count() == 0
     long = " ".join(f"x{i}" for i in range(30_000))
