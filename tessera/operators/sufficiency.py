@@ -73,8 +73,10 @@ def fit_newton(rows: DataFrame, names: tuple[str, ...] = FEATURES, target: str =
     Newton's steps: each is one pass that sums outer products of the rows, one
     small row a task, so any number of rows may be fitted and none leaves the
     executors. A step that doesn't lower the loss is halved. With a penalty
-    the optimum is unique.
+    the optimum is unique. The features are put together and written once; the
+    passes read those few numbers a row.
     """
+    rows = cut(rows.select(*names, target))
     facts = rows.agg(F.count("*").alias("n"), F.sum(target).alias("t"), F.sum(F.when(F.col(target).isin(0, 1), 0).otherwise(1)).alias("odd")).first()
     if not facts["n"] or facts["odd"] or not 0 < facts["t"] < facts["n"]:
         raise ValueError("training rows must have both classes")
