@@ -90,6 +90,10 @@ def furniture_reason(text: Column, line_number: Column, page_line_count: Column,
     return out
 
 
+def blank(text: Column) -> Column:
+    return T.strip(text) == ""
+
+
 #: What owns a line, the first before the others; an exclusion stands between heading and front matter.
 KINDS = {"content": 1, "heading": 2, "frontmatter": 4}
 
@@ -103,24 +107,29 @@ def ledger(lines: DataFrame, owned: DataFrame, reasons: DataFrame, regions: Data
     document_id, line_pos, priority and reason, ``regions`` spans with priority
     and reason; of several reasons the one with the least priority counts.
     Spans meet lines by a sweep over their ends, not by unrolling them.
+    ``lines`` may have a boolean ``blank`` instead of their text, which then
+    doesn't travel and is no column of the result.
     """
+    if "text" in lines.columns:
+        held_by, is_blank = ["text"], blank(F.col("text"))
+    else:
+        held_by, is_blank = ["blank"], F.col("blank")
     if "line_pos" in owned.columns:
         owned = owned.withColumns({"start_pos": F.col("line_pos"), "stop_pos": F.col("line_pos") + 1})
     rank = F.element_at(F.create_map(*[F.lit(x) for p in KINDS.items() for x in p]), F.col("kind"))
     held = segments(owned.select("document_id", "start_pos", "stop_pos", F.col("owner_id").alias("owner"), rank.alias("rank")))
     first = reasons.groupBy("document_id", "line_pos").agg(F.min(F.struct(F.col("priority").cast("int").alias("priority"), "reason")).alias("_line"))
-    rows = place(lines.select("document_id", "line_pos", "text"), held).withColumnsRenamed({"owner": "_owner", "rank": "_rank", "claims": "_claims"})
+    rows = place(lines.select("document_id", "line_pos", *held_by), held).withColumnsRenamed({"owner": "_owner", "rank": "_rank", "claims": "_claims"})
     if regions is not None:
         rows = place(rows, segments(regions.select("document_id", "start_pos", "stop_pos", F.col("reason").alias("owner"), F.col("priority").alias("rank"))))
         rows = rows.withColumn("_region", F.when(F.col("owner").isNotNull(), F.struct(F.col("rank").alias("priority"), F.col("owner").alias("reason")))).drop("owner", "rank", "claims")
     rows = rows.join(first, ["document_id", "line_pos"], "left")
     reason = F.least("_line", "_region")["reason"] if regions is not None else F.col("_line.reason")
     kind_of = F.element_at(F.create_map(*[F.lit(x) for k, v in KINDS.items() for x in (v, k)]), F.col("_rank"))
-    blank = T.strip(F.col("text")) == ""
-    kind = F.when(F.col("_rank") <= 2, kind_of).when(reason.isNotNull(), "excluded").when(F.col("_rank") == 4, "frontmatter").when(blank, "blank").otherwise("unassigned")
+    kind = F.when(F.col("_rank") <= 2, kind_of).when(reason.isNotNull(), "excluded").when(F.col("_rank") == 4, "frontmatter").when(is_blank, "blank").otherwise("unassigned")
     owned_kind = kind.isin(*KINDS)
     contents = F.when(F.col("_rank") == 1, F.col("_claims")).otherwise(0).cast("long")
-    return rows.select("document_id", "line_pos", "text", kind.alias("classification"), F.when(kind == "excluded", reason).alias("reason"), F.when(owned_kind, F.col("_owner")).alias("owner_id"), contents.alias("contents"))
+    return rows.select("document_id", "line_pos", *[c for c in held_by if c == "text"], kind.alias("classification"), F.when(kind == "excluded", reason).alias("reason"), F.when(owned_kind, F.col("_owner")).alias("owner_id"), contents.alias("contents"))
 
 
 def ledger_violations(rows: DataFrame) -> DataFrame:
