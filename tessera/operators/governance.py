@@ -315,11 +315,17 @@ def forbidden_fields(df: DataFrame, forbidden: set[str]) -> list[str]:
 
 
 def inventory_violations(inventory: DataFrame, development: DataFrame) -> DataFrame:
-    """New queries that repeat a development query's id or its question after normalisation."""
-    same_id = inventory.join(development.select("query_id"), "query_id", "left_semi").select("query_id", F.lit("id in development").alias("rule"))
+    """New queries that repeat a development query's id or its question after normalisation.
+
+    The inventory is read and normalised once. It stays where it is unless
+    development has more than ``sizes.MAX_ROWS`` ids or questions.
+    """
     norm = lambda df: df.select("query_id", T.normalized_question(F.col("question")).alias("q"))
-    same = norm(inventory).join(norm(development).select("q").distinct(), "q", "left_semi").select("query_id", F.lit("question in development").alias("rule"))
-    return same_id.union(same)
+    known = norm(development)
+    rows = look_up(norm(inventory), known.select("query_id").distinct().withColumn("_id", F.lit(True)), "query_id")
+    rows = look_up(rows, known.select("q").distinct().withColumn("_q", F.lit(True)), "q")
+    rules = F.array_compact(F.array(F.when(F.col("_id"), "id in development"), F.when(F.col("_q"), "question in development")))
+    return rows.select("query_id", F.explode(rules).alias("rule"))
 
 
 def round_assignments(cases: DataFrame, annotators: list[str], adjudicator: str, seed: str = "round") -> DataFrame:
