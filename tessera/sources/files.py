@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,10 +130,15 @@ def extraction_violations(files: DataFrame, extractor: Extractor | dict[str, Ext
     return rows.where("failure IS NOT NULL").select("document_id", F.col("failure").alias("rule"))
 
 
+#: What a worker holds of pages before it hands them on, however many files one Arrow batch has.
+HELD_CHARS, HELD_ROWS = 1 << 20, 4096
+PAGE_TYPES = {"document_id": pa.string(), "kind": pa.string(), "page_number": pa.int32(), "page_count": pa.int32(), "text": pa.string(), "failure": pa.string()}
+
+
 def _pages(files: DataFrame, extractor: Extractor | dict[str, Extractor], name: str, version: str, kind_col: str, strict: bool) -> DataFrame:
     several = isinstance(extractor, dict)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[str, Callable[[bytes], list[str | None]]] = {}
 
         def pages_of(kind: str, content: bytes) -> list[str | None]:
@@ -146,21 +151,35 @@ def _pages(files: DataFrame, extractor: Extractor | dict[str, Extractor], name:
                 raise ValueError("no pages")
             return found
 
-        for part in parts:
+        def given(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PAGE_TYPES.values(), strict=True)], list(PAGE_TYPES))
+
+        for batch in batches:
             rows: list[tuple] = []
-            for document, kind, content in zip(part["document_id"], part["kind"], part["content"], strict=True):
+            held = 0
+            for document, kind, content in zip(*batch.columns, strict=True):  # one file's bytes at a time
+                document, kind, content = document.as_py(), kind.as_py(), content.as_py()
                 try:
-                    pages = pages_of(kind, bytes(content))
+                    pages = pages_of(kind, content)
                 except ValueError as e:
                     if strict:
                         raise ValueError(f"{document}: {e}") from e
+                    pages = []
                     rows.append((document, kind, None, None, None, str(e)))
-                    continue
-                rows += [(document, kind, i + 1, len(pages), t, None) for i, t in enumerate(pages)]
-            yield pd.DataFrame(rows, columns=["document_id", "kind", "page_number", "page_count", "text", "failure"]).astype({"page_number": "Int32", "page_count": "Int32"})
+                n = len(pages)
+                for i, t in enumerate(pages):
+                    rows.append((document, kind, i + 1, n, t, None))
+                    held += len(t or "")
+                    if held > HELD_CHARS or len(rows) >= HELD_ROWS:
+                        yield given(rows)
+                        rows, held = [], 0
+            if rows:
+                yield given(rows)
+            del batch
+            pa.default_memory_pool().release_unused()
 
     kind = F.coalesce(F.col(kind_col).cast("string"), F.lit("")) if several else F.lit(name)
-    rows = files.select(F.col("document_id").cast("string").alias("document_id"), kind.alias("kind"), "content").mapInPandas(run, "document_id string, kind string, page_number int, page_count int, text string, failure string")
+    rows = files.select(F.col("document_id").cast("string").alias("document_id"), kind.alias("kind"), "content").mapInArrow(run, "document_id string, kind string, page_number int, page_count int, text string, failure string")
     text = T.normalize_newlines(F.col("text"))
     return rows.select(
         "document_id", T.page_id(F.col("document_id"), F.col("page_number")).alias("page_id"), "page_number", "page_count", F.length(text).alias("character_count"),
