@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.checkpoints import cut
 from ..functions.groups import stream_groups
 
 #: What the first record of a chain names as its predecessor.
@@ -54,9 +55,11 @@ def chain_violations(records: DataFrame, chain: str = "chain") -> DataFrame:
     predecessor), "place" (it does not follow its predecessor's place by one)
     and "repeated" (the record stands twice).
     """
-    rows = records.select(F.col(chain).alias("chain"), "place", "content", "previous_hash", "hash")
-    changed = rows.where(F.col("hash") != record_hash(F.col("chain"), F.col("place"), F.col("previous_hash"), F.col("content"))).select("chain", "place", F.lit("content").alias("rule"))
-    once = rows.groupBy("chain", "hash", "place", "previous_hash").agg(F.count("*").alias("n"))
+    # the records are read and hashed once; what they are compared by is written without their content
+    changed = F.col("hash") != record_hash(F.col(chain), F.col("place"), F.col("previous_hash"), F.col("content"))
+    rows = records.select(F.col(chain).alias("chain"), "place", "previous_hash", "hash", F.coalesce(changed, F.lit(False)).cast("long").alias("changed"))
+    once = cut(rows.groupBy("chain", "hash", "place", "previous_hash").agg(F.count("*").alias("n"), F.sum("changed").alias("changed")))
+    changed = once.where("changed > 0").select("chain", "place", F.explode(F.array_repeat(F.lit("content"), F.col("changed").cast("int"))).alias("rule"))
     repeated = once.where("n > 1").select("chain", "place", F.lit("repeated").alias("rule"))
     known = once.groupBy("chain", "hash").agg(F.min("place").alias("_before"))
     met = once.join(known.withColumnRenamed("hash", "previous_hash"), ["chain", "previous_hash"], "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.checkpoints import cut
 from ..operators import atoms as K
 from ..operators import blinding as B
 from ..operators import chains as H
@@ -85,7 +86,7 @@ def _log(spark, sf):
     """Events as a chain for each user, with a record lost, changed, slipped in beside another, or twice."""
     e = F.col("event_id")
     rows = A.table(spark, sf, "events").select("user_id", "event_id", F.format_string("%d|%s", e, F.col("event_type")).alias("content"))
-    log = H.seal(rows, "user_id", ["event_id"], "content")
+    log = cut(H.seal(rows, "user_id", ["event_id"], "content"))  # read three times
     n = F.split_part("content", F.lit("|"), F.lit(1)).cast("long")
     changed = log.where(n % 101 != 7).withColumn("content", F.when(n % 103 == 11, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
     beside = log.where(n % 107 == 13).withColumn("content", F.concat("content", F.lit("?")))
