@@ -30,26 +30,36 @@ def enforce(violations: DataFrame, name: str = "contract") -> None:
 def components(links: DataFrame) -> DataFrame:
     """node, component (its least node) for every node of ``links`` (a, b).
 
-    Every node points to its least neighbour and pointers are contracted: what
-    remains of the links goes on between the nodes that were pointed to. Those
-    at least halve, so a round is smaller than the one before, and a chain of
-    n nodes takes a logarithm of rounds. A hub, or the root of a component
-    with most nodes, has no task of its own: see :func:`sizes.look_up`.
+    Every node points to the first of itself and its neighbours, in an order by
+    hashes that each round draws anew, and pointers are contracted: what remains
+    of the links goes on between the nodes that were pointed to. As the order
+    has nothing to do with names, each round leaves a fraction of the nodes of
+    the one before, so a chain of n takes a logarithm of rounds however it is
+    named. Pointers are put together at the end, from the last and smallest
+    round on; all nodes are read twice, not once a round. A hub, or the root of a
+    component with most nodes, has no task of its own: see :func:`sizes.look_up`.
     """
-    alone = links.where("a = b").select(F.col("a").alias("node"))
-    edges = cut(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    nodes = cut(alone.union(edges.select("a")).union(edges.select("b")).distinct().where("node IS NOT NULL"))
-    labels = nodes.select("node", F.col("node").alias("component"))
+    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # a node that is linked with itself is one of the first round
+    edges, rounds = cut(ordered(links.where("a IS NOT NULL AND b IS NOT NULL"))), []
     while not edges.isEmpty():
-        both = edges.union(edges.select("b", "a"))
-        point = cut(both.groupBy("a").agg(F.min("b").alias("low")).where("low < a"))
-        moved = look_up(labels, point.withColumnRenamed("a", "component"), "component")
-        labels = cut(moved.select("node", F.coalesce("low", "component").alias("component")))
-        for end in ("a", "b"):
-            met = look_up(edges, point.withColumnRenamed("a", end), end)
-            edges = met.withColumn(end, F.coalesce("low", end)).select("a", "b")
-        edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    return labels
+        place = lambda c: F.struct(F.xxhash64(F.lit(len(rounds)), c).alias("h"), F.col(c).alias("node"))  # noqa: B023, E731
+        point = edges.union(edges.select("b", "a")).groupBy("a").agg(F.count("*").alias("_n"), F.min(place("b")).alias("low"))
+        point = cut(point.select("a", "_n", F.when(F.col("low") < place("a"), F.col("low.node")).otherwise(F.col("a")).alias("to")))
+        for end, other in (("a", "b"), ("b", "a")):
+            named = point.withColumnRenamed("a", end)
+            met = look_up(edges, named.drop("_n"), end, counts=named.drop("to"))
+            edges = met.select(F.col("to").alias(end), other)
+        edges = cut(ordered(edges.where("a <> b")))
+        rounds.append(point.select(F.col("a").alias("node"), "to"))
+    if not rounds:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    labels = rounds.pop().withColumnRenamed("to", "root")
+    for point in reversed(rounds):
+        met = look_up(point, labels.withColumnRenamed("node", "to"), "to")
+        labels = cut(met.select("node", F.coalesce("root", "to").alias("root")))
+    least = cut(labels.groupBy("root").agg(F.min("node").alias("component")))
+    return look_up(labels, least, "root").select("node", "component")
 
 
 def leakage_links(cases: DataFrame, passages: DataFrame) -> DataFrame:
@@ -65,10 +75,8 @@ def leakage_links(cases: DataFrame, passages: DataFrame) -> DataFrame:
 def case_components(cases: DataFrame, passages: DataFrame) -> DataFrame:
     """case_id, component: cases that share a query, passage or source, directly or by others."""
     found = components(leakage_links(cases, passages)).where(F.col("node").startswith("case:"))
-    rows = found.select(F.expr("substring(node, 6)").alias("case_id"), "component")
-    # the least case names a component
-    least = rows.groupBy("component").agg(F.min("case_id").alias("least"))
-    return look_up(rows, least, "component").select("case_id", F.col("least").alias("component"))
+    # "case:" stands before all other kinds, so the least node is the least case
+    return found.select(F.expr("substring(node, 6)").alias("case_id"), F.expr("substring(component, 6)").alias("component"))
 
 
 def split_violations(assignments: DataFrame, groups: Iterable[str] = ("component", "query_id")) -> DataFrame:

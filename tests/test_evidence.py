@@ -70,6 +70,30 @@ def test_components_of_chains_hubs_and_loops(rows, monkeypatch):
     assert {r["node"]: r["component"] for r in G.components(df).collect()} == want
 
 
+def test_a_chain_takes_a_logarithm_of_rounds(rows, monkeypatch):
+    cut, written = G.cut, []
+    monkeypatch.setattr(G, "cut", lambda df: written.append(1) or cut(df))
+    out = G.components(rows([(i, i + 1) for i in range(120)], "a long, b long"))
+    assert {r["component"] for r in out.collect()} == {0}
+    assert len(written) <= 3 * 15 + 2  # tables of 15 rounds
+
+
+def test_nothing_but_bounded_tables_is_broadcast(spark, monkeypatch):
+    from tessera.functions import sizes
+
+    left, right = spark.range(2000).withColumnRenamed("id", "k"), spark.range(1500).select(F.col("id").alias("k"), (F.col("id") + 1).alias("v"))
+    monkeypatch.setattr(sizes, "small", lambda *_: False)
+    for counts in (None, left.groupBy("k").agg(F.count("*").alias("_n"))):
+        out = sizes.look_up(left, right, "k", counts=counts)
+        assert {tuple(r) for r in out.collect()} == {(i, i + 1 if i < 1500 else None) for i in range(2000)}
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_links_no_components(rows):
+    assert G.components(rows([], "a long, b long")).collect() == []
+    assert [tuple(r) for r in G.components(rows([(1, None), (None, 2), (3, 3)], "a long, b long")).collect()] == [(3, 3)]
+
+
 def test_threshold_against_brute_force(rows):
     rng = np.random.default_rng(2)
     p, t = np.round(rng.random(40), 2), rng.integers(0, 2, 40)
