@@ -19,6 +19,10 @@ STOPWORDS = (
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\u0085  ]"
 #: White space as str.split() and str.strip() see it.
 SPACE = r"[\s\x0B\x1C-\x1F\u0085   -     　]"
+#: White space as SQL's regular expressions see it.
+ASCII_SPACE = r"[\t\n\f\r ]"
+#: Spaces of all widths (Unicode's Zs), which SQL's trim takes off.
+WIDTHS = " \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
 #: Characters that compatibility normalisation may change; Latin letters with one accent aren't among them.
 _MAY_CHANGE = r"[ ¨ª¯²-µ¸-º¼-¾Ĳ-￿\x{10000}-\x{10FFFF}]"
 _WORD = r"([A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)*)"
@@ -66,6 +70,11 @@ def collapse_spaces(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
+def collapse_ascii_spaces(text: Column) -> Column:
+    """Every run of ASCII's white space as one space, and no space of any width at the ends, as the SQL has it."""
+    return F.btrim(F.regexp_replace(text, f"{ASCII_SPACE}+", " "), F.lit(WIDTHS))
+
+
 @functools.cache
 def _folded() -> str:
     """Characters that case-folding treats otherwise than lower-casing, alone or at a word's end."""
@@ -109,6 +118,12 @@ def split_lines(text: Column) -> Column:
     return F.when(last_empty, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
+def split_newlines(text: Column) -> Column:
+    """Parts between line feeds: no empty one after a last line feed, one empty line for an empty text."""
+    parts = F.split(text, "\n", -1)
+    return F.when(F.endswith(text, F.lit("\n")), F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+
+
 def join_wrapped(lines: Column) -> Column:
     """Wrapped lines as one: after a hyphen the next line follows at once if it starts in lower case."""
     step = lambda acc, x: F.when(acc == "", x).when(acc.endswith("-") & x.rlike("^[a-z]"), F.concat(acc, x)).otherwise(F.concat(acc, F.lit(" "), x))

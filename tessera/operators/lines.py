@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -17,14 +19,14 @@ def in_page() -> WindowSpec:
     return Window.partitionBy("page_id").orderBy("line_number")
 
 
-def line_table(pages: DataFrame) -> DataFrame:
+def line_table(pages: DataFrame, split: Callable[[Column], Column] = T.split_lines) -> DataFrame:
     """document_id, page_id, page_number, line_number, line_pos, text, page_line_count.
 
     Lines are numbered from 1 in their page, positions from 0 in their
     document. A document's positions need no window over its lines: the lines
     of earlier pages are summed, one number a page.
     """
-    pages = pages.select("document_id", "page_id", "page_number", T.split_lines(F.col("text")).alias("lines"))
+    pages = pages.select("document_id", "page_id", "page_number", split(F.col("text")).alias("lines"))
     pages = pages.withColumn("page_line_count", F.size("lines").cast("long"))
     before = Window.partitionBy("document_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
     pages = pages.withColumn("base", F.coalesce(F.sum("page_line_count").over(before), F.lit(0)))
@@ -70,15 +72,16 @@ def order_violations(rows: DataFrame, by: str, *order: str, given: str) -> DataF
     return rows.withColumn("_before", before).where(F.col("_before").isNotNull() & ~(F.col("_before") < at)).drop("_before")
 
 
-def furniture_reason(text: Column, line_number: Column, page_line_count: Column, rules: list[tuple[str, str, int | None, int | None]]) -> Column:
+def furniture_reason(text: Column, line_number: Column, page_line_count: Column, rules: list[tuple[str, str, int | None, int | None]], collapse: Callable[[Column], Column] = T.collapse_spaces) -> Column:
     """The first matching rule's reason; null for content.
 
     A rule is (reason, pattern, last line from the top or null, last line from
-    the bottom or null).
+    the bottom or null). Patterns see the text as ``collapse`` gives it, and
+    only a line feed ends a line for them.
     """
-    clean, out = T.collapse_spaces(text), F.lit(None).cast("string")
+    clean, out = collapse(text), F.lit(None).cast("string")
     for reason, pattern, top, bottom in reversed(rules):
-        hit = clean.rlike(pattern)
+        hit = clean.rlike(f"(?d){pattern}")
         if top is not None or bottom is not None:
             place = F.lit(False)
             if top is not None:
@@ -119,11 +122,12 @@ def ledger(lines: DataFrame, owned: DataFrame, reasons: DataFrame, regions: Data
     rank = F.element_at(F.create_map(*[F.lit(x) for p in KINDS.items() for x in p]), F.col("kind"))
     held = segments(owned.select("document_id", "start_pos", "stop_pos", F.col("owner_id").alias("owner"), rank.alias("rank")))
     first = reasons.groupBy("document_id", "line_pos").agg(F.min(F.struct(F.col("priority").cast("int").alias("priority"), "reason")).alias("_line"))
+    first = first.withColumnsRenamed({"document_id": "_document", "line_pos": "_pos"})  # a null document is one too
     rows = place(lines.select("document_id", "line_pos", *held_by), held).withColumnsRenamed({"owner": "_owner", "rank": "_rank", "claims": "_claims"})
     if regions is not None:
         rows = place(rows, segments(regions.select("document_id", "start_pos", "stop_pos", F.col("reason").alias("owner"), F.col("priority").alias("rank"))))
         rows = rows.withColumn("_region", F.when(F.col("owner").isNotNull(), F.struct(F.col("rank").alias("priority"), F.col("owner").alias("reason")))).drop("owner", "rank", "claims")
-    rows = rows.join(first, ["document_id", "line_pos"], "left")
+    rows = rows.join(first, F.col("document_id").eqNullSafe(F.col("_document")) & (F.col("line_pos") == F.col("_pos")), "left")
     reason = F.least("_line", "_region")["reason"] if regions is not None else F.col("_line.reason")
     kind_of = F.element_at(F.create_map(*[F.lit(x) for k, v in KINDS.items() for x in (v, k)]), F.col("_rank"))
     kind = F.when(F.col("_rank") <= 2, kind_of).when(reason.isNotNull(), "excluded").when(F.col("_rank") == 4, "frontmatter").when(is_blank, "blank").otherwise("unassigned")

@@ -102,9 +102,9 @@ def question_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def document_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as one page each."""
+    """Documents as one page each; as in the SQL only line feeds end lines, and an empty text is one line."""
     pages = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), T.page_id(F.col("doc_id").cast("string"), F.lit(1)).alias("page_id"), F.lit(1).alias("page_number"), F.coalesce("text", F.lit("")).alias("text"))
-    return L.line_table(pages)
+    return L.line_table(pages, T.split_newlines)
 
 
 def turn_headings(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,9 +1,11 @@
 import itertools
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tessera.functions.groups import stream_groups
 from tessera.functions import text as T
 from tessera.functions.order import dense_order
@@ -82,6 +84,20 @@ def test_ledger_precedence(rows):
     assert L.ledger_violations(L.ledger(lines, owned, reasons)).first()["rule"] == "no owner"
 
 
+def test_furniture_as_the_sql_has_it(spark, rows, tmp_path):
+    texts = [
+        None, "", "\n", "a\n\n", "x" * 20 + "\n" + "x" * 21, "a long line that ends here\r\nand one more long line\r", "long enough for a line\u2028and one more", "one\x0btwo\x0cthree\x85 and some more",
+        "\u00a0\n \n", "\u3000", "\t \n\f", "\x0b", "\x1c\x1d", "a" * 12 + "\u00a0", "a" * 12 + "\x85", "licen\u017fed under", "Licensed\u00a0under", " licensed \t under x", "a|b", "\u00e9" * 13, "\n".join(["y" * 25, "z"] * 2100),
+    ]
+    data = [*enumerate(texts), (None, "n" * 30 + "\n|"), (None, "|\nshort"), (7, "y" * 30 + "\nshort"), (7, "")]
+    rows(data, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    key = lambda r: tuple((x is not None, x) for x in r)
+    got = [tuple(r) for r in entry.queries()["furniture_ledger"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=key) == sorted(db.execute(entry.oracle_sql()["furniture_ledger"]).fetchall(), key=key)
+
+
 ACT = "CHAPTER I\nGeneral provisions\nArticle 1\nSubject\n1. Text of it.\n12\nANNEX II\nList of\nacts\nArticle 9\nmore"
 STANDARD = "1. First Part\ntext\n1.1 Second Part\nGOVERN 1.1: Legal require-\nments are\nunderstood.\nAppendix A\nGlossary of terms\n12\n3. A long item about things: with a colon and more than eighty-five characters in all of its text"
 
